@@ -25,8 +25,15 @@ _HERE = os.path.dirname(os.path.abspath(__file__))
 if _HERE not in sys.path:
     sys.path.insert(0, _HERE)
 
-from claimspark.sources.mapping import load_tables  # noqa: E402
-from claimspark.plans import rules, profiles  # noqa: E402
+from claimspark import operators as ops  # noqa: E402
+from claimspark.plans import investigations as inv  # noqa: E402
+from claimspark.plans import models, profiles, rules  # noqa: E402
+from claimspark.plans.features import claim_features, disease_means  # noqa: E402
+from claimspark.schemas import CLAIMS, FOREIGN_KEYS, INVESTIGATIONS, PATIENTS, PRIMARY_KEYS, \
+    PROVIDER_RISK, PROVIDERS  # noqa: E402
+from claimspark.session import shared_dir  # noqa: E402
+from claimspark.sources import catalog, readers, sinks  # noqa: E402
+from claimspark.sources.mapping import load_tables, read_raw  # noqa: E402
 from oracle_queries import ORACLE  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -94,6 +101,272 @@ def q8_kyc_high_claims(spark, sf_dir):
     return rules.kyc_high_claims(t["claims"], t["patients"])
 
 
+def _features(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return claim_features(t["claims"], t["patients"], t["providers"])
+
+
+# --- aggregates and EDA tables -------------------------------------------------
+
+def disease_avg(spark, sf_dir):
+    return disease_means(_t(spark, sf_dir)["claims"]).orderBy("disease_category")
+
+
+def claim_features_q(spark, sf_dir):
+    return _features(spark, sf_dir)
+
+
+def eda_class_balance(spark, sf_dir):
+    return ops.class_balance(_t(spark, sf_dir)["claims"], "is_fraud")
+
+
+def eda_fraud_type_counts(spark, sf_dir):
+    return ops.value_counts(_t(spark, sf_dir)["investigations"], "fraud_type")
+
+
+def eda_rate_by_disease(spark, sf_dir):
+    return ops.rate_by(_t(spark, sf_dir)["claims"], "disease_category", "is_fraud")
+
+
+def eda_rate_by_policy(spark, sf_dir):
+    return ops.rate_by(_features(spark, sf_dir), "policy_type", "is_fraud")
+
+
+def eda_monthly(spark, sf_dir):
+    return ops.monthly_counts(_t(spark, sf_dir)["claims"], "claim_date", "is_fraud")
+
+
+def eda_recovered_by_status(spark, sf_dir):
+    return ops.sum_by(_t(spark, sf_dir)["investigations"], "status", "amount_recovered",
+                      "amount_recovered")
+
+
+def eda_amount_hist(spark, sf_dir):
+    return profiles.amount_histogram(_t(spark, sf_dir)["claims"])
+
+
+def eda_ratio_hist(spark, sf_dir):
+    return profiles.ratio_histogram(_features(spark, sf_dir))
+
+
+def eda_stay_procedure_grid(spark, sf_dir):
+    return profiles.stay_procedure_grid(_t(spark, sf_dir)["claims"])
+
+
+def provider_risk(spark, sf_dir):
+    return profiles.risk_profile(_features(spark, sf_dir), "provider_id")
+
+
+def provider_rate_hist(spark, sf_dir):
+    return profiles.rate_histogram(provider_risk(spark, sf_dir))
+
+
+def provider_top_high(spark, sf_dir):
+    return profiles.top_high_risk(provider_risk(spark, sf_dir), "provider_id")
+
+
+def patient_risk(spark, sf_dir):
+    return profiles.risk_profile(_features(spark, sf_dir), "patient_id")
+
+
+def patient_risk_tiers(spark, sf_dir):
+    return profiles.tier_counts(patient_risk(spark, sf_dir))
+
+
+def patient_top_high(spark, sf_dir):
+    return profiles.top_high_risk(patient_risk(spark, sf_dir), "patient_id")
+
+
+def kpi_summary(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    feats = claim_features(t["claims"], t["patients"], t["providers"])
+    return profiles.kpi_summary(t["patients"], t["providers"], feats, t["investigations"])
+
+
+# --- evaluation on a deterministic score (inflation ratio / is_inflated) ------
+
+def eval_confusion(spark, sf_dir):
+    return ops.confusion_matrix(_features(spark, sf_dir), "is_fraud", "is_inflated")
+
+
+def eval_report(spark, sf_dir):
+    return ops.classification_report(_features(spark, sf_dir), "is_fraud", "is_inflated")
+
+
+def eval_roc(spark, sf_dir):
+    return ops.roc_points(_features(spark, sf_dir), "is_fraud", "inflation_ratio")
+
+
+def eval_auc(spark, sf_dir):
+    return ops.auc(_features(spark, sf_dir), "is_fraud", "inflation_ratio")
+
+
+# --- investigations, data quality ---------------------------------------------
+
+def open_investigations(spark, sf_dir):
+    return inv.open_investigations(_t(spark, sf_dir)["claims"])
+
+
+def dq_key_violations(spark, sf_dir):
+    return ops.key_report(_t(spark, sf_dir), PRIMARY_KEYS)
+
+
+def dq_key_violations_lineitem(spark, sf_dir):
+    li = read_raw(spark, sf_dir, "lineitem")
+    return ops.key_violations(li.select("l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"])
+
+
+def dq_orphans(spark, sf_dir):
+    return ops.orphan_report(_t(spark, sf_dir), FOREIGN_KEYS)
+
+
+# --- catalog, sources, sinks: round trips through the shared folder -----------
+
+def register_views(spark, sf_dir):
+    names = catalog.register_views(spark, _t(spark, sf_dir))
+    return spark.sql(" UNION ALL ".join(
+        f"SELECT '{n}' AS table_name, COUNT(*) AS n_rows FROM {n}" for n in names))
+
+
+def _csv_round_trip(spark, df, schema, name):
+    path = shared_dir(spark, name)
+    sinks.write_table(df, path, "csv")
+    return readers.read_table(spark, path, schema, "csv")
+
+
+def src_patients(spark, sf_dir):
+    return _csv_round_trip(spark, _t(spark, sf_dir)["patients"], PATIENTS, "patients-csv")
+
+
+def src_providers(spark, sf_dir):
+    return _csv_round_trip(spark, _t(spark, sf_dir)["providers"], PROVIDERS, "providers-csv")
+
+
+def src_claims(spark, sf_dir):
+    return _csv_round_trip(spark, _t(spark, sf_dir)["claims"], CLAIMS, "claims-csv")
+
+
+def src_investigations(spark, sf_dir):
+    return _csv_round_trip(spark, _t(spark, sf_dir)["investigations"], INVESTIGATIONS,
+                           "investigations-csv")
+
+
+def ingest_csv(spark, sf_dir):
+    csv_path = shared_dir(spark, "claims-raw-csv")
+    sinks.write_table(_t(spark, sf_dir)["claims"], csv_path, "csv")
+    accepted, _rejected = readers.ingest_csv(spark, csv_path, CLAIMS, shared_dir(spark, "claims-ingested"))
+    return accepted
+
+
+def write_provider_risk(spark, sf_dir):
+    path = shared_dir(spark, "provider-risk")
+    sinks.write_provider_risk(provider_risk(spark, sf_dir), path)
+    return readers.read_table(spark, path, PROVIDER_RISK, "csv")
+
+
+_ANALYSIS = T.StructType([
+    T.StructField("claim_id", T.StringType()), T.StructField("patient_id", T.StringType()),
+    T.StructField("provider_id", T.StringType()), T.StructField("disease_category", T.StringType()),
+    T.StructField("claim_amount", T.DecimalType(12, 2)), T.StructField("days_hospitalised", T.IntegerType()),
+    T.StructField("num_procedures", T.IntegerType()), T.StructField("is_fraud", T.IntegerType()),
+    T.StructField("inflation_ratio", T.DoubleType()), T.StructField("suspicious_pattern", T.IntegerType()),
+    T.StructField("duplicate_claim", T.IntegerType()),
+])
+
+
+def write_claims_analysis(spark, sf_dir):
+    path = shared_dir(spark, "claims-analysis")
+    sinks.write_claims_analysis(_features(spark, sf_dir), path)
+    return readers.read_table(spark, path, _ANALYSIS, "csv")
+
+
+def write_table(spark, sf_dir):
+    path = shared_dir(spark, "investigations-parquet")
+    sinks.write_table(_t(spark, sf_dir)["investigations"], path, "parquet", partition_by=["status"])
+    return spark.read.parquet(path)
+
+
+# --- model preparation and models ---------------------------------------------
+
+def ml_encode(spark, sf_dir):
+    enc = models.encode(_features(spark, sf_dir))
+    return enc.select("claim_id", *[o for _, o in models.FV.CATEGORICAL_FEATURES])
+
+
+def ml_complete_rows(spark, sf_dir):
+    return models.complete_rows(models.encode(_features(spark, sf_dir))).select("claim_id", "is_fraud")
+
+
+def ml_split(spark, sf_dir):
+    return ops.hash_split(_features(spark, sf_dir).select("claim_id", "is_fraud"), "claim_id")
+
+
+def ml_assemble(spark, sf_dir):
+    prepared = models.prepare(_features(spark, sf_dir))
+    return prepared.select("claim_id", "label", "is_test",
+                           models.vector_to_array("features").alias("features"))
+
+
+# Driver queries fit small ensembles (the library defaults are 100 trees /
+# 100 rounds / 500 iterations); fitted models are kept per session and folder.
+_DRIVER_TREES, _DRIVER_ROUNDS, _DRIVER_ITER = 20, 20, 100
+_MODELS: dict = {}
+
+
+def _models(spark, sf_dir) -> models.FraudModels:
+    key = (id(spark), sf_dir)
+    if key not in _MODELS:
+        _MODELS[key] = models.FraudModels(models.prepare(_features(spark, sf_dir)),
+                                          trees=_DRIVER_TREES, rounds=_DRIVER_ROUNDS,
+                                          max_iter=_DRIVER_ITER)
+    return _MODELS[key]
+
+
+def ml_scale(spark, sf_dir):
+    m = _models(spark, sf_dir)
+    return m.scaler().transform(m.test).select(
+        "claim_id", "label", models.vector_to_array("scaled").alias("scaled"))
+
+
+def ml_logistic(spark, sf_dir):
+    return _models(spark, sf_dir).scored("logistic")
+
+
+def ml_forest(spark, sf_dir):
+    return _models(spark, sf_dir).scored("forest")
+
+
+def ml_boosted(spark, sf_dir):
+    return _models(spark, sf_dir).scored("boosted")
+
+
+def ml_score(spark, sf_dir):
+    m = _models(spark, sf_dir)
+    lr, rf, gb = (m.scored(x).select("claim_id", "label", F.col("probability").alias(f"p_{x}"))
+                  for x in ("logistic", "forest", "boosted"))
+    return lr.join(rf.drop("label"), "claim_id").join(gb.drop("label"), "claim_id")
+
+
+def ml_compare(spark, sf_dir):
+    return _models(spark, sf_dir).comparison()
+
+
+def ml_importance_top(spark, sf_dir):
+    return models.importances(_models(spark, sf_dir).boosted())
+
+
+def eval_model_report(spark, sf_dir):
+    return ops.classification_report(_models(spark, sf_dir).scored("boosted"), "label", "prediction")
+
+
+def eval_model_confusion(spark, sf_dir):
+    return ops.confusion_matrix(_models(spark, sf_dir).scored("boosted"), "label", "prediction")
+
+
+def eval_model_roc(spark, sf_dir):
+    return ops.roc_points(_models(spark, sf_dir).scored("boosted"), "label", "probability")
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q1_claim_inflation": q1_claim_inflation,
     "q2_duplicate_pairs": q2_duplicate_pairs,
@@ -104,6 +377,55 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q6_monthly_trend": q6_monthly_trend,
     "q7_disease_profile": q7_disease_profile,
     "q8_kyc_high_claims": q8_kyc_high_claims,
+    "disease_avg": disease_avg,
+    "claim_features": claim_features_q,
+    "eda_class_balance": eda_class_balance,
+    "eda_fraud_type_counts": eda_fraud_type_counts,
+    "eda_rate_by_disease": eda_rate_by_disease,
+    "eda_rate_by_policy": eda_rate_by_policy,
+    "eda_monthly": eda_monthly,
+    "eda_recovered_by_status": eda_recovered_by_status,
+    "eda_amount_hist": eda_amount_hist,
+    "eda_ratio_hist": eda_ratio_hist,
+    "eda_stay_procedure_grid": eda_stay_procedure_grid,
+    "provider_risk": provider_risk,
+    "provider_rate_hist": provider_rate_hist,
+    "provider_top_high": provider_top_high,
+    "patient_risk": patient_risk,
+    "patient_risk_tiers": patient_risk_tiers,
+    "patient_top_high": patient_top_high,
+    "kpi_summary": kpi_summary,
+    "eval_confusion": eval_confusion,
+    "eval_report": eval_report,
+    "eval_roc": eval_roc,
+    "eval_auc": eval_auc,
+    "open_investigations": open_investigations,
+    "dq_key_violations": dq_key_violations,
+    "dq_key_violations_lineitem": dq_key_violations_lineitem,
+    "dq_orphans": dq_orphans,
+    "register_views": register_views,
+    "src_patients": src_patients,
+    "src_providers": src_providers,
+    "src_claims": src_claims,
+    "src_investigations": src_investigations,
+    "ingest_csv": ingest_csv,
+    "write_provider_risk": write_provider_risk,
+    "write_claims_analysis": write_claims_analysis,
+    "write_table": write_table,
+    "ml_encode": ml_encode,
+    "ml_complete_rows": ml_complete_rows,
+    "ml_split": ml_split,
+    "ml_assemble": ml_assemble,
+    "ml_scale": ml_scale,
+    "ml_logistic": ml_logistic,
+    "ml_forest": ml_forest,
+    "ml_boosted": ml_boosted,
+    "ml_score": ml_score,
+    "ml_compare": ml_compare,
+    "ml_importance_top": ml_importance_top,
+    "eval_model_report": eval_model_report,
+    "eval_model_confusion": eval_model_confusion,
+    "eval_model_roc": eval_model_roc,
 }
 
 

@@ -63,3 +63,8 @@ INVESTIGATED_FRACTION = 0.75
 RECOVERY_LOW = 0.4
 RECOVERY_HIGH = 0.9
 INVESTIGATION_ID_FORMAT = "INV%05d"
+FRAUD_TYPES = [
+    "Claim Inflation", "Duplicate Claim", "Non-Empanelled Provider",
+    "Unnecessary Procedures", "Falsified Documents",
+]
+INVESTIGATION_STATUSES = ["Confirmed Fraud", "Confirmed Fraud", "Under Review", "Dismissed"]
