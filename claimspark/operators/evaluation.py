@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimspark.operators.ranking import exclusive_prefix
+from claimspark.session import checkpointed
 
 EXACT = "decimal(38,0)"
 
@@ -94,8 +95,9 @@ def roc_points(df: DataFrame, label: str, score: str, buckets: int | None = None
     with ``score >= t``.  Every distinct threshold is kept (no dropping of
     collinear points); the curve starts implicitly at (0, 0).
     """
-    st = score_table(df, label, score).withColumn("_desc", -F.col("score"))
-    cum = exclusive_prefix(st, ["_desc"], ["pos", "neg"], inclusive=True, buckets=buckets)
+    st = checkpointed(score_table(df, label, score).withColumn("_desc", -F.col("score")))
+    cum = exclusive_prefix(st, ["_desc"], ["pos", "neg"], inclusive=True, buckets=buckets,
+                           materialized=True)
     # Two class totals: a single aggregated row, read once as literals.
     totals = st.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
     n_pos, n_neg = F.lit(int(totals["P"] or 0)), F.lit(int(totals["N"] or 0))

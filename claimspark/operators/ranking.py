@@ -23,22 +23,38 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimspark.session import checkpointed
+
+
+ROWS_PER_BUCKET = 2_000_000
+MAX_BUCKETS = 10_000
+
 
 def default_buckets(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")))
 
 
-def quantile_bucket(df: DataFrame, col: str, buckets: int, out: str = "_bucket",
-                    rel_err: float = 0.001) -> DataFrame:
+def quantile_bucket(df: DataFrame, col: str, buckets: int | None = None, out: str = "_bucket",
+                    materialized: bool = False, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Add ``out``: the index of the approximate-quantile bucket of numeric ``col``.
 
-    Bucket order agrees with the order of ``col``; equal values share a bucket.
-    Nulls go to the first bucket.
+    Bucket order agrees with the order of ``col``; equal values share a bucket;
+    nulls go to the first bucket.  Unless ``materialized``, ``df`` is
+    checkpointed first, so its plan runs once however often it is read.  The
+    bucket count defaults to ``ceil(rows / rows_per_bucket)`` (at most
+    ``MAX_BUCKETS``): a small table is one bucket and needs no quantiles; a
+    large one gets ``B - 1`` approximate quantiles (relative error ``0.1 / B``,
+    so buckets stay balanced), the only numbers that reach the driver.
     """
+    if not materialized:
+        df = checkpointed(df)
+    if buckets is None:
+        n = df.count()
+        buckets = min(MAX_BUCKETS, max(1, -(-n // rows_per_bucket)))
     if buckets <= 1:
         return df.withColumn(out, F.lit(0))
     probs = [i / buckets for i in range(1, buckets)]
-    bounds = df.select(F.col(col).cast("double").alias("_q")).approxQuantile("_q", probs, rel_err)
+    bounds = df.select(F.col(col).cast("double").alias("_q")).approxQuantile("_q", probs, 0.1 / buckets)
     splits = sorted({b for b in bounds if b is not None and b == b})
     if not splits:
         return df.withColumn(out, F.lit(0))
@@ -50,7 +66,8 @@ def quantile_bucket(df: DataFrame, col: str, buckets: int, out: str = "_bucket",
 
 def exclusive_prefix(df: DataFrame, order: Sequence[str | Column], values: Sequence[str],
                      bucket: Column | str | None = None, buckets: int | None = None,
-                     inclusive: bool = False, suffix: str | None = None) -> DataFrame:
+                     inclusive: bool = False, suffix: str | None = None,
+                     materialized: bool = False) -> DataFrame:
     """Running sums of ``values`` along ``order`` (ascending) over the whole frame.
 
     For every row adds ``{v}{suffix}``: the sum of ``v`` over all rows strictly
@@ -66,7 +83,7 @@ def exclusive_prefix(df: DataFrame, order: Sequence[str | Column], values: Seque
         if not isinstance(first, str):
             df = df.withColumn("_ord0", first)
             first = "_ord0"
-        df = quantile_bucket(df, first, buckets or default_buckets(df))
+        df = quantile_bucket(df, first, buckets, materialized=materialized)
     else:
         df = df.withColumn("_bucket", bucket if isinstance(bucket, Column) else F.col(bucket))
     totals = df.groupBy("_bucket").agg(*[F.sum(v).alias(f"_tot_{v}") for v in values])

@@ -24,6 +24,7 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -65,3 +66,14 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/claimspark/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def checkpointed(df):
+    """Write ``df`` to the shared checkpoint folder and continue from the copy.
+
+    Used where a small intermediate table (per-value counts, per-score
+    totals) is read several times: the upstream plan runs once, the lineage
+    is cut, and a lost executor does not force recomputation from the source.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

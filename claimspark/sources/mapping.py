@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimspark.schemas import MONEY
+from claimspark.session import shared_dir
 
 # FIXED VALUES — the mapping rules (shared with the SQL oracle)
 POLICY_START = "2020-01-01"
@@ -35,8 +36,21 @@ PROCEDURE_MODULUS = 15                       # num_procedures = 1 + qty % 15
 ID_WIDTHS = (12, 2, 11, 10)
 
 
+_RAW: dict[tuple, DataFrame] = {}
+_TABLES: dict[tuple, dict[str, DataFrame]] = {}
+
+
+def _session_key(spark: SparkSession) -> tuple:
+    return (id(spark), spark.sparkContext.applicationId)
+
+
 def read_raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """One driver table; the DataFrame (file listing + footer schema) is reused
+    for the lifetime of the session."""
+    key = _session_key(spark) + (sf_dir.rstrip("/"), name)
+    if key not in _RAW:
+        _RAW[key] = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return _RAW[key]
 
 
 def _pad(c: str, width: int):
@@ -122,8 +136,11 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def investigations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _claim_rows(spark, sf_dir)
-    return (c.filter((F.col("is_fraud") == 1) & (F.col("_orderkey") % 4 > 0))
+    return _investigations_from(_claim_rows(spark, sf_dir))
+
+
+def _investigations_from(rows: DataFrame) -> DataFrame:
+    return (rows.filter((F.col("is_fraud") == 1) & (F.col("_orderkey") % 4 > 0))
             .select(
                 F.concat(F.lit("INV"), F.col("claim_id")).alias("investigation_id"),
                 "claim_id", "patient_id",
@@ -134,11 +151,31 @@ def investigations(spark: SparkSession, sf_dir: str) -> DataFrame:
             ))
 
 
-def load_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The four claims tables for a testdata folder, as lazy DataFrames."""
-    return {
-        "patients": patients(spark, sf_dir),
-        "providers": providers(spark, sf_dir),
-        "claims": claims(spark, sf_dir),
-        "investigations": investigations(spark, sf_dir),
-    }
+def load_tables(spark: SparkSession, sf_dir: str, materialize: bool = False) -> dict[str, DataFrame]:
+    """The four claims tables for a testdata folder.
+
+    Lazy by default.  With ``materialize`` the mapped tables are written once
+    per session as Parquet under the shared checkpoint folder (the ingest step
+    of a real deployment, where claims are a stored table) and read back, so
+    queries scan a claims table instead of re-joining line items and orders.
+    """
+    key = _session_key(spark) + (sf_dir.rstrip("/"), materialize)
+    if key in _TABLES:
+        return _TABLES[key]
+    if not materialize:
+        rows = _claim_rows(spark, sf_dir)
+        tables = {"patients": patients(spark, sf_dir), "providers": providers(spark, sf_dir),
+                  "claims": rows.drop("_orderkey", "_orderpriority"),
+                  "investigations": _investigations_from(rows)}
+    else:
+        base = shared_dir(spark, "claims-tables")
+        patients(spark, sf_dir).write.mode("overwrite").parquet(f"{base}/patients")
+        providers(spark, sf_dir).write.mode("overwrite").parquet(f"{base}/providers")
+        _claim_rows(spark, sf_dir).write.mode("overwrite").parquet(f"{base}/claim_rows")
+        rows = spark.read.parquet(f"{base}/claim_rows")
+        tables = {"patients": spark.read.parquet(f"{base}/patients"),
+                  "providers": spark.read.parquet(f"{base}/providers"),
+                  "claims": rows.drop("_orderkey", "_orderpriority"),
+                  "investigations": _investigations_from(rows)}
+    _TABLES[key] = tables
+    return tables
