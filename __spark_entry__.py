@@ -307,10 +307,11 @@ def ml_split(spark, sf_dir):
     return ops.hash_split(_features(spark, sf_dir).select("claim_id", "is_fraud"), "claim_id")
 
 
-def ml_assemble(spark, sf_dir):
-    prepared = models.prepare(_features(spark, sf_dir))
-    return prepared.select("claim_id", "label", "is_test",
-                           models.vector_to_array("features").alias("features"))
+def ml_split_exact(spark, sf_dir):
+    return ops.exact_stratified_split(_features(spark, sf_dir).select("claim_id", "is_fraud"),
+                                      "claim_id", "is_fraud")
+
+
 
 
 # Driver queries fit small ensembles (the library defaults are 100 trees /
@@ -328,6 +329,12 @@ def _models(spark, sf_dir) -> models.FraudModels:
     return _MODELS[key]
 
 
+def ml_assemble(spark, sf_dir):
+    prepared = _models(spark, sf_dir).data
+    return prepared.select("claim_id", "label", "is_test",
+                           models.vector_to_array("features").alias("features"))
+
+
 def ml_scale(spark, sf_dir):
     m = _models(spark, sf_dir)
     return m.scaler().transform(m.test).select(
@@ -421,6 +428,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ml_encode": ml_encode,
     "ml_complete_rows": ml_complete_rows,
     "ml_split": ml_split,
+    "ml_split_exact": ml_split_exact,
     "ml_assemble": ml_assemble,
     "ml_scale": ml_scale,
     "ml_logistic": ml_logistic,

@@ -62,11 +62,22 @@ def assemble(df: DataFrame, cols: Sequence[str] = tuple(FEATURES), out: str = "f
 
 
 def prepare(features: DataFrame, id_col: str = "claim_id", label: str = FV.LABEL,
-            test_fraction: float = FV.TEST_FRACTION, seed: int = FV.SPLIT_SEED) -> DataFrame:
-    """Encoded, complete, assembled rows with ``label`` (double) and ``is_test``."""
+            test_fraction: float = FV.TEST_FRACTION, seed: int = FV.SPLIT_SEED,
+            partitions: int | None = None) -> DataFrame:
+    """Encoded, complete, assembled rows with ``label`` (double) and ``is_test``.
+
+    The rows are hash-partitioned on the id into ``partitions`` (default: the
+    larger of twice the default parallelism and the shuffle partitions) so the
+    iterative fits, which make one pass per iteration or tree level, keep
+    every core busy.
+    """
+    spark = features.sparkSession
+    n = partitions or max(2 * spark.sparkContext.defaultParallelism,
+                          int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
     enc = complete_rows(encode(features))
     vec = assemble(enc).withColumn("label", F.col(label).cast("double"))
-    return hash_split(vec.select(id_col, "label", "features"), id_col, test_fraction, seed)
+    rows = vec.select(id_col, "label", "features").repartition(n, id_col)
+    return hash_split(rows, id_col, test_fraction, seed)
 
 
 def fit_scaler(train: DataFrame, col: str = "features", out: str = "scaled") -> Model:

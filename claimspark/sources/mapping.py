@@ -169,9 +169,12 @@ def load_tables(spark: SparkSession, sf_dir: str, materialize: bool = False) ->
                   "investigations": _investigations_from(rows)}
     else:
         base = shared_dir(spark, "claims-tables")
+        # Enough files for every core to get a split when the table is scanned.
+        files = 2 * spark.sparkContext.defaultParallelism
         patients(spark, sf_dir).write.mode("overwrite").parquet(f"{base}/patients")
         providers(spark, sf_dir).write.mode("overwrite").parquet(f"{base}/providers")
-        _claim_rows(spark, sf_dir).write.mode("overwrite").parquet(f"{base}/claim_rows")
+        (_claim_rows(spark, sf_dir).repartition(files, "claim_id")
+         .write.mode("overwrite").parquet(f"{base}/claim_rows"))
         rows = spark.read.parquet(f"{base}/claim_rows")
         tables = {"patients": spark.read.parquet(f"{base}/patients"),
                   "providers": spark.read.parquet(f"{base}/providers"),

@@ -87,3 +87,16 @@ def test_stream_flagging_matches_batch(spark, frames, tmp_dir):
     got = spark.read.parquet(f"{tmp_dir}/flagged").select("claim_id", "suspicious_pattern", "is_inflated")
     want = flag_claims(c, p, v, means).select("claim_id", "suspicious_pattern", "is_inflated")
     assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_save_tables_in_a_database_under_a_given_location(spark, frames, tmp_dir):
+    from claimspark.sources.catalog import save_tables
+    c, _, _ = frames(claims=[claim("C1"), claim("C2", pid="P2")])
+    current = spark.catalog.currentDatabase()
+    try:
+        save_tables(spark, {"claims": c}, "claims_db_test", location=f"{tmp_dir}/db",
+                    buckets={"claims": (4, ["patient_id"])})
+        assert spark.table("claims_db_test.claims").count() == 2
+        assert os.path.isdir(f"{tmp_dir}/db/claims")
+    finally:
+        spark.catalog.setCurrentDatabase(current)
