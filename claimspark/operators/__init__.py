@@ -11,7 +11,9 @@ from claimspark.operators.evaluation import (  # noqa: F401
 from claimspark.operators.histogram import histogram  # noqa: F401
 from claimspark.operators.outliers import group_mean, ratio_outliers  # noqa: F401
 from claimspark.operators.pairs import near_pairs  # noqa: F401
-from claimspark.operators.quality import key_report, key_violations, orphan_report, orphans  # noqa: F401
+from claimspark.operators.quality import (  # noqa: F401
+    key_report, key_violations, orphan_count, orphan_report, orphans,
+)
 from claimspark.operators.ranking import (  # noqa: F401
     exclusive_prefix, global_rank, quantile_bucket, rank_within, sequential_ids, top_k,
     value_counts_ranked,

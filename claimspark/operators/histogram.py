@@ -14,17 +14,25 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+MAX_CLASSES = 10_000
+
 
 def histogram(df: DataFrame, col: str, bins: int, by: str | Sequence[str] | None = None,
-              density: bool = False) -> DataFrame:
+              density: bool = False, max_classes: int = MAX_CLASSES) -> DataFrame:
     """One row per (class, bin): ``bin`` (0-based), ``bin_lo``, ``bin_hi``,
     ``n_rows`` and, with ``density``, ``density = n / (N_class * width)``.
 
-    Every bin is present, empty ones with 0.  Nulls are ignored.
+    Every bin is present, empty ones with 0.  Null values and rows with a null
+    class are ignored.  The per-class ranges (one row per class) are read once
+    and applied as literals when there are at most ``max_classes`` classes, so
+    no row is joined or shuffled to find its range; with more classes they are
+    joined on the class key instead.
     """
     keys = [] if by is None else ([by] if isinstance(by, str) else list(by))
     x = F.col(col).cast("double")
     data = df.select(*keys, x.alias("_x")).filter(F.col("_x").isNotNull())
+    for k in keys:
+        data = data.filter(F.col(k).isNotNull())
     ranges = (data.groupBy(*keys)
               .agg(F.min("_x").alias("_lo0"), F.max("_x").alias("_hi0"), F.count(F.lit(1)).alias("_total")))
     same = F.col("_lo0") == F.col("_hi0")
@@ -32,22 +40,32 @@ def histogram(df: DataFrame, col: str, bins: int, by: str | Sequence[str] | None
         *keys, "_total",
         F.when(same, F.col("_lo0") - 0.5).otherwise(F.col("_lo0")).alias("_lo"),
         F.when(same, F.col("_hi0") + 0.5).otherwise(F.col("_hi0")).alias("_hi"))
-    # ``ranges`` has one row per class.  With classes it is joined on the class
-    # key (AQE broadcasts it after measuring); without, it is a single row, read
-    # back as two literals.
-    if keys:
+    found = ranges.limit(max_classes + 1).collect()
+    if not found:
+        return ranges.select(*keys, F.lit(0).alias("bin"))
+    if len(keys) <= 1 and len(found) <= max_classes:
+        # Bounded (checked) number of classes: ranges become literals.
+        if keys:
+            k = keys[0]
+            lo_map = F.create_map(*[e for r in found for e in (F.lit(r[k]), F.lit(r["_lo"]))])
+            hi_map = F.create_map(*[e for r in found for e in (F.lit(r[k]), F.lit(r["_hi"]))])
+            lo, hi = F.element_at(lo_map, F.col(k)), F.element_at(hi_map, F.col(k))
+        else:
+            lo, hi = F.lit(found[0]["_lo"]), F.lit(found[0]["_hi"])
+        binned = data
+        # The grid of (class, bin) rows comes from the ranges already read, so
+        # the aggregation over the data is not run a second time.
+        grid = ranges.sparkSession.createDataFrame(
+            [tuple(r[c] for c in keys) + (r["_total"], r["_lo"], r["_hi"]) for r in found],
+            ranges.schema)
+    else:
         binned = data.join(ranges, keys, "inner")
         lo, hi = F.col("_lo"), F.col("_hi")
-    else:
-        r = ranges.first()
-        if r is None:
-            return ranges.select(F.lit(0).alias("bin"))
-        lo, hi = F.lit(r["_lo"]), F.lit(r["_hi"])
-        binned = data
+        grid = ranges
     raw_bin = F.floor((F.col("_x") - lo) * F.lit(bins) / (hi - lo))
     binned = binned.select(*keys, F.least(raw_bin, F.lit(bins - 1)).cast("int").alias("bin"))
     counts = binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n_rows"))
-    grid = ranges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    grid = grid.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     width = (F.col("_hi") - F.col("_lo")) / F.lit(bins)
     out = (grid.join(counts, keys + ["bin"], "left")
            .select(*keys, "bin",

@@ -24,21 +24,38 @@ def key_violations(df: DataFrame, keys: str | Sequence[str]) -> DataFrame:
 
 
 def orphans(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str) -> DataFrame:
-    """Child rows whose non-null key has no parent row (a left anti join)."""
-    parent_keys = parent.select(F.col(parent_key).alias("_pk"))
+    """Child rows whose non-null key has no parent row (a left anti join).
+
+    Parent keys are de-duplicated first (partial aggregation), so a parent key
+    repeated many times cannot skew the build side; a hot child key is split
+    by AQE's skew handling, which supports left anti joins.
+    """
+    parent_keys = parent.select(F.col(parent_key).alias("_pk")).distinct()
     return (child.filter(F.col(child_key).isNotNull())
             .join(parent_keys, F.col(child_key) == F.col("_pk"), "left_anti"))
 
 
+def orphan_count(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str) -> DataFrame:
+    """One row ``n_orphans``: child rows whose non-null key has no parent.
+
+    Both sides are reduced to one row per key before the anti join (child keys
+    with their row counts, distinct parent keys), so even a key holding a third
+    of all rows is a single row in the join.
+    """
+    per_key = (child.filter(F.col(child_key).isNotNull()).groupBy(child_key)
+               .agg(F.count(F.lit(1)).alias("_n")))
+    missing = orphans(per_key, child_key, parent, parent_key)
+    return missing.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("n_orphans"))
+
+
 def orphan_report(tables: dict[str, DataFrame],
                   relations: Sequence[tuple[str, str, str, str]]) -> DataFrame:
     """Number of orphan rows per foreign key ``(child, key, parent, key)``."""
     parts = []
     for child, ck, parent, pk in relations:
-        o = orphans(tables[child].select(ck), ck, tables[parent].select(pk), pk)
-        parts.append(o.agg(F.count(F.lit(1)).alias("n_orphans")).select(
-            F.lit(f"{child}.{ck}").alias("foreign_key"),
-            F.lit(f"{parent}.{pk}").alias("references"), "n_orphans"))
+        o = orphan_count(tables[child].select(ck), ck, tables[parent].select(pk), pk)
+        parts.append(o.select(F.lit(f"{child}.{ck}").alias("foreign_key"),
+                              F.lit(f"{parent}.{pk}").alias("references"), "n_orphans"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
