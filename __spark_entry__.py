@@ -32,7 +32,7 @@ if _HERE not in sys.path:
 from claimspark import operators as ops  # noqa: E402
 from claimspark.plans import investigations as inv  # noqa: E402
 from claimspark.plans import models, profiles, rules  # noqa: E402
-from claimspark.plans.features import claim_features, disease_means  # noqa: E402
+from claimspark.plans.features import claim_features, claim_flags, disease_means  # noqa: E402
 from claimspark.schemas import CLAIMS, FOREIGN_KEYS, INVESTIGATIONS, PATIENTS, PRIMARY_KEYS, \
     PROVIDER_RISK, PROVIDERS  # noqa: E402
 from claimspark.session import shared_dir  # noqa: E402
@@ -112,6 +112,12 @@ def _features(spark, sf_dir):
     return claim_features(t["claims"], t["patients"], t["providers"])
 
 
+def _flags(spark, sf_dir):
+    """Claim-level derived columns only (no dimension joins): enough for the
+    evaluation tables, the ratio histogram and the KPIs."""
+    return claim_flags(_t(spark, sf_dir)["claims"])
+
+
 # --- aggregates and EDA tables -------------------------------------------------
 
 def disease_avg(spark, sf_dir):
@@ -152,7 +158,7 @@ def eda_amount_hist(spark, sf_dir):
 
 
 def eda_ratio_hist(spark, sf_dir):
-    return profiles.ratio_histogram(_features(spark, sf_dir))
+    return profiles.ratio_histogram(_flags(spark, sf_dir))
 
 
 def eda_stay_procedure_grid(spark, sf_dir):
@@ -185,26 +191,26 @@ def patient_top_high(spark, sf_dir):
 
 def kpi_summary(spark, sf_dir):
     t = _t(spark, sf_dir)
-    feats = claim_features(t["claims"], t["patients"], t["providers"])
-    return profiles.kpi_summary(t["patients"], t["providers"], feats, t["investigations"])
+    return profiles.kpi_summary(t["patients"], t["providers"], claim_flags(t["claims"]),
+                                t["investigations"])
 
 
 # --- evaluation on a deterministic score (inflation ratio / is_inflated) ------
 
 def eval_confusion(spark, sf_dir):
-    return ops.confusion_matrix(_features(spark, sf_dir), "is_fraud", "is_inflated")
+    return ops.confusion_matrix(_flags(spark, sf_dir), "is_fraud", "is_inflated")
 
 
 def eval_report(spark, sf_dir):
-    return ops.classification_report(_features(spark, sf_dir), "is_fraud", "is_inflated")
+    return ops.classification_report(_flags(spark, sf_dir), "is_fraud", "is_inflated")
 
 
 def eval_roc(spark, sf_dir):
-    return ops.roc_points(_features(spark, sf_dir), "is_fraud", "inflation_ratio")
+    return ops.roc_points(_flags(spark, sf_dir), "is_fraud", "inflation_ratio")
 
 
 def eval_auc(spark, sf_dir):
-    return ops.auc(_features(spark, sf_dir), "is_fraud", "inflation_ratio")
+    return ops.auc(_flags(spark, sf_dir), "is_fraud", "inflation_ratio")
 
 
 # --- investigations, data quality ---------------------------------------------

@@ -11,6 +11,7 @@ from claimspark.functions import as_double, mean_of, pct, round_half_up, tier
 from claimspark.operators import aggregates as agg
 from claimspark.operators.histogram import histogram
 from claimspark.operators.ranking import rank_within, top_k
+from claimspark.session import checkpointed
 
 
 def provider_stats(claims: DataFrame, providers: DataFrame, digits: int = 2) -> DataFrame:
@@ -39,9 +40,11 @@ def provider_rank(claims: DataFrame, providers: DataFrame, min_claims: int = FV.
 
     The ``limit`` rows are picked with a distributed top-k, and only their ranks
     are computed, against the count of providers per fraud-claim value — no
-    sort of the whole provider table into one task.
+    sort of the whole provider table into one task.  The per-provider table
+    (one row per provider) is checkpointed, so the claims are aggregated once
+    for both the top-k and the rank counts.
     """
-    stats = provider_stats(claims, providers)
+    stats = checkpointed(provider_stats(claims, providers))
     candidates = top_k(stats.filter(F.col("total_claims") >= min_claims),
                        [F.col("fraud_claims").desc(), F.col("provider_id").asc()], limit)
     ranked = rank_within(candidates, stats, "fraud_claims", key="provider_id", out="fraud_rank")

@@ -71,7 +71,10 @@ def test_plans_stay_in_the_jvm_and_prune(spark):
         plan = _plan(E.queries()[key](spark, SF))
         assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan, key
     q1 = _plan(E.queries()["q1_claim_inflation"](spark, SF))
-    assert "BroadcastHashJoin" in q1  # the per-category means are broadcast once measured
+    # the per-category means are applied as a checked literal lookup: claims are
+    # neither joined nor shuffled on the category
+    assert "hashpartitioning(disease_category" not in q1
+    assert "[disease_category" not in q1.split("Join")[-1].split("\n")[0]
     q7 = E.queries()["q7_disease_profile"](spark, SF)
     scan = q7._jdf.queryExecution().executedPlan().toString()
     assert "patient_id" not in scan.split("ReadSchema")[-1].split("\n")[0]
