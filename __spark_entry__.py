@@ -141,7 +141,8 @@ def eda_rate_by_disease(spark, sf_dir):
 
 
 def eda_rate_by_policy(spark, sf_dir):
-    return ops.rate_by(_features(spark, sf_dir), "policy_type", "is_fraud")
+    t = _t(spark, sf_dir)
+    return profiles.rate_by_patient_attribute(t["claims"], t["patients"], "policy_type")
 
 
 def eda_monthly(spark, sf_dir):
@@ -166,7 +167,7 @@ def eda_stay_procedure_grid(spark, sf_dir):
 
 
 def provider_risk(spark, sf_dir):
-    return profiles.risk_profile(_features(spark, sf_dir), "provider_id")
+    return profiles.risk_profile(_t(spark, sf_dir)["claims"], "provider_id")
 
 
 def provider_rate_hist(spark, sf_dir):
@@ -178,7 +179,7 @@ def provider_top_high(spark, sf_dir):
 
 
 def patient_risk(spark, sf_dir):
-    return profiles.risk_profile(_features(spark, sf_dir), "patient_id")
+    return profiles.risk_profile(_t(spark, sf_dir)["claims"], "patient_id")
 
 
 def patient_risk_tiers(spark, sf_dir):
@@ -288,7 +289,7 @@ _ANALYSIS = T.StructType([
 
 def write_claims_analysis(spark, sf_dir):
     path = shared_dir(spark, "claims-analysis")
-    sinks.write_claims_analysis(_features(spark, sf_dir), path)
+    sinks.write_claims_analysis(_flags(spark, sf_dir), path)
     return readers.read_table(spark, path, _ANALYSIS, "csv")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimspark import fixed_values as FV
-from claimspark.functions import as_double, mean_of, pct, round_half_up, tier
+from claimspark.functions import as_double, band, mean_of, pct, round_half_up, tier
 from claimspark.operators import aggregates as agg
 from claimspark.operators.histogram import histogram
 from claimspark.operators.ranking import rank_within, top_k
@@ -69,7 +69,10 @@ def risk_profile(features: DataFrame, key: str = "provider_id", min_claims: int
                  edges=FV.RISK_TIER_EDGES, labels=FV.RISK_TIER_LABELS) -> DataFrame:
     """Risk table per ``key``: claims, fraud claims, billed total and mean,
     unrounded fraud rate (``fraud / total * 100``), support filter and the
-    right-closed risk tier (LOW / MEDIUM / HIGH)."""
+    right-closed risk tier (LOW / MEDIUM / HIGH).
+
+    Needs only ``key, claim_id, is_fraud, claim_amount``: pass the claims
+    table itself (no dimension joins) when the key is a claim column."""
     per = (features.filter(F.col(key).isNotNull()).groupBy(key)
            .agg(F.count("claim_id").alias("total_claims"),
                 F.sum("is_fraud").cast("bigint").alias("fraud_claims"),
@@ -84,6 +87,25 @@ def risk_profile(features: DataFrame, key: str = "provider_id", min_claims: int
             .withColumn("risk_tier", tier("fraud_rate", edges, labels)))
 
 
+def rate_by_patient_attribute(claims: DataFrame, patients: DataFrame, attribute: str,
+                              flag: str = "is_fraud", out: str = "fraud_rate") -> DataFrame:
+    """``rate_by`` over an attribute of the patient (e.g. policy type).
+
+    Claims are first reduced to one row per patient (flag count and sum,
+    partial aggregation before the shuffle), so only those rows meet the
+    patient table; claims without a patient have no attribute and drop out,
+    as null keys do in ``rate_by``.
+    """
+    per_patient = (claims.groupBy("patient_id")
+                   .agg(F.count(flag).alias("_n"), F.sum(flag).alias("_f")))
+    joined = per_patient.join(patients.select("patient_id", attribute), "patient_id", "inner")
+    res = (joined.filter(F.col(attribute).isNotNull()).groupBy(attribute)
+           .agg(F.sum("_n").cast("bigint").alias("n"), F.sum("_f").cast("bigint").alias("n_flagged"))
+           .withColumn(out, pct("n_flagged", "n"))
+           .withColumn("band", band(out)))
+    return res.orderBy(F.col(out).asc(), attribute)
+
+
 def top_high_risk(risk: DataFrame, key: str = "provider_id", k: int = FV.TOP_HIGH_RISK) -> DataFrame:
     """The ``k`` HIGH-tier rows with the largest fraud rate (key breaks ties)."""
     return top_k(risk.filter(F.col("risk_tier") == "HIGH"),
