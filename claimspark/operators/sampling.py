@@ -15,6 +15,7 @@ from claimspark.functions import stable_unit_hash, unit_interval
 from claimspark.operators.ranking import sequential_ids
 
 _HASH_SPACE = 4294967296  # 2^32
+MAX_CLASSES = 1_000
 
 
 def hash_sample(df: DataFrame, id_col: str, fraction: float, seed: int = FV.SPLIT_SEED) -> DataFrame:
@@ -49,9 +50,12 @@ def exact_stratified_split(df: DataFrame, id_col: str, label: str,
     sizes = staged.groupBy(label).agg(F.count(F.lit(1)).alias("_class_n"))
     sizes = sizes.withColumn("_k", F.round(F.col("_class_n") * F.lit(float(test_fraction))).cast("bigint"))
     parts = []
-    # One numbering per class value: classes are few (a label), and each
-    # numbering is itself spread over ``b`` hash buckets.
-    for row in sizes.select(label, "_k").collect():
+    # One numbering per class value: classes are few (a label; checked), and
+    # each numbering is itself spread over ``b`` hash buckets.
+    classes = sizes.select(label, "_k").limit(MAX_CLASSES + 1).collect()
+    if len(classes) > MAX_CLASSES:
+        raise ValueError(f"{label} has more than {MAX_CLASSES} classes; not a label")
+    for row in classes:
         cls = staged.filter(F.col(label).eqNullSafe(F.lit(row[label])))
         numbered = sequential_ids(cls, ["_h", id_col], bucket=F.col("_hb"), out="_pos")
         parts.append(numbered.withColumn(out, (F.col("_pos") <= F.lit(row["_k"])).cast("int")))
