@@ -133,6 +133,15 @@ def global_rank(df: DataFrame, col: str, out: str = "rank", descending: bool = T
     return (df.join(ranks, df[col].eqNullSafe(ranks["_rv"]), "inner").drop("_rv"))
 
 
+MAX_BROADCAST_ROWS = 100_000
+
+
+def max_rows(df: DataFrame) -> int | None:
+    """The row bound Catalyst can prove for ``df`` (e.g. from a ``limit``), or None."""
+    bound = df._jdf.queryExecution().optimizedPlan().maxRows()
+    return int(bound.get()) if bound.isDefined() else None
+
+
 def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
     """First ``k`` rows in ``order`` (give a unique tie-break as the last key).
 
@@ -155,7 +164,11 @@ def rank_within(rows: DataFrame, population: DataFrame, col: str, key: str | Seq
     counts = population.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
     counts = counts.select(F.col(col).alias("_pv"), "_n")
     beats = (F.col("_pv") > F.col(col)) if descending else (F.col("_pv") < F.col(col))
-    ahead = (counts.join(F.broadcast(rows.select(*keys, col)), beats, "inner")
+    side = rows.select(*keys, col)
+    bound = max_rows(rows)
+    if bound is not None and bound <= MAX_BROADCAST_ROWS:
+        side = F.broadcast(side)  # the plan itself proves the size (a limit)
+    ahead = (counts.join(side, beats, "inner")
              .groupBy(*keys).agg(F.sum("_n").alias("_ahead")))
     return (rows.join(ahead, keys, "left")
             .withColumn(out, (F.coalesce(F.col("_ahead"), F.lit(0)) + 1).cast("bigint"))

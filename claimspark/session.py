@@ -40,9 +40,10 @@ def get_session(master: str | None = None, app_name: str = "claimspark",
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
-    # Local runs only: keep the default catalog's folder out of the working
-    # directory (clusters configure their own warehouse).
-    conf.setdefault("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="claimspark-warehouse-"))
+    if (master or "").startswith("local"):
+        # Local runs only: keep the default catalog's folder out of the working
+        # directory (clusters configure their own warehouse).
+        conf.setdefault("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="claimspark-warehouse-"))
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
