@@ -17,6 +17,7 @@ the rank of a value is one plus the number of rows with a larger value.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -55,7 +56,8 @@ def quantile_bucket(df: DataFrame, col: str, buckets: int | None = None, out: st
         return df.withColumn(out, F.lit(0))
     probs = [i / buckets for i in range(1, buckets)]
     bounds = df.select(F.col(col).cast("double").alias("_q")).approxQuantile("_q", probs, 0.1 / buckets)
-    splits = sorted({b for b in bounds if b is not None and b == b})
+    # Finite, distinct inner splits; -inf / +inf are the outer edges already.
+    splits = sorted({b for b in bounds if b is not None and math.isfinite(b)})
     if not splits:
         return df.withColumn(out, F.lit(0))
     splits = [float("-inf")] + splits + [float("inf")]
@@ -67,15 +69,20 @@ def quantile_bucket(df: DataFrame, col: str, buckets: int | None = None, out: st
 def exclusive_prefix(df: DataFrame, order: Sequence[str | Column], values: Sequence[str],
                      bucket: Column | str | None = None, buckets: int | None = None,
                      inclusive: bool = False, suffix: str | None = None,
-                     materialized: bool = False) -> DataFrame:
-    """Running sums of ``values`` along ``order`` (ascending) over the whole frame.
-
-    For every row adds ``{v}{suffix}``: the sum of ``v`` over all rows strictly
-    before it (``inclusive=True`` also counts the row itself).  ``order`` must
-    be a total order (unique per row).  ``bucket`` must be non-decreasing along
-    ``order``; when omitted it is the approximate-quantile bucket of the first
-    (numeric) order column.
+                     materialized: bool = False,
+                     partition_by: Sequence[str] = ()) -> DataFrame:
+    """Running sums of ``values`` along ``order`` (ascending) over the whole frame,
+    or within each group of ``partition_by``.
+
+    For every row adds ``{v}{suffix}``: the sum of ``v`` over all rows (of its
+    group) strictly before it (``inclusive=True`` also counts the row itself).
+    ``order`` must be a total order (unique per row).  ``bucket`` must be
+    non-decreasing along ``order``; when omitted it is the approximate-quantile
+    bucket of the first (numeric) order column.  A group never sits in one
+    task: its rows are spread over the buckets, and only the table of
+    per-(group, bucket) totals is ordered.
     """
+    groups = list(partition_by)
     suffix = suffix if suffix is not None else ("_upto" if inclusive else "_before")
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
     if bucket is None:
@@ -86,17 +93,21 @@ def exclusive_prefix(df: DataFrame, order: Sequence[str | Column], values: Seque
         df = quantile_bucket(df, first, buckets, materialized=materialized)
     else:
         df = df.withColumn("_bucket", bucket if isinstance(bucket, Column) else F.col(bucket))
-    totals = df.groupBy("_bucket").agg(*[F.sum(v).alias(f"_tot_{v}") for v in values])
-    before_bucket = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_bucket", *[
+    totals = df.groupBy(*groups, "_bucket").agg(*[F.sum(v).alias(f"_tot_{v}") for v in values])
+    before_bucket = (Window.partitionBy(*groups).orderBy("_bucket")
+                     .rowsBetween(Window.unboundedPreceding, -1))
+    offsets = totals.select(*groups, "_bucket", *[
         F.coalesce(F.sum(f"_tot_{v}").over(before_bucket), F.lit(0)).alias(f"_off_{v}")
         for v in values])
     end = 0 if inclusive else -1
-    within = Window.partitionBy("_bucket").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, end)
+    within = (Window.partitionBy(*groups, "_bucket").orderBy(*order_cols)
+              .rowsBetween(Window.unboundedPreceding, end))
     res = df.select("*", *[F.coalesce(F.sum(v).over(within), F.lit(0)).alias(f"_in_{v}") for v in values])
-    # ``offsets`` has one row per bucket and the bucket count is a parameter:
-    # a proven bound, so it is broadcast.
-    res = res.join(F.broadcast(offsets), "_bucket", "inner")
+    # ``offsets`` has one row per (group, bucket).  Without groups the bucket
+    # count is a parameter, a proven bound, so it is broadcast; with groups its
+    # size depends on the data and AQE decides after measuring it.
+    side = offsets if groups else F.broadcast(offsets)
+    res = res.join(side, groups + ["_bucket"], "inner")
     for v in values:
         res = res.withColumn(f"{v}{suffix}", F.col(f"_off_{v}") + F.col(f"_in_{v}"))
     drop = ["_bucket", "_ord0"] + [f"_off_{v}" for v in values] + [f"_in_{v}" for v in values]
@@ -176,9 +187,12 @@ def rank_within(rows: DataFrame, population: DataFrame, col: str, key: str | Seq
 
 
 def sequential_ids(df: DataFrame, order: Sequence[str | Column], bucket: Column | None = None,
-                   out: str = "seq", start: int = 1, buckets: int | None = None) -> DataFrame:
+                   out: str = "seq", start: int = 1, buckets: int | None = None,
+                   partition_by: Sequence[str] = ()) -> DataFrame:
     """Number the rows ``start, start+1, ...`` along a total ``order`` (``row_number``
-    over the whole frame) with the two-level prefix sum instead of one task."""
+    over the whole frame, or per ``partition_by`` group) with the two-level
+    prefix sum instead of one task per frame or group."""
     staged = df.withColumn("_one", F.lit(1).cast("bigint"))
-    res = exclusive_prefix(staged, order, ["_one"], bucket=bucket, buckets=buckets)
+    res = exclusive_prefix(staged, order, ["_one"], bucket=bucket, buckets=buckets,
+                           partition_by=partition_by)
     return res.withColumn(out, F.col("_one_before") + F.lit(start)).drop("_one", "_one_before")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from claimspark import fixed_values as FV
 from claimspark.functions import stable_unit_hash, unit_interval
+from claimspark.operators.outliers import small_lookup
 from claimspark.operators.ranking import sequential_ids
 
 _HASH_SPACE = 4294967296  # 2^32
@@ -39,30 +40,22 @@ def exact_stratified_split(df: DataFrame, id_col: str, label: str,
     """Exactly ``round(test_fraction * n_class)`` test rows per class (the
     class sizes of a stratified split), chosen by the smallest hashes.
 
-    Rows are numbered within their class in (hash, id) order with the
-    two-level prefix sum: buckets are hash ranges (the hash is uniform, so they
-    are balanced without sampling), combined with the class, so even a class
-    holding almost every row is spread over ``buckets`` tasks.
+    All classes are numbered in one pass: rows are numbered within their
+    class in (hash, id) order with the two-level prefix sum, whose buckets are
+    hash ranges (the hash is uniform, so they are balanced without sampling).
+    A class holding almost every row is still spread over ``buckets`` tasks.
+    The per-class test sizes (one row per class, checked) are a literal lookup.
     """
     b = buckets or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")))
-    h = stable_unit_hash(id_col, seed)
-    staged = df.withColumn("_h", h).withColumn("_hb", F.floor(F.col("_h") * F.lit(b) / F.lit(_HASH_SPACE)))
-    sizes = staged.groupBy(label).agg(F.count(F.lit(1)).alias("_class_n"))
-    sizes = sizes.withColumn("_k", F.round(F.col("_class_n") * F.lit(float(test_fraction))).cast("bigint"))
-    parts = []
-    # One numbering per class value: classes are few (a label; checked), and
-    # each numbering is itself spread over ``b`` hash buckets.
-    classes = sizes.select(label, "_k").limit(MAX_CLASSES + 1).collect()
-    if len(classes) > MAX_CLASSES:
+    staged = (df.filter(F.col(label).isNotNull())
+              .withColumn("_h", stable_unit_hash(id_col, seed))
+              .withColumn("_hb", F.floor(F.col("_h") * F.lit(b) / F.lit(_HASH_SPACE))))
+    sizes = (staged.groupBy(label).agg(F.count(F.lit(1)).alias("_class_n"))
+             .select(label, F.round(F.col("_class_n") * F.lit(float(test_fraction))).cast("bigint").alias("_k")))
+    k = small_lookup(sizes, label, "_k", MAX_CLASSES)
+    if k is None:
         raise ValueError(f"{label} has more than {MAX_CLASSES} classes; not a label")
-    for row in classes:
-        cls = staged.filter(F.col(label).eqNullSafe(F.lit(row[label])))
-        numbered = sequential_ids(cls, ["_h", id_col], bucket=F.col("_hb"), out="_pos")
-        parts.append(numbered.withColumn(out, (F.col("_pos") <= F.lit(row["_k"])).cast("int")))
-    if not parts:
-        return df.withColumn(out, F.lit(0))
-    res = parts[0]
-    for p in parts[1:]:
-        res = res.unionByName(p)
-    return res.drop("_h", "_hb", "_pos")
-
+    numbered = sequential_ids(staged, ["_h", id_col], bucket=F.col("_hb"), out="_pos",
+                              partition_by=[label])
+    return (numbered.withColumn(out, (F.col("_pos") <= k).cast("int"))
+            .drop("_h", "_hb", "_pos"))

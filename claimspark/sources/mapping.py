@@ -169,8 +169,10 @@ def load_tables(spark: SparkSession, sf_dir: str, materialize: bool = False) ->
                   "investigations": _investigations_from(rows)}
     else:
         base = shared_dir(spark, "claims-tables")
-        # Enough files for every core to get a split when the table is scanned.
-        files = 2 * spark.sparkContext.defaultParallelism
+        # Enough files for every core to get a split when the table is scanned
+        # (the shuffle-partition setting is sized to the data on a cluster).
+        files = max(2 * spark.sparkContext.defaultParallelism,
+                    int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
         patients(spark, sf_dir).write.mode("overwrite").parquet(f"{base}/patients")
         providers(spark, sf_dir).write.mode("overwrite").parquet(f"{base}/providers")
         (_claim_rows(spark, sf_dir).repartition(files, "claim_id")

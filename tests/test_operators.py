@@ -156,3 +156,15 @@ def test_key_violations_and_orphans(spark):
     assert orphans(kids, "pk", parents, "pk").count() == 2  # b -> p2 and null -> p9
     rep = orphan_report({"c": kids, "p": parents}, [("c", "pk", "p", "pk")]).first()
     assert rep["n_orphans"] == 2
+
+
+def test_grouped_sequential_ids_equal_row_number(spark):
+    # one group holds most rows; it is still numbered across several buckets
+    df = (spark.range(0, 600).withColumn("g", F.when(F.col("id") % 10 < 7, "hot").otherwise(
+        F.concat(F.lit("g"), (F.col("id") % 3).cast("string"))))
+        .withColumn("h", (F.col("id") * 7919) % 1000))
+    got = sequential_ids(df, ["h", "id"], bucket=F.floor(F.col("h") / 125), out="seq",
+                         partition_by=["g"])
+    want = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("h", "id")))
+    joined = got.join(want.select("id", "rn"), "id")
+    assert joined.filter(F.col("seq") != F.col("rn")).count() == 0 and joined.count() == 600
