@@ -88,24 +88,41 @@ def score_table(df: DataFrame, label: str, score: str) -> DataFrame:
             .agg(F.sum(pos).alias("pos"), F.sum(1 - pos).alias("neg")))
 
 
-def roc_points(df: DataFrame, label: str, score: str, buckets: int | None = None) -> DataFrame:
-    """ROC curve: one point per distinct score threshold, highest first.
+def roc_points(df: DataFrame, label: str, score: str, buckets: int | None = None,
+               drop_intermediate: bool = True) -> DataFrame:
+    """ROC curve: one point per distinct score threshold, highest first, after an
+    origin point (threshold +inf, tp = fp = 0).
 
     ``tpr``/``fpr`` at threshold ``t`` are the shares of positives/negatives
-    with ``score >= t``.  Every distinct threshold is kept (no dropping of
-    collinear points); the curve starts implicitly at (0, 0).
+    with ``score >= t``.  With ``drop_intermediate`` (the usual default) a
+    point is dropped when the next threshold adds exactly the same numbers of
+    positives and negatives (it lies on the straight line between its
+    neighbours); the first and last thresholds are always kept.  The next
+    threshold is found with an equi-join on a unique key (rows before it =
+    rows up to this one), so no global sort is needed.
     """
     st = checkpointed(score_table(df, label, score).withColumn("_desc", -F.col("score")))
     cum = exclusive_prefix(st, ["_desc"], ["pos", "neg"], inclusive=True, buckets=buckets,
                            materialized=True)
+    cum = (cum.withColumn("_upto", F.col("pos_upto") + F.col("neg_upto"))
+              .withColumn("_before", F.col("_upto") - F.col("pos") - F.col("neg")))
+    if drop_intermediate:
+        nxt = cum.select(F.col("_before").alias("_nkey"), F.col("pos").alias("_npos"),
+                         F.col("neg").alias("_nneg"))
+        cum = (cum.join(nxt, F.col("_upto") == F.col("_nkey"), "left")
+               .filter((F.col("_before") == 0) | F.col("_nkey").isNull()
+                       | (F.col("_npos") != F.col("pos")) | (F.col("_nneg") != F.col("neg"))))
     # Two class totals: a single aggregated row, read once as literals.
     totals = st.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
     n_pos, n_neg = F.lit(int(totals["P"] or 0)), F.lit(int(totals["N"] or 0))
-    return (cum.select(F.col("score").alias("threshold"),
-                       F.col("pos_upto").alias("tp"), F.col("neg_upto").alias("fp"),
-                       _ratio(F.col("pos_upto"), n_pos).alias("tpr"),
-                       _ratio(F.col("neg_upto"), n_neg).alias("fpr"))
-            .orderBy(F.col("threshold").desc()))
+    points = cum.select(F.col("score").alias("threshold"),
+                        F.col("pos_upto").alias("tp"), F.col("neg_upto").alias("fp"),
+                        _ratio(F.col("pos_upto"), n_pos).alias("tpr"),
+                        _ratio(F.col("neg_upto"), n_neg).alias("fpr"))
+    origin = points.limit(1).select(F.lit(float("inf")).alias("threshold"),
+                                    F.lit(0).cast("bigint").alias("tp"), F.lit(0).cast("bigint").alias("fp"),
+                                    F.lit(0.0).alias("tpr"), F.lit(0.0).alias("fpr"))
+    return origin.unionByName(points).orderBy(F.col("threshold").desc())
 
 
 def auc(df: DataFrame, label: str, score: str, buckets: int | None = None) -> DataFrame:

@@ -101,9 +101,11 @@ def test_auc_roc_against_brute_force(spark):
     assert a["auc"] == pytest.approx(_brute_auc(rows), abs=1e-12)
     flipped = auc(df.withColumn("s", -F.col("s")), "y", "s").first()["auc"]
     assert a["auc"] + flipped == pytest.approx(1.0)
-    roc = roc_points(df, "y", "s", buckets=3).collect()
+    roc = roc_points(df, "y", "s", buckets=3, drop_intermediate=False).collect()
     tprs = [r["tpr"] for r in roc]
     assert tprs == sorted(tprs) and roc[-1]["tpr"] == 1.0 and roc[-1]["fpr"] == 1.0
+    assert roc[0]["threshold"] == float("inf") and roc[0]["tp"] == 0
+    roc = roc[1:]
     # trapezoid area of the curve from (0,0) equals the rank statistic
     pts = [(0.0, 0.0)] + [(r["fpr"], r["tpr"]) for r in roc]
     area = sum((x2 - x1) * (y1 + y2) / 2 for (x1, y1), (x2, y2) in zip(pts, pts[1:]))
@@ -168,3 +170,29 @@ def test_grouped_sequential_ids_equal_row_number(spark):
     want = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("h", "id")))
     joined = got.join(want.select("id", "rn"), "id")
     assert joined.filter(F.col("seq") != F.col("rn")).count() == 0 and joined.count() == 600
+
+
+def _roc_reference(y, s):
+    """The usual ROC construction with collinear-point dropping, in numpy."""
+    y, s = np.asarray(y), np.asarray(s, dtype=float)
+    order = np.argsort(-s, kind="mergesort")
+    y, s = y[order], s[order]
+    last = np.r_[np.where(np.diff(s))[0], len(s) - 1]
+    tps = np.cumsum(y)[last]
+    fps = 1 + last - tps
+    thr = s[last]
+    keep = np.where(np.r_[True, np.logical_or(np.diff(fps, 2), np.diff(tps, 2)), True])[0]
+    fps, tps, thr = np.r_[0, fps[keep]], np.r_[0, tps[keep]], np.r_[np.inf, thr[keep]]
+    return list(zip(thr.tolist(), (fps / fps[-1]).tolist(), (tps / tps[-1]).tolist()))
+
+
+def test_roc_drop_intermediate_matches_reference_construction(spark):
+    rnd = random.Random(9)
+    rows = [(int(rnd.random() < 0.4), float(rnd.randint(0, 30))) for _ in range(400)]
+    rows += [(1, 100.0), (1, 101.0), (1, 102.0), (0, -5.0), (0, -6.0)]  # collinear runs
+    df = spark.createDataFrame(rows, "y int, s double")
+    got = [(r["threshold"], r["fpr"], r["tpr"]) for r in roc_points(df, "y", "s", buckets=4).collect()]
+    want = _roc_reference([r[0] for r in rows], [r[1] for r in rows])
+    assert len(got) == len(want)
+    for (t1, f1, p1), (t2, f2, p2) in zip(got, want):
+        assert t1 == t2 and f1 == pytest.approx(f2) and p1 == pytest.approx(p2)
