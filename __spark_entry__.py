@@ -37,7 +37,8 @@ from claimspark.schemas import CLAIMS, FOREIGN_KEYS, INVESTIGATIONS, PATIENTS, P
     PROVIDER_RISK, PROVIDERS  # noqa: E402
 from claimspark.session import shared_dir  # noqa: E402
 from claimspark.sources import catalog, readers, sinks  # noqa: E402
-from claimspark.sources.mapping import load_tables, read_raw  # noqa: E402
+from claimspark.sources.mapping import load_tables, materialized_claims_path, read_raw  # noqa: E402
+from claimspark.streaming import start_flagging  # noqa: E402
 from oracle_queries import ORACLE  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -299,6 +300,27 @@ def write_table(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+# --- streaming: the per-claim flags as a Structured Streaming job ------------
+
+STREAM_COLUMNS = ["claim_id", "patient_id", "disease_category", "inflation_ratio",
+                  "suspicious_pattern", "is_inflated", "kyc_risk", "not_empanelled"]
+
+
+def stream_claim_flags(spark, sf_dir):
+    """Replay the claims table as a file stream (availableNow), flag every claim
+    against static patients / providers / category means, append to a Parquet
+    sink (checkpointed in the shared folder) and return what the sink holds."""
+    t = _t(spark, sf_dir)
+    stream = (spark.readStream.schema(t["claims"].schema)
+              .parquet(materialized_claims_path(spark, sf_dir))
+              .select(*t["claims"].columns))
+    sink = shared_dir(spark, "stream-flags")
+    q = start_flagging(spark, stream, t["patients"], t["providers"], disease_means(t["claims"]),
+                       sink, checkpoint=shared_dir(spark, "stream-flags-ckpt"), available_now=True)
+    q.awaitTermination()
+    return spark.read.parquet(sink).select(*STREAM_COLUMNS)
+
+
 # --- model preparation and models ---------------------------------------------
 
 def ml_encode(spark, sf_dir):
@@ -432,6 +454,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "write_provider_risk": write_provider_risk,
     "write_claims_analysis": write_claims_analysis,
     "write_table": write_table,
+    "stream_claim_flags": stream_claim_flags,
     "ml_encode": ml_encode,
     "ml_complete_rows": ml_complete_rows,
     "ml_split": ml_split,

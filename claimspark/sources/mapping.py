@@ -38,6 +38,7 @@ ID_WIDTHS = (12, 2, 11, 10)
 
 _RAW: dict[tuple, DataFrame] = {}
 _TABLES: dict[tuple, dict[str, DataFrame]] = {}
+_PATHS: dict[tuple, str] = {}
 
 
 def _session_key(spark: SparkSession) -> tuple:
@@ -178,9 +179,17 @@ def load_tables(spark: SparkSession, sf_dir: str, materialize: bool = False) ->
         (_claim_rows(spark, sf_dir).repartition(files, "claim_id")
          .write.mode("overwrite").parquet(f"{base}/claim_rows"))
         rows = spark.read.parquet(f"{base}/claim_rows")
+        _PATHS[key] = f"{base}/claim_rows"
         tables = {"patients": spark.read.parquet(f"{base}/patients"),
                   "providers": spark.read.parquet(f"{base}/providers"),
                   "claims": rows.drop("_orderkey", "_orderpriority"),
                   "investigations": _investigations_from(rows)}
     _TABLES[key] = tables
     return tables
+
+
+def materialized_claims_path(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the written claim rows (``load_tables(..., materialize=True)``),
+    e.g. to replay them as a stream; the claims columns are a projection of it."""
+    load_tables(spark, sf_dir, materialize=True)
+    return _PATHS[_session_key(spark) + (sf_dir.rstrip("/"), True)]
