@@ -134,20 +134,28 @@ def stay_procedure_grid(claims: DataFrame) -> DataFrame:
 
 def kpi_summary(patients: DataFrame, providers: DataFrame, features: DataFrame,
                 investigations: DataFrame) -> DataFrame:
-    """One row of headline figures.  Each table is aggregated on its own into a
-    single row; the single rows are put side by side on a constant key."""
-    one = F.lit(1).alias("_k")
-    p = patients.agg(F.count(F.lit(1)).alias("n_patients")).select(one, "*")
-    v = providers.agg(F.count(F.lit(1)).alias("n_providers")).select(one, "*")
+    """One row of headline figures.
+
+    Each table is aggregated on its own into one row; the four rows (each
+    filling only its own columns) are stacked and collapsed by one more global
+    aggregate — no joins.  ``features`` needs only is_fraud, is_inflated and
+    suspicious_pattern (``claim_flags`` is enough).
+    """
+    p = patients.agg(F.count(F.lit(1)).alias("n_patients"))
+    v = providers.agg(F.count(F.lit(1)).alias("n_providers"))
     c = features.agg(F.count(F.lit(1)).alias("n_claims"),
                      F.sum("is_fraud").cast("bigint").alias("fraud_claims"),
                      F.count("is_fraud").alias("_nf"),
                      F.sum("is_inflated").cast("bigint").alias("inflated_claims"),
-                     F.sum("suspicious_pattern").cast("bigint").alias("suspicious_claims")
-                     ).select(one, "*")
+                     F.sum("suspicious_pattern").cast("bigint").alias("suspicious_claims"))
     i = investigations.agg(F.count(F.lit(1)).alias("n_investigations"),
-                           as_double(F.sum("amount_recovered")).alias("amount_recovered")).select(one, "*")
-    return (p.join(v, "_k").join(c, "_k").join(i, "_k")
-            .select("n_patients", "n_providers", "n_claims", "n_investigations", "fraud_claims",
-                    pct("fraud_claims", "_nf").alias("fraud_rate_pct"),
-                    "inflated_claims", "suspicious_claims", "amount_recovered"))
+                           as_double(F.sum("amount_recovered")).alias("amount_recovered"))
+    stacked = (p.unionByName(v, allowMissingColumns=True)
+               .unionByName(c, allowMissingColumns=True)
+               .unionByName(i, allowMissingColumns=True))
+    cols = ["n_patients", "n_providers", "n_claims", "n_investigations", "fraud_claims", "_nf",
+            "inflated_claims", "suspicious_claims", "amount_recovered"]
+    one = stacked.agg(*[F.max(x).alias(x) for x in cols])
+    return one.select("n_patients", "n_providers", "n_claims", "n_investigations", "fraud_claims",
+                      pct("fraud_claims", "_nf").alias("fraud_rate_pct"),
+                      "inflated_claims", "suspicious_claims", "amount_recovered")
