@@ -118,3 +118,21 @@ def test_reads_published_provider_format(spark, tmp_dir):
     assert len(rows) == 3
     assert rows["PROV0007"]["hospital_name"] == "Raju, Malhotra and Banerjee Hospital"
     assert rows["PROV0010"]["empanelled"] == "No" and rows["PROV0007"]["provider_type"] == "Diagnostic Center"
+
+
+def test_cli_runs_the_whole_analysis_from_csv(spark, tmp_dir):
+    from claimspark.__main__ import main
+    from claimspark.sources.mapping import load_tables
+    sf = "/root/testdata/sf0.001"
+    if not os.path.exists(sf):
+        return
+    for name, df in load_tables(spark, sf).items():
+        sinks.write_table(df, f"{tmp_dir}/in/{name}.csv", "csv")
+    main([f"{tmp_dir}/in", f"{tmp_dir}/out", "--no-models"])
+    assert spark.read.parquet(f"{tmp_dir}/out/q1_claim_inflation").count() == 345
+    assert spark.read.parquet(f"{tmp_dir}/out/q2_duplicate_pairs").count() == 276
+    risk = spark.read.option("header", True).csv(f"{tmp_dir}/out/provider_risk_scores")
+    assert risk.columns == ["provider_id", "total_claims", "fraud_claims", "total_billed", "avg_claim",
+                            "fraud_rate", "risk_tier"]
+    extract = spark.read.option("header", True).csv(f"{tmp_dir}/out/claims_analysis")
+    assert len(extract.columns) == 11 and extract.count() == load_tables(spark, sf)["claims"].count()
