@@ -354,7 +354,7 @@ def _models(spark, sf_dir) -> models.FraudModels:
     if key not in _MODELS:
         _MODELS[key] = models.FraudModels(models.prepare(_features(spark, sf_dir)),
                                           trees=_DRIVER_TREES, rounds=_DRIVER_ROUNDS,
-                                          max_iter=_DRIVER_ITER)
+                                          max_iter=_DRIVER_ITER).fit_all()
     return _MODELS[key]
 
 
