@@ -64,7 +64,8 @@ def result_tables(t: dict[str, DataFrame], with_models: bool = True,
         "dq_orphan_report": quality.orphan_report(t, FOREIGN_KEYS),
     }
     if with_models:
-        fm = models.FraudModels(models.prepare(feats), trees=trees, rounds=rounds, max_iter=max_iter)
+        fm = models.FraudModels(models.prepare(feats), trees=trees, rounds=rounds,
+                                max_iter=max_iter).fit_all()
         boosted = fm.scored("boosted")
         out.update({
             "ml_compare": fm.comparison(),
@@ -74,8 +75,8 @@ def result_tables(t: dict[str, DataFrame], with_models: bool = True,
         })
         for name in ("logistic", "forest", "boosted"):
             out[f"ml_roc_{name}"] = ev.roc_points(fm.scored(name), "label", "probability")
-    out["provider_risk_scores"] = risk
-    out["claims_analysis"] = flags
+    out["provider_risk"] = risk
+    out["claim_extract"] = flags
     return out
 
 
@@ -86,9 +87,9 @@ def run_report(spark: SparkSession, t: dict[str, DataFrame], output_dir: str,
     base = output_dir.rstrip("/")
     tables = result_tables(t, with_models, **model_args)
     for name, df in tables.items():
-        if name == "provider_risk_scores":
+        if name == "provider_risk":
             sinks.write_provider_risk(df, f"{base}/{name}")
-        elif name == "claims_analysis":
+        elif name == "claim_extract":
             sinks.write_claims_analysis(df, f"{base}/{name}")
         else:
             sinks.write_table(df.select([F.col(f"`{c}`") for c in df.columns]),

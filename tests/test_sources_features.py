@@ -131,8 +131,8 @@ def test_cli_runs_the_whole_analysis_from_csv(spark, tmp_dir):
     main([f"{tmp_dir}/in", f"{tmp_dir}/out", "--no-models"])
     assert spark.read.parquet(f"{tmp_dir}/out/q1_claim_inflation").count() == 345
     assert spark.read.parquet(f"{tmp_dir}/out/q2_duplicate_pairs").count() == 276
-    risk = spark.read.option("header", True).csv(f"{tmp_dir}/out/provider_risk_scores")
+    risk = spark.read.option("header", True).csv(f"{tmp_dir}/out/provider_risk")
     assert risk.columns == ["provider_id", "total_claims", "fraud_claims", "total_billed", "avg_claim",
                             "fraud_rate", "risk_tier"]
-    extract = spark.read.option("header", True).csv(f"{tmp_dir}/out/claims_analysis")
+    extract = spark.read.option("header", True).csv(f"{tmp_dir}/out/claim_extract")
     assert len(extract.columns) == 11 and extract.count() == load_tables(spark, sf)["claims"].count()
