@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimspark.operators.ranking import exclusive_prefix
+from claimspark.operators.ranking import buckets_for, exclusive_prefix
 from claimspark.session import checkpointed
 
 EXACT = "decimal(38,0)"
@@ -102,8 +102,11 @@ def roc_points(df: DataFrame, label: str, score: str, buckets: int | None = None
     rows up to this one), so no global sort is needed.
     """
     st = checkpointed(score_table(df, label, score).withColumn("_desc", -F.col("score")))
-    cum = exclusive_prefix(st, ["_desc"], ["pos", "neg"], inclusive=True, buckets=buckets,
-                           materialized=True)
+    # Distinct scores and class totals: one aggregated row, read once.
+    totals = st.agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("P"),
+                    F.sum("neg").alias("N")).first()
+    cum = exclusive_prefix(st, ["_desc"], ["pos", "neg"], inclusive=True,
+                           buckets=buckets or buckets_for(int(totals["n"])), materialized=True)
     cum = (cum.withColumn("_upto", F.col("pos_upto") + F.col("neg_upto"))
               .withColumn("_before", F.col("_upto") - F.col("pos") - F.col("neg")))
     if drop_intermediate:
@@ -112,8 +115,6 @@ def roc_points(df: DataFrame, label: str, score: str, buckets: int | None = None
         cum = (cum.join(nxt, F.col("_upto") == F.col("_nkey"), "left")
                .filter((F.col("_before") == 0) | F.col("_nkey").isNull()
                        | (F.col("_npos") != F.col("pos")) | (F.col("_nneg") != F.col("neg"))))
-    # Two class totals: a single aggregated row, read once as literals.
-    totals = st.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
     n_pos, n_neg = F.lit(int(totals["P"] or 0)), F.lit(int(totals["N"] or 0))
     points = cum.select(F.col("score").alias("threshold"),
                         F.col("pos_upto").alias("tp"), F.col("neg_upto").alias("fp"),

@@ -31,6 +31,12 @@ ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 10_000
 
 
+def buckets_for(rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    """Bucket count for a prefix sum over ``rows`` rows: one bucket per
+    ``rows_per_bucket`` rows, at least 1, at most ``MAX_BUCKETS``."""
+    return min(MAX_BUCKETS, max(1, -(-rows // rows_per_bucket)))
+
+
 def default_buckets(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")))
 
@@ -50,8 +56,7 @@ def quantile_bucket(df: DataFrame, col: str, buckets: int | None = None, out: st
     if not materialized:
         df = checkpointed(df)
     if buckets is None:
-        n = df.count()
-        buckets = min(MAX_BUCKETS, max(1, -(-n // rows_per_bucket)))
+        buckets = buckets_for(df.count(), rows_per_bucket)
     if buckets <= 1:
         return df.withColumn(out, F.lit(0))
     probs = [i / buckets for i in range(1, buckets)]
