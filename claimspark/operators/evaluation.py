@@ -120,11 +120,12 @@ def roc_points(df: DataFrame, label: str, score: str, buckets: int | None = None
                         F.col("pos_upto").alias("tp"), F.col("neg_upto").alias("fp"),
                         _ratio(F.col("pos_upto"), n_pos).alias("tpr"),
                         _ratio(F.col("neg_upto"), n_neg).alias("fpr"))
-    # The origin of the curve: one constant row (taken from a derived row so it
-    # exists only when the curve does).
-    origin = points.limit(1).select(F.lit(float("inf")).alias("threshold"),
-                                    F.lit(0).cast("bigint").alias("tp"), F.lit(0).cast("bigint").alias("fp"),
-                                    F.lit(0.0).alias("tpr"), F.lit(0.0).alias("fpr"))
+    # The origin of the curve: one constant row, taken from one row of the
+    # checkpointed score table (so it exists only when the curve does and does
+    # not re-run the prefix sums).
+    origin = st.limit(1).select(F.lit(float("inf")).alias("threshold"),
+                                F.lit(0).cast("bigint").alias("tp"), F.lit(0).cast("bigint").alias("fp"),
+                                F.lit(0.0).alias("tpr"), F.lit(0.0).alias("fpr"))
     return origin.unionByName(points).orderBy(F.col("threshold").desc())
 
 
