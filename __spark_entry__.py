@@ -333,11 +333,12 @@ def ml_complete_rows(spark, sf_dir):
 
 
 def ml_split(spark, sf_dir):
-    return ops.hash_split(_features(spark, sf_dir).select("claim_id", "is_fraud"), "claim_id")
+    # id and label are claim columns: no dimension joins needed
+    return ops.hash_split(_t(spark, sf_dir)["claims"].select("claim_id", "is_fraud"), "claim_id")
 
 
 def ml_split_exact(spark, sf_dir):
-    return ops.exact_stratified_split(_features(spark, sf_dir).select("claim_id", "is_fraud"),
+    return ops.exact_stratified_split(_t(spark, sf_dir)["claims"].select("claim_id", "is_fraud"),
                                       "claim_id", "is_fraud")
 
 

@@ -14,6 +14,7 @@ from claimspark import fixed_values as FV
 from claimspark.functions import stable_unit_hash, unit_interval
 from claimspark.operators.outliers import small_lookup
 from claimspark.operators.ranking import sequential_ids
+from claimspark.session import checkpointed
 
 _HASH_SPACE = 4294967296  # 2^32
 MAX_CLASSES = 1_000
@@ -47,9 +48,11 @@ def exact_stratified_split(df: DataFrame, id_col: str, label: str,
     The per-class test sizes (one row per class, checked) are a literal lookup.
     """
     b = buckets or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")))
-    staged = (df.filter(F.col(label).isNotNull())
-              .withColumn("_h", stable_unit_hash(id_col, seed))
-              .withColumn("_hb", F.floor(F.col("_h") * F.lit(b) / F.lit(_HASH_SPACE))))
+    # Read three times below (class sizes, bucket totals, numbering): evaluate
+    # the input once.
+    staged = checkpointed(df.filter(F.col(label).isNotNull())
+                          .withColumn("_h", stable_unit_hash(id_col, seed))
+                          .withColumn("_hb", F.floor(F.col("_h") * F.lit(b) / F.lit(_HASH_SPACE))))
     sizes = (staged.groupBy(label).agg(F.count(F.lit(1)).alias("_class_n"))
              .select(label, F.round(F.col("_class_n") * F.lit(float(test_fraction))).cast("bigint").alias("_k")))
     k = small_lookup(sizes, label, "_k", MAX_CLASSES)

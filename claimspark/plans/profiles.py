@@ -117,7 +117,10 @@ def tier_counts(risk: DataFrame) -> DataFrame:
 
 
 def rate_histogram(risk: DataFrame, bins: int = FV.PROVIDER_RATE_HIST_BINS) -> DataFrame:
-    return histogram(risk, "fraud_rate", bins)
+    """Count histogram of the fraud rate of a risk table.  The risk table (one
+    row per provider) is checkpointed so the claims are aggregated once for
+    both passes of the histogram (range, then bins)."""
+    return histogram(checkpointed(risk.select("fraud_rate")), "fraud_rate", bins)
 
 
 def amount_histogram(claims: DataFrame, bins: int = FV.AMOUNT_HIST_BINS) -> DataFrame:
