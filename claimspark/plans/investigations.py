@@ -17,6 +17,7 @@ from claimspark.functions import round_half_up, stable_unit_hash, unit_interval
 from claimspark.operators.ranking import default_buckets, sequential_ids
 from claimspark.operators.sampling import hash_sample
 from claimspark.schemas import MONEY
+from claimspark.session import checkpointed
 
 
 def _pick(values: list[str], claim_id: str, seed: int):
@@ -40,7 +41,10 @@ def open_investigations(claims: DataFrame, fraction: float = FV.INVESTIGATED_FRA
         "claim_id", "patient_id", "claim_amount", "claim_date")
     picked = hash_sample(fraud, "claim_id", fraction, seed)
     h = stable_unit_hash("claim_id", seed)
-    staged = picked.withColumn("_h", h)
+    # The numbering reads the sample twice (bucket totals, then per-bucket
+    # windows); the sample is a small share of the claims, so it is written
+    # once instead of scanning the claims twice.
+    staged = checkpointed(picked.withColumn("_h", h))
     bucket = F.floor(F.col("_h") * F.lit(b) / F.lit(4294967296.0))
     numbered = sequential_ids(staged, ["_h", "claim_id"], bucket=bucket, out="_seq")
     share = F.lit(low) + F.lit(high - low) * unit_interval("claim_id", seed + 2)
