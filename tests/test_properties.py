@@ -88,3 +88,19 @@ def test_rules_with_one_patient_holding_a_third_of_claims(frames):
     got = {r["provider_id"]: (r["total_claims"], r["fraud_claims"]) for r in
            profiles.risk_profile(c, "provider_id").collect()}
     assert got == {k: (int(r.t), int(r.f)) for k, r in rk.iterrows() if r.t >= 5}
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(xs=st.lists(st.one_of(st.integers(-50, 50).map(float),
+                             st.floats(-1e3, 1e3, allow_nan=False, allow_infinity=False)),
+                   min_size=1, max_size=50),
+       bins=st.integers(1, 12))
+def test_histogram_equals_numpy(spark, xs, bins):
+    import numpy as np
+    from claimspark.operators.histogram import histogram
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    got = histogram(df, "x", bins).collect()
+    counts, edges = np.histogram(np.array(xs), bins=bins)
+    assert [r["n_rows"] for r in got] == counts.tolist()
+    assert np.allclose([r["bin_lo"] for r in got], edges[:-1])
+    assert got[-1]["bin_hi"] == edges[-1]
