@@ -53,22 +53,28 @@ def quantile_bucket(df: DataFrame, col: str, buckets: int | None = None, out: st
     large one gets ``B - 1`` approximate quantiles (relative error ``0.1 / B``,
     so buckets stay balanced), the only numbers that reach the driver.
     """
+    return _quantile_bucket(df, col, buckets, out, materialized, rows_per_bucket)[0]
+
+
+def _quantile_bucket(df: DataFrame, col: str, buckets: int | None, out: str,
+                     materialized: bool, rows_per_bucket: int) -> tuple[DataFrame, int]:
+    """``quantile_bucket`` plus the number of buckets actually used."""
     if not materialized:
         df = checkpointed(df)
     if buckets is None:
         buckets = buckets_for(df.count(), rows_per_bucket)
     if buckets <= 1:
-        return df.withColumn(out, F.lit(0))
+        return df.withColumn(out, F.lit(0)), 1
     probs = [i / buckets for i in range(1, buckets)]
     bounds = df.select(F.col(col).cast("double").alias("_q")).approxQuantile("_q", probs, 0.1 / buckets)
     # Finite, distinct inner splits; -inf / +inf are the outer edges already.
     splits = sorted({b for b in bounds if b is not None and math.isfinite(b)})
     if not splits:
-        return df.withColumn(out, F.lit(0))
+        return df.withColumn(out, F.lit(0)), 1
     splits = [float("-inf")] + splits + [float("inf")]
     staged = df.withColumn("_qv", F.coalesce(F.col(col).cast("double"), F.lit(float("-inf"))))
     bz = Bucketizer(splits=splits, inputCol="_qv", outputCol=out, handleInvalid="keep")
-    return bz.transform(staged).withColumn(out, F.col(out).cast("int")).drop("_qv")
+    return bz.transform(staged).withColumn(out, F.col(out).cast("int")).drop("_qv"), len(splits) - 1
 
 
 def exclusive_prefix(df: DataFrame, order: Sequence[str | Column], values: Sequence[str],
@@ -95,18 +101,24 @@ def exclusive_prefix(df: DataFrame, order: Sequence[str | Column], values: Seque
         if not isinstance(first, str):
             df = df.withColumn("_ord0", first)
             first = "_ord0"
-        df = quantile_bucket(df, first, buckets, materialized=materialized)
+        df, used = _quantile_bucket(df, first, buckets, "_bucket", materialized, ROWS_PER_BUCKET)
     else:
         df = df.withColumn("_bucket", bucket if isinstance(bucket, Column) else F.col(bucket))
+        used = None
+    end = 0 if inclusive else -1
+    within = (Window.partitionBy(*groups, "_bucket").orderBy(*order_cols)
+              .rowsBetween(Window.unboundedPreceding, end))
+    if used == 1:
+        # One bucket (a small table): every offset is 0, no totals or join needed.
+        res = df.select("*", *[F.coalesce(F.sum(v).over(within), F.lit(0)).alias(f"{v}{suffix}")
+                               for v in values])
+        return res.drop(*[c for c in ("_bucket", "_ord0") if c in res.columns])
     totals = df.groupBy(*groups, "_bucket").agg(*[F.sum(v).alias(f"_tot_{v}") for v in values])
     before_bucket = (Window.partitionBy(*groups).orderBy("_bucket")
                      .rowsBetween(Window.unboundedPreceding, -1))
     offsets = totals.select(*groups, "_bucket", *[
         F.coalesce(F.sum(f"_tot_{v}").over(before_bucket), F.lit(0)).alias(f"_off_{v}")
         for v in values])
-    end = 0 if inclusive else -1
-    within = (Window.partitionBy(*groups, "_bucket").orderBy(*order_cols)
-              .rowsBetween(Window.unboundedPreceding, end))
     res = df.select("*", *[F.coalesce(F.sum(v).over(within), F.lit(0)).alias(f"_in_{v}") for v in values])
     # ``offsets`` has one row per (group, bucket).  Without groups the bucket
     # count is a parameter, a proven bound, so it is broadcast; with groups its
