@@ -42,7 +42,7 @@ def small_lookup(table: DataFrame, key: str, value: str, max_rows: int = MAX_GRO
 
 def ratio_outliers(df: DataFrame, key: str, value: str, factor: float = FV.INFLATION_FACTOR,
                    avg_col: str = "avg_amount", ratio_col: str = "ratio",
-                   means: DataFrame | None = None) -> DataFrame:
+                   means: DataFrame | None = None, max_groups: int = MAX_GROUPS) -> DataFrame:
     """Rows whose ``value`` is strictly above ``factor`` x the mean of their group.
 
     Adds the group mean ``avg_col`` and ``ratio_col = value / mean``.  ``means``
@@ -53,7 +53,7 @@ def ratio_outliers(df: DataFrame, key: str, value: str, factor: float = FV.INFLA
     """
     means = means if means is not None else group_mean(df, key, value, avg_col)
     amount = as_double(value)
-    avg = small_lookup(means, key, avg_col)
+    avg = small_lookup(means, key, avg_col, max_groups)
     if avg is not None:
         staged = df.filter(F.col(key).isNotNull()).withColumn(avg_col, avg)
     else:

@@ -196,3 +196,24 @@ def test_roc_drop_intermediate_matches_reference_construction(spark):
     assert len(got) == len(want)
     for (t1, f1, p1), (t2, f2, p2) in zip(got, want):
         assert t1 == t2 and f1 == pytest.approx(f2) and p1 == pytest.approx(p2)
+
+
+def test_lookup_fallbacks_give_the_same_rows(spark):
+    from claimspark.operators.outliers import ratio_outliers, small_lookup
+    rnd = random.Random(4)
+    rows = [(rnd.choice("abcde"), rnd.randint(0, 1), float(rnd.randint(1, 100))) for _ in range(300)]
+    df = spark.createDataFrame(rows, "k string, c int, x double")
+    assert small_lookup(df.groupBy("k").count(), "k", "count", max_rows=2) is None
+    lookup = sorted(ratio_outliers(df, "k", "x", 1.5).collect())
+    joined = sorted(ratio_outliers(df, "k", "x", 1.5, max_groups=0).collect())
+    assert lookup == joined and len(lookup) > 0
+    by_literal = sorted(histogram(df, "x", 7, by="c", density=True).collect())
+    by_join = sorted(histogram(df, "x", 7, by="c", density=True, max_classes=1).collect())
+    assert by_literal == by_join and len(by_literal) == 14
+
+
+def test_broadcast_guard_reads_the_proven_row_bound(spark):
+    from claimspark.operators.ranking import max_rows
+    df = spark.range(0, 1000).filter("id % 3 = 0")
+    assert max_rows(df) is None  # no bound: rank_within would not broadcast it
+    assert max_rows(df.orderBy("id").limit(20)) == 20
