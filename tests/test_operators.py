@@ -212,8 +212,10 @@ def test_lookup_fallbacks_give_the_same_rows(spark):
     assert by_literal == by_join and len(by_literal) == 14
 
 
-def test_broadcast_guard_reads_the_proven_row_bound(spark):
+def test_broadcast_guard_reads_the_proven_row_bound(spark, tmp_dir):
     from claimspark.operators.ranking import max_rows
-    df = spark.range(0, 1000).filter("id % 3 = 0")
-    assert max_rows(df) is None  # no bound: rank_within would not broadcast it
+    spark.range(0, 1000).write.parquet(f"{tmp_dir}/ids")
+    df = spark.read.parquet(f"{tmp_dir}/ids")
+    assert max_rows(df) is None  # a file scan has no proven bound: rank_within would not broadcast it
     assert max_rows(df.orderBy("id").limit(20)) == 20
+    assert max_rows(spark.range(0, 1000)) == 1000  # a range's size is known statically
