@@ -6,7 +6,7 @@ Typical use::
     from claimspark.plans import rules, profiles
     from claimspark.plans.features import claim_features
 
-    t = read_inputs(spark, "s3://bucket/claims-data", fmt="parquet")
+    t = read_inputs(spark, "/data/claims", fmt="parquet")
     q1 = rules.claim_inflation(t["claims"], t["patients"])        # Query 1
     q5 = profiles.provider_rank(t["claims"], t["providers"])      # Query 5
     feats = claim_features(t["claims"], t["patients"], t["providers"])
