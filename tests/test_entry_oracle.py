@@ -3,7 +3,6 @@ sf0.001, and plan properties (no Python UDFs, pruned scans, broadcast of the
 small aggregated side, no single-task global sort)."""
 
 import os
-import re
 
 import duckdb
 import pytest
@@ -36,13 +35,12 @@ def test_entry_runs(spark):
 def test_every_query_has_an_oracle_or_is_a_model():
     qs, oracle = E.queries(), E.oracle_sql()
     assert set(oracle) <= set(qs)
-    missing = {k for k in qs if k not in oracle}
+    missing = {k for k in qs if k not in oracle and k not in E.LLM_QUERIES}
     assert all(k.startswith(("ml_", "eval_model_")) for k in missing), missing
-    assert not any(re.match(r"op\d+_", k) for k in qs)
 
 
 @needs_data
-@pytest.mark.parametrize("key", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("key", sorted(set(E.oracle_sql()) - set(E.LLM_QUERIES)))
 def test_query_matches_oracle(spark, duck, key):
     sdf = E.queries()[key](spark, SF)
     s_rows = [r.asDict() for r in sdf.collect()]
