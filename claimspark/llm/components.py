@@ -19,13 +19,15 @@ from claimspark.llm.common import stored
 
 def _large(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    # stored: as a table of its own it is one side of a join that can be split at a hub
+    least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "star-least")
     return (both.filter("v > u").join(least, "u")
             .select(F.col("v").alias("u"), F.col("m").alias("v")))
 
 
 def _small(links: DataFrame) -> DataFrame:
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
+    links = stored(links, "star-large")
+    least = stored(links.groupBy("u").agg(F.min("v").alias("m")), "star-least")
     rest = links.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return least.select("u", F.col("m").alias("v")).unionByName(rest).distinct()
 

@@ -7,17 +7,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimspark.llm import simhash_pigeonring
+from claimspark.llm import line_dedup, quality_rules, simhash_pigeonring
 from claimspark.llm.common import read
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_report(read(spark, sf_dir, "documents"), min_docs=5, min_chars=40)
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.report(read(spark, sf_dir, "documents"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_pigeonring.near_duplicates(read(spark, sf_dir, "documents"),
                                               shingle_words=4, max_bits=4)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_line_dedup": op4_line_dedup,
+    "op5_quality_rules": op5_quality_rules,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_line_dedup": line_dedup.oracle(min_docs=5, min_chars=40),
+    "op5_quality_rules": quality_rules.oracle(),
+}
