@@ -5,12 +5,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from claimspark.llm import line_dedup, quality_rules, simhash_pigeonring
+from claimspark.llm import line_dedup, packing, pfair_mixing, quality_rules, simhash_pigeonring
 from claimspark.llm.common import read
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfair_mixing.plan(read(spark, sf_dir, "documents"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_report(read(spark, sf_dir, "documents"), min_docs=5, min_chars=40)
 
@@ -25,12 +34,15 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
+    "op3_packing": op3_packing,
     "op4_line_dedup": op4_line_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
 ORACLE: dict[str, str] = {
+    "op1_mixing": pfair_mixing.oracle(),
     "op4_line_dedup": line_dedup.oracle(min_docs=5, min_chars=40),
     "op5_quality_rules": quality_rules.oracle(),
 }
