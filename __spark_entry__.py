@@ -42,11 +42,15 @@ from claimspark.streaming import start_flagging  # noqa: E402
 from oracle_queries import ORACLE  # noqa: E402
 
 try:  # the training-data operators are an optional part
+    import corpus_pipeline
     from claimspark.llm import queries as llm_queries
 except ImportError:
     LLM_QUERIES, LLM_ORACLE = {}, {}
 else:
-    LLM_QUERIES, LLM_ORACLE = llm_queries.QUERIES, llm_queries.ORACLE
+    LLM_QUERIES = llm_queries.QUERIES | {"pipeline": corpus_pipeline.run}
+    LLM_ORACLE = dict(llm_queries.ORACLE)
+    if corpus_pipeline.ORACLE_SQL:
+        LLM_ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
