@@ -12,8 +12,8 @@ group's quartile distance (at least ``floor``), or by the fixed base rules.
 
 Scale: the counts are one vectorised pass without a shuffle; sketches have at
 most a few thousand rows a group whatever its size; the limits (one row a
-group) are joined back by an equi-join whose strategy and skew splitting Spark
-picks from the measured sizes.
+group) are broadcast if there are at most ``BROADCAST_GROUPS`` of them, else
+joined by a shuffle that adaptive execution splits where a group is hot.
 
 Defined cases: null or empty text has no words and fails the base rules.  A
 null language or source counts as ''.  Repeated rows are measured and returned
@@ -40,6 +40,8 @@ ALPHA = 0.01
 GAMMA = (1 + ALPHA) / (1 - ALPHA)
 #: Values up to this share the sketch's zero bin.
 TINY = 1e-6
+#: Limits of up to so many groups (about 100 bytes each) are broadcast, more are joined by a shuffle.
+BROADCAST_GROUPS = 50_000
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -190,8 +192,9 @@ def judged(measured: DataFrame, bounds: DataFrame) -> DataFrame:
         inside = inside & (ratio(r.metric) <= F.col(f"{_P}high_{r.metric}"))
         if r.both_sides:
             inside = inside & (ratio(r.metric) >= F.col(f"{_P}low_{r.metric}"))
-    group = [F.coalesce("lang", F.lit("")) == bounds[_P + "lang"],
-             F.coalesce("source", F.lit("")) == bounds[_P + "source"]]
+    group = [F.coalesce("lang", F.lit("")) == F.col(_P + "lang"), F.coalesce("source", F.lit("")) == F.col(_P + "source")]
+    if bounds.count() <= BROADCAST_GROUPS:
+        bounds = F.broadcast(bounds)
     return measured.join(bounds, group, "left").withColumn(_P + "base_failed", failed).withColumn(
         _P + "kept", F.when(failed, False).otherwise(F.coalesce(inside, F.lit(True))))
 
@@ -199,7 +202,7 @@ def judged(measured: DataFrame, bounds: DataFrame) -> DataFrame:
 def report(docs: DataFrame, min_group: int = 200) -> DataFrame:
     """(doc_id, counts, base_failed, kept) per row."""
     measured = stored(measure(docs, ["doc_id", "lang", "source"]), "quality-counts")
-    bounds = limits(stored(sketches(measured), "quality-sketches"), min_group)
+    bounds = stored(limits(stored(sketches(measured), "quality-sketches"), min_group), "quality-limits")
     return judged(measured, bounds).select(
         "doc_id", *[F.col(_P + c).alias(c) for c in [*COUNTS, "base_failed", "kept"]])
 

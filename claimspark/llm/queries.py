@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from claimspark.llm import line_dedup, packing, pfair_mixing, quality_rules, simhash_pigeonring
+from claimspark.llm import exact_topk, line_dedup, lm_mixing, packing, pfair_mixing, quality_rules, simhash_pigeonring
 from claimspark.llm.common import read
 
 
@@ -16,6 +16,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfair_mixing.plan(read(spark, sf_dir, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_mixing.score(read(spark, sf_dir, "documents"), modulus=5, remainder=1)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -28,6 +32,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(read(spark, sf_dir, "documents"))
 
 
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_k(read(spark, sf_dir, "embeddings"), k=20, every=20, scale=64)
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_pigeonring.near_duplicates(read(spark, sf_dir, "documents"),
                                               shingle_words=4, max_bits=4)
@@ -35,9 +43,11 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_packing": op3_packing,
     "op4_line_dedup": op4_line_dedup,
     "op5_quality_rules": op5_quality_rules,
+    "op9_exact_topk": op9_exact_topk,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
@@ -45,4 +55,5 @@ ORACLE: dict[str, str] = {
     "op1_mixing": pfair_mixing.oracle(),
     "op4_line_dedup": line_dedup.oracle(min_docs=5, min_chars=40),
     "op5_quality_rules": quality_rules.oracle(),
+    "op9_exact_topk": exact_topk.oracle(),
 }
