@@ -8,7 +8,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from claimspark.llm import exact_topk, line_dedup, lm_mixing, packing, pfair_mixing, quality_rules, simhash_pigeonring
+from claimspark.llm import edit_counts, exact_topk, line_dedup, lm_mixing, packing, pfair_mixing, \
+    quality_cnn, quality_rules, simhash_pigeonring, url_templates
 from claimspark.llm.common import read
 
 
@@ -32,6 +33,19 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(read(spark, sf_dir, "documents"))
 
 
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judge(read(spark, sf_dir, "pages"), url_templates.RULES)
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cnn.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), modulus=3, remainder=1)
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_counts.edited_counts(read(spark, sf_dir, "documents"),
+                                     public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_k(read(spark, sf_dir, "embeddings"), k=20, every=20, scale=64)
 
@@ -47,6 +61,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_line_dedup": op4_line_dedup,
     "op5_quality_rules": op5_quality_rules,
+    "op6_url_filters": op6_url_filters,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op8_token_counts": op8_token_counts,
     "op9_exact_topk": op9_exact_topk,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
@@ -55,5 +72,6 @@ ORACLE: dict[str, str] = {
     "op1_mixing": pfair_mixing.oracle(),
     "op4_line_dedup": line_dedup.oracle(min_docs=5, min_chars=40),
     "op5_quality_rules": quality_rules.oracle(),
+    "op6_url_filters": url_templates.oracle(),
     "op9_exact_topk": exact_topk.oracle(),
 }
