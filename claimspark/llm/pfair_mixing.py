@@ -52,10 +52,9 @@ def slots_by_size(sizes: DataFrame, alpha: float = ALPHA, period: int = PERIOD)
 
 
 def _shares(weights: DataFrame, period: int) -> DataFrame:
-    whole = weights.agg(F.sum("weight").alias("whole"))
-    share = F.when(F.col("whole") > 0, F.floor(F.col("weight") / F.col("whole") * period + 0.5)).otherwise(1)
-    return weights.crossJoin(F.broadcast(whole)).select(  # one row
-        "source", F.greatest(share, F.lit(1)).cast("bigint").alias("share"))
+    whole = weights.agg(F.sum("weight")).first()[0] or 0.0
+    share = F.floor(F.col("weight") / F.lit(whole) * period + 0.5) if whole > 0 else F.lit(1)
+    return weights.select("source", F.greatest(share, F.lit(1)).cast("bigint").alias("share"))
 
 
 def schedule(shares: DataFrame) -> DataFrame:
@@ -117,10 +116,9 @@ def plan(docs: DataFrame, shares: DataFrame | None = None, block_chars: int = BL
               .withColumn("block", F.expr(f"(before + ahead) div {block_chars} + 1")))
     ends = sums.groupBy("source").agg(F.max(F.col("before") + F.col("chars")).alias("chars")).withColumn(
         "block", F.expr(f"(greatest(chars, 1) - 1) div {block_chars} + 2"))  # the first block a source lacks
-    first_gap = _slotted(ends, slots).agg(F.min("slot").alias("first_gap"))
-    return (_slotted(placed, slots).crossJoin(F.broadcast(first_gap))  # one row
-            .select("doc_id", "source", "size", "block", "release", "deadline", "slot",
-                    (F.col("slot") < F.col("first_gap")).alias("on_target")))
+    first_gap = _slotted(ends, slots).agg(F.min("slot")).first()[0] or 0
+    return _slotted(placed, slots).select("doc_id", "source", "size", "block", "release", "deadline", "slot",
+                                          (F.col("slot") < first_gap).alias("on_target"))
 
 
 def _slotted(rows: DataFrame, slots: DataFrame) -> DataFrame:
