@@ -51,10 +51,19 @@ PREDICTORS = 4
 BLOCK_TOKENS, GROUP_DOCS = 256, 64
 RATE = 0.3
 MATCH_LOGIT = 2.0
-_LEVEL = np.arange(BITS)
-_SPREAD = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, 1 << BITS, np.uint64) * np.uint64(2)
 _PHI = np.uint64(0x9E3779B97F4A7C15)
 
+# What a class spells, (classes, BITS): the place of each decision in the class
+# tree, its bit, a random number of the place, the bit's sign.
+_CLASS = np.arange(1 << BITS)[:, None]
+_LEVEL = np.arange(BITS)
+_NODE = (1 << _LEVEL) | (_CLASS >> (BITS - _LEVEL))
+_BIT = (_CLASS >> (BITS - 1 - _LEVEL)) & 1
+_SPREAD = (np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, 1 << BITS, np.uint64) * np.uint64(2))[_NODE]
+_SIGN = (2 * _BIT - 1).astype(np.float32)
+#: How many leading bits agree, by the exclusive or of two classes.
+_AGREE = np.array([BITS - int(x).bit_length() for x in range(1 << BITS)], np.int64)
+
 
 # --- tokens ------------------------------------------------------------------------
 
@@ -71,18 +80,27 @@ def token_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return keys, first
 
 
-@dataclass
 class Classes:
-    """The frequent tokens with a class of their own, sorted by key."""
-
-    keys: np.ndarray
-    number: np.ndarray
+    """The frequent tokens with a class of their own, found by 16 bits of the key."""
+
+    def __init__(self, keys: np.ndarray, number: np.ndarray):
+        self.keys, self.number = keys, number
+        self.layers = []  # tables from the leading bits to a frequent token; equal bits go to the next
+        left = np.arange(len(keys))
+        while len(left):
+            table = np.full(1 << 16, -1, np.int16)
+            lead = (keys[left] >> np.uint64(48)).astype(np.int64)
+            table[lead] = left
+            self.layers.append(table)
+            left = left[table[lead] != left]
 
     def of(self, keys: np.ndarray) -> np.ndarray:
-        out = (OWN + (keys & np.uint64(HASHED - 1))).astype(np.int32)
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            hit = self.keys[at] == keys
+        out = (OWN + (keys & np.uint64(HASHED - 1)).astype(np.int64)).astype(np.int32)
+        lead = (keys >> np.uint64(48)).astype(np.int64)
+        for table in self.layers:
+            at = table[lead]
+            maybe = np.flatnonzero(at >= 0)
+            hit = maybe[self.keys[at[maybe]] == keys[maybe]]
             out[hit] = self.number[at[hit]]
         return out
 
@@ -98,14 +116,13 @@ def contexts(keys: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return one, textvec.combine(before, one)
 
 
-def nodes(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens, BITS): the decision's place in the class tree, and the bit."""
-    c = classes[:, None]
-    return (1 << _LEVEL) | (c >> (BITS - _LEVEL)), (c >> (BITS - 1 - _LEVEL)) & 1
-
-
-def slots(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
-    return (((context[:, None] + _SPREAD[node]) * _PHI) >> np.uint64(64 - bits)).astype(np.int64)
+def slots(context: np.ndarray, classes: np.ndarray, bits: int) -> np.ndarray:
+    """(tokens, BITS): where each decision of the class is counted in this context."""
+    out = _SPREAD[classes]
+    out += context[:, None]
+    out *= _PHI
+    out >>= np.uint64(64 - bits)
+    return out.view(np.int64)
 
 
 def matches(classes: np.ndarray, two: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -227,18 +244,17 @@ def context_counts(training: DataFrame, classes: Classes, bits: int) -> np.ndarr
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((2, 2 * size + tree), np.int64)
-        for batch in steps(batches):
+        for batch in steps(batches, limit=1 << 20):
             keys, first = token_keys(batch.column(0))
             cls = classes.of(keys)
-            one, two = contexts(keys, first)
-            for i in range(0, len(keys), 1 << 14):
-                part = slice(i, i + (1 << 14))
-                node, bit = nodes(cls[part])
-                for at in (slots(one[part], node, bits), slots(two[part], node, bits) + size, node + 2 * size):
-                    flat = (at + bit * table.shape[1]).ravel()
-                    lead = int(flat.min())
-                    counted = np.bincount(flat - lead)
-                    table.reshape(-1)[lead:lead + len(counted)] += counted
+            for i, context in enumerate(contexts(keys, first)):
+                flat = slots(context, cls, bits) * 2
+                flat += _BIT[cls]
+                seen = np.bincount(flat.ravel(), minlength=2 * size)
+                table[:, i * size:(i + 1) * size] += seen.reshape(-1, 2).T
+            seen = np.bincount(cls, minlength=tree)
+            for bit in (0, 1):
+                np.add.at(table[bit], 2 * size + _NODE[_BIT == bit], np.broadcast_to(seen[:, None], _BIT.shape)[_BIT == bit])
         used = np.flatnonzero(table.any(axis=0))
         for i in range(0, len(used), 200_000):
             own = used[i:i + 200_000]
@@ -259,61 +275,97 @@ class Mixer:
     """Scores texts; the weights of each text adapt block by block."""
 
     def __init__(self, counters: np.ndarray, bits: int, weights: np.ndarray, leave_one_out: bool):
-        self.counters, self.bits, self.weights, self.loo = counters, bits, weights, leave_one_out
+        self.bits, self.weights, self.loo = bits, weights, leave_one_out
+        size = 1 << bits
+        self.counters = counters if leave_one_out else None
         self.logit = None if leave_one_out else np.log(counters[1] + 0.4) - np.log(counters[0] + 0.4)
+        tree = counters[:, 2 * size:][:, _NODE]
+        self.plain = (np.log(tree[1] + 0.4) - np.log(tree[0] + 0.4)).astype(np.float32)  # (classes, BITS)
 
-    def logits(self, at: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    def logits(self, at: np.ndarray, cls: np.ndarray) -> np.ndarray:
         if self.logit is not None:
             return self.logit[at]
         # the counters include this very decision: take it out
+        bit = _BIT[cls]
         one = self.counters[1][at] - bit
         zero = self.counters[0][at] - (1 - bit)
-        return np.log(one + np.float32(0.4)) - np.log(zero + np.float32(0.4))
+        return np.log((one + np.float32(0.4)) / (zero + np.float32(0.4)))
 
     def run(self, cls: np.ndarray, one: np.ndarray, two: np.ndarray, match: np.ndarray,
             first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log10 probability of each text's classes, and the final weights of each."""
-        n, size = len(first) - 1, 1 << self.bits
+        n = len(first) - 1
         score = np.zeros(n)
         weights = np.repeat(self.weights[None], n, axis=0)
-        for g in range(0, n, GROUP_DOCS):
-            lo, hi = g, min(n, g + GROUP_DOCS)
+        for lo in range(0, n, GROUP_DOCS):
+            hi = min(n, lo + GROUP_DOCS)
             length = np.diff(first[lo:hi + 1])
             for block in range(-(-int(length.max()) // BLOCK_TOKENS)):
                 live = np.flatnonzero(length > block * BLOCK_TOKENS)
-                size_here = np.minimum(length[live] - block * BLOCK_TOKENS, BLOCK_TOKENS)
+                here = np.minimum(length[live] - block * BLOCK_TOKENS, BLOCK_TOKENS)
                 start = first[lo + live] + block * BLOCK_TOKENS
-                ends = np.cumsum(size_here)
-                t = np.repeat(start - ends + size_here, size_here) + np.arange(int(ends[-1]))
-                doc = np.repeat(lo + live, size_here)
-                node, bit = nodes(cls[t])
-                level = _LEVEL[None, :]
-                guess = match[t][:, None]
-                gate = np.where(guess < 0, 0, np.where((guess >> (BITS - level)) == (cls[t][:, None] >> (BITS - level)), 1, 2))
-                said = (guess >> (BITS - 1 - level)) & 1
-                x = np.empty((PREDICTORS, *node.shape), np.float32)
-                x[0] = self.logits(node + 2 * size, bit)
-                x[1] = self.logits(slots(one[t], node, self.bits), bit)
-                x[2] = self.logits(slots(two[t], node, self.bits) + size, bit)
-                x[3] = np.where(gate == 1, (2 * said - 1) * np.float32(MATCH_LOGIT), np.float32(0))
-                which = (doc[:, None] * BITS + level) * GATES + gate
-                flat = weights.reshape(-1, PREDICTORS)
-                w = flat[which]
-                z = x[0] * w[..., 0] + x[1] * w[..., 1] + x[2] * w[..., 2] + x[3] * w[..., 3]
-                p = 1 / (1 + np.exp(-np.clip(z, -12, 12)))
-                p = np.clip(p, np.float32(1e-5), np.float32(1 - 1e-5))
-                cost = np.log(np.where(bit == 1, p, 1 - p)).sum(axis=1)
-                score[lo:hi] += np.bincount(doc - lo, weights=cost, minlength=hi - lo)
-                # one gradient step per text, bit and gate from this block
-                err = (bit - p).ravel()
-                at = which.ravel() - lo * BITS * GATES
-                cells = (hi - lo) * BITS * GATES
-                seen = np.bincount(at, minlength=cells) + 8.0
-                own = flat[lo * BITS * GATES:hi * BITS * GATES]
-                for i in range(PREDICTORS):
-                    own[:, i] += RATE * np.bincount(at, weights=err * x[i].ravel(), minlength=cells) / seen
+                ends = np.cumsum(here)
+                t = np.repeat(start - ends + here, here) + np.arange(int(ends[-1]))
+                text = np.repeat(lo + live, here)
+                guessed = match[t] >= 0
+                cost = np.empty(len(t))
+                rows, marked = np.flatnonzero(~guessed), np.flatnonzero(guessed)
+                if len(rows):
+                    cost[rows] = self.unmatched(cls[t[rows]], one[t[rows]], two[t[rows]], text[rows], weights)
+                if len(marked):
+                    m = t[marked]
+                    cost[marked] = self.matched(cls[m], one[m], two[m], match[m], text[marked], weights)
+                score[lo + live] += np.add.reduceat(cost, ends - here)
         return score / np.log(10), weights
 
+    def inputs(self, cls: np.ndarray, one: np.ndarray, two: np.ndarray) -> list[np.ndarray]:
+        size = 1 << self.bits
+        after_two = slots(two, cls, self.bits)
+        after_two += size
+        return [self.plain[cls], self.logits(slots(one, cls, self.bits), cls), self.logits(after_two, cls)]
+
+    def unmatched(self, cls, one, two, text, weights) -> np.ndarray:
+        """Log probabilities of tokens without a match; adapts their gate's weights."""
+        x = self.inputs(cls, one, two)
+        edge = np.flatnonzero(np.diff(text, prepend=-1))
+        texts, here = text[edge], np.diff(np.append(edge, len(text)))
+        own = weights[texts, :, 0, :PREDICTORS - 1]  # (texts, BITS, predictors)
+        z = np.repeat(own[..., 0], here, axis=0) * x[0]
+        for i in range(1, PREDICTORS - 1):
+            z += np.repeat(own[..., i], here, axis=0) * x[i]
+        err, cost = _outcome(z, cls)
+        for i in range(PREDICTORS - 1):
+            gradient = np.add.reduceat(err * x[i], edge, axis=0)
+            weights[texts, :, 0, i] += RATE * gradient / (here[:, None] + np.float32(8))
+        return cost
+
+    def matched(self, cls, one, two, match, text, weights) -> np.ndarray:
+        """Log probabilities of tokens with a match; adapts the weights of its two gates."""
+        agree = _LEVEL <= _AGREE[cls ^ match][:, None]
+        x = [*self.inputs(cls, one, two), np.where(agree, _SIGN[match] * np.float32(MATCH_LOGIT), np.float32(0))]
+        cell = (text[:, None] * BITS + _LEVEL) * GATES + np.where(agree, 1, 2)
+        flat = weights.reshape(-1, PREDICTORS)
+        w = flat[cell]
+        z = sum(w[..., i] * x[i] for i in range(PREDICTORS))
+        err, cost = _outcome(z, cls)
+        lead = int(cell.min())
+        at = cell.ravel() - lead
+        seen = np.bincount(at)
+        for i in range(PREDICTORS):
+            flat[lead:lead + len(seen), i] += RATE * np.bincount(at, weights=(err * x[i]).ravel()) / (seen + 8.0)
+        return cost
+
+
+def _outcome(z: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """bit - p of every decision, and the log probability of every token."""
+    sign = _SIGN[cls]
+    odds = np.exp(-np.clip(z, -10, 10) * sign)  # of the bit that did not come; eight stay within float32
+    whole = odds + np.float32(1)
+    cost = -np.log(whole.prod(axis=1, dtype=np.float64))
+    odds /= whole
+    odds *= sign
+    return odds, cost
+
 
 def neutral() -> np.ndarray:
     w = np.zeros((BITS, GATES, PREDICTORS), np.float32)

@@ -43,44 +43,44 @@ def combine(*parts: np.ndarray) -> np.ndarray:
 @dataclass
 class Words:
     """Words of a slice: ``doc`` is the row of each word, ``first`` the index of
-    each row's first word (length rows + 1)."""
+    each row's first word (length rows + 1), ``inside`` marks the bytes of words."""
 
     start: np.ndarray
     end: np.ndarray
     doc: np.ndarray
     first: np.ndarray
+    inside: np.ndarray
 
 
 def split(data: np.ndarray, offsets: np.ndarray) -> Words:
     inside = ~SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True  # a document starts here
-    before = np.zeros(len(data), bool)
-    before[1:] = inside[:-1]
-    start = np.flatnonzero(inside & (~before | edge[:-1]))
-    after = np.zeros(len(data), bool)
-    after[:-1] = inside[1:]
-    end = np.flatnonzero(inside & (~after | edge[1:])) + 1
+    begins = inside & edge[:-1]
+    begins[1:] |= inside[1:] & ~inside[:-1]
+    ends = inside & edge[1:]
+    ends[:-1] |= inside[:-1] & ~inside[1:]
+    start = np.flatnonzero(begins)
     first = np.searchsorted(start, offsets)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    return Words(start, end, doc, first)
+    return Words(start, np.flatnonzero(ends) + 1, doc, first, inside)
 
 
 def keys(data: np.ndarray, words: Words) -> np.ndarray:
     """The 64-bit key of each word."""
-    n = len(words.start)
-    if n == 0:
+    if len(words.start) == 0:
         return np.zeros(0, np.uint64)
     length = words.end - words.start
-    total = int(length.sum())
     at = np.cumsum(length) - length  # start of each word among the word bytes
-    within = np.arange(total, dtype=np.int64) - np.repeat(at, length)
-    byte = data[np.repeat(words.start, length) + within].astype(np.uint64) + np.uint64(1)
-    coeff = _COEFF[within & (_SPAN - 1)]
+    byte = data[words.inside].astype(np.uint64)
+    byte += np.uint64(1)
+    within = np.arange(len(byte), dtype=np.int64)
+    within -= np.repeat(at, length)
     if int(length.max()) > _SPAN:
-        coeff = coeff * ((within // _SPAN).astype(np.uint64) * np.uint64(2) + np.uint64(1))
-    sums = np.add.reduceat(byte * coeff, at)
-    return mix64(sums + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        byte *= (within // _SPAN).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        within &= _SPAN - 1
+    byte *= _COEFF[within]
+    return mix64(np.add.reduceat(byte, at) + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def row_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
