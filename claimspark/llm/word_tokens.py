@@ -4,27 +4,38 @@ The vocabulary's pre-tokenizer drops white space and never joins what stands
 on both sides of it, so the ids of a text are the ids of its ASCII
 white-space-separated words in order.  Words are encoded once and looked up
 after that; new words are encoded many at a time, separated by a control
-character that is a token of its own.
+character that is a token of its own.  Words of printable ASCII need neither
+Unicode normalisation nor the byte alphabet: they are split by the same
+pattern in Python and go to the merges alone.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 _SEPARATOR = "\x01"
+#: The separator as the byte alphabet spells it.
+_SPELLED = "ā"
 _JOINED = 400
+# FIXED VALUE: the vocabulary's own pre-token pattern, for lower-case ASCII.
+_ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
 
 class WordEncoder:
     """Ids of words, with a cache of two generations of ``generation`` words."""
 
-    def __init__(self, path: str, generation: int = 500_000):
+    def __init__(self, path: str, generation: int = 300_000):
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = Tokenizer.from_file(path)
+        self.merges.normalizer = normalizers.Sequence([])
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.generation = generation
         ids = self.tokenizer.encode(_SEPARATOR, add_special_tokens=False).ids
         self.separator = ids[0] if len(ids) == 1 else None
-        self.old: _Generation | None = None
+        self.old = _Generation()
         self.now = _Generation()
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
@@ -32,39 +43,62 @@ class WordEncoder:
         if len(self.now.at) > self.generation:
             self.old, self.now = self.now, _Generation()
         now = self.now
-        words = [t.split() for t in texts]  # bytes: ASCII white space only
         look = now.at.__getitem__
-        places = [np.fromiter(map(look, w), np.int64, len(w)) for w in words]
-        self._fill(now)
-        out = []
-        for at in places:
-            start, size = now.start[at], now.start[at + 1] - now.start[at]
-            ends = np.cumsum(size)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(now.ids[np.repeat(start - ends + size, size) + np.arange(total)])
-        return out
-
-    def _fill(self, now: _Generation) -> None:
-        new, now.at.new = now.at.new, []
+        places = []
+        for text in texts:
+            words = text.split()  # bytes: ASCII white space only
+            places.append(np.fromiter(map(look, words), np.int64, len(words)))
+        self._fill()
+        return [_gather(now.ids, now.start[at], now.size[at]) for at in places]
+
+    def _fill(self) -> None:
+        """Ids of the words that the last texts brought."""
+        new, self.now.at.new = self.now.at.new, []
         if not new:
             return
-        found: list[np.ndarray | None] = [self.old.get(w) if self.old else None for w in new]
-        todo = [i for i, f in enumerate(found) if f is None]
-        plain = [i for i in todo if self.separator is not None and _SEPARATOR.encode() not in new[i]]
-        for i in range(0, len(plain), _JOINED):
-            part = plain[i:i + _JOINED]
-            text = f" {_SEPARATOR} ".join(new[j].decode("utf-8", "replace") for j in part)
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-            cut = np.flatnonzero(ids == self.separator)
-            if len(cut) != len(part) - 1:  # a word with the separator's id inside
-                continue
-            for j, a, b in zip(part, np.append(-1, cut) + 1, np.append(cut, len(ids))):
-                found[j] = ids[a:b]
-        for i in todo:
-            if found[i] is None:
-                text = new[i].decode("utf-8", "replace")
-                found[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        now.add(found)
+        self.now.reserve()
+        first = len(self.now.at) - len(new)
+        before = np.fromiter((self.old.at.get(w, -1) for w in new), np.int64, len(new))
+        known = np.flatnonzero(before >= 0)
+        start, size = self.old.start[before[known]], self.old.size[before[known]]
+        self.now.add(first + known, _gather(self.old.ids, start, size), np.cumsum(size) - size, size)
+        ascii_words, others, single = [], [], []
+        for i in np.flatnonzero(before < 0).tolist():
+            word = new[i].decode("utf-8", "replace")
+            if self.separator is None or _SEPARATOR in word:
+                single.append((i, word))
+            elif word.isascii() and word.isprintable() and "<|" not in word:
+                ascii_words.append((i, word))
+            else:
+                others.append((i, word))
+        for words, plain in ((ascii_words, True), (others, False)):
+            for j in range(0, len(words), _JOINED):
+                part = words[j:j + _JOINED]
+                ids = self._joined([w for _, w in part], plain)
+                cut = np.flatnonzero(ids == self.separator)
+                if len(cut) != len(part) - 1:  # a word has the separator's id inside
+                    single += part
+                    continue
+                begin = np.append(-1, cut) + 1
+                self.now.add(np.array([first + i for i, _ in part]), ids, begin, np.append(cut, len(ids)) - begin)
+        for i, word in single:
+            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32)
+            self.now.add(np.array([first + i]), ids, np.zeros(1, np.int64), np.array([len(ids)]))
+
+    def _joined(self, words: list[str], plain: bool) -> np.ndarray:
+        if plain:
+            text = " ".join(_ASCII_PIECES.findall(f" {_SPELLED} ".join(words).lower()))
+            encoding = self.merges.encode(text, add_special_tokens=False)
+        else:
+            encoding = self.tokenizer.encode(f" {_SEPARATOR} ".join(words), add_special_tokens=False)
+        return np.array(encoding.ids, np.uint32)
+
+
+def _gather(ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The concatenated ranges ids[start:start + size]."""
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    return ids[np.repeat(start - ends + size, size) + np.arange(total)]
 
 
 class _Places(dict):
@@ -84,22 +118,21 @@ class _Generation:
     def __init__(self):
         self.at = _Places()
         self.ids = np.zeros(1 << 12, np.uint32)
+        self.used = 0
         self.start = np.zeros(1 << 10, np.int64)
-        self.words = 0
-
-    def get(self, word: bytes) -> np.ndarray | None:
-        place = self.at.get(word)
-        return None if place is None else self.ids[self.start[place]:self.start[place + 1]]
+        self.size = np.zeros(1 << 10, np.int64)
 
-    def add(self, found: list[np.ndarray]) -> None:
-        ends = self.start[self.words] + np.cumsum([len(f) for f in found])
-        while len(self.start) <= self.words + len(found):
+    def reserve(self) -> None:
+        while len(self.start) < len(self.at):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-        while len(self.ids) < ends[-1]:
+            self.size = np.concatenate([self.size, np.zeros_like(self.size)])
+
+    def add(self, places: np.ndarray, ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        while len(self.ids) < self.used + len(ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.start[self.words]:ends[-1]] = np.concatenate(found)
-        self.start[self.words + 1:self.words + 1 + len(found)] = ends
-        self.words += len(found)
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.start[places], self.size[places] = start + self.used, size
+        self.used += len(ids)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
