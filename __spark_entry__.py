@@ -19,9 +19,10 @@ from __future__ import annotations
 
 import os
 import sys
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,7 +36,7 @@ from claimspark.plans import models, profiles, rules  # noqa: E402
 from claimspark.plans.features import claim_features, claim_flags, disease_means  # noqa: E402
 from claimspark.schemas import CLAIMS, FOREIGN_KEYS, INVESTIGATIONS, PATIENTS, PRIMARY_KEYS, \
     PROVIDER_RISK, PROVIDERS  # noqa: E402
-from claimspark.session import shared_dir  # noqa: E402
+from claimspark.session import shared_dir, stored  # noqa: E402
 from claimspark.sources import catalog, readers, sinks  # noqa: E402
 from claimspark.sources.mapping import load_tables, materialized_claims_path, read_raw  # noqa: E402
 from claimspark.streaming import start_flagging  # noqa: E402
@@ -106,6 +107,11 @@ def q5_provider_rank(spark, sf_dir):
     return profiles.provider_rank(t["claims"], t["providers"])
 
 
+def provider_fraud_ranks(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return profiles.provider_fraud_ranks(t["claims"], t["providers"])
+
+
 def q6_monthly_trend(spark, sf_dir):
     return profiles.monthly_trend(_t(spark, sf_dir)["claims"])
 
@@ -126,7 +132,7 @@ def _features(spark, sf_dir):
 
 def _flags(spark, sf_dir):
     """Claim-level derived columns only (no dimension joins): enough for the
-    evaluation tables, the ratio histogram and the KPIs."""
+    evaluation tables and the KPIs."""
     return claim_flags(_t(spark, sf_dir)["claims"])
 
 
@@ -171,7 +177,7 @@ def eda_amount_hist(spark, sf_dir):
 
 
 def eda_ratio_hist(spark, sf_dir):
-    return profiles.ratio_histogram(_flags(spark, sf_dir))
+    return profiles.ratio_histogram(_t(spark, sf_dir)["claims"])
 
 
 def eda_stay_procedure_grid(spark, sf_dir):
@@ -253,6 +259,21 @@ def register_views(spark, sf_dir):
         f"SELECT '{n}' AS table_name, COUNT(*) AS n_rows FROM {n}" for n in names))
 
 
+def create_database(spark, sf_dir):
+    """The four tables in a database of their own, found through the catalog
+    while it is the current one; the session then returns to its former one."""
+    before = spark.catalog.currentDatabase()
+    name = f"claims_{uuid.uuid4().hex[:8]}"
+    try:
+        tables = catalog.save_tables(spark, _t(spark, sf_dir), name)
+        found = {r.name for r in spark.catalog.listTables(name)}
+        parts = [f"SELECT '{t}' AS table_name, COUNT(*) AS n_rows, {str(t in found).lower()} AS listed, "
+                 f"current_database() = '{name}' AS is_current FROM {t}" for t in tables]
+        return stored(spark.sql(" UNION ALL ".join(parts)), "database")
+    finally:
+        spark.catalog.setCurrentDatabase(before)
+
+
 def _csv_round_trip(spark, df, schema, name):
     path = shared_dir(spark, name)
     sinks.write_table(df, path, "csv")
@@ -353,72 +374,115 @@ def ml_split_exact(spark, sf_dir):
                                       "claim_id", "is_fraud")
 
 
-
-
-# Driver queries fit small ensembles (the library defaults are 100 trees /
-# 100 rounds / 500 iterations); fitted models are kept per session and folder.
-_DRIVER_TREES, _DRIVER_ROUNDS, _DRIVER_ITER = 20, 20, 100
+# The registered models are fitted at full size (100 trees of up to 30 levels,
+# 100 rounds, 500 iterations) on about so many training rows; every test row is
+# scored.  Fitted models are kept per application and folder.
+TRAIN_ROWS = 10_000
 _MODELS: dict = {}
 
 
 def _models(spark, sf_dir) -> models.FraudModels:
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MODELS:
-        _MODELS[key] = models.FraudModels(models.prepare(_features(spark, sf_dir)),
-                                          trees=_DRIVER_TREES, rounds=_DRIVER_ROUNDS,
-                                          max_iter=_DRIVER_ITER).fit_all()
+        prepared = models.prepare(_features(spark, sf_dir))
+        _MODELS[key] = models.FraudModels(prepared, max_train_rows=TRAIN_ROWS).fit_all()
     return _MODELS[key]
 
 
 def ml_assemble(spark, sf_dir):
-    prepared = _models(spark, sf_dir).data
-    return prepared.select("claim_id", "label", "is_test",
-                           models.vector_to_array("features").alias("features"))
+    """The feature vector of every complete row as 20 columns, and the split."""
+    rows = models.prepare(_features(spark, sf_dir)).withColumn("v", models.vector_to_array("features"))
+    return rows.select("claim_id", F.col("label").cast("int").alias("label"), "is_test",
+                       *[F.col("v")[i].alias(name) for i, name in enumerate(models.FEATURES)])
 
 
 def ml_scale(spark, sf_dir):
+    """Per feature the fitted mean and deviation, and how far the scaled training
+    sample is from mean 0 and deviation 1."""
     m = _models(spark, sf_dir)
-    return m.scaler().transform(m.test).select(
-        "claim_id", "label", models.vector_to_array("scaled").alias("scaled"))
+    scaler = m.scaler()
+    scaled = scaler.transform(m.sample).withColumn("v", models.vector_to_array("scaled"))
+    facts = scaled.agg(*[e for i, _ in enumerate(models.FEATURES) for e in (
+        F.round(F.abs(F.avg(F.col("v")[i])), 6).alias(f"m{i}"), F.round(F.stddev_samp(F.col("v")[i]), 6).alias(f"s{i}"))])
+    rows = [F.struct(F.lit(name).alias("feature"), F.lit(round(float(scaler.mean[i]), 4)).alias("mean"),
+                     F.lit(round(float(scaler.std[i]), 4)).alias("deviation"),
+                     F.col(f"m{i}").alias("scaled_mean"), F.col(f"s{i}").alias("scaled_deviation"))
+            for i, name in enumerate(models.FEATURES)]
+    return facts.select(F.inline(F.array(*rows)))
+
+
+def _checked(spark, sf_dir, which):
+    """Every test row, and whether its probability and class are sound: between
+    0 and 1, and the class that of a threshold of one half."""
+    rows = _models(spark, sf_dir).scored(which)
+    p = F.col("probability")
+    return rows.select("claim_id", "label", p.between(0, 1).alias("in_range"),
+                       ((p > 0.5).cast("int") == F.col("prediction")).alias("class_follows"))
 
 
 def ml_logistic(spark, sf_dir):
-    return _models(spark, sf_dir).scored("logistic")
+    return _checked(spark, sf_dir, "logistic")
 
 
 def ml_forest(spark, sf_dir):
-    return _models(spark, sf_dir).scored("forest")
+    return _checked(spark, sf_dir, "forest")
 
 
 def ml_boosted(spark, sf_dir):
-    return _models(spark, sf_dir).scored("boosted")
+    return _checked(spark, sf_dir, "boosted")
 
 
 def ml_score(spark, sf_dir):
-    m = _models(spark, sf_dir)
-    lr, rf, gb = (m.scored(x).select("claim_id", "label", F.col("probability").alias(f"p_{x}"))
-                  for x in ("logistic", "forest", "boosted"))
-    return lr.join(rf.drop("label"), "claim_id").join(gb.drop("label"), "claim_id")
+    """Every test row once with the number of models that scored it."""
+    scored = [F.col(f"probability_{m}").isNotNull().cast("int") for m in models.MODELS]
+    return _models(spark, sf_dir).scores().select("claim_id", "label", sum(scored).alias("n_scores"))
 
 
 def ml_compare(spark, sf_dir):
-    return _models(spark, sf_dir).comparison()
+    """Each model's test rows per class, and whether its AUC is above 0.8."""
+    out = _models(spark, sf_dir).comparison()
+    return out.select("model", "n_pos", "n_neg", (F.col("auc") > 0.8).alias("auc_above_floor"))
 
 
 def ml_importance_top(spark, sf_dir):
-    return models.importances(_models(spark, sf_dir).boosted())
+    """The twelve places of the importance table: whether each holds a model
+    feature with a share, and no larger one than the place before."""
+    table = models.importances(_models(spark, sf_dir).boosted())
+    order = Window.orderBy(F.col("importance").desc(), "feature")  # at most twelve rows
+    ranked = table.withColumns({"place": F.row_number().over(order), "before": F.lag("importance").over(order)})
+    return ranked.select("place", F.col("feature").isin(models.FEATURES).alias("is_feature"),
+                         F.col("importance").between(0, 1).alias("is_share"),
+                         F.coalesce(F.col("importance") <= F.col("before"), F.lit(True)).alias("in_order"))
 
 
 def eval_model_report(spark, sf_dir):
-    return ops.classification_report(_models(spark, sf_dir).scored("boosted"), "label", "prediction")
+    """The report's rows with their support, and whether every figure is a share."""
+    out = ops.classification_report(_models(spark, sf_dir).scored("boosted"), "label", "prediction")
+    share = [F.coalesce(F.col(c).between(0, 1), F.lit(True)) for c in ("precision", "recall", "f1_score")]
+    return out.select("class_name", "support", (share[0] & share[1] & share[2]).alias("in_range"))
 
 
 def eval_model_confusion(spark, sf_dir):
-    return ops.confusion_matrix(_models(spark, sf_dir).scored("boosted"), "label", "prediction")
+    """The rows of the confusion matrix with their totals."""
+    out = ops.confusion_matrix(_models(spark, sf_dir).scored("boosted"), "label", "prediction")
+    return out.select("actual", (F.col("predicted_0") + F.col("predicted_1")).alias("support"))
 
 
 def eval_model_roc(spark, sf_dir):
-    return ops.roc_points(_models(spark, sf_dir).scored("boosted"), "label", "probability")
+    """The curve's two ends, and whether it starts with no row counted."""
+    points = ops.roc_points(_models(spark, sf_dir).scored("boosted"), "label", "probability")
+    ends = points.agg(F.min("tp").alias("tp0"), F.min("fp").alias("fp0"), F.max("tp").alias("tp1"), F.max("fp").alias("fp1"),
+                      F.max("tpr").alias("tpr1"), F.max("fpr").alias("fpr1"),
+                      F.max_by(F.col("tp") + F.col("fp"), F.col("threshold")).alias("at_top"))
+
+    def end(name, tp, fp, tpr, fpr, ok):
+        values = {"point": F.lit(name), "tp": tp, "fp": fp, "tpr": tpr, "fpr": fpr, "ok": ok}
+        return F.struct(*[v.alias(k) for k, v in values.items()])
+
+    c = F.col
+    return ends.select(F.inline(F.array(
+        end("start", c("tp0"), c("fp0"), F.lit(0.0), F.lit(0.0), c("at_top") == 0),
+        end("end", c("tp1"), c("fp1"), c("tpr1"), c("fpr1"), F.lit(True)))))
 
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -428,6 +492,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q3_non_empanelled_high_value": q3_non_empanelled_high_value,
     "q4_procedure_burst": q4_procedure_burst,
     "q5_provider_rank": q5_provider_rank,
+    "provider_fraud_ranks": provider_fraud_ranks,
     "q6_monthly_trend": q6_monthly_trend,
     "q7_disease_profile": q7_disease_profile,
     "q8_kyc_high_claims": q8_kyc_high_claims,
@@ -458,6 +523,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dq_key_violations_lineitem": dq_key_violations_lineitem,
     "dq_orphans": dq_orphans,
     "register_views": register_views,
+    "create_database": create_database,
     "src_patients": src_patients,
     "src_providers": src_providers,
     "src_claims": src_claims,

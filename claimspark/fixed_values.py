@@ -20,6 +20,8 @@ KYC_MIN_TOTAL = 100000               # unverified patients with total claimed >
 MONTH_FORMAT = "yyyy-MM"             # month key of the monthly trend
 
 # FIXED VALUES — per-claim features
+PATIENT_COLUMNS = ["patient_id", "age", "gender", "policy_type", "premium_tier", "kyc_verified"]
+PROVIDER_COLUMNS = ["provider_id", "provider_type", "empanelled"]
 HIGH_PROCEDURE_MIN = 8               # high_procedure: num_procedures >= 8
 SHORT_STAY_MAX = 2                   # short_stay: days_hospitalised <= 2
 INFLATED_RATIO = 2                   # is_inflated: inflation_ratio > 2
@@ -58,6 +60,11 @@ LOGISTIC_MAX_ITER = 500
 FOREST_TREES = 100
 BOOSTED_ROUNDS = 100
 
+# Parameters of this library's own
+FOREST_MAX_DEPTH = 30                # as deep as Spark's trees go
+MAX_TRAIN_ROWS = 200_000             # about so many training rows are fitted on; all test rows are scored
+SAMPLE_SEED = 7                      # hash seed that picks them
+
 # FIXED VALUES — investigations
 INVESTIGATED_FRACTION = 0.75
 RECOVERY_LOW = 0.4

@@ -8,7 +8,10 @@ from claimspark.functions.columns import (  # noqa: F401
     flag,
     mean_of,
     pct,
+    round_double,
     round_half_up,
+    round_pct,
+    round_ratio,
     safe_divisor,
     stable_unit_hash,
     tier,

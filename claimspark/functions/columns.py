@@ -19,13 +19,37 @@ def as_double(c: str | Column) -> Column:
 
 
 def round_half_up(c: str | Column, digits: int = 2) -> Column:
-    """Round a double half-up to ``digits`` places: ``floor(x * 10^d + 0.5) / 10^d``.
+    """Round an exact number (decimal or integer) half away from zero to
+    ``digits`` places, as SQL's ``ROUND`` does; decimals stay decimals."""
+    return F.round(_c(c), digits)
 
-    Written out instead of ``F.round`` so the result is the same IEEE value in
-    every engine (``round`` differs across engines on binary halves).
+
+def round_ratio(numerator: str | Column, denominator: str | Column, digits: int = 2, places: int = 2) -> Column:
+    """``numerator / denominator`` rounded half away from zero to ``digits``
+    places, as DECIMAL(20, digits); null where the denominator is 0 or null.
+
+    Integer arithmetic on exact inputs: the numerator has at most ``places``
+    decimal places, the denominator is an integer (a decimal denominator is
+    scaled by the caller).  No intermediate quotient is rounded.
     """
+    num = (_c(numerator) * F.lit(10 ** places)).cast("decimal(38,0)")
+    den = _c(denominator).cast("decimal(38,0)") * F.lit(10 ** places).cast("decimal(38,0)")
+    doubled = (F.abs(num) * F.lit(2 * 10 ** digits).cast("decimal(38,0)") + F.abs(den)).cast("decimal(38,0)")
+    units = F.call_function("div", doubled, F.abs(den) * F.lit(2)).cast("decimal(20,0)")
+    signed = F.when((num < 0) != (den < 0), -units).otherwise(units)
+    return F.when(den != 0, (signed / F.lit(10 ** digits)).cast(f"decimal(20,{digits})"))
+
+
+def round_pct(numerator: str | Column, denominator: str | Column, digits: int = 2) -> Column:
+    """``numerator * 100 / denominator`` of two counts, rounded exactly."""
+    return round_ratio(_c(numerator) * F.lit(100), denominator, digits, places=0)
+
+
+def round_double(c: str | Column, digits: int = 2) -> Column:
+    """A double rounded half up by ``floor(x * 10^d + 0.5) / 10^d``: the same
+    IEEE value in every engine.  For inexact inputs only."""
     scale = 10 ** digits
-    return (F.floor(as_double(c) * scale + F.lit(0.5)).cast("double") / F.lit(float(scale)))
+    return F.floor(as_double(c) * scale + F.lit(0.5)).cast("double") / F.lit(float(scale))
 
 
 def pct(numerator: str | Column, denominator: str | Column) -> Column:

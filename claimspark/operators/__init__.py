@@ -15,7 +15,6 @@ from claimspark.operators.quality import (  # noqa: F401
     key_report, key_violations, orphan_count, orphan_report, orphans,
 )
 from claimspark.operators.ranking import (  # noqa: F401
-    exclusive_prefix, global_rank, quantile_bucket, rank_within, sequential_ids, top_k,
-    value_counts_ranked,
+    exclusive_prefix, global_rank, range_partitioned, sequential_ids, top_k, value_counts_ranked,
 )
 from claimspark.operators.sampling import exact_stratified_split, hash_sample, hash_split  # noqa: F401

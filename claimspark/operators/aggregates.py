@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimspark.functions import as_double, band, mean_of, pct, round_half_up
+from claimspark.functions import as_double, band, pct, round_half_up, round_pct, round_ratio
 
 
 def _keys(key: str | Sequence[str]) -> list[str]:
@@ -92,6 +92,7 @@ def period_profile(df: DataFrame, period: Column, period_name: str, flag: str, a
     """Counts, flagged counts, flagged rate and flagged / total amounts per period.
 
     The flagged amount is ``sum(case when flag = 1 then amount else 0 end)``.
+    ``amount`` is a DECIMAL of two places; sums and rates are rounded exactly.
     """
     return (df.groupBy(period.alias(period_name))
             .agg(F.count(F.lit(1)).alias("total_claims"),
@@ -99,14 +100,15 @@ def period_profile(df: DataFrame, period: Column, period_name: str, flag: str, a
                  F.sum(F.when(F.col(flag) == 1, F.col(amount)).otherwise(F.lit(0))).alias("_fraud_amount"),
                  F.sum(amount).alias("_total_amount"))
             .select(period_name, "total_claims", "fraud_claims",
-                    round_half_up(pct("fraud_claims", "total_claims"), digits).alias("fraud_rate_pct"),
-                    round_half_up(as_double("_fraud_amount"), digits).alias("fraud_amount"),
-                    round_half_up(as_double("_total_amount"), digits).alias("total_amount")))
+                    round_pct("fraud_claims", "total_claims", digits).alias("fraud_rate_pct"),
+                    round_half_up("_fraud_amount", digits).alias("fraud_amount"),
+                    round_half_up("_total_amount", digits).alias("total_amount")))
 
 
 def conditional_profile(df: DataFrame, key: str, amount: str, flag: str, digits: int = 2) -> DataFrame:
     """Per key: count, flagged count and rate, average amount, average flagged
-    amount (null when nothing is flagged) and maximum amount."""
+    amount (null when nothing is flagged) and maximum amount.  ``amount`` is a
+    DECIMAL of two places; all figures are rounded exactly."""
     flagged_amount = F.when(F.col(flag) == 1, F.col(amount))
     return (df.groupBy(key)
             .agg(F.count(F.lit(1)).alias("total_claims"),
@@ -115,10 +117,10 @@ def conditional_profile(df: DataFrame, key: str, amount: str, flag: str, digits:
                  F.sum(flagged_amount).alias("_fsum"), F.count(flagged_amount).alias("_fn"),
                  F.max(amount).alias("_max"))
             .select(key, "total_claims", "fraud_count",
-                    round_half_up(pct("fraud_count", "total_claims"), digits).alias("fraud_rate_pct"),
-                    round_half_up(mean_of("_sum", "_n"), digits).alias("avg_claim_amount"),
-                    round_half_up(mean_of("_fsum", "_fn"), digits).alias("avg_fraud_amount"),
-                    round_half_up(as_double("_max"), digits).alias("max_claim_amount")))
+                    round_pct("fraud_count", "total_claims", digits).alias("fraud_rate_pct"),
+                    round_ratio("_sum", "_n", digits).alias("avg_claim_amount"),
+                    round_ratio("_fsum", "_fn", digits).alias("avg_fraud_amount"),
+                    round_half_up("_max", digits).alias("max_claim_amount")))
 
 
 def grid_counts(df: DataFrame, cols: Sequence[str], out: str = "n_rows") -> DataFrame:

@@ -2,17 +2,17 @@
 
 All metrics are aggregations; the ROC curve and AUC are computed over the
 table of distinct scores (one row per score value, so a score shared by a
-third of the rows is one row) with the two-level prefix sum of
-``ranking.exclusive_prefix`` instead of a single-task sort.
+third of the rows is one row) in range partitions (``ranking``) instead of a
+single-task sort.  Rows whose label or score is null, or whose score is NaN,
+take no part in either.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimspark.operators.ranking import buckets_for, exclusive_prefix
-from claimspark.session import checkpointed
+from claimspark.operators.ranking import PARTITION, exclusive_prefix, range_partitioned
 
 EXACT = "decimal(38,0)"
 
@@ -22,11 +22,13 @@ def _is_pos(label: str):
 
 
 def confusion_matrix(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """Rows = actual class, columns ``predicted_0`` / ``predicted_1`` (absent cells 0)."""
-    return (df.groupBy(F.col(label).cast("int").alias("actual"))
-            .agg(F.sum((F.col(prediction) == 0).cast("bigint")).alias("predicted_0"),
-                 F.sum((F.col(prediction) == 1).cast("bigint")).alias("predicted_1"))
-            .orderBy("actual"))
+    """Two rows (actual class 0 and 1), columns ``predicted_0`` / ``predicted_1``;
+    classes and cells that do not occur are 0.  Rows with a null are not counted."""
+    cells = [F.coalesce(F.sum(((F.col(label) == a) & (F.col(prediction) == p)).cast("bigint")), F.lit(0)).alias(f"c{a}{p}")
+             for a in (0, 1) for p in (0, 1)]
+    rows = F.array(*[F.struct(F.lit(a).alias("actual"), F.col(f"c{a}0").alias("predicted_0"),
+                              F.col(f"c{a}1").alias("predicted_1")) for a in (0, 1)])
+    return df.agg(*cells).select(F.inline(rows))
 
 
 def confusion_counts(df: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -81,14 +83,14 @@ def classification_report(df: DataFrame, label: str, prediction: str,
 
 
 def score_table(df: DataFrame, label: str, score: str) -> DataFrame:
-    """One row per distinct non-null score: positives and negatives at that score."""
-    pos = _is_pos(label)
-    return (df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
-            .groupBy(F.col(score).cast("double").alias("score"))
+    """One row per distinct score: positives and negatives at that score."""
+    pos, x = _is_pos(label), F.col(score).cast("double")
+    return (df.filter(x.isNotNull() & ~F.isnan(x) & F.col(label).isNotNull())
+            .groupBy(x.alias("score"))
             .agg(F.sum(pos).alias("pos"), F.sum(1 - pos).alias("neg")))
 
 
-def roc_points(df: DataFrame, label: str, score: str, buckets: int | None = None,
+def roc_points(df: DataFrame, label: str, score: str, partitions: int | None = None,
                drop_intermediate: bool = True) -> DataFrame:
     """ROC curve: one point per distinct score threshold, highest first, after an
     origin point (threshold +inf, tp = fp = 0).
@@ -98,38 +100,36 @@ def roc_points(df: DataFrame, label: str, score: str, buckets: int | None = None
     point is dropped when the next threshold adds exactly the same numbers of
     positives and negatives (it lies on the straight line between its
     neighbours); the first and last thresholds are always kept.  The next
-    threshold is found with an equi-join on a unique key (rows before it =
-    rows up to this one), so no global sort is needed.
+    threshold is the next row of the range partition, or the first row of the
+    partition after it.
     """
-    st = checkpointed(score_table(df, label, score).withColumn("_desc", -F.col("score")))
-    # Distinct scores and class totals: one aggregated row, read once.
-    totals = st.agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("P"),
-                    F.sum("neg").alias("N")).first()
-    cum = exclusive_prefix(st, ["_desc"], ["pos", "neg"], inclusive=True,
-                           buckets=buckets or buckets_for(int(totals["n"])), materialized=True)
-    cum = (cum.withColumn("_upto", F.col("pos_upto") + F.col("neg_upto"))
-              .withColumn("_before", F.col("_upto") - F.col("pos") - F.col("neg")))
+    down = F.col("score").desc()
+    st = range_partitioned(score_table(df, label, score), [down], partitions)
+    totals = st.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
+    inside = Window.partitionBy(PARTITION).orderBy(down)
+    following = Window.orderBy(PARTITION)  # one row a partition
+    firsts = (st.groupBy(PARTITION).agg(F.max(F.struct("score", "pos", "neg")).alias("first"))
+              .select(PARTITION, F.lead("first").over(following).alias("after")))
+    st = (st.withColumns({"_np": F.lead("pos").over(inside), "_nn": F.lead("neg").over(inside)})
+          .join(firsts, PARTITION))
+    st = st.withColumns({"_np": F.coalesce("_np", F.col("after.pos")), "_nn": F.coalesce("_nn", F.col("after.neg"))}).drop("after")
+    cum = exclusive_prefix(st, [down], ["pos", "neg"], inclusive=True, ranged=True)
     if drop_intermediate:
-        nxt = cum.select(F.col("_before").alias("_nkey"), F.col("pos").alias("_npos"),
-                         F.col("neg").alias("_nneg"))
-        cum = (cum.join(nxt, F.col("_upto") == F.col("_nkey"), "left")
-               .filter((F.col("_before") == 0) | F.col("_nkey").isNull()
-                       | (F.col("_npos") != F.col("pos")) | (F.col("_nneg") != F.col("neg"))))
+        first = F.col("pos_upto") + F.col("neg_upto") == F.col("pos") + F.col("neg")
+        cum = cum.filter(first | F.col("_np").isNull() | (F.col("_np") != F.col("pos")) | (F.col("_nn") != F.col("neg")))
     n_pos, n_neg = F.lit(int(totals["P"] or 0)), F.lit(int(totals["N"] or 0))
     points = cum.select(F.col("score").alias("threshold"),
                         F.col("pos_upto").alias("tp"), F.col("neg_upto").alias("fp"),
                         _ratio(F.col("pos_upto"), n_pos).alias("tpr"),
                         _ratio(F.col("neg_upto"), n_neg).alias("fpr"))
-    # The origin of the curve: one constant row, taken from one row of the
-    # checkpointed score table (so it exists only when the curve does and does
-    # not re-run the prefix sums).
+    # The origin of the curve exists only when the curve does.
     origin = st.limit(1).select(F.lit(float("inf")).alias("threshold"),
                                 F.lit(0).cast("bigint").alias("tp"), F.lit(0).cast("bigint").alias("fp"),
                                 F.lit(0.0).alias("tpr"), F.lit(0.0).alias("fpr"))
     return origin.unionByName(points).orderBy(F.col("threshold").desc())
 
 
-def auc(df: DataFrame, label: str, score: str, buckets: int | None = None) -> DataFrame:
+def auc(df: DataFrame, label: str, score: str, partitions: int | None = None) -> DataFrame:
     """Area under the ROC curve, ties counted half (rank statistic), one row:
     ``auc, n_pos, n_neg``.
 
@@ -137,7 +137,7 @@ def auc(df: DataFrame, label: str, score: str, buckets: int | None = None) -> Da
     decimal sums, so the value does not depend on partitioning.
     """
     st = score_table(df, label, score)
-    cum = exclusive_prefix(st, ["score"], ["neg"], buckets=buckets)
+    cum = exclusive_prefix(st, ["score"], ["neg"], partitions=partitions)
     term = F.col("pos").cast(EXACT) * (F.lit(2).cast(EXACT) * F.col("neg_before").cast(EXACT)
                                        + F.col("neg").cast(EXACT))
     agg = cum.agg(F.sum(term).alias("_num"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))

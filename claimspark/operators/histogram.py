@@ -2,9 +2,11 @@
 
 Same bins as ``numpy.histogram(x, bins)``: ``bins`` equal-width bins between
 the minimum and maximum of the data (per class when ``by`` is given), the
-last bin closed on the right, a zero-width range widened to +-0.5.  Each row
-is binned with one arithmetic expression and the counts are one grouped
-aggregate (partial before the shuffle), so no raw values ever move.
+last bin closed on the right, a zero-width range widened to +-0.5.  A value's
+bin is computed arithmetically and then compared with that bin's two edges
+and moved by one if it lies outside, so values on an edge fall where numpy
+puts them.  The counts are one grouped aggregate (partial before the shuffle);
+no raw values move.
 """
 
 from __future__ import annotations
@@ -14,66 +16,56 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_CLASSES = 10_000
+from claimspark.session import BROADCAST_ROWS, stored
+
+
+def value_ranges(df: DataFrame, col: str, keys: list[str]) -> DataFrame:
+    """(keys, lo, hi, total) of the non-null values of every non-null class."""
+    x = F.col(col).cast("double")
+    data = df.filter(x.isNotNull())
+    for k in keys:
+        data = data.filter(F.col(k).isNotNull())
+    return data.groupBy(*keys).agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(F.lit(1)).alias("total"))
 
 
 def histogram(df: DataFrame, col: str, bins: int, by: str | Sequence[str] | None = None,
-              density: bool = False, max_classes: int = MAX_CLASSES) -> DataFrame:
+              density: bool = False, ranges: DataFrame | None = None) -> DataFrame:
     """One row per (class, bin): ``bin`` (0-based), ``bin_lo``, ``bin_hi``,
     ``n_rows`` and, with ``density``, ``density = n / (N_class * width)``.
 
-    Every bin is present, empty ones with 0.  Null values and rows with a null
-    class are ignored.  The per-class ranges (one row per class) are read once
-    and applied as literals when there are at most ``max_classes`` classes, so
-    no row is joined or shuffled to find its range; with more classes they are
-    joined on the class key instead.
+    Every bin is present, empty ones with 0; no values at all give no rows.
+    Null values and rows with a null class are ignored.  ``ranges`` (as from
+    ``value_ranges``) saves the pass that finds them.
     """
     keys = [] if by is None else ([by] if isinstance(by, str) else list(by))
+    ranges = (value_ranges(df, col, keys) if ranges is None else ranges).filter("total > 0")
+    whole = not keys  # one range for all: a constant key
+    if whole:
+        keys, df, ranges = ["_all"], df.withColumn("_all", F.lit(0)), ranges.withColumn("_all", F.lit(0))
+    ranges = stored(ranges, "ranges")
+    same = F.col("lo") == F.col("hi")
+    ranges = ranges.select(*keys, F.col("total").alias("_total"),
+                           F.when(same, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("_lo"),
+                           F.when(same, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("_hi")).withColumn(
+        "_width", (F.col("_hi") - F.col("_lo")) / F.lit(bins))
     x = F.col(col).cast("double")
     data = df.select(*keys, x.alias("_x")).filter(F.col("_x").isNotNull())
-    for k in keys:
-        data = data.filter(F.col(k).isNotNull())
-    ranges = (data.groupBy(*keys)
-              .agg(F.min("_x").alias("_lo0"), F.max("_x").alias("_hi0"), F.count(F.lit(1)).alias("_total")))
-    same = F.col("_lo0") == F.col("_hi0")
-    ranges = ranges.select(
-        *keys, "_total",
-        F.when(same, F.col("_lo0") - 0.5).otherwise(F.col("_lo0")).alias("_lo"),
-        F.when(same, F.col("_hi0") + 0.5).otherwise(F.col("_hi0")).alias("_hi"))
-    found = ranges.limit(max_classes + 1).collect()
-    if not found:
-        return ranges.select(*keys, F.lit(0).alias("bin"))
-    if len(keys) <= 1 and len(found) <= max_classes:
-        # Bounded (checked) number of classes: ranges become literals.
-        if keys:
-            k = keys[0]
-            lo_map = F.create_map(*[e for r in found for e in (F.lit(r[k]), F.lit(r["_lo"]))])
-            hi_map = F.create_map(*[e for r in found for e in (F.lit(r[k]), F.lit(r["_hi"]))])
-            lo, hi = F.element_at(lo_map, F.col(k)), F.element_at(hi_map, F.col(k))
-        else:
-            lo, hi = F.lit(found[0]["_lo"]), F.lit(found[0]["_hi"])
-        binned = data
-        # The grid of (class, bin) rows comes from the ranges already read, so
-        # the aggregation over the data is not run a second time.
-        grid = ranges.sparkSession.createDataFrame(
-            [tuple(r[c] for c in keys) + (r["_total"], r["_lo"], r["_hi"]) for r in found],
-            ranges.schema)
-    else:
-        binned = data.join(ranges, keys, "inner")
-        lo, hi = F.col("_lo"), F.col("_hi")
-        grid = ranges
-    raw_bin = F.floor((F.col("_x") - lo) * F.lit(bins) / (hi - lo))
-    binned = binned.select(*keys, F.least(raw_bin, F.lit(bins - 1)).cast("int").alias("bin"))
-    counts = binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n_rows"))
-    grid = grid.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    width = (F.col("_hi") - F.col("_lo")) / F.lit(bins)
-    out = (grid.join(counts, keys + ["bin"], "left")
-           .select(*keys, "bin",
-                   (F.col("_lo") + F.col("bin") * width).alias("bin_lo"),
-                   F.when(F.col("bin") == bins - 1, F.col("_hi"))
-                    .otherwise(F.col("_lo") + (F.col("bin") + 1) * width).alias("bin_hi"),
-                   F.coalesce(F.col("n_rows"), F.lit(0)).cast("bigint").alias("n_rows"),
-                   F.col("_total"), width.alias("_width")))
+    side = F.broadcast(ranges) if ranges.count() <= BROADCAST_ROWS else ranges
+    data = data.join(side, keys, "inner")
+
+    def edge(i):
+        return F.when(i == bins, F.col("_hi")).otherwise(i.cast("double") * F.col("_width") + F.col("_lo"))
+
+    first = F.floor((F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.lit(bins)).cast("int")
+    data = data.withColumn("_b", F.least(F.greatest(first, F.lit(0)), F.lit(bins - 1)))
+    data = data.withColumn("_b", F.when(F.col("_x") < edge(F.col("_b")), F.col("_b") - 1).otherwise(F.col("_b")))
+    data = data.withColumn("_b", F.when((F.col("_x") >= edge(F.col("_b") + 1)) & (F.col("_b") != bins - 1),
+                                        F.col("_b") + 1).otherwise(F.col("_b")))
+    counts = data.groupBy(*keys, F.col("_b").alias("bin")).agg(F.count(F.lit(1)).alias("n_rows"))
+    grid = ranges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    out = (grid.join(counts, [*keys, "bin"], "left")
+           .select(*keys, "bin", edge(F.col("bin")).alias("bin_lo"), edge(F.col("bin") + 1).alias("bin_hi"),
+                   F.coalesce(F.col("n_rows"), F.lit(0)).cast("bigint").alias("n_rows"), "_total", "_width"))
     if density:
         out = out.withColumn("density", F.col("n_rows") / (F.col("_total") * F.col("_width")))
-    return out.drop("_total", "_width").orderBy(*keys, "bin")
+    return out.orderBy(*keys, "bin").drop("_total", "_width", "_all")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimspark import fixed_values as FV
 from claimspark.functions import as_double, mean_of
+from claimspark.session import lookup_join
 
 
 def group_mean(df: DataFrame, key: str, value: str, out: str = "avg_amount") -> DataFrame:
@@ -21,42 +22,29 @@ def group_mean(df: DataFrame, key: str, value: str, out: str = "avg_amount") ->
             .agg(mean_of(F.sum(value), F.count(value)).alias(out)))
 
 
-MAX_GROUPS = 10_000
+def group_totals(df: DataFrame, key: str, value: str) -> DataFrame:
+    """Exact ``group_sum`` and ``group_n`` of the non-null values per non-null key."""
+    return (df.filter(F.col(key).isNotNull()).groupBy(key)
+            .agg(F.sum(value).alias("group_sum"), F.count(value).alias("group_n")))
 
 
-def small_lookup(table: DataFrame, key: str, value: str, max_rows: int = MAX_GROUPS) -> Column | None:
-    """``value`` of ``table`` looked up by ``key`` as a Column, when the table is small.
-
-    The table is read once; if it has at most ``max_rows`` rows (checked) it
-    becomes a literal map, so the rows it is applied to need no join and no
-    shuffle.  Returns ``None`` for a larger table (callers then join).
-    """
-    rows = table.select(key, value).limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return None
-    if not rows:
-        return F.lit(None).cast("double")
-    m = F.create_map(*[e for r in rows for e in (F.lit(r[0]), F.lit(r[1]))])
-    return F.element_at(m, F.col(key))
+def with_group_mean(df: DataFrame, means: DataFrame, key: str, avg_col: str, how: str = "left") -> DataFrame:
+    """``df`` with ``avg_col`` of its group.  A key that ``means`` repeats counts
+    once, with its largest mean."""
+    return lookup_join(df, means.groupBy(key).agg(F.max(avg_col).alias(avg_col)), [key], how)
 
 
 def ratio_outliers(df: DataFrame, key: str, value: str, factor: float = FV.INFLATION_FACTOR,
                    avg_col: str = "avg_amount", ratio_col: str = "ratio",
-                   means: DataFrame | None = None, max_groups: int = MAX_GROUPS) -> DataFrame:
+                   means: DataFrame | None = None) -> DataFrame:
     """Rows whose ``value`` is strictly above ``factor`` x the mean of their group.
 
     Adds the group mean ``avg_col`` and ``ratio_col = value / mean``.  ``means``
     may be supplied (e.g. computed on a training subset); by default it is the
-    mean over ``df`` itself.  The means table has one row per group: when that
-    is at most ``MAX_GROUPS`` rows it is applied as a literal lookup (no join),
-    otherwise it is joined on the key (AQE picks broadcast or sort-merge).
+    mean over ``df`` itself.
     """
     means = means if means is not None else group_mean(df, key, value, avg_col)
     amount = as_double(value)
-    avg = small_lookup(means, key, avg_col, max_groups)
-    if avg is not None:
-        staged = df.filter(F.col(key).isNotNull()).withColumn(avg_col, avg)
-    else:
-        staged = df.join(means.select(key, avg_col), key, "inner")
+    staged = with_group_mean(df, means.select(key, avg_col), key, avg_col, "inner")
     return (staged.filter(amount > F.col(avg_col) * F.lit(float(factor)))
             .withColumn(ratio_col, amount / F.col(avg_col)))

@@ -1,173 +1,98 @@
 """Global ordering without a single-partition sort.
 
 ``Window.orderBy(...)`` with no ``partitionBy`` moves every row into one task.
-The operators here avoid that with a two-level prefix sum:
-
-1. split the ordered domain into ``B`` buckets whose boundaries are
-   approximate quantiles (computed once, a list of ``B - 1`` numbers) or come
-   from a value already known to be uniform (a hash);
-2. per bucket, a window partitioned by the bucket gives the running sum
-   inside it — ``B`` balanced tasks;
-3. the per-bucket totals (``B`` rows, bounded by the parameter, so broadcast)
-   give each bucket its offset.
-
-Global ``RANK()`` then only needs the count of rows per distinct value, and
-the rank of a value is one plus the number of rows with a larger value.
+The operators here range-partition the rows instead (Spark samples the bounds,
+so the partitions are balanced whatever the values are) and note each row's
+partition number in a stored copy.  A window per partition gives the running
+sums inside it, and the per-partition totals, one row a partition, give each
+partition its offset.  Values are compared by Spark's own ordering, so big
+integers, decimals, strings, dates, NaN and nulls rank as in SQL.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimspark.session import checkpointed
+from claimspark.session import stored
 
+PARTITION = "_part"
 
-ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 10_000
 
+def _columns(order: Sequence[str | Column]) -> list[Column]:
+    return [F.col(o) if isinstance(o, str) else o for o in order]
 
-def buckets_for(rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
-    """Bucket count for a prefix sum over ``rows`` rows: one bucket per
-    ``rows_per_bucket`` rows, at least 1, at most ``MAX_BUCKETS``."""
-    return min(MAX_BUCKETS, max(1, -(-rows // rows_per_bucket)))
 
+def range_partitioned(df: DataFrame, order: Sequence[str | Column], partitions: int | None = None) -> DataFrame:
+    """A stored copy of ``df`` with ``PARTITION``: partitions follow ``order``.
 
-def default_buckets(df: DataFrame) -> int:
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")))
-
-
-def quantile_bucket(df: DataFrame, col: str, buckets: int | None = None, out: str = "_bucket",
-                    materialized: bool = False, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Add ``out``: the index of the approximate-quantile bucket of numeric ``col``.
-
-    Bucket order agrees with the order of ``col``; equal values share a bucket;
-    nulls go to the first bucket.  Unless ``materialized``, ``df`` is
-    checkpointed first, so its plan runs once however often it is read.  The
-    bucket count defaults to ``ceil(rows / rows_per_bucket)`` (at most
-    ``MAX_BUCKETS``): a small table is one bucket and needs no quantiles; a
-    large one gets ``B - 1`` approximate quantiles (relative error ``0.1 / B``,
-    so buckets stay balanced), the only numbers that reach the driver.
+    ``partitions`` defaults to ``spark.sql.shuffle.partitions``; adaptive
+    execution merges small neighbours.
     """
-    return _quantile_bucket(df, col, buckets, out, materialized, rows_per_bucket)[0]
-
-
-def _quantile_bucket(df: DataFrame, col: str, buckets: int | None, out: str,
-                     materialized: bool, rows_per_bucket: int) -> tuple[DataFrame, int]:
-    """``quantile_bucket`` plus the number of buckets actually used."""
-    if not materialized:
-        df = checkpointed(df)
-    if buckets is None:
-        buckets = buckets_for(df.count(), rows_per_bucket)
-    if buckets <= 1:
-        return df.withColumn(out, F.lit(0)), 1
-    probs = [i / buckets for i in range(1, buckets)]
-    bounds = df.select(F.col(col).cast("double").alias("_q")).approxQuantile("_q", probs, 0.1 / buckets)
-    # Finite, distinct inner splits; -inf / +inf are the outer edges already.
-    splits = sorted({b for b in bounds if b is not None and math.isfinite(b)})
-    if not splits:
-        return df.withColumn(out, F.lit(0)), 1
-    splits = [float("-inf")] + splits + [float("inf")]
-    staged = df.withColumn("_qv", F.coalesce(F.col(col).cast("double"), F.lit(float("-inf"))))
-    bz = Bucketizer(splits=splits, inputCol="_qv", outputCol=out, handleInvalid="keep")
-    return bz.transform(staged).withColumn(out, F.col(out).cast("int")).drop("_qv"), len(splits) - 1
+    cols = _columns(order)
+    dealt = df.repartitionByRange(partitions, *cols) if partitions else df.repartitionByRange(*cols)
+    return stored(dealt.withColumn(PARTITION, F.spark_partition_id()), "ranged")
 
 
 def exclusive_prefix(df: DataFrame, order: Sequence[str | Column], values: Sequence[str],
-                     bucket: Column | str | None = None, buckets: int | None = None,
                      inclusive: bool = False, suffix: str | None = None,
-                     materialized: bool = False,
-                     partition_by: Sequence[str] = ()) -> DataFrame:
-    """Running sums of ``values`` along ``order`` (ascending) over the whole frame,
-    or within each group of ``partition_by``.
+                     partition_by: Sequence[str] = (), partitions: int | None = None,
+                     ranged: bool = False) -> DataFrame:
+    """Running sums of ``values`` along ``order`` over the whole frame, or within
+    each group of ``partition_by``.
 
     For every row adds ``{v}{suffix}``: the sum of ``v`` over all rows (of its
     group) strictly before it (``inclusive=True`` also counts the row itself).
-    ``order`` must be a total order (unique per row).  ``bucket`` must be
-    non-decreasing along ``order``; when omitted it is the approximate-quantile
-    bucket of the first (numeric) order column.  A group never sits in one
-    task: its rows are spread over the buckets, and only the table of
-    per-(group, bucket) totals is ordered.
+    ``order`` must be a total order (unique per row).  A group never sits in
+    one task: its rows are spread over the range partitions, and only the table
+    of per-(group, partition) totals is ordered.  ``ranged``: ``df`` comes from
+    ``range_partitioned`` by the same groups and order.
     """
     groups = list(partition_by)
     suffix = suffix if suffix is not None else ("_upto" if inclusive else "_before")
-    order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
-    if bucket is None:
-        first = order[0]
-        if not isinstance(first, str):
-            df = df.withColumn("_ord0", first)
-            first = "_ord0"
-        df, used = _quantile_bucket(df, first, buckets, "_bucket", materialized, ROWS_PER_BUCKET)
-    else:
-        df = df.withColumn("_bucket", bucket if isinstance(bucket, Column) else F.col(bucket))
-        used = None
-    end = 0 if inclusive else -1
-    within = (Window.partitionBy(*groups, "_bucket").orderBy(*order_cols)
-              .rowsBetween(Window.unboundedPreceding, end))
-    if used == 1:
-        # One bucket (a small table): every offset is 0, no totals or join needed.
-        res = df.select("*", *[F.coalesce(F.sum(v).over(within), F.lit(0)).alias(f"{v}{suffix}")
-                               for v in values])
-        return res.drop(*[c for c in ("_bucket", "_ord0") if c in res.columns])
-    totals = df.groupBy(*groups, "_bucket").agg(*[F.sum(v).alias(f"_tot_{v}") for v in values])
-    before_bucket = (Window.partitionBy(*groups).orderBy("_bucket")
-                     .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select(*groups, "_bucket", *[
-        F.coalesce(F.sum(f"_tot_{v}").over(before_bucket), F.lit(0)).alias(f"_off_{v}")
-        for v in values])
-    res = df.select("*", *[F.coalesce(F.sum(v).over(within), F.lit(0)).alias(f"_in_{v}") for v in values])
-    # ``offsets`` has one row per (group, bucket).  Without groups the bucket
-    # count is a parameter, a proven bound, so it is broadcast; with groups its
-    # size depends on the data and AQE decides after measuring it.
-    side = offsets if groups else F.broadcast(offsets)
-    res = res.join(side, groups + ["_bucket"], "inner")
-    for v in values:
-        res = res.withColumn(f"{v}{suffix}", F.col(f"_off_{v}") + F.col(f"_in_{v}"))
-    drop = ["_bucket", "_ord0"] + [f"_off_{v}" for v in values] + [f"_in_{v}" for v in values]
-    return res.drop(*[c for c in drop if c in res.columns])
-
-
-def value_counts_ranked(df: DataFrame, col: str, descending: bool = True,
-                        buckets: int | None = None) -> DataFrame:
+    if not ranged:
+        df = range_partitioned(df, [*groups, *order], partitions)
+    within = (Window.partitionBy(*groups, PARTITION).orderBy(*_columns(order))
+              .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
+    earlier = Window.partitionBy(*groups).orderBy(PARTITION).rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    offsets = df.groupBy(*groups, PARTITION).agg(*[F.sum(v).alias(f"_tot_{v}") for v in values]).select(
+        *[F.col(g).alias(f"_g_{g}") for g in groups], F.col(PARTITION).alias("_p"),
+        *[F.coalesce(F.sum(f"_tot_{v}").over(earlier), F.lit(0)).alias(f"_off_{v}")
+          for v in values])
+    inside = df.select("*", *[F.coalesce(F.sum(v).over(within), F.lit(0)).alias(f"_in_{v}") for v in values])
+    same = [F.col(PARTITION) == F.col("_p"), *[F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups]]
+    res = inside.join(offsets, same, "inner")
+    return res.select(*[c for c in df.columns if c != PARTITION],
+                      *[(F.col(f"_off_{v}") + F.col(f"_in_{v}")).alias(f"{v}{suffix}") for v in values])
+
+
+def value_counts_ranked(df: DataFrame, col: str, descending: bool = True, partitions: int | None = None) -> DataFrame:
     """One row per distinct value of ``col`` with ``n`` and its ``RANK()``.
 
-    Rank follows SQL: ties share a rank and leave gaps; nulls sort last when
-    descending and first when ascending (Spark's default null ordering).
+    Ties share a rank and leave gaps; nulls come last when descending and first
+    when ascending, NaN counts as the largest number (Spark's SQL ordering).
     """
     counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
-    x = F.col(col).cast("double")
-    key = (F.coalesce(-x, F.lit(float("inf"))) if descending
-           else F.coalesce(x, F.lit(float("-inf"))))
-    counts = counts.withColumn("_okey", key)
-    pre = exclusive_prefix(counts, ["_okey"], ["_n"], buckets=buckets)
+    order = F.col(col).desc_nulls_last() if descending else F.col(col).asc_nulls_first()
+    pre = exclusive_prefix(counts, [order], ["_n"], partitions=partitions)
     return pre.select(col, F.col("_n").alias("n"), (F.col("_n_before") + 1).alias("rank"))
 
 
 def global_rank(df: DataFrame, col: str, out: str = "rank", descending: bool = True,
-                buckets: int | None = None) -> DataFrame:
+                partitions: int | None = None, population: DataFrame | None = None) -> DataFrame:
     """``RANK() OVER (ORDER BY col [DESC])`` for every row, without a one-task sort.
 
-    The per-value rank table has one row per distinct value; the join back is
-    an equi-join on the value (null-safe), planned by AQE: a broadcast when the
-    table is small, otherwise a sort-merge join with skew splitting, so a value
-    holding a third of the rows does not land in one task.
+    With ``population`` the rank is that among its rows (``df`` may then be a
+    part of it, such as a top-k).  The table of ranks has one row per distinct
+    value; the join back is a null-safe equi-join that adaptive execution
+    broadcasts or splits by measured size, so a value holding a third of the
+    rows does not land in one task.
     """
-    ranks = value_counts_ranked(df, col, descending, buckets).select(
+    ranks = value_counts_ranked(df if population is None else population, col, descending, partitions).select(
         F.col(col).alias("_rv"), F.col("rank").alias(out))
-    return (df.join(ranks, df[col].eqNullSafe(ranks["_rv"]), "inner").drop("_rv"))
-
-
-MAX_BROADCAST_ROWS = 100_000
-
-
-def max_rows(df: DataFrame) -> int | None:
-    """The row bound Catalyst can prove for ``df`` (e.g. from a ``limit``), or None."""
-    bound = df._jdf.queryExecution().optimizedPlan().maxRows()
-    return int(bound.get()) if bound.isDefined() else None
+    return df.join(ranks, df[col].eqNullSafe(ranks["_rv"]), "inner").drop("_rv")
 
 
 def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
@@ -179,37 +104,11 @@ def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
-def rank_within(rows: DataFrame, population: DataFrame, col: str, key: str | Sequence[str],
-                out: str = "rank", descending: bool = True) -> DataFrame:
-    """``RANK()`` of each row of a *bounded* frame (e.g. a top-k result) within a
-    whole population: 1 + number of population rows with a larger (smaller) value.
-
-    The population is reduced to counts per distinct value first; ``rows`` must
-    be bounded (a ``limit``) and unique on ``key``; it is the side broadcast to
-    the non-equi join, so the join costs ``k x distinct values``.
-    """
-    keys = [key] if isinstance(key, str) else list(key)
-    counts = population.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.select(F.col(col).alias("_pv"), "_n")
-    beats = (F.col("_pv") > F.col(col)) if descending else (F.col("_pv") < F.col(col))
-    side = rows.select(*keys, col)
-    bound = max_rows(rows)
-    if bound is not None and bound <= MAX_BROADCAST_ROWS:
-        side = F.broadcast(side)  # the plan itself proves the size (a limit)
-    ahead = (counts.join(side, beats, "inner")
-             .groupBy(*keys).agg(F.sum("_n").alias("_ahead")))
-    return (rows.join(ahead, keys, "left")
-            .withColumn(out, (F.coalesce(F.col("_ahead"), F.lit(0)) + 1).cast("bigint"))
-            .drop("_ahead"))
-
-
-def sequential_ids(df: DataFrame, order: Sequence[str | Column], bucket: Column | None = None,
-                   out: str = "seq", start: int = 1, buckets: int | None = None,
-                   partition_by: Sequence[str] = ()) -> DataFrame:
+def sequential_ids(df: DataFrame, order: Sequence[str | Column], out: str = "seq", start: int = 1,
+                   partition_by: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
     """Number the rows ``start, start+1, ...`` along a total ``order`` (``row_number``
-    over the whole frame, or per ``partition_by`` group) with the two-level
-    prefix sum instead of one task per frame or group."""
+    over the whole frame, or per ``partition_by`` group) without one task per
+    frame or group."""
     staged = df.withColumn("_one", F.lit(1).cast("bigint"))
-    res = exclusive_prefix(staged, order, ["_one"], bucket=bucket, buckets=buckets,
-                           partition_by=partition_by)
+    res = exclusive_prefix(staged, order, ["_one"], partition_by=partition_by, partitions=partitions)
     return res.withColumn(out, F.col("_one_before") + F.lit(start)).drop("_one", "_one_before")

@@ -7,17 +7,14 @@ shuffle, is identical on every run and survives task re-execution (unlike
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimspark import fixed_values as FV
 from claimspark.functions import stable_unit_hash, unit_interval
-from claimspark.operators.outliers import small_lookup
-from claimspark.operators.ranking import sequential_ids
-from claimspark.session import checkpointed
+from claimspark.session import lookup_join, stored
 
 _HASH_SPACE = 4294967296  # 2^32
-MAX_CLASSES = 1_000
 
 
 def hash_sample(df: DataFrame, id_col: str, fraction: float, seed: int = FV.SPLIT_SEED) -> DataFrame:
@@ -37,28 +34,31 @@ def hash_split(df: DataFrame, id_col: str, test_fraction: float = FV.TEST_FRACTI
 
 def exact_stratified_split(df: DataFrame, id_col: str, label: str,
                            test_fraction: float = FV.TEST_FRACTION, seed: int = FV.SPLIT_SEED,
-                           out: str = "is_test", buckets: int | None = None) -> DataFrame:
+                           out: str = "is_test", buckets: int = 1 << 16) -> DataFrame:
     """Exactly ``round(test_fraction * n_class)`` test rows per class (the
-    class sizes of a stratified split), chosen by the smallest hashes.
+    class sizes of a stratified split), chosen by the smallest (hash, id).
 
-    All classes are numbered in one pass: rows are numbered within their
-    class in (hash, id) order with the two-level prefix sum, whose buckets are
-    hash ranges (the hash is uniform, so they are balanced without sampling).
-    A class holding almost every row is still spread over ``buckets`` tasks.
-    The per-class test sizes (one row per class, checked) are a literal lookup.
+    Only the k-th (hash, id) of each class is looked for: counts per (class,
+    hash range) tell which of ``buckets`` hash ranges holds it, and just the
+    rows of that range are numbered.  Two aggregating passes over the id and
+    label, then the rows are compared with their class's cut-off; no row is
+    sorted or copied, and a class holding almost every row is no special case.
+    Rows without a label are left out.
     """
-    b = buckets or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")))
-    # Read three times below (class sizes, bucket totals, numbering): evaluate
-    # the input once.
-    staged = checkpointed(df.filter(F.col(label).isNotNull())
-                          .withColumn("_h", stable_unit_hash(id_col, seed))
-                          .withColumn("_hb", F.floor(F.col("_h") * F.lit(b) / F.lit(_HASH_SPACE))))
-    sizes = (staged.groupBy(label).agg(F.count(F.lit(1)).alias("_class_n"))
-             .select(label, F.round(F.col("_class_n") * F.lit(float(test_fraction))).cast("bigint").alias("_k")))
-    k = small_lookup(sizes, label, "_k", MAX_CLASSES)
-    if k is None:
-        raise ValueError(f"{label} has more than {MAX_CLASSES} classes; not a label")
-    numbered = sequential_ids(staged, ["_h", id_col], bucket=F.col("_hb"), out="_pos",
-                              partition_by=[label])
-    return (numbered.withColumn(out, (F.col("_pos") <= k).cast("int"))
-            .drop("_h", "_hb", "_pos"))
+    marked = (df.filter(F.col(label).isNotNull()).withColumn("_h", stable_unit_hash(id_col, seed))
+              .withColumn("_hb", F.floor(F.col("_h") * F.lit(buckets) / F.lit(_HASH_SPACE))))
+    counts = stored(marked.groupBy(label, "_hb").agg(F.count(F.lit(1)).alias("_n")), "hash-counts")
+    sizes = counts.groupBy(label).agg(
+        F.round(F.sum("_n") * F.lit(float(test_fraction))).cast("bigint").alias("_k"))
+    upto = Window.partitionBy(label).orderBy("_hb").rowsBetween(Window.unboundedPreceding, -1)
+    crossing = (counts.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
+                .join(sizes, label).filter((F.col("_before") < F.col("_k")) & (F.col("_before") + F.col("_n") >= F.col("_k")))
+                .select(label, "_hb", (F.col("_k") - F.col("_before")).alias("_nth")))
+    order = Window.partitionBy(label).orderBy("_h", id_col)
+    cut = (lookup_join(marked.select(label, id_col, "_h", "_hb"), crossing, [label, "_hb"])
+           .withColumn("_r", F.row_number().over(order)).filter(F.col("_r") == F.col("_nth"))
+           .select(label, F.struct("_h", F.col(id_col).alias("_id")).alias("_cut")))
+    here = F.struct("_h", F.col(id_col).alias("_id"))
+    return (lookup_join(marked, cut, [label], "left")
+            .withColumn(out, F.coalesce(here <= F.col("_cut"), F.lit(False)).cast("int"))
+            .select(*df.columns, out))

@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 
 from claimspark import fixed_values as FV
 from claimspark.functions import as_double, eq_flag, flag, safe_divisor
-from claimspark.operators.outliers import group_mean, small_lookup
+from claimspark.operators.outliers import group_mean, with_group_mean
 
-PATIENT_COLUMNS = ["patient_id", "age", "gender", "policy_type", "premium_tier", "kyc_verified"]
-PROVIDER_COLUMNS = ["provider_id", "provider_type", "empanelled"]
+PATIENT_COLUMNS, PROVIDER_COLUMNS = FV.PATIENT_COLUMNS, FV.PROVIDER_COLUMNS
 
 
 def disease_means(claims: DataFrame, key: str = "disease_category",
@@ -26,15 +25,11 @@ def claim_flags(claims: DataFrame, means: DataFrame | None = None) -> DataFrame:
     high_procedure, short_stay, suspicious_pattern, disease_avg_amount,
     inflation_ratio, is_inflated.
 
-    The means (one row per category) are applied as a literal lookup when
-    there are at most ``MAX_GROUPS`` categories, else left-joined.
+    The means (one row per category) are computed when this is called and
+    left-joined, by broadcast if they are few.
     """
     means = means if means is not None else disease_means(claims)
-    avg = small_lookup(means, "disease_category", "disease_avg_amount")
-    if avg is not None:
-        df = claims.withColumn("disease_avg_amount", avg)
-    else:
-        df = claims.join(means.select("disease_category", "disease_avg_amount"), "disease_category", "left")
+    df = with_group_mean(claims, means, "disease_category", "disease_avg_amount")
     amount = as_double("claim_amount")
     return (df.select(
         *claims.columns,

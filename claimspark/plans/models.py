@@ -10,7 +10,7 @@ the executors (see ``claimspark.operators.evaluation``).
 Differences to scikit-learn / XGBoost that are inherent and documented:
 Spark's ``StandardScaler`` uses the sample standard deviation; sklearn's
 ``C=1`` L2 penalty is expressed as ``regParam = 1 / n_train``; Spark trees
-are depth-limited (sklearn's forest grows until pure); Spark's GBT has no L2
+are at most 30 levels deep (sklearn's forest grows until pure); Spark's GBT has no L2
 leaf penalty.  Compare these models on ranking quality (AUC), not on
 coefficients.
 """
@@ -24,14 +24,16 @@ from pyspark.ml import Model
 from pyspark.ml.classification import (
     GBTClassifier, LogisticRegression, RandomForestClassifier,
 )
-from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimspark import fixed_values as FV
 from claimspark.operators.evaluation import auc
-from claimspark.operators.sampling import hash_split
+from claimspark.operators.ranking import sequential_ids
+from claimspark.operators.sampling import hash_sample, hash_split
+from claimspark.session import lookup_join, stored
 
 FEATURES = FV.NUMERIC_FEATURES + [enc for _, enc in FV.CATEGORICAL_FEATURES]
 
@@ -40,17 +42,19 @@ def encode(df: DataFrame, pairs: Sequence[tuple[str, str]] = tuple(FV.CATEGORICA
            fill: str = FV.UNKNOWN_LABEL) -> DataFrame:
     """Integer codes for categorical columns, codes assigned in sorted label order.
 
-    One ``StringIndexer`` fit collects the distinct labels of every column
-    (bounded by the number of categories) in a single aggregation.
+    The distinct labels of all columns are found in one aggregating pass and
+    numbered per column; each column then looks its codes up (broadcast if the
+    labels are few), so no label set passes through the driver.
     """
-    srcs = [s for s, _ in pairs]
-    filled = df.na.fill(fill, subset=srcs)
-    idx = StringIndexer(inputCols=srcs, outputCols=[f"_{o}" for _, o in pairs],
-                        stringOrderType="alphabetAsc", handleInvalid="keep").fit(filled)
-    out = idx.transform(filled)
-    for _, o in pairs:
-        out = out.withColumn(o, F.col(f"_{o}").cast("int")).drop(f"_{o}")
-    return out
+    filled = df.na.fill(fill, subset=[s for s, _ in pairs])
+    labels = filled.select(F.explode(F.array(*[
+        F.struct(F.lit(out).alias("column"), F.col(src).alias("label")) for src, out in pairs])).alias("c"))
+    labels = labels.select("c.column", "c.label").distinct()
+    codes = stored(sequential_ids(labels, ["label"], out="code", start=0, partition_by=["column"]), "label-codes")
+    for src, out in pairs:
+        own = codes.filter(F.col("column") == out).select(F.col("label").alias(src), F.col("code").cast("int").alias(out))
+        filled = lookup_join(filled, own, [src], "left")
+    return filled.select(*df.columns, *[out for _, out in pairs])
 
 
 def complete_rows(df: DataFrame, cols: Sequence[str] = tuple(FEATURES), label: str = FV.LABEL) -> DataFrame:
@@ -63,22 +67,18 @@ def assemble(df: DataFrame, cols: Sequence[str] = tuple(FEATURES), out: str = "f
 
 
 def prepare(features: DataFrame, id_col: str = "claim_id", label: str = FV.LABEL,
-            test_fraction: float = FV.TEST_FRACTION, seed: int = FV.SPLIT_SEED,
-            partitions: int | None = None) -> DataFrame:
-    """Encoded, complete, assembled rows with ``label`` (double) and ``is_test``.
-
-    The rows are hash-partitioned on the id into ``partitions`` (default: the
-    larger of twice the default parallelism and the shuffle partitions) so the
-    iterative fits, which make one pass per iteration or tree level, keep
-    every core busy.
-    """
-    spark = features.sparkSession
-    n = partitions or max(2 * spark.sparkContext.defaultParallelism,
-                          int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
+            test_fraction: float = FV.TEST_FRACTION, seed: int = FV.SPLIT_SEED) -> DataFrame:
+    """Encoded, complete, assembled rows with ``label`` (double) and ``is_test``."""
     enc = complete_rows(encode(features))
     vec = assemble(enc).withColumn("label", F.col(label).cast("double"))
-    rows = vec.select(id_col, "label", "features").repartition(n, id_col)
-    return hash_split(rows, id_col, test_fraction, seed)
+    return hash_split(vec.select(id_col, "label", "features"), id_col, test_fraction, seed)
+
+
+def training_sample(train: DataFrame, max_rows: int, id_col: str = "claim_id", seed: int = FV.SAMPLE_SEED) -> DataFrame:
+    """About ``max_rows`` of the training rows (all, if there are no more): those
+    whose id hashes lowest, so the sample is the same on every run."""
+    n = train.count()
+    return train if n <= max_rows else hash_sample(train, id_col, max_rows / n, seed)
 
 
 def fit_scaler(train: DataFrame, col: str = "features", out: str = "scaled") -> Model:
@@ -94,8 +94,9 @@ def fit_logistic(train: DataFrame, col: str = "scaled", max_iter: int = FV.LOGIS
     return lr.fit(train)
 
 
-def fit_forest(train: DataFrame, trees: int = FV.FOREST_TREES, max_depth: int = 10,
+def fit_forest(train: DataFrame, trees: int = FV.FOREST_TREES, max_depth: int = FV.FOREST_MAX_DEPTH,
                seed: int = FV.SPLIT_SEED) -> Model:
+    """Random forest on unscaled features, grown to Spark's largest depth."""
     rf = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees,
                                 maxDepth=max_depth, featureSubsetStrategy="sqrt", seed=seed)
     return rf.fit(train)
@@ -108,17 +109,17 @@ def fit_boosted(train: DataFrame, rounds: int = FV.BOOSTED_ROUNDS, max_depth: in
     return gbt.fit(train)
 
 
-def score(model: Model, df: DataFrame, id_col: str = "claim_id") -> DataFrame:
-    """``id, label, probability (positive class), prediction`` per row."""
-    return model.transform(df).select(
-        id_col, F.col("label").cast("int").alias("label"),
-        vector_to_array("probability")[1].alias("probability"),
-        F.col("prediction").cast("int").alias("prediction"))
+def score(model: Model, df: DataFrame, suffix: str = "") -> DataFrame:
+    """``df`` with ``probability{suffix}`` (positive class) and ``prediction{suffix}``."""
+    model = (model.copy().setRawPredictionCol("_raw").setProbabilityCol("_probability").setPredictionCol("_prediction"))
+    out = model.transform(df)
+    return out.withColumns({f"probability{suffix}": vector_to_array("_probability")[1],
+                            f"prediction{suffix}": F.col("_prediction").cast("int")}).drop("_raw", "_probability", "_prediction")
 
 
 def compare(scored: dict[str, DataFrame]) -> DataFrame:
-    """``model, auc`` for each scored test set."""
-    parts = [auc(s, "label", "probability").select(F.lit(name).alias("model"), "auc")
+    """``model, auc, n_pos, n_neg`` for each scored test set."""
+    parts = [auc(s, "label", "probability").select(F.lit(name).alias("model"), "auc", "n_pos", "n_neg")
              for name, s in scored.items()]
     out = parts[0]
     for p in parts[1:]:
@@ -139,58 +140,68 @@ def importances(model: Model, names: Sequence[str] = tuple(FEATURES), top: int =
     return df.orderBy(F.col("importance").desc(), "feature").limit(top)
 
 
+MODELS = ("logistic", "forest", "boosted")
+
+
 class FraudModels:
-    """Fit the three classifiers on one prepared frame (cached once)."""
+    """The three classifiers, fitted on at most about ``max_train_rows`` training
+    rows (the only bounded part); every test row is scored."""
 
     def __init__(self, prepared: DataFrame, trees: int = FV.FOREST_TREES,
-                 rounds: int = FV.BOOSTED_ROUNDS, max_iter: int = FV.LOGISTIC_MAX_ITER):
-        self.data = prepared.persist()
+                 rounds: int = FV.BOOSTED_ROUNDS, max_iter: int = FV.LOGISTIC_MAX_ITER,
+                 max_train_rows: int = FV.MAX_TRAIN_ROWS, max_depth: int = FV.FOREST_MAX_DEPTH):
+        self.data = stored(prepared, "model-rows")
         self.train = self.data.filter(F.col("is_test") == 0)
         self.test = self.data.filter(F.col("is_test") == 1)
-        self.trees, self.rounds, self.max_iter = trees, rounds, max_iter
-        self._scaler = self._lr = self._rf = self._gbt = None
-
-    def scaler(self):
-        if self._scaler is None:
-            self._scaler = fit_scaler(self.train)
-        return self._scaler
-
-    def logistic(self):
-        if self._lr is None:
-            self._lr = fit_logistic(self.scaler().transform(self.train), max_iter=self.max_iter)
-        return self._lr
-
-    def forest(self):
-        if self._rf is None:
-            self._rf = fit_forest(self.train, trees=self.trees)
-        return self._rf
-
-    def boosted(self):
-        if self._gbt is None:
-            self._gbt = fit_boosted(self.train, rounds=self.rounds)
-        return self._gbt
-
-    def fit_all(self, parallel: bool = True) -> "FraudModels":
-        """Fit the three models; with ``parallel`` their jobs are submitted
-        concurrently from three threads, so the many short jobs of one fit
-        fill the gaps between the jobs of the others."""
-        self.scaler()
-        fits = [self.logistic, self.forest, self.boosted]
-        if parallel:
-            with ThreadPoolExecutor(max_workers=len(fits)) as pool:
-                for f in [pool.submit(fit) for fit in fits]:
-                    f.result()
-        else:
-            for fit in fits:
-                fit()
+        self.sample = training_sample(self.train, max_train_rows)
+        self.trees, self.rounds, self.max_iter, self.max_depth = trees, rounds, max_iter, max_depth
+        self.fitted: dict[str, Model] = {}
+        self._scored = None
+
+    def scaler(self) -> Model:
+        if "scaler" not in self.fitted:
+            self.fitted["scaler"] = fit_scaler(self.sample)
+        return self.fitted["scaler"]
+
+    def fit_all(self) -> "FraudModels":
+        """Fit what is not fitted yet.  The jobs of the fits are submitted
+        concurrently, so the many short jobs of one fill the gaps of the others;
+        the sample is cached while they run."""
+        missing = [m for m in MODELS if m not in self.fitted]
+        if missing:
+            # bounded rows, read once per iteration or tree level: few tasks of some size
+            width = 2 * self.sample.sparkSession.sparkContext.defaultParallelism
+            width = min(width, 1 + self.sample.count() // 5_000)
+            rows = self.scaler().transform(self.sample).repartition(width).persist()
+            fits = {"logistic": lambda: fit_logistic(rows, max_iter=self.max_iter),
+                    "forest": lambda: fit_forest(rows, trees=self.trees, max_depth=self.max_depth),
+                    "boosted": lambda: fit_boosted(rows, rounds=self.rounds)}
+            with ThreadPoolExecutor(max_workers=len(missing)) as pool:
+                found = {m: pool.submit(fits[m]) for m in missing}
+                self.fitted.update({m: f.result() for m, f in found.items()})
+            rows.unpersist()
         return self
 
+    def boosted(self) -> Model:
+        return self.fit_all().fitted["boosted"]
+
+    def scores(self) -> DataFrame:
+        """Every test row once, with the probability and class of all three models
+        (``probability_logistic`` ...): one pass, written to the shared folder."""
+        if self._scored is None:
+            self.fit_all()
+            rows = self.scaler().transform(self.test)
+            for m in MODELS:
+                rows = score(self.fitted[m], rows, f"_{m}")
+            self._scored = stored(rows.select(
+                "claim_id", F.col("label").cast("int").alias("label"),
+                *[c for m in MODELS for c in (f"probability_{m}", f"prediction_{m}")]), "model-scores")
+        return self._scored
+
     def scored(self, which: str) -> DataFrame:
-        if which == "logistic":
-            return score(self.logistic(), self.scaler().transform(self.test))
-        model = self.forest() if which == "forest" else self.boosted()
-        return score(model, self.test)
+        """``claim_id, label, probability, prediction`` of one model."""
+        return self.scores().select("claim_id", "label", F.col(f"probability_{which}").alias("probability"),
+                                    F.col(f"prediction_{which}").alias("prediction"))
 
     def comparison(self) -> DataFrame:
-        self.fit_all()
-        return compare({m: self.scored(m) for m in ("logistic", "forest", "boosted")})
+        return compare({m: self.scored(m) for m in MODELS})

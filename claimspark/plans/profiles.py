@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimspark import fixed_values as FV
-from claimspark.functions import as_double, band, mean_of, pct, round_half_up, tier
+from claimspark.functions import as_double, band, mean_of, pct, round_half_up, round_pct, round_ratio, tier
 from claimspark.operators import aggregates as agg
 from claimspark.operators.histogram import histogram
-from claimspark.operators.ranking import rank_within, top_k
-from claimspark.session import checkpointed
+from claimspark.operators.ranking import global_rank, top_k
+from claimspark.plans.features import claim_flags
+from claimspark.session import stored
 
 
 def provider_stats(claims: DataFrame, providers: DataFrame, digits: int = 2) -> DataFrame:
@@ -27,9 +28,9 @@ def provider_stats(claims: DataFrame, providers: DataFrame, digits: int = 2) ->
                 F.count("claim_amount").alias("_n")))
     return (per.join(providers.select("provider_id", "hospital_name", "provider_type"), "provider_id", "inner")
             .select("provider_id", "hospital_name", "provider_type", "total_claims", "fraud_claims",
-                    round_half_up(as_double("_billed"), digits).alias("total_billed"),
-                    round_half_up(mean_of("_billed", "_n"), digits).alias("avg_claim"),
-                    round_half_up(pct("fraud_claims", "total_claims"), digits).alias("fraud_rate_pct")))
+                    round_half_up("_billed", digits).alias("total_billed"),
+                    round_ratio("_billed", "_n", digits).alias("avg_claim"),
+                    round_pct("fraud_claims", "total_claims", digits).alias("fraud_rate_pct")))
 
 
 def provider_rank(claims: DataFrame, providers: DataFrame, min_claims: int = FV.RANK_MIN_CLAIMS,
@@ -38,21 +39,26 @@ def provider_rank(claims: DataFrame, providers: DataFrame, min_claims: int = FV.
     rank taken over *all* providers, then ``total_claims >= min_claims``, first
     ``limit`` by rank (provider id breaks ties).
 
-    The ``limit`` rows are picked with a distributed top-k, and only their ranks
-    are computed, against the count of providers per fraud-claim value — no
-    sort of the whole provider table into one task.  The per-provider table
-    (one row per provider) is checkpointed, so the claims are aggregated once
-    for both the top-k and the rank counts.
+    The ``limit`` rows are picked with a distributed top-k and looked up in the
+    table of ranks, one row per fraud-claim count — no sort of the whole
+    provider table into one task.  The per-provider table (one row per
+    provider) is stored, so the claims are aggregated once for both.
     """
-    stats = checkpointed(provider_stats(claims, providers))
+    stats = stored(provider_stats(claims, providers), "provider-stats")
     candidates = top_k(stats.filter(F.col("total_claims") >= min_claims),
                        [F.col("fraud_claims").desc(), F.col("provider_id").asc()], limit)
-    ranked = rank_within(candidates, stats, "fraud_claims", key="provider_id", out="fraud_rank")
+    ranked = global_rank(candidates, "fraud_claims", out="fraud_rank", population=stats)
     return (ranked.select("provider_id", "hospital_name", "provider_type", "total_claims",
                           "fraud_claims", "total_billed", "avg_claim", "fraud_rate_pct", "fraud_rank")
             .orderBy("fraud_rank", "provider_id"))
 
 
+def provider_fraud_ranks(claims: DataFrame, providers: DataFrame) -> DataFrame:
+    """Every provider with its fraud claims and their ``RANK()``, largest first."""
+    stats = stored(provider_stats(claims, providers).select("provider_id", "fraud_claims"), "provider-frauds")
+    return global_rank(stats, "fraud_claims", out="fraud_rank").select("provider_id", "fraud_claims", "fraud_rank")
+
+
 def monthly_trend(claims: DataFrame) -> DataFrame:
     """Query 6: per ``yyyy-MM`` month: claims, fraud claims, rate, fraud and total amounts."""
     month = F.date_format("claim_date", FV.MONTH_FORMAT)
@@ -118,17 +124,29 @@ def tier_counts(risk: DataFrame) -> DataFrame:
 
 def rate_histogram(risk: DataFrame, bins: int = FV.PROVIDER_RATE_HIST_BINS) -> DataFrame:
     """Count histogram of the fraud rate of a risk table.  The risk table (one
-    row per provider) is checkpointed so the claims are aggregated once for
+    row per provider) is stored so the claims are aggregated once for
     both passes of the histogram (range, then bins)."""
-    return histogram(checkpointed(risk.select("fraud_rate")), "fraud_rate", bins)
+    return histogram(stored(risk.select("fraud_rate"), "risk-rates"), "fraud_rate", bins)
 
 
 def amount_histogram(claims: DataFrame, bins: int = FV.AMOUNT_HIST_BINS) -> DataFrame:
     return histogram(claims, "claim_amount", bins, by="is_fraud", density=True)
 
 
-def ratio_histogram(features: DataFrame, bins: int = FV.RATIO_HIST_BINS) -> DataFrame:
-    return histogram(features, "inflation_ratio", bins, by="is_fraud", density=True)
+def ratio_histogram(claims: DataFrame, bins: int = FV.RATIO_HIST_BINS, by: str = "is_fraud") -> DataFrame:
+    """Density of the ratio of a claim to its category's mean, per class, in two
+    passes over the claims: sums, counts and extremes per (category, class) give
+    both the means and the range of the ratios; the second pass bins them."""
+    key, x = "disease_category", F.col("claim_amount")
+    parts = stored(claims.filter(F.col(key).isNotNull()).groupBy(key, by).agg(
+        F.sum(x).alias("s"), F.count(x).alias("n"), as_double(F.min(x)).alias("lo"), as_double(F.max(x)).alias("hi")), "ratio-parts")
+    means = stored(parts.groupBy(key).agg(mean_of(F.sum("s"), F.sum("n")).alias("disease_avg_amount")), "ratio-means")
+    ends = parts.join(means, key).filter(F.col(by).isNotNull()).withColumns(
+        {e: F.col(e) / F.col("disease_avg_amount") for e in ("lo", "hi")})
+    ranges = ends.groupBy(by).agg(F.min(F.least("lo", "hi")).alias("lo"), F.max(F.greatest("lo", "hi")).alias("hi"),
+                                  F.sum("n").alias("total"))
+    return histogram(claim_flags(claims.select(*claims.columns), means), "inflation_ratio", bins, by=by, density=True,
+                     ranges=ranges)
 
 
 def stay_procedure_grid(claims: DataFrame) -> DataFrame:

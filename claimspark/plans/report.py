@@ -5,7 +5,8 @@ table, write them out.
 script: the eight rule/profile queries, the EDA tables behind every chart,
 the risk tables, the model comparison and evaluation, and the two published
 extracts (provider risk scores and the claim-level analysis, as CSV).  Every
-result is a DataFrame written by the executors; nothing is collected.
+result is a DataFrame written by the executors; only single totals and the
+fitted models reach the driver.
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ def result_tables(t: dict[str, DataFrame], with_models: bool = True,
         "eda_fraud_type_counts": agg.value_counts(inv, "fraud_type"),
         "eda_stay_procedure_grid": profiles.stay_procedure_grid(c),
         "eda_monthly": agg.monthly_counts(c, "claim_date", "is_fraud"),
-        "eda_ratio_hist": profiles.ratio_histogram(flags),
+        "eda_ratio_hist": profiles.ratio_histogram(c),
         "eda_rate_by_policy": profiles.rate_by_patient_attribute(c, p, "policy_type"),
         "eda_recovered_by_status": agg.sum_by(inv, "status", "amount_recovered", "amount_recovered"),
         "provider_rate_hist": profiles.rate_histogram(risk),

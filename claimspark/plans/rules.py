@@ -1,7 +1,8 @@
 """The five rule queries over claims, patients and providers.
 
-Each function returns a lazy DataFrame whose columns and order follow the
-named query.  Joins to the dimensions happen after the claims have been
+The columns and order follow the named query; money and ratios are exact
+DECIMALs.  Query 1 computes its table of category totals when it is called,
+everything else is lazy.  Joins to the dimensions happen after the claims have been
 filtered or aggregated, so the dimension join only sees the rows (or the
 groups) that survive; dimension sides are never broadcast by hint because
 they grow with the data — AQE broadcasts them only when their measured size
@@ -15,22 +16,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimspark import fixed_values as FV
-from claimspark.functions import as_double, round_half_up
-from claimspark.operators.outliers import ratio_outliers
+from claimspark.functions import round_half_up, round_ratio
+from claimspark.operators.outliers import group_totals, ratio_outliers
 from claimspark.operators.pairs import near_pairs
+from claimspark.session import lookup_join
 
 
 def claim_inflation(claims: DataFrame, patients: DataFrame, factor: float = FV.INFLATION_FACTOR,
                     key: str = "disease_category", means: DataFrame | None = None,
                     order: bool = True) -> DataFrame:
-    """Query 1: claims whose amount is above ``factor`` x the mean of their category."""
-    flagged = ratio_outliers(
-        claims.select("claim_id", "patient_id", key, "claim_amount"),
-        key, "claim_amount", factor, avg_col="avg_amount", ratio_col="_ratio", means=means)
+    """Query 1: claims whose amount is above ``factor`` x the mean of their category.
+
+    By default everything is exact: ``amount * n > factor * sum`` decides, and
+    mean and ratio are rounded from sum and count.  With ``means`` (key,
+    avg_amount as double) the comparison and the ratio are in doubles.
+    """
+    rows = claims.select("claim_id", "patient_id", key, "claim_amount")
+    if means is not None:
+        flagged = ratio_outliers(rows, key, "claim_amount", factor, means=means)
+        average, ratio = round_half_up("avg_amount"), round_half_up("ratio")
+    else:
+        scaled = F.col("claim_amount") * F.col("group_n")
+        flagged = (lookup_join(rows, group_totals(claims, key, "claim_amount"), [key])
+                   .filter(scaled > F.col("group_sum") * F.lit(factor)))
+        average = round_ratio("group_sum", "group_n")
+        ratio = round_ratio(scaled * 100, (F.col("group_sum") * 100).cast("decimal(38,0)"), places=0)
     out = (flagged.join(patients.select("patient_id", "name"), "patient_id", "inner")
            .select("claim_id", "patient_id", "name", key, "claim_amount",
-                   round_half_up("avg_amount").alias("category_avg"),
-                   round_half_up("_ratio").alias("inflation_ratio")))
+                   average.alias("category_avg"), ratio.alias("inflation_ratio")))
     return out.orderBy(F.col("inflation_ratio").desc(), "claim_id") if order else out
 
 
@@ -78,12 +91,10 @@ def procedure_burst(claims: DataFrame, patients: DataFrame,
                           & (F.col("days_hospitalised") <= max_days))
             .select("claim_id", "patient_id", "disease_category", "num_procedures",
                     "days_hospitalised", "claim_amount"))
-    per_proc = F.when(F.col("num_procedures") != 0,
-                      as_double("claim_amount") / F.col("num_procedures").cast("double"))
     out = (hits.join(patients.select("patient_id", "name"), "patient_id", "inner")
            .select("claim_id", "patient_id", "name", "disease_category", "num_procedures",
                    "days_hospitalised", round_half_up("claim_amount").alias("claim_amount"),
-                   round_half_up(per_proc).alias("cost_per_procedure")))
+                   round_ratio("claim_amount", "num_procedures").alias("cost_per_procedure")))
     return out.orderBy(F.col("cost_per_procedure").desc(), "claim_id") if order else out
 
 
@@ -101,8 +112,8 @@ def kyc_high_claims(claims: DataFrame, patients: DataFrame,
                    .agg(F.count("claim_id").alias("total_claims"),
                         F.sum("claim_amount").alias("_total"),
                         F.sum("is_fraud").cast("bigint").alias("fraud_count"))
-                   .withColumn("total_claimed", round_half_up(as_double("_total")))
-                   .filter(F.col("total_claimed") > F.lit(float(min_total))))
+                   .withColumn("total_claimed", round_half_up("_total"))
+                   .filter(F.col("total_claimed") > F.lit(min_total)))
     pats = (patients.filter(F.col("kyc_verified") == F.lit(value))
             .select("patient_id", "name", "kyc_verified", "policy_type"))
     out = (pats.join(per_patient, "patient_id", "inner")

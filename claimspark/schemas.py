@@ -1,6 +1,7 @@
 """Typed schemas of the claims data model and of the two published outputs.
 
-Ids are strings as in the reference DDL; the testdata mapping produces
+FIXED VALUES: the column names, types and keys are those of the data model.
+Ids are strings there; the testdata mapping produces
 integer patient/provider ids, which every operator accepts because the
 operators take column names, not types.
 """

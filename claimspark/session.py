@@ -1,18 +1,20 @@
 """Session construction and the shared scratch location.
 
 Cluster jobs get their session from the platform; ``get_session`` is for
-tests, the bench and local runs.  ``shared_dir`` is the only place this
-library writes intermediate data: it is derived from ``spark.checkpoint.dir``
-(a shared, fault-tolerant folder on a cluster) and only falls back to a
-private temporary folder when that setting is absent, as in unit tests.
+tests, the bench and local runs.  Intermediate data goes to the folder named
+by ``spark.checkpoint.dir`` and nowhere else.  Only a session on a local
+master may do without the setting: it gets a private folder, since driver and
+executors are one process there.  On a cluster an unset folder is an error.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings every job in this library relies on.  AQE re-plans joins from
 # runtime sizes (so dimension joins only become broadcasts when the measured
@@ -56,27 +58,62 @@ def get_session(master: str | None = None, app_name: str = "claimspark",
     return spark
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors share one machine (``local[...]`` masters)."""
+    return re.match(r"local(\[|$)", spark.sparkContext.master) is not None
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, setting a private one only if unset."""
+    """The session's shared folder; raises on a cluster without one."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        # Unset: we are in a test or a local run, so a private folder is fine.
-        configured = tempfile.mkdtemp(prefix="claimspark-ckpt-")
+        if not is_local(spark):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+        configured = tempfile.mkdtemp(prefix="claimspark-ckpt-")  # local master, as in tests
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared checkpoint folder for written tables."""
+    """A fresh sub-folder of the shared folder for written tables."""
     base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/claimspark/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def checkpointed(df):
+def delete_dir(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``shared_dir`` gave, once its table is no longer read."""
+    if not path.startswith(ensure_checkpoint_dir(spark).rstrip("/") + "/claimspark/"):
+        raise ValueError(f"not a folder of this session: {path}")
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: what reads
+    it scans the table, and a lost executor recomputes nothing upstream."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: A lookup table of at most so many rows is broadcast, a longer one joined by a shuffle.
+BROADCAST_ROWS = 100_000
+
+
+def lookup_join(df: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join ``df`` with a per-key table.  The table is written once and counted:
+    up to ``BROADCAST_ROWS`` rows it is broadcast, else the join shuffles and
+    adaptive execution splits hot keys.  The result is the same either way."""
+    table = stored(table, "lookup")
+    return df.join(F.broadcast(table) if table.count() <= BROADCAST_ROWS else table, keys, how)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and continue from the copy.
 
     Used where a small intermediate table (per-value counts, per-score

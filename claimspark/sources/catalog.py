@@ -25,6 +25,8 @@ def save_tables(spark: SparkSession, tables: dict[str, DataFrame], database: str
                 buckets: dict[str, tuple[int, list[str]]] | None = None) -> list[str]:
     """``CREATE DATABASE IF NOT EXISTS`` + ``USE`` + one Parquet table per frame.
 
+    The database stays the session's current one, as after ``USE``.
+
     The database and its tables live under ``location`` (default: a folder in
     the shared checkpoint directory), never in a machine-local warehouse.
     ``buckets`` maps a table to ``(n, columns)`` for ``bucketBy``.

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimspark.schemas import MONEY
-from claimspark.session import shared_dir
+from claimspark.session import delete_dir, shared_dir
 
 # FIXED VALUES — the mapping rules (shared with the SQL oracle)
 POLICY_START = "2020-01-01"
@@ -36,13 +36,25 @@ PROCEDURE_MODULUS = 15                       # num_procedures = 1 + qty % 15
 ID_WIDTHS = (12, 2, 11, 10)
 
 
+# Kept per application; ``forget`` drops them when input files have changed.
 _RAW: dict[tuple, DataFrame] = {}
 _TABLES: dict[tuple, dict[str, DataFrame]] = {}
 _PATHS: dict[tuple, str] = {}
 
 
 def _session_key(spark: SparkSession) -> tuple:
-    return (id(spark), spark.sparkContext.applicationId)
+    return (spark.sparkContext.applicationId,)
+
+
+def forget(spark: SparkSession, sf_dir: str | None = None) -> None:
+    """Read and map the tables of ``sf_dir`` (default: of all folders) anew next
+    time, and delete the written copies."""
+    app, folder = spark.sparkContext.applicationId, None if sf_dir is None else sf_dir.rstrip("/")
+    for kept in (_RAW, _TABLES, _PATHS):
+        for key in [k for k in kept if k[0] == app and folder in (None, k[1])]:
+            value = kept.pop(key)
+            if kept is _PATHS:
+                delete_dir(spark, value.rsplit("/", 1)[0])
 
 
 def read_raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,7 +67,9 @@ def read_raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _pad(c: str, width: int):
-    return F.lpad(F.col(c).cast("string"), width, "0")
+    """Zero-padded to ``width``; longer keys keep all their digits."""
+    text = F.col(c).cast("string")
+    return F.lpad(text, F.greatest(F.length(text), F.lit(width)), "0")
 
 
 def patients(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +109,8 @@ def providers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _claim_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims plus the two order attributes the investigations need."""
+    """Claims plus the two order attributes the investigations need.  A line item
+    without its order or part stays, so that ``dq_orphans`` can report it."""
     li = read_raw(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_returnflag", "l_shipdate")
@@ -110,8 +125,8 @@ def _claim_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pad("l_partkey", w_p), F.lit("-"), _pad("l_suppkey", w_s), F.lit("-"),
         F.date_format("l_shipdate", "yyyyMMdd"))
     dup = fraud & (qty % 3 > 0)
-    return (li.join(o, li.l_orderkey == o.o_orderkey, "inner")
-            .join(p, li.l_partkey == p.p_partkey, "inner")
+    return (li.join(o, li.l_orderkey == o.o_orderkey, "left")
+            .join(p, li.l_partkey == p.p_partkey, "left")
             .select(
                 claim_id.alias("claim_id"),
                 F.col("o_custkey").alias("patient_id"),
@@ -170,13 +185,14 @@ def load_tables(spark: SparkSession, sf_dir: str, materialize: bool = False) ->
                   "investigations": _investigations_from(rows)}
     else:
         base = shared_dir(spark, "claims-tables")
-        # Enough files for every core to get a split when the table is scanned
-        # (the shuffle-partition setting is sized to the data on a cluster).
+        # Clustered by patient, the key of the pair and total queries, into enough
+        # files for every core to get a split when the table is scanned (the
+        # shuffle-partition setting is sized to the data on a cluster).
         files = max(2 * spark.sparkContext.defaultParallelism,
                     int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
         patients(spark, sf_dir).write.mode("overwrite").parquet(f"{base}/patients")
         providers(spark, sf_dir).write.mode("overwrite").parquet(f"{base}/providers")
-        (_claim_rows(spark, sf_dir).repartition(files, "claim_id")
+        (_claim_rows(spark, sf_dir).repartition(files, "patient_id")
          .write.mode("overwrite").parquet(f"{base}/claim_rows"))
         rows = spark.read.parquet(f"{base}/claim_rows")
         _PATHS[key] = f"{base}/claim_rows"

@@ -18,7 +18,8 @@ def test_models_fit_score_and_compare(spark):
     labels = sorted(r["disease_category"] for r in enc)
     assert {r["disease_category"]: r["disease_enc"] for r in enc} == {lab: i for i, lab in enumerate(labels)}
     prepared = models.prepare(feats)
-    m = models.FraudModels(prepared, trees=3, rounds=3, max_iter=20)
+    m = models.FraudModels(prepared, trees=3, rounds=3, max_iter=20, max_train_rows=1_000, max_depth=8)
+    assert 850 < m.sample.count() < 1150
     n_test = m.test.count()
     assert 0.15 * prepared.count() < n_test < 0.25 * prepared.count()
     scored = m.scored("logistic")

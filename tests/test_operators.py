@@ -1,5 +1,6 @@
 import itertools
 import random
+import sys
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from claimspark.operators.evaluation import auc, classification_report, confusio
 from claimspark.operators.histogram import histogram
 from claimspark.operators.quality import key_violations, orphan_report, orphans
 from claimspark.operators.ranking import (
-    exclusive_prefix, global_rank, quantile_bucket, sequential_ids, value_counts_ranked,
+    exclusive_prefix, global_rank, range_partitioned, sequential_ids, value_counts_ranked,
 )
 from claimspark.operators.sampling import exact_stratified_split, hash_sample, hash_split
 
@@ -50,35 +51,56 @@ def test_global_rank_matches_sql_rank_with_ties_and_nulls(spark):
     df = spark.createDataFrame(rows, "id int, v int")
     want = {r["id"]: r["r"] for r in df.select(
         "id", F.rank().over(Window.orderBy(F.col("v").desc())).alias("r")).collect()}
-    for buckets in (1, 3):
-        got = {r["id"]: r["rank"] for r in global_rank(df, "v", buckets=buckets).collect()}
+    for partitions in (None, 1, 3):
+        got = {r["id"]: r["rank"] for r in global_rank(df, "v", partitions=partitions).collect()}
         assert got == want
 
 
 def test_value_counts_ranked_ascending(spark):
     df = spark.createDataFrame([(1,), (1,), (2,), (3,)], "v int")
     got = sorted((r["v"], r["n"], r["rank"]) for r in value_counts_ranked(df, "v", descending=False,
-                                                                          buckets=2).collect())
+                                                                          partitions=2).collect())
     assert got == [(1, 2, 1), (2, 1, 3), (3, 1, 4)]
 
 
+def test_rank_of_big_integers_nan_and_nulls(spark):
+    big = spark.createDataFrame([(2**60 + i,) for i in (0, 1, 2, 1)], "v bigint")
+    assert sorted((r.v - 2**60, r["rank"]) for r in global_rank(big, "v").collect()) == [(0, 4), (1, 2), (1, 2), (2, 1)]
+    odd = spark.createDataFrame([(float("nan"),), (1.0,), (None,), (-0.5,)], "v double")
+    for descending in (True, False):
+        order = F.col("v").desc() if descending else F.col("v").asc()
+        want = {str(r.v): r.r for r in odd.select("v", F.rank().over(Window.orderBy(order)).alias("r")).collect()}
+        assert {str(r.v): r["rank"] for r in global_rank(odd, "v", descending=descending).collect()} == want
+    names = spark.createDataFrame([("b",), ("a",), ("c",), ("a",)], "v string")
+    assert sorted((r.v, r["rank"]) for r in global_rank(names, "v", descending=False).collect()) == [
+        ("a", 1), ("a", 1), ("b", 3), ("c", 4)]
+
+
+def test_rank_among_a_larger_population(spark):
+    population = spark.createDataFrame([(i, i % 7) for i in range(50)], "id int, v int")
+    top = population.orderBy(F.col("v").desc(), "id").limit(9)
+    assert {(r.v, r["rank"]) for r in global_rank(top, "v", population=population).collect()} == {(6, 1), (5, 8)}
+    plan = global_rank(top, "v", population=population)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_exclusive_prefix_many_buckets_equals_running_sum(spark):
     rnd = random.Random(11)
     rows = [(float(i), rnd.randint(0, 9)) for i in range(1000)]
     df = spark.createDataFrame(rows, "o double, v long")
-    got = {r["o"]: r["v_before"] for r in exclusive_prefix(df, ["o"], ["v"], buckets=7).collect()}
+    got = {r["o"]: r["v_before"] for r in exclusive_prefix(df, ["o"], ["v"], partitions=7).collect()}
     run, want = 0, {}
     for o, v in rows:
         want[o] = run
         run += v
     assert got == want
-    b = quantile_bucket(df, "o", buckets=7).groupBy("_bucket").count().collect()
-    assert len(b) == 7 and max(r["count"] for r in b) < 250  # balanced buckets
+    b = range_partitioned(df, ["o"], 7).groupBy("_part").count().collect()
+    assert len(b) == 7 and max(r["count"] for r in b) < 250  # balanced
 
 
 def test_sequential_ids_are_dense(spark):
     df = spark.range(0, 500).withColumn("h", (F.col("id") * 7919) % 1000)
-    out = sequential_ids(df, ["h", "id"], bucket=F.floor(F.col("h") / 100), out="seq").collect()
+    out = sequential_ids(df, ["h", "id"], out="seq", partitions=5).collect()
     order = sorted(out, key=lambda r: (r["h"], r["id"]))
     assert [r["seq"] for r in order] == list(range(1, 501))
 
@@ -101,7 +123,7 @@ def test_auc_roc_against_brute_force(spark):
     assert a["auc"] == pytest.approx(_brute_auc(rows), abs=1e-12)
     flipped = auc(df.withColumn("s", -F.col("s")), "y", "s").first()["auc"]
     assert a["auc"] + flipped == pytest.approx(1.0)
-    roc = roc_points(df, "y", "s", buckets=3, drop_intermediate=False).collect()
+    roc = roc_points(df, "y", "s", partitions=3, drop_intermediate=False).collect()
     tprs = [r["tpr"] for r in roc]
     assert tprs == sorted(tprs) and roc[-1]["tpr"] == 1.0 and roc[-1]["fpr"] == 1.0
     assert roc[0]["threshold"] == float("inf") and roc[0]["tp"] == 0
@@ -139,7 +161,7 @@ def test_hash_split_is_repeatable_and_near_fraction(spark):
 def test_exact_stratified_split_sizes(spark):
     df = (spark.range(0, 1003).withColumn("cid", F.col("id").cast("string"))
           .withColumn("y", (F.col("id") % 9 == 0).cast("int")))
-    out = exact_stratified_split(df, "cid", "y", 0.2, buckets=4)
+    out = exact_stratified_split(df, "cid", "y", 0.2, buckets=64)
     got = {r["y"]: r["n"] for r in out.filter("is_test = 1").groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1 = 1003 // 9 + 1
     assert got == {0: round(0.2 * (1003 - n1)), 1: round(0.2 * n1)}
@@ -165,57 +187,93 @@ def test_grouped_sequential_ids_equal_row_number(spark):
     df = (spark.range(0, 600).withColumn("g", F.when(F.col("id") % 10 < 7, "hot").otherwise(
         F.concat(F.lit("g"), (F.col("id") % 3).cast("string"))))
         .withColumn("h", (F.col("id") * 7919) % 1000))
-    got = sequential_ids(df, ["h", "id"], bucket=F.floor(F.col("h") / 125), out="seq",
-                         partition_by=["g"])
+    got = sequential_ids(df, ["h", "id"], out="seq", partition_by=["g"], partitions=6)
     want = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("h", "id")))
     joined = got.join(want.select("id", "rn"), "id")
     assert joined.filter(F.col("seq") != F.col("rn")).count() == 0 and joined.count() == 600
 
 
-def _roc_reference(y, s):
-    """The usual ROC construction with collinear-point dropping, in numpy."""
-    y, s = np.asarray(y), np.asarray(s, dtype=float)
-    order = np.argsort(-s, kind="mergesort")
-    y, s = y[order], s[order]
-    last = np.r_[np.where(np.diff(s))[0], len(s) - 1]
-    tps = np.cumsum(y)[last]
-    fps = 1 + last - tps
-    thr = s[last]
-    keep = np.where(np.r_[True, np.logical_or(np.diff(fps, 2), np.diff(tps, 2)), True])[0]
-    fps, tps, thr = np.r_[0, fps[keep]], np.r_[0, tps[keep]], np.r_[np.inf, thr[keep]]
-    return list(zip(thr.tolist(), (fps / fps[-1]).tolist(), (tps / tps[-1]).tolist()))
+def _roc_by_hand(rows):
+    """The points of the curve: count at every threshold, then drop each inner
+    threshold after which the same numbers of both classes come as at it."""
+    steps = []
+    for t in sorted({x for _, x in rows}, reverse=True):
+        steps.append((t, sum(y == 1 and x == t for y, x in rows), sum(y == 0 and x == t for y, x in rows)))
+    p, n = sum(s[1] for s in steps), sum(s[2] for s in steps)
+    points, tp, fp = [(float("inf"), 0.0, 0.0)], 0, 0
+    for i, (t, up, right) in enumerate(steps):
+        tp, fp = tp + up, fp + right
+        if i in (0, len(steps) - 1) or steps[i + 1][1:] != (up, right):
+            points.append((t, fp / n, tp / p))
+    return points
 
 
-def test_roc_drop_intermediate_matches_reference_construction(spark):
+@pytest.mark.parametrize("partitions", [None, 1, 4])
+def test_roc_drops_points_on_straight_lines(spark, partitions):
     rnd = random.Random(9)
     rows = [(int(rnd.random() < 0.4), float(rnd.randint(0, 30))) for _ in range(400)]
     rows += [(1, 100.0), (1, 101.0), (1, 102.0), (0, -5.0), (0, -6.0)]  # collinear runs
     df = spark.createDataFrame(rows, "y int, s double")
-    got = [(r["threshold"], r["fpr"], r["tpr"]) for r in roc_points(df, "y", "s", buckets=4).collect()]
-    want = _roc_reference([r[0] for r in rows], [r[1] for r in rows])
-    assert len(got) == len(want)
-    for (t1, f1, p1), (t2, f2, p2) in zip(got, want):
-        assert t1 == t2 and f1 == pytest.approx(f2) and p1 == pytest.approx(p2)
+    got = [(r["threshold"], r["fpr"], r["tpr"]) for r in roc_points(df, "y", "s", partitions=partitions).collect()]
+    assert got == [pytest.approx(x) for x in _roc_by_hand(rows)]
 
 
-def test_lookup_fallbacks_give_the_same_rows(spark):
-    from claimspark.operators.outliers import ratio_outliers, small_lookup
+def test_nan_and_null_scores_take_no_part(spark):
+    rows = [(1, float("nan")), (0, 0.1), (1, 0.9), (0, None), (None, 0.5)]
+    df = spark.createDataFrame(rows, "y int, s double")
+    assert auc(df, "y", "s").first()[:] == (1.0, 1, 1)
+    assert [r["threshold"] for r in roc_points(df, "y", "s").collect()] == [float("inf"), 0.9, 0.1]
+    assert roc_points(df.limit(0), "y", "s").collect() == []
+    assert auc(df.limit(0), "y", "s").first()["auc"] is None
+
+
+def test_confusion_matrix_is_always_two_by_two(spark):
+    df = spark.createDataFrame([(0, 0), (0, 1), (0, 1)], "y int, p int")
+    assert [tuple(r) for r in confusion_matrix(df, "y", "p").collect()] == [(0, 1, 2), (1, 0, 0)]
+    assert [tuple(r) for r in confusion_matrix(df.limit(0), "y", "p").collect()] == [(0, 0, 0), (1, 0, 0)]
+
+
+def test_histogram_edges_and_empty_input(spark):
+    xs = [1.0, -1.0, -8.15e-305]
+    assert [r.n_rows for r in histogram(spark.createDataFrame([(x,) for x in xs], "x double"), "x", 2).collect()] == [2, 1]
+    cents = [round(c / 100, 2) for c in range(0, 1001)]  # every bin edge is a value
+    got = histogram(spark.createDataFrame([(x,) for x in cents], "x double"), "x", 40).collect()
+    counts, edges = np.histogram(np.array(cents), bins=40)
+    assert [r.n_rows for r in got] == counts.tolist() and [r.bin_lo for r in got] == edges[:-1].tolist()
+    none = spark.createDataFrame([], "k int, x double")
+    assert histogram(none, "x", 3, by="k", density=True).columns == ["k", "bin", "bin_lo", "bin_hi", "n_rows", "density"]
+    assert histogram(none, "x", 3, by="k").collect() == [] and histogram(none, "x", 3).collect() == []
+
+
+def test_split_of_a_thousand_classes(spark):
+    df = spark.range(0, 10_010).selectExpr("cast(id as string) AS cid", "id % 1001 AS y")
+    out = exact_stratified_split(df.withColumn("_n", F.lit(1)), "cid", "y", 0.2)
+    assert out.columns == ["cid", "y", "_n", "is_test"]
+    per = out.groupBy("y").agg(F.sum("is_test").alias("t"), F.count("*").alias("n"))
+    assert {(r.t, r.n) for r in per.collect()} == {(2, 10)} and per.count() == 1001
+
+
+def test_many_groups_and_repeated_means(spark):
+    from claimspark.operators.outliers import ratio_outliers
+    df = spark.range(0, 60_000).selectExpr("id", "id % 20000 AS k", "cast(if(id < 20000, 40, 1) AS double) AS x")
+    got = ratio_outliers(df, "k", "x", 2)  # each group: 40, 1, 1; mean 14
+    assert got.count() == 20_000 and got.filter("ratio != 40 / 14D").count() == 0
+    means = spark.createDataFrame([(1, 3.0), (1, 3.0), (2, 100.0)], "k bigint, avg_amount double")
+    assert sorted(r.id for r in ratio_outliers(df, "k", "x", 2, means=means).collect()) == [1]
+
+
+@pytest.mark.parametrize("limit", [100_000, 0])
+def test_lookup_joins_give_the_same_rows(spark, monkeypatch, limit):
+    from claimspark import session
+    from claimspark.operators.outliers import group_mean, ratio_outliers
     rnd = random.Random(4)
     rows = [(rnd.choice("abcde"), rnd.randint(0, 1), float(rnd.randint(1, 100))) for _ in range(300)]
     df = spark.createDataFrame(rows, "k string, c int, x double")
-    assert small_lookup(df.groupBy("k").count(), "k", "count", max_rows=2) is None
-    lookup = sorted(ratio_outliers(df, "k", "x", 1.5).collect())
-    joined = sorted(ratio_outliers(df, "k", "x", 1.5, max_groups=0).collect())
-    assert lookup == joined and len(lookup) > 0
-    by_literal = sorted(histogram(df, "x", 7, by="c", density=True).collect())
-    by_join = sorted(histogram(df, "x", 7, by="c", density=True, max_classes=1).collect())
-    assert by_literal == by_join and len(by_literal) == 14
-
-
-def test_broadcast_guard_reads_the_proven_row_bound(spark, tmp_dir):
-    from claimspark.operators.ranking import max_rows
-    spark.range(0, 1000).write.parquet(f"{tmp_dir}/ids")
-    df = spark.read.parquet(f"{tmp_dir}/ids")
-    assert max_rows(df) is None  # a file scan has no proven bound: rank_within would not broadcast it
-    assert max_rows(df.orderBy("id").limit(20)) == 20
-    assert max_rows(spark.range(0, 1000)) == 1000  # a range's size is known statically
+    monkeypatch.setattr(session, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(sys.modules["claimspark.operators.histogram"], "BROADCAST_ROWS", limit)
+    mean = {r.k: r.avg_amount for r in group_mean(df, "k", "x").collect()}
+    assert sorted((r.k, r.c, r.x) for r in ratio_outliers(df, "k", "x", 1.5).collect()) == sorted(
+        r for r in rows if r[2] > 1.5 * mean[r[0]])
+    for c in (0, 1):
+        got = [r.n_rows for r in histogram(df, "x", 7, by="c").collect() if r.c == c]
+        assert got == np.histogram([x for _, k, x in rows if k == c], bins=7)[0].tolist()

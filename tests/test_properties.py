@@ -43,12 +43,12 @@ def test_near_pairs_equals_brute_force(spark, rows, lo, span, symmetric):
 
 @settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(values=st.lists(st.one_of(st.none(), st.integers(-3, 6)), min_size=1, max_size=60),
-       buckets=st.integers(1, 4), descending=st.booleans())
-def test_global_rank_equals_sql_rank(spark, values, buckets, descending):
+       partitions=st.integers(1, 4), descending=st.booleans())
+def test_global_rank_equals_sql_rank(spark, values, partitions, descending):
     df = spark.createDataFrame(list(enumerate(values)), "id int, v int")
     order = F.col("v").desc() if descending else F.col("v").asc()
     want = {r["id"]: r["r"] for r in df.select("id", F.rank().over(Window.orderBy(order)).alias("r")).collect()}
-    got = {r["id"]: r["rank"] for r in global_rank(df, "v", descending=descending, buckets=buckets).collect()}
+    got = {r["id"]: r["rank"] for r in global_rank(df, "v", descending=descending, partitions=partitions).collect()}
     assert got == want
 
 

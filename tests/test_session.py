@@ -1,6 +1,13 @@
 """Session helpers: intermediate data goes under the session's checkpoint folder."""
 
-from claimspark.session import checkpointed, ensure_checkpoint_dir, shared_dir
+import os
+import re
+from types import SimpleNamespace
+
+import pytest
+
+from claimspark import session
+from claimspark.session import checkpointed, delete_dir, ensure_checkpoint_dir, shared_dir, stored
 
 
 def test_shared_dir_lives_under_the_checkpoint_folder(spark):
@@ -16,3 +23,26 @@ def test_checkpointed_cuts_lineage_and_keeps_rows(spark):
     assert sorted(cp.collect()) == sorted(df.collect())
     plan = cp._jdf.queryExecution().optimizedPlan().toString()
     assert "Range" not in plan  # reads the checkpoint, not the original plan
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    def fake(master):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda d: None)
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d=None: d))
+
+    for master in ("yarn", "spark://host:7077", "k8s://host", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            ensure_checkpoint_dir(fake(master))
+    assert session.is_local(fake("local")) and session.is_local(fake("local[4]"))
+
+
+def test_written_tables_can_be_deleted(spark):
+    assert stored(spark.range(5), "five").count() == 5
+    path = shared_dir(spark, "six")
+    spark.range(6).write.parquet(path)
+    folder = re.sub("^file:/*", "/", path)
+    assert os.path.isdir(folder)
+    delete_dir(spark, path)
+    assert not os.path.exists(folder)
+    with pytest.raises(ValueError):
+        delete_dir(spark, "/tmp")
