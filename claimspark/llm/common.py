@@ -20,7 +20,7 @@ from claimspark.session import shared_dir
 
 #: Bytes of text that one vectorised step handles; larger Arrow batches are cut
 #: between documents, so memory is bounded by this plus the longest document.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 
 def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
@@ -75,10 +75,17 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+def drained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; after the last one Arrow's unused memory goes back to the
+    system, since the worker stays for other tasks."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
 def steps(batches: Iterator[pa.RecordBatch], text: str = "text",
           limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut between rows so that each slice has about ``limit`` bytes of text."""
-    for batch in batches:
+    for batch in drained(batches):
         if batch.num_rows == 0:
             continue
         _, offs = buffers(batch.column(batch.schema.get_field_index(text)))

@@ -35,7 +35,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimspark.llm.common import text_bytes, workers_find_package
+from claimspark.llm.common import drained, text_bytes, workers_find_package
 
 LEAF = 32
 _CACHE = 300_000
@@ -198,7 +198,7 @@ def build(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path, pattern)
-        for batch in batches:
+        for batch in drained(batches):
             rows = [TokenTree.of(t.as_py().decode("utf-8", "replace"), own).leaf_rows() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *[pa.array([r[:, i].tolist() for r in rows], pa.list_(pa.int64())) for i in (0, 1)]],
@@ -219,7 +219,7 @@ def apply_edits(docs: DataFrame, trees: DataFrame, edits: DataFrame, path: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path, pattern)
-        for batch in batches:
+        for batch in drained(batches):
             out = []
             for row in batch.to_pylist():
                 changes = [(e["start"], e["end"], e["new"] or "") for e in row["edits"] or []]
@@ -247,7 +247,7 @@ def edited_counts(docs: DataFrame, path: str, pattern: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path, pattern)
-        for batch in batches:
+        for batch in drained(batches):
             rows = []
             for value in batch.column(1):
                 text = value.as_py().decode("utf-8", "replace")

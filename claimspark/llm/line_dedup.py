@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimspark.llm.common import stored, text_bytes, workers_find_package
+from claimspark.llm.common import drained, stored, text_bytes, workers_find_package
 
 REF = "k1 bigint, k2 bigint, doc_id bigint"
 _SLOTS = 4
@@ -62,7 +62,7 @@ def line_refs(docs: DataFrame, min_chars: int) -> DataFrame:
     rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint"), text_bytes().alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in drained(batches):
             keys, owners = [], []
             for i, text in enumerate(batch.column(1)):
                 own = {line_key(x, min_chars) for x in text.as_py().split(b"\n") if len(x) >= min_chars}
@@ -270,7 +270,7 @@ class LineIndex:
 
             def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
                 filters = {s: Cuckoo.load(*x) for s, x in shared.value.items()}
-                for batch in batches:
+                for batch in drained(batches):
                     k1, k2, shard = (batch.column(i).to_numpy() for i in (0, 1, 3))
                     keep = np.zeros(batch.num_rows, bool)
                     order = np.argsort(shard, kind="stable")
@@ -316,7 +316,7 @@ def rewrite(docs: DataFrame, drops: DataFrame, min_chars: int = 40) -> DataFrame
                            T.StructField(N_DROPPED, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in drained(batches):
             texts = batch.column(at)
             k1, k2 = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
             lines, dropped = np.ones(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)

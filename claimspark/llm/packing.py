@@ -125,18 +125,19 @@ COLUMNS = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_to
 
 
 def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, step_tokens: int = 1 << 16,
-         pool_tokens: int = 1 << 21) -> DataFrame:
+         pool_tokens: int = 1 << 21, cache_words: int = 300_000) -> DataFrame:
     """One row per piece: where it comes from, where it goes, its ids' CRC-32.
 
     ``tokenizer`` is the path of a vocabulary file of the tokenizers library;
     every document ends with ``END_ID``.  A sequence of ``tier`` tokens that its
     pieces do not fill is padded; ``step_group`` numbers the step it belongs to.
+    ``cache_words`` sizes each worker's cache of encoded words.
     """
     workers_find_package(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_bytes().alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, cache_words).encode
         packer = Packer(tiers, step_tokens, pool_tokens)
         owner: dict[int, tuple[int | None, np.ndarray]] = {}
         base = TaskContext.get().partitionId() << 33

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimspark.llm.common import batch_of, stored, text_bytes, workers_find_package
+from claimspark.llm.common import batch_of, drained, stored, text_bytes, workers_find_package
 from claimspark.llm.components import components
 
 SEED = 42
@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = 4) -> DataFrame:
     id_type = rows.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in drained(batches):
             fps = np.fromiter((fingerprint(t.as_py(), shingle_words) for t in batch.column(1)),
                               np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))],
@@ -269,7 +269,7 @@ def links(fps: DataFrame, max_bits: int, bucket_rows: int = 20_000) -> DataFrame
             a, b = a.view(np.int64), b.view(np.int64)
             return batch_of(schema, np.maximum(a, b), np.minimum(a, b))
 
-        for batch in batches:
+        for batch in drained(batches):
             cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols)]

@@ -138,8 +138,10 @@ class _Generation:
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    """This worker's encoder for a vocabulary file."""
+def encoder(path: str, cache_words: int) -> WordEncoder:
+    """This worker's encoder for a vocabulary file; its cache holds up to two
+    times ``cache_words`` words (about 150 bytes each) between tasks."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
+    _ENCODERS[path].generation = cache_words
     return _ENCODERS[path]
