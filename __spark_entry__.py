@@ -274,38 +274,48 @@ def create_database(spark, sf_dir):
         spark.catalog.setCurrentDatabase(before)
 
 
-def _csv_round_trip(spark, df, schema, name):
-    path = shared_dir(spark, name)
+_FOLDERS: dict[tuple, str] = {}
+
+
+def _folder(spark, sf_dir, name):
+    """One folder per application, input and purpose: a query that runs again
+    writes over its last copy instead of leaving another."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    return _FOLDERS.setdefault(key, shared_dir(spark, name))
+
+
+def _csv_round_trip(spark, sf_dir, df, schema, name):
+    path = _folder(spark, sf_dir, name)
     sinks.write_table(df, path, "csv")
     return readers.read_table(spark, path, schema, "csv")
 
 
 def src_patients(spark, sf_dir):
-    return _csv_round_trip(spark, _t(spark, sf_dir)["patients"], PATIENTS, "patients-csv")
+    return _csv_round_trip(spark, sf_dir, _t(spark, sf_dir)["patients"], PATIENTS, "patients-csv")
 
 
 def src_providers(spark, sf_dir):
-    return _csv_round_trip(spark, _t(spark, sf_dir)["providers"], PROVIDERS, "providers-csv")
+    return _csv_round_trip(spark, sf_dir, _t(spark, sf_dir)["providers"], PROVIDERS, "providers-csv")
 
 
 def src_claims(spark, sf_dir):
-    return _csv_round_trip(spark, _t(spark, sf_dir)["claims"], CLAIMS, "claims-csv")
+    return _csv_round_trip(spark, sf_dir, _t(spark, sf_dir)["claims"], CLAIMS, "claims-csv")
 
 
 def src_investigations(spark, sf_dir):
-    return _csv_round_trip(spark, _t(spark, sf_dir)["investigations"], INVESTIGATIONS,
+    return _csv_round_trip(spark, sf_dir, _t(spark, sf_dir)["investigations"], INVESTIGATIONS,
                            "investigations-csv")
 
 
 def ingest_csv(spark, sf_dir):
-    csv_path = shared_dir(spark, "claims-raw-csv")
+    csv_path = _folder(spark, sf_dir, "claims-raw-csv")
     sinks.write_table(_t(spark, sf_dir)["claims"], csv_path, "csv")
-    accepted, _rejected = readers.ingest_csv(spark, csv_path, CLAIMS, shared_dir(spark, "claims-ingested"))
+    accepted, _rejected = readers.ingest_csv(spark, csv_path, CLAIMS, _folder(spark, sf_dir, "claims-ingested"))
     return accepted
 
 
 def write_provider_risk(spark, sf_dir):
-    path = shared_dir(spark, "provider-risk")
+    path = _folder(spark, sf_dir, "provider-risk")
     sinks.write_provider_risk(provider_risk(spark, sf_dir), path)
     return readers.read_table(spark, path, PROVIDER_RISK, "csv")
 
@@ -321,13 +331,13 @@ _ANALYSIS = T.StructType([
 
 
 def write_claims_analysis(spark, sf_dir):
-    path = shared_dir(spark, "claims-analysis")
+    path = _folder(spark, sf_dir, "claims-analysis")
     sinks.write_claims_analysis(_flags(spark, sf_dir), path)
     return readers.read_table(spark, path, _ANALYSIS, "csv")
 
 
 def write_table(spark, sf_dir):
-    path = shared_dir(spark, "investigations-parquet")
+    path = _folder(spark, sf_dir, "investigations-parquet")
     sinks.write_table(_t(spark, sf_dir)["investigations"], path, "parquet", partition_by=["status"])
     return spark.read.parquet(path)
 
