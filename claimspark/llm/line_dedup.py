@@ -18,7 +18,8 @@ Scale: a key's references are reduced by partial aggregation, the exact join
 is an equi-join that adaptive execution splits when one key is hot, and a
 filter shard holds about ``keys_per_shard`` keys.  Filters are broadcast in
 blocks of at most ``block_bytes`` whatever their total size.  Texts are shuffled once,
-by doc_id.  Keys are 128-bit hashes (XXH3) of the normalised line.
+by doc_id.  Keys are 128-bit hashes (XXH3) of the normalised line; two different
+lines among n share one with a probability of about n^2 / 2^129.
 
 Defined cases: null or empty text is one empty line.  Rows without a doc_id
 take no part and stay as they are.  Rows that repeat a doc_id are one document

@@ -10,6 +10,10 @@ sketch, a small language the one of all documents.  A document is rejected
 where a ratio lies further from its group's median than ``reach`` times the
 group's quartile distance (at least ``floor``), or by the fixed base rules.
 
+Repeated windows are found by 64-bit hashes within a slice of texts; two
+different windows among n of a slice share one with a probability of about
+n^2 / 2^65.
+
 Scale: the counts are one vectorised pass without a shuffle; sketches have at
 most a few thousand rows a group whatever its size; the limits (one row a
 group) are broadcast if there are at most ``BROADCAST_GROUPS`` of them, else
