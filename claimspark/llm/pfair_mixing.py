@@ -36,12 +36,12 @@ from claimspark.llm.common import stored
 PERIOD, BLOCK_CHARS, ALPHA = 1024, 65_536, 0.5
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, turn): turn orders a source's documents."""
+def sized(docs: DataFrame, *carry: Column) -> DataFrame:
+    """(doc_id, source, size, turn) and ``carry``: turn orders a source's documents."""
     return docs.select(
         "doc_id", F.coalesce("source", F.lit("")).alias("source"),
         F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("size"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("turn"))
+        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("turn"), *carry)
 
 
 def slots_by_size(sizes: DataFrame, alpha: float = ALPHA, period: int = PERIOD) -> DataFrame:
@@ -89,6 +89,47 @@ def _bucket(buckets: int) -> Column:
     return F.floor(F.conv(F.substring("turn", 1, 8), 16, 10).cast("bigint") * F.lit(buckets) / F.lit(4294967296)).cast("bigint")
 
 
+class Schedule:
+    """What places a document: the period and the sums per source and bucket,
+    both small tables in the shared folder."""
+
+    def __init__(self, docs: DataFrame, shares: DataFrame | None, block_chars: int, alpha: float, period: int):
+        self.block_chars = block_chars
+        sizes = stored(sized(docs), "mix-sizes")
+        self.buckets = max(1, math.isqrt(sizes.count()))
+        if shares is None:
+            shares = slots_by_size(sizes, alpha, period)
+        else:
+            shares = sizes.select("source").distinct().join(shares, "source", "left").select(
+                "source", F.greatest(F.coalesce("share", F.lit(1)), F.lit(1)).cast("bigint").alias("share"))
+        self.slots = stored(schedule(shares), "mix-period")
+        before = F.coalesce(F.sum("chars").over(
+            Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        self.sums = stored(sizes.groupBy("source", _bucket(self.buckets).alias("bucket")).agg(F.sum("size").alias("chars"))
+                           .withColumn("before", before), "mix-buckets")
+        self.sizes = sizes
+
+    def ends(self) -> tuple[int, int]:
+        """The last slot in use, and the first that lacks a block of its source."""
+        last = F.expr(f"(greatest(chars, 1) - 1) div {self.block_chars} + 1")
+        blocks = self.sums.groupBy("source").agg(F.max(F.col("before") + F.col("chars")).alias("chars")).select(
+            "source", F.explode(F.array(last, last + 1)).alias("block"), last.alias("last"))
+        used = F.col("block") == F.col("last")
+        row = _slotted(blocks, self.slots).agg(F.max(F.when(used, F.col("slot"))), F.min(F.when(~used, F.col("slot")))).first()
+        return (row[0] or 0), (row[1] or 0)
+
+    def place(self, rows: DataFrame) -> DataFrame:
+        """Rows of ``sized`` with block, release, deadline and slot.  They meet
+        their bucket once, for the running sum and the bucket's offset."""
+        rows = rows.withColumn("bucket", _bucket(self.buckets))
+        inside = Window.partitionBy("source", "bucket").orderBy("turn", "doc_id", "size").rowsBetween(
+            Window.unboundedPreceding, -1)
+        placed = (rows.withColumn("ahead", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+                  .join(self.sums.select("source", "bucket", "before"), ["source", "bucket"])
+                  .withColumn("block", F.expr(f"(before + ahead) div {self.block_chars} + 1")))
+        return _slotted(placed, self.slots)
+
+
 def plan(docs: DataFrame, shares: DataFrame | None = None, block_chars: int = BLOCK_CHARS,
          alpha: float = ALPHA, period: int = PERIOD) -> DataFrame:
     """(doc_id, source, size, block, release, deadline, slot, on_target) per row.
@@ -96,29 +137,9 @@ def plan(docs: DataFrame, shares: DataFrame | None = None, block_chars: int = BL
     ``shares`` (source, share) gives the slots of a period; without it they
     follow the sizes (``slots_by_size``).  A source missing there gets one slot.
     """
-    sizes = stored(sized(docs), "mix-sizes")
-    buckets = max(1, math.isqrt(sizes.count()))
-    if shares is None:
-        shares = slots_by_size(sizes, alpha, period)
-    else:
-        shares = sizes.select("source").distinct().join(shares, "source", "left").select(
-            "source", F.greatest(F.coalesce("share", F.lit(1)), F.lit(1)).cast("bigint").alias("share"))
-    slots = stored(schedule(shares), "mix-period")
-    rows = sizes.withColumn("bucket", _bucket(buckets))
-    before = F.coalesce(F.sum("chars").over(
-        Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = stored(rows.groupBy("source", "bucket").agg(F.sum("size").alias("chars"))
-                  .withColumn("before", before), "mix-buckets")
-    inside = Window.partitionBy("source", "bucket").orderBy("turn", "doc_id", "size").rowsBetween(
-        Window.unboundedPreceding, -1)
-    placed = (rows.withColumn("ahead", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-              .join(sums.select("source", "bucket", "before"), ["source", "bucket"])
-              .withColumn("block", F.expr(f"(before + ahead) div {block_chars} + 1")))
-    ends = sums.groupBy("source").agg(F.max(F.col("before") + F.col("chars")).alias("chars")).withColumn(
-        "block", F.expr(f"(greatest(chars, 1) - 1) div {block_chars} + 2"))  # the first block a source lacks
-    first_gap = _slotted(ends, slots).agg(F.min("slot")).first()[0] or 0
-    return _slotted(placed, slots).select("doc_id", "source", "size", "block", "release", "deadline", "slot",
-                                          (F.col("slot") < first_gap).alias("on_target"))
+    mix = Schedule(docs, shares, block_chars, alpha, period)
+    return mix.place(mix.sizes).select("doc_id", "source", "size", "block", "release", "deadline", "slot",
+                                       (F.col("slot") < mix.ends()[1]).alias("on_target"))
 
 
 def _slotted(rows: DataFrame, slots: DataFrame) -> DataFrame:
@@ -137,16 +158,13 @@ def _slotted(rows: DataFrame, slots: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame, alpha: float = ALPHA, block_chars: int = BLOCK_CHARS, period: int = PERIOD) -> DataFrame:
     """``docs`` dealt to partitions by stretches of the schedule and sorted by
     slot in each, so that every written file holds the sources at their target
-    weights.  Rows that share an id go to the first of their slots."""
-    slots = plan(docs, None, block_chars, alpha, period).groupBy("doc_id").agg(F.min("slot").alias("__llm_slot"))
-    slots = stored(slots.withColumnRenamed("doc_id", "__llm_id"), "mix-slots")
-    last = slots.agg(F.max("__llm_slot")).first()[0] or 0
+    weights.  The texts are shuffled twice: to their bucket, to their stretch."""
+    mix = Schedule(docs, None, block_chars, alpha, period)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     stretches = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    width = max(1, (last + 1) // stretches)
-    return (docs.join(slots, F.col("doc_id").eqNullSafe(F.col("__llm_id")), "left")
-            .withColumn("__llm_stretch", F.expr(f"__llm_slot div {width}"))
-            .repartition("__llm_stretch").sortWithinPartitions("__llm_slot")
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+    width = max(1, (mix.ends()[0] + 1) // stretches)
+    return (mix.place(sized(docs, whole)).withColumn("stretch", F.expr(f"slot div {width}"))
+            .repartition("stretch").sortWithinPartitions("slot", "block").select("row.*"))
 
 
 def oracle(alpha: float = ALPHA, block_chars: int = BLOCK_CHARS, period: int = PERIOD) -> str:

@@ -91,7 +91,8 @@ def test_default_shares_follow_size(docs):
 
 
 def test_mixed_keeps_rows_and_deals_stretches(spark, docs):
-    df = docs(corpus() + [(7, "again", "en", "s1"), (None, "no id", "en", "s1")]).withColumn("slot", F.lit(1))
+    df = docs(corpus() + [(7, "again", "en", "s1"), (None, "no id", "en", "s1"), (None, "no id", "en", "s1")])
+    df = df.withColumn("slot", F.lit(1)).withColumn("row", F.lit("x"))
     out = M.mixed(df, block_chars=500)
     assert out.columns == df.columns
     assert sorted(map(str, out.collect())) == sorted(map(str, df.collect()))
