@@ -4,18 +4,18 @@ Every vector is a list of integers floor(scale * x); the score of a query and
 a vector is the sum of ``LISTS`` partial scores, one per slice of the
 dimensions (Cao and Wang, PODC 2004).
 
-1. Each task takes the k best of every local list, resolves these few vectors
-   fully and gives its k best totals.  The k-th best of all tasks' totals is a
-   safe cutoff: k vectors reach it.
+1. Each task takes the best of every local list, resolves these few vectors
+   fully and gives its best totals (with many tasks a few each suffice, with
+   one task k).  The k-th best of all totals is a safe cutoff: k vectors reach it.
 2. The cutoff goes back to all tasks.  A total that reaches it has at least one
    partial score of cutoff / LISTS or more, so only such entries are collected.
 3. The collected entries are resolved exactly; what reaches the cutoff and is
    among its task's k best (ties: smaller id) is merged into the result.
 
 Scale: the vectors are scanned, never shuffled; the queries, a stated set, are
-broadcast in blocks of about ``block_queries`` rows with their cutoffs, so a
-broadcast has a fixed size and the work is split over all tasks.  A task gives
-at most k rows a query and the merge is a partial-aggregated top-k.
+broadcast with their cutoffs in blocks of about ``block_bytes`` whatever their
+number, and the work is split over all tasks.  Phase 1 shuffles about 4 k totals
+a query, or one a task; phase 3 little more than the result.
 
 Defined cases: null vectors and vectors with null or non-finite components take
 no part.  A vector with fewer components than another counts as zero there.  A
@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 from claimspark.llm.common import batch_of, stored, workers_find_package
 
 LISTS = 4
-_ROWS = 2048
+#: Queries and vectors that are multiplied at a time.
+_TILE = 2048
 
 
 def integers(vectors: DataFrame, id_column: str, vector_column: str, scale: int) -> DataFrame:
@@ -72,7 +73,7 @@ class _Lists:
         return [self.queries[:, s] @ vectors[:, s].T for s in self.slices]
 
     def best_totals(self, ids: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
-        """(queries, <= k) totals among the k best of each list, -inf where none."""
+        """(queries, <= k) totals among the k best of each list, the lowest number where none."""
         parts = self.partial(vectors)
         total = sum(parts)
         n = len(ids)
@@ -111,13 +112,13 @@ def _merge(best: np.ndarray | None, new: np.ndarray, k: int) -> np.ndarray:
 
 def _blocks(batches: Iterator[pa.RecordBatch], dims: int, dtype: type) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for batch in batches:
-        for i in range(0, batch.num_rows, _ROWS):
-            part = batch.slice(i, _ROWS)
+        for i in range(0, batch.num_rows, _TILE):
+            part = batch.slice(i, _TILE)
             yield part.column(0).to_numpy(), _matrix(part.column(1), dims, dtype)
 
 
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_column: str = "vec_id",
-          vector_column: str = "embedding", block_queries: int = 2048) -> DataFrame:
+          vector_column: str = "embedding", block_bytes: int = 32 << 20) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best for each id divisible by ``every``."""
     spark = vectors.sparkSession
     workers_find_package(spark)
@@ -128,8 +129,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_
     dims = size["dims"] or 0
     bound = dims * int(size["most"] or 0) ** 2  # of any partial sum
     dtype = np.float32 if bound < 1 << 24 else np.float64 if bound < 1 << 53 else np.int64
-    n = asked.count()
-    blocks = max(1, -(-n // block_queries))
+    blocks = max(1, -(-asked.count() * max(dims, 1) * np.dtype(dtype).itemsize // block_bytes))
     asked = stored(asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")), "topk-queries")
     out = None
     for b in range(blocks):
@@ -146,17 +146,21 @@ def _block(rows: DataFrame, asked: DataFrame, k: int, dims: int, dtype: type) ->
         ids, queries = batch[0].column(0).to_numpy(), _matrix(batch[0].column(1), dims, dtype)
     else:
         ids, queries = np.zeros(0, np.int64), np.zeros((0, dims), dtype)
-    lists = spark.sparkContext.broadcast((ids, queries))
+    shared = spark.sparkContext.broadcast((ids, queries))
+    few = min(k, -(-4 * k // max(1, rows.rdd.getNumPartitions())))  # totals a task
+
+    def tiles() -> list[tuple[int, _Lists]]:
+        ids, queries = shared.value
+        return [(i, _Lists(ids[i:i + _TILE], queries[i:i + _TILE])) for i in range(0, len(ids), _TILE)]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, best = _Lists(*lists.value), None
-        if not len(one.ids):
-            return
+        lists, best = tiles(), {}
         for vec_ids, vecs in _blocks(batches, dims, dtype):
-            best = _merge(best, one.best_totals(vec_ids, vecs, k), k)
-        if best is not None:
-            q, c = np.nonzero(best > _low(best.dtype))
-            yield batch_of(pa.schema([("q", pa.int64()), ("total", pa.int64())]), q, best[q, c].astype(np.int64))
+            for first, one in lists:
+                best[first] = _merge(best.get(first), one.best_totals(vec_ids, vecs, few), few)
+        for first, totals in best.items():
+            q, c = np.nonzero(totals > _low(totals.dtype))
+            yield batch_of(pa.schema([("q", pa.int64()), ("total", pa.int64())]), q + first, totals[q, c].astype(np.int64))
 
     totals = rows.mapInArrow(gather, "q bigint, total bigint")
     ranked = totals.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("total"))))
@@ -167,12 +171,11 @@ def _block(rows: DataFrame, asked: DataFrame, k: int, dims: int, dtype: type) ->
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = _Lists(*lists.value)
-        if not len(one.ids):
-            return
+        lists = tiles()
         for vec_ids, vecs in _blocks(batches, dims, dtype):
-            q, found, score = one.reaching(vec_ids, vecs, cut.value, k)
-            yield batch_of(schema, one.ids[q], found, score.astype(np.int64))
+            for first, one in lists:
+                q, found, score = one.reaching(vec_ids, vecs, cut.value[first:first + _TILE], k)
+                yield batch_of(schema, one.ids[q], found, score.astype(np.int64))
 
     entries = rows.mapInArrow(collect, "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

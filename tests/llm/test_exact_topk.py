@@ -33,10 +33,10 @@ def random_rows(n=400, dims=24, seed=0, spread=1.0):
     return [(i, [float(x) for x in rng.normal(0, spread, dims)]) for i in range(n)]
 
 
-@pytest.mark.parametrize("kw", [{}, {"k": 3, "every": 7}, {"block_queries": 4}, {"scale": 1000}, {"k": 1}])
+@pytest.mark.parametrize("kw", [{}, {"k": 3, "every": 7}, {"block_bytes": 400}, {"every": 1}, {"scale": 1000}, {"k": 1}])
 def test_matches_brute_force(spark, kw):
     rows = random_rows()
-    args = {a: b for a, b in kw.items() if a != "block_queries"}
+    args = {a: b for a, b in kw.items() if a != "block_bytes"}
     assert run(spark, rows, **kw) == brute(rows, **args)
 
 
