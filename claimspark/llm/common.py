@@ -16,24 +16,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimspark.session import shared_dir
+from claimspark.session import stored  # noqa: F401
 
 #: Bytes of text that one vectorised step handles; larger Arrow batches are cut
 #: between documents, so memory is bounded by this plus the longest document.
-STEP_BYTES = 1 << 20
-
-
-def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    Cuts the lineage: consumers scan the table and recompute nothing upstream.
-    """
-    path = shared_dir(df.sparkSession, f"llm-{name}")
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+STEP_BYTES = 1 << 19
 
 
 def workers_find_package(spark: SparkSession) -> None:

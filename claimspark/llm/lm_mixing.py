@@ -48,8 +48,9 @@ BITS = 8
 #: Gates of a bit: no match, match agreeing so far, match that failed.
 GATES = 3
 PREDICTORS = 4
-BLOCK_TOKENS, GROUP_DOCS = 256, 64
+BLOCK_TOKENS, GROUP_DOCS = 256, 128
 RATE = 0.3
+_COUNTED_TOGETHER = 2_000_000
 MATCH_LOGIT = 2.0
 _PHI = np.uint64(0x9E3779B97F4A7C15)
 
@@ -130,7 +131,9 @@ def matches(classes: np.ndarray, two: np.ndarray, first: np.ndarray) -> np.ndarr
     n = np.diff(first)
     text = np.repeat(np.arange(len(n), dtype=np.uint64), n)
     place = textvec.combine(two, text)
-    order = np.argsort(place, kind="stable")
+    cell = (place >> np.uint64(44)).astype(np.int64)
+    maybe = np.flatnonzero(np.bincount(cell)[cell] > 1)  # a place seen once shares its cell at most by chance
+    order = maybe[np.argsort(place[maybe], kind="stable")]
     same = place[order][1:] == place[order][:-1]
     out = np.full(len(classes), -1, np.int32)
     out[order[1:][same]] = classes[order[:-1][same]]
@@ -175,16 +178,16 @@ class Vocabulary:
     tokens: int
     words: int
     keys: np.ndarray
-    counts: np.ndarray
+    logs: np.ndarray  # log10(count + 0.5) of each key of the head
     classes: Classes
     class_log: np.ndarray  # log10 of each class's denominator
     index: np.ndarray
 
     def lookup(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Count of each key and whether it is in the head."""
-        count, inside = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        """Log count of each key of the head, 0 for others; and which are in it."""
+        log, inside = np.zeros(len(keys)), np.zeros(len(keys), bool)
         if not len(self.keys):
-            return count, inside
+            return log, inside
         top = (keys >> np.uint64(64 - 20)).astype(np.int64)
         at, end = self.index[top], self.index[top + 1]
         todo = np.arange(len(keys))
@@ -192,10 +195,10 @@ class Vocabulary:
             todo = todo[at[todo] < end[todo]]
             hit = self.keys[at[todo]] == keys[todo]
             inside[todo[hit]] = True
-            count[todo[hit]] = self.counts[at[todo[hit]]]
+            log[todo[hit]] = self.logs[at[todo[hit]]]
             todo = todo[~hit]
             at[todo] += 1
-        return count, inside
+        return log, inside
 
 
 def vocabulary(counts: DataFrame, head_words: int) -> Vocabulary:
@@ -227,7 +230,7 @@ def vocabulary(counts: DataFrame, head_words: int) -> Vocabulary:
     class_log = np.log10(total + 0.5 * (kinds + 1))
     class_log[classes.number] = np.log10(n[top] + 0.5)  # one token: certain
     index = np.searchsorted(keys, np.arange(1 << 20, dtype=np.uint64) << np.uint64(44))
-    return Vocabulary(totals["n"] or 0, totals["v"], keys, n, classes, class_log, np.append(index, len(keys)))
+    return Vocabulary(totals["n"] or 0, totals["v"], keys, np.log10(n + 0.5), classes, class_log, np.append(index, len(keys)))
 
 
 # --- context counters ----------------------------------------------------------------
@@ -244,17 +247,27 @@ def context_counts(training: DataFrame, classes: Classes, bits: int) -> np.ndarr
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((2, 2 * size + tree), np.int64)
-        for batch in steps(batches, limit=1 << 20):
+        held: list[list[np.ndarray]] = [[], []]  # decisions of several steps, counted together
+
+        def add_held() -> None:
+            for i, flat in enumerate(held):
+                seen = np.bincount(np.concatenate(flat), minlength=2 * size) if flat else np.zeros(2 * size, np.int64)
+                table[:, i * size:(i + 1) * size] += seen.reshape(-1, 2).T
+                flat.clear()
+
+        for batch in steps(batches):
             keys, first = token_keys(batch.column(0))
             cls = classes.of(keys)
             for i, context in enumerate(contexts(keys, first)):
                 flat = slots(context, cls, bits) * 2
                 flat += _BIT[cls]
-                seen = np.bincount(flat.ravel(), minlength=2 * size)
-                table[:, i * size:(i + 1) * size] += seen.reshape(-1, 2).T
+                held[i].append(flat.ravel())
+            if sum(map(len, held[0])) > _COUNTED_TOGETHER:
+                add_held()
             seen = np.bincount(cls, minlength=tree)
             for bit in (0, 1):
                 np.add.at(table[bit], 2 * size + _NODE[_BIT == bit], np.broadcast_to(seen[:, None], _BIT.shape)[_BIT == bit])
+        add_held()
         used = np.flatnonzero(table.any(axis=0))
         for i in range(0, len(used), 200_000):
             own = used[i:i + 200_000]
@@ -433,8 +446,7 @@ def score(docs: DataFrame, modulus: int = 5, remainder: int = 1, head_words: int
             column = batch.column(2)
             keys, first, cls, one, two, match = _prepared(column, vocab.classes)
             mixed, _ = mixer.run(cls, one, two, match, first)
-            count, inside = vocab.lookup(keys)
-            logs = np.where(inside, np.log10(count + 0.5), 0.0)
+            logs, inside = vocab.lookup(keys)
             tail_first = np.concatenate([[0], np.cumsum(~inside)])[first]
             tail = pa.ListArray.from_arrays(pa.array(tail_first, pa.int32()), pa.array(keys[~inside].view(np.int64)))
             n = np.diff(first)
