@@ -125,7 +125,7 @@ COLUMNS = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_to
 
 
 def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, step_tokens: int = 1 << 16,
-         pool_tokens: int = 1 << 21, cache_words: int = 300_000) -> DataFrame:
+         pool_tokens: int = 1 << 21, cache_words: int = 600_000) -> DataFrame:
     """One row per piece: where it comes from, where it goes, its ids' CRC-32.
 
     ``tokenizer`` is the path of a vocabulary file of the tokenizers library;

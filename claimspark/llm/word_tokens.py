@@ -27,7 +27,7 @@ _ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 class WordEncoder:
     """Ids of words, with a cache of two generations of ``generation`` words."""
 
-    def __init__(self, path: str, generation: int = 300_000):
+    def __init__(self, path: str, generation: int = 600_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.merges = Tokenizer.from_file(path)
         self.merges.normalizer = normalizers.Sequence([])

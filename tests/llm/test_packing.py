@@ -15,14 +15,27 @@ from claimspark.llm.word_tokens import WordEncoder
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
+WHOLE = Tokenizer.from_file(PATH)
+
+
 def ids_of(text):
-    return Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids
+    return WHOLE.encode(text or "", add_special_tokens=False).ids
 
 
 ODD = ["", "a", "It's the End. 'tis IT'S", "x\x01y \x01 z", "<|endoftext|> in <|startoftext|>text", "é́ é ́",
        "漢字かな交じり文", "a\xa0b　c\x1cd\x85e", "ÅÉÎ ΑΣ ΑΣ. İ", "12 345 6,7", "\n\n \t\x0b\x0c", "🙂🙂 ok", "w" * 5000]
 
 
+def test_every_latin_letter_and_sign():
+    chars = [chr(c) for c in [*range(0x21, 0x7F), *range(0xA1, 0x180)]]
+    words = chars + [a + b for a in "aÀé'9-ß" for b in chars] + ["Ünïcödé's", "L'ÉTÉ,", "straße", "ÿÞþÐð", "naïve'll", "x­y"]
+    got = WordEncoder(PATH).encode([w.encode() for w in words])
+    for w, ids in zip(words, got):
+        assert ids.tolist() == ids_of(w), w
+    joined = " ".join(words)
+    assert WordEncoder(PATH).encode([joined.encode()])[0].tolist() == ids_of(joined)
+
+
 def test_word_cache_gives_the_tokenizer_s_ids():
     small = WordEncoder(PATH, generation=5)
     for _ in range(3):
