@@ -7,19 +7,23 @@ decisions that spell its class, then as one of its class by the corpus counts:
 
 The ``OWN`` most frequent tokens are classes of their own, the others are
 hashed to the remaining classes.  Each bit is predicted by several contexts:
-none, the previous token, the two previous tokens (hashed into counter tables
-of the whole training corpus) and the token that followed the same two tokens
+none, the previous token, the two previous tokens (with the exact counts of the
+whole training corpus) and the token that followed the same two tokens
 earlier in this text.  Their
 log-odds are added with weights that a gate selects (bit number and state of
 the match).  Weights start from values learned online on all training texts
-(every task learns, the results are averaged by tokens) and go on adapting to
+(every task learns, its results are averaged by tokens) and go on adapting to
 each text, block by block, using nothing but what came before.
 
-Scale: four passes over the texts without shuffling them.  Word counts are
-summed per 64-bit word key; the ``head_words`` most frequent keys are broadcast
-(a fixed size), all other words of a text are joined with the exact counts.
-Counter tables have 2^14 to 2^20 slots, growing with the corpus; every task
-sends its own counters, summed by slot.
+Scale: word counts are summed per 64-bit word key; the ``head_words`` most
+frequent keys are broadcast (a fixed size), all other words of a text are joined
+with the exact counts.  What followed each context is a table (context, class,
+count) that grows with the corpus's different contexts and is never gathered in
+one place: texts are dealt to chunks of ``CHUNK_BYTES``, each chunk's different
+contexts are joined with the table, and a chunk is scored beside its own part.
+A context seen once goes only to chunks of texts outside the training set; in a
+training text a missing context has been seen there alone.  Two of n different
+contexts share a 64-bit key with a probability of about n^2 / 2^65.
 
 Defined cases: null or empty text has only its end token.  A null id counts as
 '' in the split.  Repeated rows are scored each.  An empty table gives an
@@ -29,7 +33,7 @@ are read, so other columns cannot clash.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,9 +41,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from claimspark.llm import textvec
-from claimspark.llm.common import batch_of, buffers, held_out, steps, stored, text_bytes, workers_find_package
+from claimspark.llm.common import STEP_BYTES, batch_of, buffers, held_out, steps, stored, text_bytes, workers_find_package
 
 END = np.uint64(0x5851F42D4C957F2D)
 START = np.uint64(0x14057B7EF767814F)
@@ -50,7 +56,9 @@ GATES = 3
 PREDICTORS = 4
 BLOCK_TOKENS, GROUP_DOCS = 256, 128
 RATE = 0.3
-_COUNTED_TOGETHER = 2_000_000
+#: Text of a chunk, which is scored beside the counts of its contexts.
+CHUNK_BYTES = 8 << 20
+_HELD_TOGETHER = 2_000_000
 MATCH_LOGIT = 2.0
 _PHI = np.uint64(0x9E3779B97F4A7C15)
 
@@ -182,6 +190,7 @@ class Vocabulary:
     classes: Classes
     class_log: np.ndarray  # log10 of each class's denominator
     index: np.ndarray
+    class_n: np.ndarray  # tokens of each class
 
     def lookup(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log count of each key of the head, 0 for others; and which are in it."""
@@ -230,66 +239,170 @@ def vocabulary(counts: DataFrame, head_words: int) -> Vocabulary:
     class_log = np.log10(total + 0.5 * (kinds + 1))
     class_log[classes.number] = np.log10(n[top] + 0.5)  # one token: certain
     index = np.searchsorted(keys, np.arange(1 << 20, dtype=np.uint64) << np.uint64(44))
-    return Vocabulary(totals["n"] or 0, totals["v"], keys, np.log10(n + 0.5), classes, class_log, np.append(index, len(keys)))
+    return Vocabulary(totals["n"] or 0, totals["v"], keys, np.log10(n + 0.5), classes, class_log, np.append(index, len(keys)), total)
 
 
-# --- context counters ----------------------------------------------------------------
+# --- contexts ------------------------------------------------------------------------
 
-def table_bits(tokens: int) -> int:
-    return int(min(20, max(14, np.log2(max(tokens, 1)) // 2 + 6)))
+def tree_counts(class_n: np.ndarray) -> np.ndarray:
+    """(2, 2^BITS): how often bit 0 and bit 1 was seen at each place of the class tree."""
+    out = np.zeros((2, 1 << BITS))
+    for bit in (0, 1):
+        np.add.at(out[bit], _NODE[_BIT == bit], np.broadcast_to(class_n[:, None], _BIT.shape)[_BIT == bit])
+    return out.astype(np.float32)
 
 
-def context_counts(training: DataFrame, classes: Classes, bits: int) -> np.ndarray:
-    """(2, slots): how often bit 0 and bit 1 was seen in each slot.  The slots are
-    2^bits for one token of context, 2^bits for two and 2^BITS for none."""
-    schema = pa.schema([("slot", pa.int64()), ("n0", pa.int64()), ("n1", pa.int64())])
-    size, tree = 1 << bits, 1 << BITS
+def chunked(rows: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """``rows`` (doc_id, held_out, text) with the chunk and a number of each."""
+    schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("uid", T.LongType()), *rows.schema.fields])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uid = chunk = TaskContext.get().partitionId() << 33
+        held = 0
+        for batch in steps(batches, limit=min(chunk_bytes, STEP_BYTES)):
+            size = int(buffers(batch.column(2))[1][-1])
+            if held and held + size > chunk_bytes:
+                chunk, held = chunk + 1, 0
+            held += size
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(batch.num_rows, chunk)), pa.array(uid + np.arange(batch.num_rows)), *batch.columns],
+                names=schema.names)
+            uid += batch.num_rows
+
+    return rows.mapInArrow(deal, schema)
+
+
+def context_counts(training: DataFrame, classes: Classes) -> DataFrame:
+    """(context, total, seen): of every context of the training texts how many tokens
+    followed, and of which classes (256 * count + class)."""
+    schema = pa.schema([("context", pa.int64()), ("class", pa.int32()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((2, 2 * size + tree), np.int64)
-        held: list[list[np.ndarray]] = [[], []]  # decisions of several steps, counted together
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def add_held() -> None:
-            for i, flat in enumerate(held):
-                seen = np.bincount(np.concatenate(flat), minlength=2 * size) if flat else np.zeros(2 * size, np.int64)
-                table[:, i * size:(i + 1) * size] += seen.reshape(-1, 2).T
-                flat.clear()
+        def summed() -> pa.RecordBatch:
+            context, cls = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            order = np.lexsort((cls, context))
+            context, cls = context[order], cls[order]
+            edge = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (cls[1:] != cls[:-1])))
+            return batch_of(schema, context[edge].view(np.int64), cls[edge], np.diff(np.append(edge, len(cls))))
 
         for batch in steps(batches):
             keys, first = token_keys(batch.column(0))
             cls = classes.of(keys)
-            for i, context in enumerate(contexts(keys, first)):
-                flat = slots(context, cls, bits) * 2
-                flat += _BIT[cls]
-                held[i].append(flat.ravel())
-            if sum(map(len, held[0])) > _COUNTED_TOGETHER:
-                add_held()
-            seen = np.bincount(cls, minlength=tree)
-            for bit in (0, 1):
-                np.add.at(table[bit], 2 * size + _NODE[_BIT == bit], np.broadcast_to(seen[:, None], _BIT.shape)[_BIT == bit])
-        add_held()
-        used = np.flatnonzero(table.any(axis=0))
-        for i in range(0, len(used), 200_000):
-            own = used[i:i + 200_000]
-            yield batch_of(schema, own, table[0, own], table[1, own])
-
-    rows = (training.mapInArrow(count, "slot bigint, n0 bigint, n1 bigint")
-            .groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))).toArrow()
-    out = np.zeros((2, 2 * size + tree), np.float32)
-    at = rows.column("slot").to_numpy()
-    out[0, at] = rows.column("n0").to_numpy()
-    out[1, at] = rows.column("n1").to_numpy()
-    return out
+            held += [(context, cls) for context in contexts(keys, first)]
+            if sum(len(c) for c, _ in held) > _HELD_TOGETHER:
+                yield summed()
+        if held:
+            yield summed()
+
+    return (training.mapInArrow(count, "context bigint, class int, n bigint").repartition("context")
+            .groupBy("context", "class").agg(F.sum("n").alias("n"))
+            .groupBy("context").agg(F.sum("n").alias("total"), F.collect_list(F.expr("256 * n + class")).alias("seen")))
+
+
+def context_needs(chunks: DataFrame) -> DataFrame:
+    """(chunk, held_out, context): the contexts of each chunk, once or a few times."""
+    schema = pa.schema([("chunk", pa.int64()), ("held_out", pa.bool_()), ("context", pa.int64())])
+
+    def need(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def once() -> pa.RecordBatch:
+            context, place = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            order = np.lexsort((context, place))
+            context, place = context[order], place[order]
+            edge = np.append(True, (context[1:] != context[:-1]) | (place[1:] != place[:-1]))
+            context, place = context[edge], place[edge]
+            return batch_of(schema, place >> 1, (place & 1).astype(bool), context.view(np.int64))
+
+        for batch in steps(batches):
+            keys, first = token_keys(batch.column(2))
+            out = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            place = np.repeat(2 * batch.column(0).to_numpy() + out, np.diff(first))
+            held += [(context, place) for context in contexts(keys, first)]
+            if sum(len(c) for c, _ in held) > _HELD_TOGETHER:
+                yield once()
+        if held:
+            yield once()
+
+    return chunks.select("chunk", "held_out", "text").mapInArrow(need, "chunk bigint, held_out boolean, context bigint")
+
+
+class Seen:
+    """What followed the contexts of a chunk, from rows (chunk, context, seen)."""
+
+    def __init__(self, table: pa.Table):
+        lists = table.column("seen").combine_chunks()
+        lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)
+        start, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        self.contexts, row = np.unique(table.column("context").to_numpy().view(np.uint64), return_index=True)
+        size = (start[1:] - start[:-1])[row].astype(np.int64)
+        self.first = np.concatenate([[0], np.cumsum(size)])
+        packed = flat[np.repeat(start[:-1][row] - self.first[:-1], size) + np.arange(self.first[-1])]
+        entry = np.repeat(np.arange(len(row)) << BITS, size) + (packed & ((1 << BITS) - 1))
+        order = np.argsort(entry)
+        self.entry, self.upto = entry[order], np.concatenate([[0], np.cumsum(packed[order] >> BITS)])
+
+    def passed(self, context: np.ndarray, cls: np.ndarray, training: np.ndarray) -> np.ndarray:
+        """(BITS + 1, tokens): how often the context was seen, and then each further
+        place on the way to the class.  A context without a row was seen once,
+        before this token, if the token is of a training text, else never."""
+        out = np.repeat(training[None].astype(np.int64), BITS + 1, axis=0)
+        if not len(self.contexts):
+            return out
+        order = np.argsort(context)
+        at = np.searchsorted(self.contexts, context[order])
+        there = self.contexts[np.minimum(at, len(self.contexts) - 1)] == context[order]
+        token, at = order[there], at[there]
+        lo, hi = self.first[at], self.first[at + 1]
+        out[0, token] = self.upto[hi] - self.upto[lo]
+        for level in range(BITS):
+            half = 1 << (BITS - 1 - level)
+            c = cls[token]
+            middle = np.searchsorted(self.entry, (at << BITS) + (c & ~(2 * half - 1)) + half)
+            right = (c & half) > 0
+            lo, hi = np.where(right, middle, lo), np.where(right, hi, middle)
+            out[level + 1, token] = self.upto[hi] - self.upto[lo]
+        return out
+
+    def logits(self, context: np.ndarray, cls: np.ndarray, training: np.ndarray, leave_one_out: bool) -> np.ndarray:
+        """(tokens, BITS): the log-odds of bit 1 of each decision."""
+        n = self.passed(context, cls, training).astype(np.float32)
+        if leave_one_out:  # the counts include this very token: take it out
+            n -= 1
+        came = np.log(n[1:] + np.float32(0.4)) - np.log(n[:-1] - n[1:] + np.float32(0.4))
+        return came.T * _SIGN[cls]
+
+
+def beside(chunks: DataFrame, seen: DataFrame, run: Callable[[pa.Table, Seen], Iterator[pa.RecordBatch]],
+           schema: str) -> DataFrame:
+    """``run`` of every chunk's texts and of what was seen after its contexts."""
+
+    def both(texts: pa.Table, rows: pa.Table) -> pa.Table:
+        if not len(texts):
+            return empty
+        return pa.Table.from_batches(run(texts.sort_by("uid"), Seen(rows)))
+
+    names = T.StructType.fromDDL(schema)
+    empty = pa.table({f.name: pa.array([], t) for f, t in zip(names, to_arrow_schema(names).types)})
+    return chunks.groupBy("chunk").cogroup(seen.groupBy("chunk")).applyInArrow(both, schema)
 
 
 # --- mixing ---------------------------------------------------------------------------
 
 class Mixer:
-    """Scores texts; the weights of each text adapt block by block."""
+    """Scores texts; the weights of each text adapt block by block.
+
+    ``counters`` end with the class tree's counts; before them may stand a table of
+    2^bits hashed slots for one token of context and one for two, for texts that
+    are run without the log-odds ``after`` their contexts."""
 
-    def __init__(self, counters: np.ndarray, bits: int, weights: np.ndarray, leave_one_out: bool):
+    def __init__(self, counters: np.ndarray, bits: int | None, weights: np.ndarray, leave_one_out: bool):
         self.bits, self.weights, self.loo = bits, weights, leave_one_out
-        size = 1 << bits
+        size = 1 << bits if bits is not None else 0
         self.counters = counters if leave_one_out else None
         self.logit = None if leave_one_out else np.log(counters[1] + 0.4) - np.log(counters[0] + 0.4)
         tree = counters[:, 2 * size:][:, _NODE]
@@ -305,7 +418,7 @@ class Mixer:
         return np.log((one + np.float32(0.4)) / (zero + np.float32(0.4)))
 
     def run(self, cls: np.ndarray, one: np.ndarray, two: np.ndarray, match: np.ndarray,
-            first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            first: np.ndarray, after: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """log10 probability of each text's classes, and the final weights of each."""
         n = len(first) - 1
         score = np.zeros(n)
@@ -324,22 +437,25 @@ class Mixer:
                 cost = np.empty(len(t))
                 rows, marked = np.flatnonzero(~guessed), np.flatnonzero(guessed)
                 if len(rows):
-                    cost[rows] = self.unmatched(cls[t[rows]], one[t[rows]], two[t[rows]], text[rows], weights)
+                    cost[rows] = self.unmatched(cls[t[rows]], self.inputs(t[rows], cls, one, two, after), text[rows], weights)
                 if len(marked):
                     m = t[marked]
-                    cost[marked] = self.matched(cls[m], one[m], two[m], match[m], text[marked], weights)
+                    cost[marked] = self.matched(cls[m], self.inputs(m, cls, one, two, after), match[m], text[marked], weights)
                 score[lo + live] += np.add.reduceat(cost, ends - here)
         return score / np.log(10), weights
 
-    def inputs(self, cls: np.ndarray, one: np.ndarray, two: np.ndarray) -> list[np.ndarray]:
-        size = 1 << self.bits
+    def inputs(self, t: np.ndarray, cls: np.ndarray, one: np.ndarray, two: np.ndarray,
+               after: tuple[np.ndarray, np.ndarray] | None) -> list[np.ndarray]:
+        cls = cls[t]
+        if after is not None:
+            return [self.plain[cls], after[0][t], after[1][t]]
+        one, two, size = one[t], two[t], 1 << self.bits
         after_two = slots(two, cls, self.bits)
         after_two += size
         return [self.plain[cls], self.logits(slots(one, cls, self.bits), cls), self.logits(after_two, cls)]
 
-    def unmatched(self, cls, one, two, text, weights) -> np.ndarray:
+    def unmatched(self, cls, x, text, weights) -> np.ndarray:
         """Log probabilities of tokens without a match; adapts their gate's weights."""
-        x = self.inputs(cls, one, two)
         edge = np.flatnonzero(np.diff(text, prepend=-1))
         texts, here = text[edge], np.diff(np.append(edge, len(text)))
         own = weights[texts, :, 0, :PREDICTORS - 1]  # (texts, BITS, predictors)
@@ -352,10 +468,10 @@ class Mixer:
             weights[texts, :, 0, i] += RATE * gradient / (here[:, None] + np.float32(8))
         return cost
 
-    def matched(self, cls, one, two, match, text, weights) -> np.ndarray:
+    def matched(self, cls, x, match, text, weights) -> np.ndarray:
         """Log probabilities of tokens with a match; adapts the weights of its two gates."""
         agree = _LEVEL <= _AGREE[cls ^ match][:, None]
-        x = [*self.inputs(cls, one, two), np.where(agree, _SIGN[match] * np.float32(MATCH_LOGIT), np.float32(0))]
+        x = [*x, np.where(agree, _SIGN[match] * np.float32(MATCH_LOGIT), np.float32(0))]
         cell = (text[:, None] * BITS + _LEVEL) * GATES + np.where(agree, 1, 2)
         flat = weights.reshape(-1, PREDICTORS)
         w = flat[cell]
@@ -393,25 +509,36 @@ def _prepared(column: pa.Array, classes: Classes):
     return keys, first, cls, one, two, matches(cls, two, first)
 
 
-def learned_weights(training: DataFrame, classes: Classes, counters: np.ndarray, bits: int) -> np.ndarray:
-    """Weights after an online pass of every task over its training texts,
-    averaged by tokens."""
-    shared = training.sparkSession.sparkContext.broadcast(counters)
+def learned_weights(training: DataFrame, seen: DataFrame, classes: Classes, tree: np.ndarray) -> np.ndarray:
+    """Weights after an online pass of every task over its chunks of training
+    texts, averaged by tokens.  A task's weights move once they have seen about a
+    step of text, however it is dealt to chunks."""
     cells = BITS * GATES * PREDICTORS
     schema = pa.schema([("cell", pa.int64()), ("weight", pa.float64()), ("tokens", pa.int64())])
-
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, tokens = Mixer(shared.value, bits, neutral(), leave_one_out=True), 0
-        for batch in steps(batches):
-            keys, first, cls, one, two, match = _prepared(batch.column(0), classes)
-            _, after = mixer.run(cls, one, two, match, first)
+    task: dict = {}  # goes on from chunk to chunk
+
+    def learn(texts: pa.Table, known: Seen) -> Iterator[pa.RecordBatch]:
+        if not task:
+            task.update(mixer=Mixer(tree, None, neutral(), leave_one_out=True), sum=0.0, tokens=0, size=0)
+        mixer, tokens, mean = task["mixer"], 0, task["mixer"].weights
+        for batch in steps(texts.to_batches()):
+            column = batch.column(batch.num_columns - 1)
+            keys, first, cls, one, two, match = _prepared(column, classes)
+            ours = np.ones(len(cls), bool)
+            after = tuple(known.logits(c, cls, ours, True) for c in (one, two))
+            _, own = mixer.run(cls, one, two, match, first, after)
             n = np.diff(first)
-            mixer.weights = (np.tensordot(n / n.sum(), after, axes=1)).astype(np.float32)
             tokens += int(n.sum())
-        if tokens:
-            yield batch_of(schema, np.arange(cells), mixer.weights.reshape(-1).astype(float), np.full(cells, tokens))
-
-    rows = (training.mapInArrow(learn, "cell bigint, weight double, tokens bigint")
+            task["sum"] += np.tensordot(n.astype(float), own, axes=1)
+            task["tokens"] += int(n.sum())
+            task["size"] += int(buffers(column)[1][-1])
+            mean = (task["sum"] / task["tokens"]).astype(np.float32)
+            if 2 * task["size"] >= STEP_BYTES:
+                mixer.weights = mean
+                task.update(sum=0.0, tokens=0, size=0)
+        yield batch_of(schema, np.arange(cells), mean.reshape(-1).astype(float), np.full(cells, tokens))
+
+    rows = (beside(training, seen, learn, "cell bigint, weight double, tokens bigint")
             .groupBy("cell").agg((F.sum(F.col("weight") * F.col("tokens")) / F.sum("tokens")).alias("w"))).collect()
     out = neutral().reshape(-1)
     for r in rows:
@@ -430,36 +557,38 @@ def score(docs: DataFrame, modulus: int = 5, remainder: int = 1, head_words: int
     training = rows.filter("NOT held_out").select("text")
     counts = stored(word_counts(training), "lm-words")
     vocab = vocabulary(counts, head_words)
-    bits = table_bits(vocab.tokens)
-    counters = context_counts(training, vocab.classes, bits)
-    weights = learned_weights(training, vocab.classes, counters, bits)
-    shared = spark.sparkContext.broadcast((vocab, counters, bits, weights))
+    tree = tree_counts(vocab.class_n)
+    chunks = stored(chunked(rows), "lm-chunks")
+    seen = stored(context_needs(chunks).join(context_counts(training, vocab.classes), "context")
+                  .filter("held_out OR total > 1").select("chunk", "context", "seen"), "lm-contexts")
+    weights = learned_weights(chunks.filter("NOT held_out"), seen, vocab.classes, tree)
+    shared = spark.sparkContext.broadcast((vocab, weights))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     columns = (f"doc_id {id_type}, held_out boolean, uid bigint, n_bytes bigint, n_tokens bigint, n_head bigint, "
                "head_log double, class_log double, mixed_log double, tail array<bigint>")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, counters, bits, weights = shared.value
-        mixer = Mixer(counters, bits, weights, leave_one_out=False)
-        uid = TaskContext.get().partitionId() << 33
-        for batch in steps(batches):
-            column = batch.column(2)
+    def run(texts: pa.Table, known: Seen) -> Iterator[pa.RecordBatch]:
+        vocab, weights = shared.value
+        mixer = Mixer(tree, None, weights, leave_one_out=False)
+        for batch in steps(texts.select(["doc_id", "held_out", "uid", "text"]).to_batches()):
+            column = batch.column(3)
             keys, first, cls, one, two, match = _prepared(column, vocab.classes)
-            mixed, _ = mixer.run(cls, one, two, match, first)
+            ours = np.repeat(~batch.column(1).to_numpy(zero_copy_only=False), np.diff(first))
+            after = tuple(known.logits(c, cls, ours, False) for c in (one, two))
+            mixed, _ = mixer.run(cls, one, two, match, first, after)
             logs, inside = vocab.lookup(keys)
             tail_first = np.concatenate([[0], np.cumsum(~inside)])[first]
             tail = pa.ListArray.from_arrays(pa.array(tail_first, pa.int32()), pa.array(keys[~inside].view(np.int64)))
             n = np.diff(first)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(uid + np.arange(len(n))),
+                [*batch.columns[:3],
                  pa.array(np.diff(buffers(column)[1])), pa.array(n), pa.array(textvec.row_sums(inside.astype(np.int64), first)),
                  pa.array(textvec.row_sums(logs, first)), pa.array(textvec.row_sums(vocab.class_log[cls], first)),
                  pa.array(mixed), tail],
                 names=["doc_id", "held_out", "uid", "n_bytes", "n_tokens", "n_head", "head_log", "class_log",
                        "mixed_log", "tail"])
-            uid += len(n)
 
-    scored = stored(rows.mapInArrow(run, columns), "lm-scored")
+    scored = stored(beside(chunks, seen, run, columns), "lm-scored")
     rare = (scored.select("uid", F.explode("tail").alias("key")).join(counts, "key", "left")
             .groupBy("uid").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("tail_log"), F.count("n").alias("n_tail")))
     base = float(np.log10(vocab.tokens + 0.5 * (vocab.words + 1)))

@@ -123,3 +123,41 @@ def test_empty_and_repeated(docs):
     held = next(i for i in range(50) if out(i))
     only = M.score(docs([(held, "never trained")])).first()
     assert only.train_tokens == 0 and only.n_known == 0 and only.held_out
+
+
+def test_context_counts_are_exact_and_grow_with_the_contexts(docs):
+    """Every different context keeps its own counts, in whatever chunk it is needed."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.3, 300) % 5000)) for i in range(90)]
+    train = [t for i, t in rows if not out(i)]
+    none = M.Classes(np.zeros(0, np.uint64), np.zeros(0, np.int32))
+    want = {}
+    for t in train:
+        keys, first, cls, one, two, _ = M._prepared(pa.array([t.encode()], pa.binary()), none)
+        for context in (one, two):
+            for k, c in zip(context.tolist(), cls.tolist()):
+                want.setdefault(k, Counter())[c] += 1
+    df = docs(rows).repartition(3).select("doc_id", M.held_out("doc_id", 5).alias("held_out"), M.text_bytes().alias("text"))
+    seen = M.context_counts(df.filter("NOT held_out").select("text"), none)
+    got = {r.context % 2**64: {x & 255: x >> 8 for x in r.seen} for r in seen.collect()}
+    assert got == want and len(got) > 10_000
+
+    chunks = M.chunked(df, 2000).localCheckpoint()
+    assert chunks.select("chunk").distinct().count() > 20
+    rows = M.context_needs(chunks).join(seen, "context").filter("held_out OR total > 1").select("chunk", "context", "seen")
+
+    def run(texts, known):
+        for batch in M.steps(texts.to_batches()):
+            keys, first, cls, one, two, _ = M._prepared(batch.column(4), none)
+            ours = np.repeat(~batch.column(3).to_numpy(zero_copy_only=False), np.diff(first))
+            for context in (one, two):
+                n = known.passed(context, cls, ours)
+                yield M.batch_of(pa.schema([("context", pa.int64()), ("cls", pa.int32()), ("n", pa.list_(pa.int64()))]),
+                                 context.view(np.int64), cls, pa.array(list(n.T)))
+
+    found = M.beside(chunks, rows, run, "context bigint, cls int, n array<bigint>").collect()
+    assert len(found) == 2 * 90 * 301
+    for r in found:
+        after = want.get(r.context % 2**64, {})
+        for level, n in enumerate(r.n):
+            assert n == sum(v for c, v in after.items() if c >> (8 - level) == r.cls >> (8 - level))
