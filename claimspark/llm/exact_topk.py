@@ -87,7 +87,10 @@ class _Lists:
     def reaching(self, ids: np.ndarray, vectors: np.ndarray, cutoff: np.ndarray, k: int):
         """(query row, id, score) of entries that reach the cutoff, at most k a query."""
         parts = self.partial(vectors)
-        need = cutoff / len(parts) if parts[0].dtype.kind == "f" else -(-cutoff // len(parts))
+        if parts[0].dtype.kind == "f":
+            need = cutoff / len(parts)
+        else:  # rounded up without negating the cutoff: the lowest number has no opposite
+            need = cutoff // len(parts) + (cutoff % len(parts) > 0)
         collected = np.zeros(parts[0].shape, bool)
         for p in parts:
             collected |= p >= need[:, None]
@@ -102,6 +105,7 @@ class _Lists:
 
 
 def _low(dtype: np.dtype) -> float | int:
+    """Below every total, for "none" and "no cutoff"."""
     return -np.inf if dtype.kind == "f" else np.iinfo(np.int64).min
 
 

@@ -60,3 +60,11 @@ def test_defined_cases(spark):
     assert run(spark, rows) == brute(rows)
     assert run(spark, []) == [] and run(spark, [(20, [1.0])]) == [] and run(spark, [(3, [1.0])]) == []
     assert run(spark, [(20, [1.0]), (1, [0.5])]) == [(20, 1, 1, 64 * 32)]
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_few_large_vectors_are_all_returned(spark, parts):
+    """With fewer than k candidates there is no cutoff, also where scores need int64."""
+    rows = random_rows(9, 8, 2) + [(20, [1e6] + [0.5] * 7), (40, [-1e6] * 8), (11, [1e6] * 8)]
+    got = run(spark, rows, parts)
+    assert len(got) == 3 * 11 and got == brute(rows)
