@@ -45,7 +45,9 @@ from oracle_queries import ORACLE  # noqa: E402
 try:  # the training-data operators are an optional part
     import corpus_pipeline
     from claimspark.llm import queries as llm_queries
-except ImportError:
+except ModuleNotFoundError as e:
+    if e.name not in ("corpus_pipeline", "claimspark.llm"):  # present, but something in it is missing
+        raise
     LLM_QUERIES, LLM_ORACLE = {}, {}
 else:
     LLM_QUERIES = llm_queries.QUERIES | {"pipeline": corpus_pipeline.run}

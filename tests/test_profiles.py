@@ -5,7 +5,7 @@ import pytest
 from claimspark.operators.aggregates import class_balance, rate_by
 from claimspark.plans import profiles
 from claimspark.plans.features import claim_features
-from conftest import claim, patient, provider
+from helpers import claim, patient, provider
 
 # FIXED VALUES: rows of the published risk table that the library must reproduce:
 # provider, total_claims, fraud_claims, total_billed, avg_claim, fraud_rate, risk_tier

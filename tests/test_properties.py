@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from claimspark.operators.pairs import near_pairs
 from claimspark.operators.ranking import global_rank
 from claimspark.plans import profiles, rules
-from conftest import claim, patient, provider
+from helpers import claim, patient, provider
 
 BASE = dt.date(2024, 1, 1)
 

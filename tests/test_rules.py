@@ -4,7 +4,7 @@ import random
 
 from claimspark.operators.pairs import near_pairs
 from claimspark.plans import rules
-from conftest import claim, patient, provider
+from helpers import claim, patient, provider
 
 
 def test_inflation_uses_category_mean_and_inner_join(frames):

@@ -7,7 +7,7 @@ from claimspark.schemas import CLAIMS, PROVIDERS
 from claimspark.sources import readers, sinks
 from claimspark.sources.catalog import register_views
 from claimspark.streaming import flag_claims, start_flagging
-from conftest import claim, patient, provider
+from helpers import claim, patient, provider
 
 
 def test_provider_csv_with_quoted_commas_round_trip(spark, frames, tmp_dir):
