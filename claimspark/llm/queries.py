@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from claimspark.llm import edit_counts, exact_topk, line_dedup, lm_mixing, packing, pfair_mixing, \
-    quality_cnn, quality_rules, simhash_pigeonring, url_templates
+    quality_cnn, quality_rules, simhash_pigeonring, strassen_mining, url_templates
 from claimspark.llm.common import read
 
 
@@ -55,6 +55,11 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                                               shingle_words=4, max_bits=4)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strassen_mining.mine(read(spark, sf_dir, "embeddings"), every=100, positives=5, negatives=10, low=30, high=90,
+                                scale=256, relabel_every=7, labels=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_lm_scoring": op2_lm_scoring,
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_exact_topk": op9_exact_topk,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
 }
 
 ORACLE: dict[str, str] = {
@@ -74,4 +80,5 @@ ORACLE: dict[str, str] = {
     "op5_quality_rules": quality_rules.oracle(),
     "op6_url_filters": url_templates.oracle(),
     "op9_exact_topk": exact_topk.oracle(),
+    "op11_hard_negatives": strassen_mining.oracle(),
 }
