@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from claimspark.llm import edit_counts, exact_topk, line_dedup, lm_mixing, packing, pfair_mixing, \
+from claimspark.llm import edit_counts, exact_topk, language_id, line_dedup, lm_mixing, packing, pfair_mixing, \
     quality_cnn, quality_rules, simhash_pigeonring, strassen_mining, token_alignment, \
     url_templates
 from claimspark.llm.common import read
@@ -61,6 +61,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
                                 scale=256, relabel_every=7, labels=10)
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict(read(spark, sf_dir, "documents"), modulus=4, remainder=2, max_train_rows=4000)
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
                                  public_tokenizers.path("piece_bpe_32k.model"))
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_topk": op9_exact_topk,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_language_id": op12_language_id,
     "op13_token_alignment": op13_token_alignment,
 }
 
