@@ -34,6 +34,7 @@ from claimspark import operators as ops  # noqa: E402
 from claimspark.plans import investigations as inv  # noqa: E402
 from claimspark.plans import models, profiles, rules  # noqa: E402
 from claimspark.plans.features import claim_features, claim_flags, disease_means  # noqa: E402
+from claimspark.plans.models_full import FullModels, model_rows  # noqa: E402
 from claimspark.schemas import CLAIMS, FOREIGN_KEYS, INVESTIGATIONS, PATIENTS, PRIMARY_KEYS, \
     PROVIDER_RISK, PROVIDERS  # noqa: E402
 from claimspark.session import shared_dir, stored  # noqa: E402
@@ -386,18 +387,17 @@ def ml_split_exact(spark, sf_dir):
                                       "claim_id", "is_fraud")
 
 
-# The registered models are fitted at full size (100 trees of up to 30 levels,
-# 100 rounds, 500 iterations) on about so many training rows; every test row is
+# The registered models are fitted on every training row, at full size (100 trees
+# until pure, 100 rounds of depth 6, Newton steps to convergence); every test row is
 # scored.  Fitted models are kept per application and folder.
-TRAIN_ROWS = 10_000
+MODEL_ARGS: dict = {}
 _MODELS: dict = {}
 
 
-def _models(spark, sf_dir) -> models.FraudModels:
+def _models(spark, sf_dir) -> FullModels:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MODELS:
-        prepared = models.prepare(_features(spark, sf_dir))
-        _MODELS[key] = models.FraudModels(prepared, max_train_rows=TRAIN_ROWS).fit_all()
+        _MODELS[key] = FullModels(model_rows(_features(spark, sf_dir)), **MODEL_ARGS)
     return _MODELS[key]
 
 
@@ -409,21 +409,76 @@ def ml_assemble(spark, sf_dir):
 
 
 def ml_scale(spark, sf_dir):
-    """Per feature the fitted mean and deviation, and how far the scaled training
-    sample is from mean 0 and deviation 1."""
+    """Every test row with its 20 features scaled by the moments of all training rows."""
+    rows = _models(spark, sf_dir).scaled_test()
+    return rows.select("claim_id", F.col("label").cast("int").alias("label"),
+                       *[F.round(c, 6).alias(c) for c in models.FEATURES])
+
+
+def ml_moments(spark, sf_dir):
+    """Rows, mean and population deviation of each feature over all training rows,
+    and the same of the scaled training rows."""
     m = _models(spark, sf_dir)
-    scaler = m.scaler()
-    scaled = scaler.transform(m.sample).withColumn("v", models.vector_to_array("scaled"))
-    facts = scaled.agg(*[e for i, _ in enumerate(models.FEATURES) for e in (
-        F.round(F.abs(F.avg(F.col("v")[i])), 6).alias(f"m{i}"), F.round(F.stddev_samp(F.col("v")[i]), 6).alias(f"s{i}"))])
-    rows = [F.struct(F.lit(name).alias("feature"), F.lit(round(float(scaler.mean[i]), 4)).alias("mean"),
-                     F.lit(round(float(scaler.std[i]), 4)).alias("deviation"),
+    found = m.moments()
+    scaled = found.apply(m.train).agg(*[e for i, c in enumerate(models.FEATURES) for e in (
+        F.round(F.abs(F.avg(c)), 6).alias(f"m{i}"), F.round(F.stddev_pop(c), 6).alias(f"s{i}"))])
+    rows = [F.struct(F.lit(name).alias("feature"), F.lit(found.n).cast("bigint").alias("n_rows"),
+                     F.lit(round(found.mean[i], 6)).alias("mean"), F.lit(round(found.deviation[i], 6)).alias("deviation"),
                      F.col(f"m{i}").alias("scaled_mean"), F.col(f"s{i}").alias("scaled_deviation"))
             for i, name in enumerate(models.FEATURES)]
-    return facts.select(F.inline(F.array(*rows)))
+    return scaled.select(F.inline(F.array(*rows)))
+
+
+def ml_logistic(spark, sf_dir):
+    """Every test row with its probability and class."""
+    return _models(spark, sf_dir).scored("logistic")
+
+
+def ml_forest(spark, sf_dir):
+    return _models(spark, sf_dir).scored("forest")
+
+
+def ml_boosted(spark, sf_dir):
+    return _models(spark, sf_dir).scored("boosted")
+
+
+def ml_score(spark, sf_dir):
+    """Every test row once with the probabilities and classes of all three models."""
+    return _models(spark, sf_dir).scores()
+
+
+def ml_compare(spark, sf_dir):
+    return _models(spark, sf_dir).comparison()
+
+
+def ml_importance_top(spark, sf_dir):
+    return _models(spark, sf_dir).importances()
+
+
+def ml_coefficients(spark, sf_dir):
+    return _models(spark, sf_dir).coefficients()
+
 
+def ml_splits(spark, sf_dir):
+    """Every split of the boosted trees: feature, threshold, gain, rows."""
+    return _models(spark, sf_dir).splits("boosted")
 
-def _checked(spark, sf_dir, which):
+
+def eval_model_report(spark, sf_dir):
+    return ops.classification_report(_models(spark, sf_dir).scored("boosted"), "label", "prediction")
+
+
+def eval_model_confusion(spark, sf_dir):
+    return ops.confusion_matrix(_models(spark, sf_dir).scored("boosted"), "label", "prediction")
+
+
+def eval_model_roc(spark, sf_dir):
+    return ops.roc_points(_models(spark, sf_dir).scored("boosted"), "label", "probability")
+
+
+# What SQL can know of fitted models, beside their values.
+
+def _facts(spark, sf_dir, which):
     """Every test row, and whether its probability and class are sound: between
     0 and 1, and the class that of a threshold of one half."""
     rows = _models(spark, sf_dir).scored(which)
@@ -432,34 +487,34 @@ def _checked(spark, sf_dir, which):
                        ((p > 0.5).cast("int") == F.col("prediction")).alias("class_follows"))
 
 
-def ml_logistic(spark, sf_dir):
-    return _checked(spark, sf_dir, "logistic")
+def ml_logistic_facts(spark, sf_dir):
+    return _facts(spark, sf_dir, "logistic")
 
 
-def ml_forest(spark, sf_dir):
-    return _checked(spark, sf_dir, "forest")
+def ml_forest_facts(spark, sf_dir):
+    return _facts(spark, sf_dir, "forest")
 
 
-def ml_boosted(spark, sf_dir):
-    return _checked(spark, sf_dir, "boosted")
+def ml_boosted_facts(spark, sf_dir):
+    return _facts(spark, sf_dir, "boosted")
 
 
-def ml_score(spark, sf_dir):
+def ml_score_facts(spark, sf_dir):
     """Every test row once with the number of models that scored it."""
     scored = [F.col(f"probability_{m}").isNotNull().cast("int") for m in models.MODELS]
     return _models(spark, sf_dir).scores().select("claim_id", "label", sum(scored).alias("n_scores"))
 
 
-def ml_compare(spark, sf_dir):
+def ml_compare_facts(spark, sf_dir):
     """Each model's test rows per class, and whether its AUC is above 0.8."""
     out = _models(spark, sf_dir).comparison()
     return out.select("model", "n_pos", "n_neg", (F.col("auc") > 0.8).alias("auc_above_floor"))
 
 
-def ml_importance_top(spark, sf_dir):
+def ml_importance_top_facts(spark, sf_dir):
     """The twelve places of the importance table: whether each holds a model
     feature with a share, and no larger one than the place before."""
-    table = models.importances(_models(spark, sf_dir).boosted())
+    table = _models(spark, sf_dir).importances()
     order = Window.orderBy(F.col("importance").desc(), "feature")  # at most twelve rows
     ranked = table.withColumns({"place": F.row_number().over(order), "before": F.lag("importance").over(order)})
     return ranked.select("place", F.col("feature").isin(models.FEATURES).alias("is_feature"),
@@ -467,25 +522,24 @@ def ml_importance_top(spark, sf_dir):
                          F.coalesce(F.col("importance") <= F.col("before"), F.lit(True)).alias("in_order"))
 
 
-def eval_model_report(spark, sf_dir):
+def eval_model_report_facts(spark, sf_dir):
     """The report's rows with their support, and whether every figure is a share."""
-    out = ops.classification_report(_models(spark, sf_dir).scored("boosted"), "label", "prediction")
+    out = eval_model_report(spark, sf_dir)
     share = [F.coalesce(F.col(c).between(0, 1), F.lit(True)) for c in ("precision", "recall", "f1_score")]
     return out.select("class_name", "support", (share[0] & share[1] & share[2]).alias("in_range"))
 
 
-def eval_model_confusion(spark, sf_dir):
+def eval_model_confusion_facts(spark, sf_dir):
     """The rows of the confusion matrix with their totals."""
-    out = ops.confusion_matrix(_models(spark, sf_dir).scored("boosted"), "label", "prediction")
-    return out.select("actual", (F.col("predicted_0") + F.col("predicted_1")).alias("support"))
+    return eval_model_confusion(spark, sf_dir).select("actual", (F.col("predicted_0") + F.col("predicted_1")).alias("support"))
 
 
-def eval_model_roc(spark, sf_dir):
+def eval_model_roc_facts(spark, sf_dir):
     """The curve's two ends, and whether it starts with no row counted."""
-    points = ops.roc_points(_models(spark, sf_dir).scored("boosted"), "label", "probability")
-    ends = points.agg(F.min("tp").alias("tp0"), F.min("fp").alias("fp0"), F.max("tp").alias("tp1"), F.max("fp").alias("fp1"),
-                      F.max("tpr").alias("tpr1"), F.max("fpr").alias("fpr1"),
-                      F.max_by(F.col("tp") + F.col("fp"), F.col("threshold")).alias("at_top"))
+    ends = eval_model_roc(spark, sf_dir).agg(
+        F.min("tp").alias("tp0"), F.min("fp").alias("fp0"), F.max("tp").alias("tp1"), F.max("fp").alias("fp1"),
+        F.max("tpr").alias("tpr1"), F.max("fpr").alias("fpr1"),
+        F.max_by(F.col("tp") + F.col("fp"), F.col("threshold")).alias("at_top"))
 
     def end(name, tp, fp, tpr, fpr, ok):
         values = {"point": F.lit(name), "tp": tp, "fp": fp, "tpr": tpr, "fpr": fpr, "ok": ok}
@@ -497,6 +551,14 @@ def eval_model_roc(spark, sf_dir):
         end("end", c("tp1"), c("fp1"), c("tpr1"), c("fpr1"), F.lit(True)))))
 
 
+#: What a fit returns, which SQL has no counterpart of; each has its ``_facts``, and the
+#: tests recompute splits, gradients and moments by SQL.
+FITTED = ["ml_logistic", "ml_forest", "ml_boosted", "ml_score", "ml_compare", "ml_importance_top",
+          "eval_model_report", "eval_model_confusion", "eval_model_roc"]
+#: Everything that waits for the fits.
+MODEL_KEYS = {"ml_assemble", "ml_scale", "ml_moments", "ml_coefficients", "ml_splits", *FITTED, *(f"{k}_facts" for k in FITTED)}
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q1_claim_inflation": q1_claim_inflation,
     "q2_duplicate_pairs": q2_duplicate_pairs,
@@ -551,15 +613,27 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ml_split_exact": ml_split_exact,
     "ml_assemble": ml_assemble,
     "ml_scale": ml_scale,
+    "ml_moments": ml_moments,
     "ml_logistic": ml_logistic,
     "ml_forest": ml_forest,
     "ml_boosted": ml_boosted,
     "ml_score": ml_score,
     "ml_compare": ml_compare,
     "ml_importance_top": ml_importance_top,
+    "ml_coefficients": ml_coefficients,
+    "ml_splits": ml_splits,
     "eval_model_report": eval_model_report,
     "eval_model_confusion": eval_model_confusion,
     "eval_model_roc": eval_model_roc,
+    "ml_logistic_facts": ml_logistic_facts,
+    "ml_forest_facts": ml_forest_facts,
+    "ml_boosted_facts": ml_boosted_facts,
+    "ml_score_facts": ml_score_facts,
+    "ml_compare_facts": ml_compare_facts,
+    "ml_importance_top_facts": ml_importance_top_facts,
+    "eval_model_report_facts": eval_model_report_facts,
+    "eval_model_confusion_facts": eval_model_confusion_facts,
+    "eval_model_roc_facts": eval_model_roc_facts,
 }
 
 

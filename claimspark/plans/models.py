@@ -26,14 +26,14 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimspark import fixed_values as FV
 from claimspark.operators.evaluation import auc
 from claimspark.operators.ranking import sequential_ids
 from claimspark.operators.sampling import hash_sample, hash_split
-from claimspark.session import lookup_join, stored
+from claimspark.session import BROADCAST_ROWS, stored
 
 FEATURES = FV.NUMERIC_FEATURES + [enc for _, enc in FV.CATEGORICAL_FEATURES]
 
@@ -42,18 +42,26 @@ def encode(df: DataFrame, pairs: Sequence[tuple[str, str]] = tuple(FV.CATEGORICA
            fill: str = FV.UNKNOWN_LABEL) -> DataFrame:
     """Integer codes for categorical columns, codes assigned in sorted label order.
 
-    The distinct labels of all columns are found in one aggregating pass and
-    numbered per column; each column then looks its codes up (broadcast if the
-    labels are few), so no label set passes through the driver.
+    The distinct labels are found in one aggregating pass (one group for each
+    combination of labels) and numbered per column into one stored table of
+    codes.  Up to ``BROADCAST_ROWS`` labels each column looks its codes up in a
+    broadcast part of that table, beyond that the joins shuffle.
     """
     filled = df.na.fill(fill, subset=[s for s, _ in pairs])
-    labels = filled.select(F.explode(F.array(*[
+    combinations = filled.select(*[s for s, _ in pairs]).distinct()
+    labels = combinations.select(F.explode(F.array(*[
         F.struct(F.lit(out).alias("column"), F.col(src).alias("label")) for src, out in pairs])).alias("c"))
-    labels = labels.select("c.column", "c.label").distinct()
-    codes = stored(sequential_ids(labels, ["label"], out="code", start=0, partition_by=["column"]), "label-codes")
+    labels = stored(labels.select("c.column", "c.label").distinct(), "labels")
+    few = labels.count() <= BROADCAST_ROWS
+    if few:
+        order = Window.partitionBy("column").orderBy("label")
+        codes = labels.withColumn("code", F.row_number().over(order) - 1)
+    else:
+        codes = sequential_ids(labels, ["label"], out="code", start=0, partition_by=["column"])
+    codes = stored(codes, "label-codes")
     for src, out in pairs:
         own = codes.filter(F.col("column") == out).select(F.col("label").alias(src), F.col("code").cast("int").alias(out))
-        filled = lookup_join(filled, own, [src], "left")
+        filled = filled.join(F.broadcast(own) if few else own, src, "left")
     return filled.select(*df.columns, *[out for _, out in pairs])
 
 

@@ -18,8 +18,9 @@ from claimspark import fixed_values as FV
 from claimspark.operators import aggregates as agg
 from claimspark.operators import evaluation as ev
 from claimspark.operators import quality
-from claimspark.plans import models, profiles, rules
+from claimspark.plans import profiles, rules
 from claimspark.plans.features import claim_features, claim_flags
+from claimspark.plans.models_full import FullModels, model_rows
 from claimspark.schemas import FOREIGN_KEYS, PRIMARY_KEYS, TABLES
 from claimspark.sources import readers, sinks
 
@@ -65,14 +66,13 @@ def result_tables(t: dict[str, DataFrame], with_models: bool = True,
         "dq_orphan_report": quality.orphan_report(t, FOREIGN_KEYS),
     }
     if with_models:
-        fm = models.FraudModels(models.prepare(feats), trees=trees, rounds=rounds,
-                                max_iter=max_iter).fit_all()
+        fm = FullModels(model_rows(feats), n_trees=trees, rounds=rounds, max_steps=max_iter).fit_all()
         boosted = fm.scored("boosted")
         out.update({
             "ml_compare": fm.comparison(),
             "ml_report_boosted": ev.classification_report(boosted, "label", "prediction"),
             "ml_confusion_boosted": ev.confusion_matrix(boosted, "label", "prediction"),
-            "ml_importance_top": models.importances(fm.boosted()),
+            "ml_importance_top": fm.importances(),
         })
         for name in ("logistic", "forest", "boosted"):
             out[f"ml_roc_{name}"] = ev.roc_points(fm.scored(name), "label", "probability")

@@ -14,6 +14,15 @@ SF = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.exists(SF), reason="testdata not present")
 
 
+@pytest.fixture(scope="module", autouse=True)
+def small_models():
+    """The facts hold for models of any size."""
+    before, E.MODEL_ARGS = E.MODEL_ARGS, {"n_trees": 4, "rounds": 4}
+    yield
+    E.MODEL_ARGS = before
+    E._MODELS.clear()
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
@@ -35,7 +44,10 @@ def test_entry_runs(spark):
 def test_every_query_of_the_library_has_an_oracle():
     qs, oracle = E.queries(), E.oracle_sql()
     assert set(oracle) <= set(qs)
-    assert not {k for k in qs if k not in oracle and k not in E.LLM_QUERIES}
+    # what a fit returns has no SQL; its facts have, and test_full_models recomputes the fits
+    fitted = {*E.FITTED, "ml_coefficients", "ml_splits"}
+    assert {k for k in qs if k not in oracle and k not in E.LLM_QUERIES} == fitted
+    assert all(f"{k}_facts" in oracle for k in E.FITTED)
 
 
 @needs_data
@@ -51,6 +63,25 @@ def test_query_matches_oracle(spark, duck, key):
     assert _rows(s_rows, cols, False) == _rows(d_rows, cols, False)
 
 
+@needs_data
+def test_fitted_keys_return_values(spark):
+    qs, n_test = E.queries(), E.queries()["ml_scale"](spark, SF).count()
+    for key in ("ml_logistic", "ml_forest", "ml_boosted"):
+        df = qs[key](spark, SF)
+        assert df.columns == ["claim_id", "label", "probability", "prediction"] and df.count() == n_test
+        assert df.select("probability").distinct().count() > 5
+    aucs = {r["model"]: r["auc"] for r in qs["ml_compare"](spark, SF).collect()}
+    assert set(aucs) == {"logistic", "forest", "boosted"} and min(aucs.values()) > 0.9
+    top = qs["ml_importance_top"](spark, SF).collect()
+    assert len(top) == 12 and 0.3 < sum(r["importance"] for r in top) <= 1 + 1e-9
+    cells = qs["eval_model_confusion"](spark, SF).collect()
+    assert sum(r["predicted_0"] + r["predicted_1"] for r in cells) == n_test
+    assert qs["ml_coefficients"](spark, SF).count() == 21 and qs["ml_splits"](spark, SF).count() >= 4
+    report = {r["class_name"]: r for r in qs["eval_model_report"](spark, SF).collect()}
+    assert report["Fraud"]["precision"] > 0.8 and report["Fraud"]["recall"] > 0.5
+    assert qs["eval_model_roc"](spark, SF).count() > 10
+
+
 @needs_data
 def test_auc_of_inflation_ratio(spark):
     assert round(E.queries()["eval_auc"](spark, SF).first()["auc"], 5) == 0.84317
