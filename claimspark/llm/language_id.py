@@ -246,14 +246,21 @@ def training_vectors(docs: DataFrame, modulus: int, remainder: int, max_train_ro
     return once.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= quota).drop("place")
 
 
+def _rows(column: pa.Array) -> list[np.ndarray]:
+    """The lists of a list column as views of its values."""
+    first = column.offsets.to_numpy()
+    return np.split(column.flatten().to_numpy(), (first - first[0])[1:-1])
+
+
 def predict(docs: DataFrame, modulus: int = 4, remainder: int = 2, max_train_rows: int = 4000,
             families: dict[str, str] | None = None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) per row of ``docs``."""
     spark = docs.sparkSession
     workers_find_package(spark)
     sample = stored(training_vectors(docs, modulus, remainder, max_train_rows), "language-sample").orderBy("lang", "turn").toArrow()
-    vectors = [(np.array(c), np.array(v)) for c, v in zip(sample.column("cell").to_pylist(), sample.column("value").to_pylist())]
+    vectors = [pair for batch in sample.to_batches() for pair in zip(_rows(batch.column(2)), _rows(batch.column(3)))]
     model = Hierarchy(sample.column("lang").to_pylist(), vectors, FAMILIES if families is None else families) if vectors else None
+    del sample, vectors
     shared = spark.sparkContext.broadcast(model)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
