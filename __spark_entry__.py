@@ -95,6 +95,12 @@ def q2_duplicate_pairs_symmetric(spark, sf_dir):
     return rules.duplicate_pairs(t["claims"], t["patients"], symmetric=True)
 
 
+def q2_duplicate_pairs_sweep(spark, sf_dir):
+    """Query 2 over range partitions that exchange halos."""
+    t = _t(spark, sf_dir)
+    return rules.duplicate_pairs(t["claims"], t["patients"], sweep=True)
+
+
 def q3_non_empanelled_high_value(spark, sf_dir):
     t = _t(spark, sf_dir)
     return rules.non_empanelled_high_value(t["claims"], t["patients"], t["providers"])
@@ -563,6 +569,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q1_claim_inflation": q1_claim_inflation,
     "q2_duplicate_pairs": q2_duplicate_pairs,
     "q2_duplicate_pairs_symmetric": q2_duplicate_pairs_symmetric,
+    "q2_duplicate_pairs_sweep": q2_duplicate_pairs_sweep,
     "q3_non_empanelled_high_value": q3_non_empanelled_high_value,
     "q4_procedure_burst": q4_procedure_burst,
     "q5_provider_rank": q5_provider_rank,

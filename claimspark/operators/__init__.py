@@ -18,3 +18,4 @@ from claimspark.operators.ranking import (  # noqa: F401
     exclusive_prefix, global_rank, range_partitioned, sequential_ids, top_k, value_counts_ranked,
 )
 from claimspark.operators.sampling import exact_stratified_split, hash_sample, hash_split  # noqa: F401
+from claimspark.operators.sweep import sweep_pairs  # noqa: F401

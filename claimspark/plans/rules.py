@@ -19,6 +19,7 @@ from claimspark import fixed_values as FV
 from claimspark.functions import round_half_up, round_ratio
 from claimspark.operators.outliers import group_totals, ratio_outliers
 from claimspark.operators.pairs import near_pairs
+from claimspark.operators.sweep import sweep_pairs
 from claimspark.session import lookup_join
 
 
@@ -49,14 +50,17 @@ def claim_inflation(claims: DataFrame, patients: DataFrame, factor: float = FV.I
 
 def duplicate_pairs(claims: DataFrame, patients: DataFrame, symmetric: bool = False,
                     lo: int = FV.DUPLICATE_MIN_DAYS, hi: int = FV.DUPLICATE_MAX_DAYS,
-                    bucketed: bool = True, order: bool = True) -> DataFrame:
+                    bucketed: bool = True, order: bool = True, sweep: bool = False) -> DataFrame:
     """Query 2: two claims of one patient for one disease, ``lo..hi`` days apart.
 
     Directional by default (the claim with the smaller id must be the earlier
-    one); ``symmetric=True`` accepts either order.
+    one); ``symmetric=True`` accepts either order.  ``sweep=True`` finds the pairs
+    by range partitions that exchange halos instead of a join of bucketed copies.
     """
-    pairs = near_pairs(claims, ["patient_id", "disease_category"], "claim_id", "claim_date",
-                       lo=lo, hi=hi, carry=["claim_amount"], symmetric=symmetric, bucketed=bucketed)
+    args = dict(lo=lo, hi=hi, carry=["claim_amount"], symmetric=symmetric)
+    keys = ["patient_id", "disease_category"]
+    pairs = (sweep_pairs(claims, keys, "claim_id", "claim_date", **args) if sweep
+             else near_pairs(claims, keys, "claim_id", "claim_date", bucketed=bucketed, **args))
     out = (pairs.join(patients.select("patient_id", "name"), "patient_id", "inner")
            .select("patient_id", "name", "disease_category",
                    F.col("claim_id_1").alias("claim_1"), F.col("claim_id_2").alias("claim_2"),
