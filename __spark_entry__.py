@@ -32,13 +32,13 @@ if _HERE not in sys.path:
 
 from claimspark import operators as ops  # noqa: E402
 from claimspark.plans import investigations as inv  # noqa: E402
-from claimspark.plans import models, profiles, rules  # noqa: E402
+from claimspark.plans import models, one_scan, profiles, rules  # noqa: E402
 from claimspark.plans.features import claim_features, claim_flags, disease_means  # noqa: E402
 from claimspark.plans.models_full import FullModels, model_rows  # noqa: E402
 from claimspark.schemas import CLAIMS, FOREIGN_KEYS, INVESTIGATIONS, PATIENTS, PRIMARY_KEYS, \
     PROVIDER_RISK, PROVIDERS  # noqa: E402
 from claimspark.session import shared_dir, stored  # noqa: E402
-from claimspark.sources import catalog, readers, sinks  # noqa: E402
+from claimspark.sources import catalog, layout, readers, sinks  # noqa: E402
 from claimspark.sources.mapping import load_tables, materialized_claims_path, read_raw  # noqa: E402
 from claimspark.streaming import start_flagging  # noqa: E402
 from oracle_queries import ORACLE  # noqa: E402
@@ -134,6 +134,63 @@ def q8_kyc_high_claims(spark, sf_dir):
     return rules.kyc_high_claims(t["claims"], t["patients"])
 
 
+def q8_kyc_high_claims_reduced(spark, sf_dir):
+    """Query 8 over the claims that a semi-join reduction leaves."""
+    t = _t(spark, sf_dir)
+    return rules.kyc_high_claims(t["claims"], t["patients"], reduce=True)
+
+
+_BY_MONTH: dict[tuple, DataFrame] = {}
+
+
+def q6_months_of_recoveries(spark, sf_dir):
+    """Query 6 for the three months in which investigations recovered most, from
+    claims stored by month: only those months' files are read."""
+    t = _t(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BY_MONTH:
+        _BY_MONTH[key] = layout.write_by_month(t["claims"], shared_dir(spark, "claims-by-month"), "claim_date")
+    month = F.date_format("investigation_date", models.FV.MONTH_FORMAT).alias("month")
+    most = (t["investigations"].filter("investigation_date IS NOT NULL").groupBy(month)
+            .agg(F.sum("amount_recovered").alias("recovered")).orderBy(F.desc("recovered"), "month").limit(3))
+    return profiles.monthly_trend(layout.months_of(_BY_MONTH[key], stored(most, "months")).drop("month"))
+
+
+_COLOCATED: dict[tuple, layout.Colocated] = {}
+
+
+def _colocated(spark, sf_dir) -> layout.Colocated:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _COLOCATED:
+        t = _t(spark, sf_dir)
+        _COLOCATED[key] = layout.save_colocated(spark, t["claims"], {"patients": t["patients"]}, "patient_id",
+                                                f"colocated_{uuid.uuid4().hex[:8]}",
+                                                buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return _COLOCATED[key]
+
+
+def claim_features_colocated(spark, sf_dir):
+    """The feature frame from claims and patients stored in buckets of the patient."""
+    t = _t(spark, sf_dir)
+    means = disease_means(t["claims"])
+    return _colocated(spark, sf_dir).apply(
+        lambda facts, dims: claim_features(facts, dims["patients"], t["providers"], means))
+
+
+def eda_one_scan(spark, sf_dir):
+    """The count tables of the charts from one scan, one below the other."""
+    parts = []
+    for name, df in sorted(one_scan.count_tables(_t(spark, sf_dir)["claims"]).items()):
+        row = [F.concat_ws(",", *[F.col(c).cast("string") for c in df.columns if df.schema[c].dataType != T.DoubleType()])]
+        rate = [c for c in df.columns if df.schema[c].dataType == T.DoubleType()]
+        parts.append(df.select(F.lit(name).alias("table_name"), row[0].alias("cells"),
+                               (F.round(rate[0], 6) if rate else F.lit(None).cast("double")).alias("rate")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def _features(spark, sf_dir):
     t = _t(spark, sf_dir)
     return claim_features(t["claims"], t["patients"], t["providers"])
@@ -577,6 +634,10 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q6_monthly_trend": q6_monthly_trend,
     "q7_disease_profile": q7_disease_profile,
     "q8_kyc_high_claims": q8_kyc_high_claims,
+    "q8_kyc_high_claims_reduced": q8_kyc_high_claims_reduced,
+    "q6_months_of_recoveries": q6_months_of_recoveries,
+    "claim_features_colocated": claim_features_colocated,
+    "eda_one_scan": eda_one_scan,
     "disease_avg": disease_avg,
     "claim_features": claim_features_q,
     "eda_class_balance": eda_class_balance,

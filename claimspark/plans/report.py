@@ -18,7 +18,7 @@ from claimspark import fixed_values as FV
 from claimspark.operators import aggregates as agg
 from claimspark.operators import evaluation as ev
 from claimspark.operators import quality
-from claimspark.plans import profiles, rules
+from claimspark.plans import one_scan, profiles, rules
 from claimspark.plans.features import claim_features, claim_flags
 from claimspark.plans.models_full import FullModels, model_rows
 from claimspark.schemas import FOREIGN_KEYS, PRIMARY_KEYS, TABLES
@@ -51,12 +51,8 @@ def result_tables(t: dict[str, DataFrame], with_models: bool = True,
         "q7_disease_profile": profiles.disease_profile(c),
         "q8_kyc_high_claims": rules.kyc_high_claims(c, p),
         "kpi_summary": profiles.kpi_summary(p, v, flags, inv),
-        "eda_class_balance": agg.class_balance(c, "is_fraud"),
         "eda_amount_hist": profiles.amount_histogram(c),
-        "eda_rate_by_disease": agg.rate_by(c, "disease_category", "is_fraud"),
         "eda_fraud_type_counts": agg.value_counts(inv, "fraud_type"),
-        "eda_stay_procedure_grid": profiles.stay_procedure_grid(c),
-        "eda_monthly": agg.monthly_counts(c, "claim_date", "is_fraud"),
         "eda_ratio_hist": profiles.ratio_histogram(c),
         "eda_rate_by_policy": profiles.rate_by_patient_attribute(c, p, "policy_type"),
         "eda_recovered_by_status": agg.sum_by(inv, "status", "amount_recovered", "amount_recovered"),
@@ -65,6 +61,7 @@ def result_tables(t: dict[str, DataFrame], with_models: bool = True,
         "dq_key_report": quality.key_report(t, PRIMARY_KEYS),
         "dq_orphan_report": quality.orphan_report(t, FOREIGN_KEYS),
     }
+    out.update(one_scan.count_tables(c))
     if with_models:
         fm = FullModels(model_rows(feats), n_trees=trees, rounds=rounds, max_steps=max_iter).fit_all()
         boosted = fm.scored("boosted")

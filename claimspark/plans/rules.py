@@ -19,6 +19,7 @@ from claimspark import fixed_values as FV
 from claimspark.functions import round_half_up, round_ratio
 from claimspark.operators.outliers import group_totals, ratio_outliers
 from claimspark.operators.pairs import near_pairs
+from claimspark.operators.semijoin import reduce_by_keys
 from claimspark.operators.sweep import sweep_pairs
 from claimspark.session import lookup_join
 
@@ -104,22 +105,26 @@ def procedure_burst(claims: DataFrame, patients: DataFrame,
 
 def kyc_high_claims(claims: DataFrame, patients: DataFrame,
                     min_total: float = FV.KYC_MIN_TOTAL,
-                    value: str = FV.KYC_UNVERIFIED_VALUE, order: bool = True) -> DataFrame:
+                    value: str = FV.KYC_UNVERIFIED_VALUE, order: bool = True, reduce: bool = False) -> DataFrame:
     """Query 8: unverified patients whose claims total more than ``min_total``.
 
     Claims are aggregated per patient *before* the join (partial aggregation
     map-side, so a patient with a huge share of the claims costs one row per
     map task in the shuffle), and the HAVING filter is applied to the
-    aggregates before they meet the patients.
+    aggregates before they meet the patients.  ``reduce=True`` first keeps only claims
+    of unverified patients (``reduce_by_keys``), so that the others' rows per
+    patient are not shuffled either.
     """
+    unverified = patients.filter(F.col("kyc_verified") == F.lit(value))
+    if reduce:
+        claims = reduce_by_keys(claims, "patient_id", unverified)
     per_patient = (claims.groupBy("patient_id")
                    .agg(F.count("claim_id").alias("total_claims"),
                         F.sum("claim_amount").alias("_total"),
                         F.sum("is_fraud").cast("bigint").alias("fraud_count"))
                    .withColumn("total_claimed", round_half_up("_total"))
                    .filter(F.col("total_claimed") > F.lit(min_total)))
-    pats = (patients.filter(F.col("kyc_verified") == F.lit(value))
-            .select("patient_id", "name", "kyc_verified", "policy_type"))
+    pats = unverified.select("patient_id", "name", "kyc_verified", "policy_type")
     out = (pats.join(per_patient, "patient_id", "inner")
            .select("patient_id", "name", "kyc_verified", "policy_type",
                    "total_claims", "total_claimed", "fraud_count"))
