@@ -31,6 +31,7 @@ if _HERE not in sys.path:
     sys.path.insert(0, _HERE)
 
 from claimspark import operators as ops  # noqa: E402
+from claimspark.operators.key_index import KeyIndex, ReferenceIndex  # noqa: E402
 from claimspark.plans import investigations as inv  # noqa: E402
 from claimspark.plans import models, one_scan, profiles, rules  # noqa: E402
 from claimspark.plans.features import claim_features, claim_flags, disease_means  # noqa: E402
@@ -313,6 +314,40 @@ def dq_key_violations_lineitem(spark, sf_dir):
     return ops.key_violations(li.select("l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"])
 
 
+def _batches(df, keys, n=3):
+    """The rows in ``n`` batches by the hash of a key."""
+    part = F.pmod(F.xxhash64(*keys), F.lit(n))
+    return [df.filter(part == i) for i in range(n)]
+
+
+def dq_key_index(spark, sf_dir):
+    """The key report of every table kept up over three batches of it."""
+    out = None
+    for name, keys in PRIMARY_KEYS.items():
+        rows = _t(spark, sf_dir)[name].select(*keys)
+        index = KeyIndex(keys)
+        for batch in _batches(rows, keys):
+            index.add(batch)
+        part = index.report(rows, name)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def dq_reference_index(spark, sf_dir):
+    """The orphan report kept up over batches of children before, between and after the parents."""
+    t, found = _t(spark, sf_dir), []
+    for child, ck, parent, pk in FOREIGN_KEYS:
+        index = ReferenceIndex(ck, pk)
+        children, parents = _batches(t[child].select(ck), [ck]), _batches(t[parent].select(pk), [pk], 2)
+        index.add_children(children[0])
+        index.add_parents(parents[0])
+        index.add_children(children[1])
+        index.add_parents(parents[1])
+        index.add_children(children[2])
+        found.append((f"{child}.{ck}", f"{parent}.{pk}", index.orphans()))
+    return spark.createDataFrame(found, "foreign_key string, references string, n_orphans bigint")  # a row a foreign key
+
+
 def dq_orphans(spark, sf_dir):
     return ops.orphan_report(_t(spark, sf_dir), FOREIGN_KEYS)
 
@@ -664,6 +699,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dq_key_violations": dq_key_violations,
     "dq_key_violations_lineitem": dq_key_violations_lineitem,
     "dq_orphans": dq_orphans,
+    "dq_key_index": dq_key_index,
+    "dq_reference_index": dq_reference_index,
     "register_views": register_views,
     "create_database": create_database,
     "src_patients": src_patients,
