@@ -6,9 +6,11 @@ are summarised per (language, source) in DDSketches (Masson et al., VLDB 2019):
 log-spaced bins with a relative error of ``ALPHA``, kept as rows (group, metric,
 bin, count), so that merging is a sum which Spark pre-aggregates before the
 shuffle.  A group under ``min_group`` documents borrows its language's merged
-sketch, a small language the one of all documents.  A document is rejected
-where a ratio lies further from its group's median than ``reach`` times the
-group's quartile distance (at least ``floor``), or by the fixed base rules.
+sketch, a small language the one of all documents.  The sketches hold the documents
+that the fixed base rules pass.  Such a document is rejected where a ratio lies
+above its group's upper quantile by more than ``reach`` times that quantile's
+distance from the median (word length: below the lower one, too); ``floor`` stands in
+for the distance only where the group has next to none.
 
 Repeated windows are found by 64-bit hashes within a slice of texts; two
 different windows among n of a slice share one with a probability of about
@@ -56,20 +58,23 @@ _P = "__llm_"
 
 @dataclass(frozen=True)
 class Limit:
-    """One ratio and how far from its group's median it may lie."""
+    """One ratio, the quantile its limit starts from, and how far beyond it may lie."""
 
     metric: str
+    quantile: float
     reach: float
     floor: float
     both_sides: bool = False
 
 
+#: Ratios that few documents have at all start from a higher quantile.
 LIMITS = (
-    Limit("symbols_per_word", reach=8.0, floor=0.0125),
-    Limit("dup_line_share", reach=8.0, floor=0.0625),
-    Limit("repeat_share", reach=8.0, floor=0.0625),
-    Limit("word_length", reach=8.0, floor=0.25, both_sides=True),
+    Limit("symbols_per_word", 0.75, reach=8.0, floor=0.0125),
+    Limit("dup_line_share", 0.95, reach=8.0, floor=0.04),
+    Limit("repeat_share", 0.95, reach=8.0, floor=0.04),
+    Limit("word_length", 0.75, reach=8.0, floor=0.05, both_sides=True),
 )
+QUANTILES = (0.25, 0.5, 0.75, 0.95)
 
 
 # --- counts ---------------------------------------------------------------------
@@ -79,8 +84,8 @@ def count_slice(column: pa.Array) -> dict[str, np.ndarray]:
     data, offsets = buffers(column)
     words = textvec.split(data, offsets)
     n = len(column)
-    chars = np.concatenate([[0], np.cumsum(~textvec.SPACE[data] & ((data & 0xC0) != 0x80))])
-    symbols = np.concatenate([[0], np.cumsum(_SYMBOL[data])])
+    chars = textvec.counted(words.inside & ((data & 0xC0) != 0x80), offsets)
+    symbols = textvec.counted(_SYMBOL[data], offsets)
     repeat = np.zeros(n, np.int64)
     if len(words.start) > 2:
         key = textvec.keys(data, words)
@@ -101,8 +106,7 @@ def count_slice(column: pa.Array) -> dict[str, np.ndarray]:
         worded = [x for x in raw[offsets[i]:offsets[i + 1]].split(b"\n") if x.strip()]
         lines[i] = len(worded)
         dups[i] = len(worded) - len(set(worded))
-    return {"n_words": np.diff(words.first), "word_chars": chars[offsets[1:]] - chars[offsets[:-1]],
-            "n_symbols": symbols[offsets[1:]] - symbols[offsets[:-1]], "n_dup_lines": dups,
+    return {"n_words": np.diff(words.first), "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dups,
             "n_repeat_words": repeat, "n_lines": lines}
 
 
@@ -138,13 +142,20 @@ def _group() -> list[Column]:
 
 # --- sketches and limits ------------------------------------------------------------
 
+def _failed() -> Column:
+    """Whether a measured row fails the base rules."""
+    words, repeats = F.col(_P + "n_words"), F.col(_P + "n_repeat_words")
+    return (words < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * words)
+
+
 def sketches(measured: DataFrame) -> DataFrame:
-    """(lang, source, metric, bin, n): a DDSketch per group and ratio."""
+    """(lang, source, metric, bin, n): a DDSketch per group and ratio of the rows
+    that pass the base rules."""
     values = F.explode(F.array(*[F.struct(F.lit(r.metric).alias("metric"), ratio(r.metric).alias("value"))
                                  for r in LIMITS])).alias("v")
     bin_ = F.when(F.col("v.value") > TINY, F.ceil(F.log("v.value") / F.lit(math.log(GAMMA)))).otherwise(
         F.lit(-(1 << 31))).cast("bigint")
-    return (measured.filter(F.col(_P + "n_words") > 0).select(*_group(), values)
+    return (measured.filter(~_failed()).select(*_group(), values)
             .select(F.col(_P + "lang").alias("lang"), F.col(_P + "source").alias("source"),
                     F.col("v.metric").alias("metric"), bin_.alias("bin"))
             .groupBy("lang", "source", "metric", "bin").agg(F.count("*").alias("n")))
@@ -156,7 +167,7 @@ def merged(sketch: DataFrame, *keys: str) -> DataFrame:
 
 
 def quartiles(sketch: DataFrame, *keys: str) -> DataFrame:
-    """(keys, metric, n, q25, q50, q75) of each sketch."""
+    """(keys, metric, n, q25, q50, q75, q95) of each sketch."""
     per = Window.partitionBy(*keys, "metric")
     ranked = sketch.withColumn("upto", F.sum("n").over(per.orderBy("bin"))).withColumn(
         "total", F.sum("n").over(per))
@@ -165,21 +176,22 @@ def quartiles(sketch: DataFrame, *keys: str) -> DataFrame:
     return ranked.groupBy(*keys, "metric").agg(
         F.max("total").alias("n"),
         *[F.min(F.when(F.col("upto") >= F.lit(q) * F.col("total"), value)).alias(f"q{round(100 * q)}")
-          for q in (0.25, 0.5, 0.75)])
+          for q in QUANTILES])
 
 
 def limits(sketch: DataFrame, min_group: int) -> DataFrame:
     """(lang, source, then low and high per metric): one row for each group."""
-    own = quartiles(sketch, "lang", "source").select("lang", "source", "metric", F.struct("n", "q25", "q50", "q75").alias("own"))
-    lang = quartiles(merged(sketch, "lang"), "lang").select("lang", "metric", F.struct("n", "q25", "q50", "q75").alias("by_lang"))
-    whole = quartiles(merged(sketch)).select("metric", F.struct("n", "q25", "q50", "q75").alias("overall"))
+    own = quartiles(sketch, "lang", "source").select("lang", "source", "metric", F.struct("n", *[f"q{round(100 * q)}" for q in QUANTILES]).alias("own"))
+    lang = quartiles(merged(sketch, "lang"), "lang").select("lang", "metric", F.struct("n", *[f"q{round(100 * q)}" for q in QUANTILES]).alias("by_lang"))
+    whole = quartiles(merged(sketch)).select("metric", F.struct("n", *[f"q{round(100 * q)}" for q in QUANTILES]).alias("overall"))
     best = (own.join(lang, ["lang", "metric"]).join(whole, "metric")
             .withColumn("q", F.when(F.col("own.n") >= min_group, F.col("own"))
                         .when(F.col("by_lang.n") >= min_group, F.col("by_lang")).otherwise(F.col("overall"))))
     aggs = []
     for r in LIMITS:
-        high = F.col("q.q50") + r.reach * F.greatest(F.col("q.q75") - F.col("q.q50"), F.lit(r.floor))
-        low = F.col("q.q50") - r.reach * F.greatest(F.col("q.q50") - F.col("q.q25"), F.lit(r.floor))
+        middle, upper, lower = F.col("q.q50"), F.col(f"q.q{round(100 * r.quantile)}"), F.col("q.q25")
+        high = upper + r.reach * F.greatest(upper - middle, F.lit(r.floor))
+        low = lower - r.reach * F.greatest(middle - lower, F.lit(r.floor))
         mine = F.col("metric") == r.metric
         aggs.append(F.max(F.when(mine, high)).alias(f"{_P}high_{r.metric}"))
         if r.both_sides:
@@ -189,9 +201,7 @@ def limits(sketch: DataFrame, min_group: int) -> DataFrame:
 
 def judged(measured: DataFrame, bounds: DataFrame) -> DataFrame:
     """``measured`` with the reserved columns base_failed and kept."""
-    words, repeats = F.col(_P + "n_words"), F.col(_P + "n_repeat_words")
-    failed = (words < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * words)
-    inside = F.lit(True)
+    failed, inside = _failed(), F.lit(True)
     for r in LIMITS:
         inside = inside & (ratio(r.metric) <= F.col(f"{_P}high_{r.metric}"))
         if r.both_sides:
@@ -225,7 +235,7 @@ def oracle(min_group: int = 200) -> str:
              "repeat_share": "n_repeat_words / n_words", "word_length": "word_chars / n_words"}
     points = " UNION ALL ".join(
         f"SELECT lang, source, '{r.metric}' AS metric, "
-        f"{value[r.metric].replace(' / ', '::DOUBLE / ')} AS v FROM m WHERE n_words > 0" for r in LIMITS)
+        f"{value[r.metric].replace(' / ', '::DOUBLE / ')} AS v FROM m WHERE n_words >= {MIN_WORDS} AND 100 * n_repeat_words <= {MAX_REPEAT_PERCENT} * n_words" for r in LIMITS)
     scopes = {"own": "lang, source", "by_lang": "lang", "overall": ""}
     ctes = []
     for name, keys in scopes.items():
@@ -237,16 +247,17 @@ def oracle(min_group: int = 200) -> str:
             f"{name}_q AS (SELECT {lead}metric, max(total) AS n, " + ", ".join(
                 f"min(CASE WHEN upto >= {q}::DOUBLE * total THEN CASE WHEN bin = -2147483648 THEN 0.0::DOUBLE "
                 f"ELSE 2 * pow({GAMMA!r}::DOUBLE, bin) / {GAMMA + 1!r}::DOUBLE END END) AS q{round(100 * q)}"
-                for q in (0.25, 0.5, 0.75)) + f" FROM {name}_cum GROUP BY {lead}metric)")
+                for q in QUANTILES) + f" FROM {name}_cum GROUP BY {lead}metric)")
     pick = ", ".join(f"CASE WHEN o.n >= {min_group} THEN o.{q} WHEN l.n >= {min_group} THEN l.{q} ELSE a.{q} END AS {q}"
-                     for q in ("q25", "q50", "q75"))
+                     for q in (f"q{round(100 * x)}" for x in QUANTILES))
     checks = []
     for r in LIMITS:
         v = f"(m.{value[r.metric].replace(' / ', '::DOUBLE / m.')})"
         sub = f"(SELECT {{}} FROM best b WHERE b.lang = m.lang AND b.source = m.source AND b.metric = '{r.metric}')"
-        checks.append(f"{v} <= " + sub.format(f"b.q50 + {r.reach}::DOUBLE * greatest(b.q75 - b.q50, {r.floor}::DOUBLE)"))
+        upper = f"b.q{round(100 * r.quantile)}"
+        checks.append(f"{v} <= " + sub.format(f"{upper} + {r.reach}::DOUBLE * greatest({upper} - b.q50, {r.floor}::DOUBLE)"))
         if r.both_sides:
-            checks.append(f"{v} >= " + sub.format(f"b.q50 - {r.reach}::DOUBLE * greatest(b.q50 - b.q25, {r.floor}::DOUBLE)"))
+            checks.append(f"{v} >= " + sub.format(f"b.q25 - {r.reach}::DOUBLE * greatest(b.q50 - b.q25, {r.floor}::DOUBLE)"))
     word = "'[^\\x20\\x09-\\x0D]+'"
     return f"""
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t,
@@ -272,5 +283,5 @@ best AS (SELECT o.lang, o.source, o.metric, {pick} FROM own_q o JOIN by_lang_q l
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AS base_failed,
   CASE WHEN n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words THEN FALSE
-       ELSE ({' AND '.join(checks)}) END AS kept
+       ELSE coalesce({' AND '.join(checks)}, TRUE) END AS kept
 FROM m"""

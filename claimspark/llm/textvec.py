@@ -19,6 +19,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
 
 _SPAN = 1 << 12
+#: Bytes of text whose words are hashed at a time.
+_SLICE = 1 << 21
 _COEFF = np.random.Generator(np.random.PCG64(20240607)).integers(
     0, 1 << 63, size=_SPAN, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -67,12 +69,21 @@ def split(data: np.ndarray, offsets: np.ndarray) -> Words:
 
 
 def keys(data: np.ndarray, words: Words) -> np.ndarray:
-    """The 64-bit key of each word."""
+    """The 64-bit key of each word, ``_SLICE`` bytes of text at a time."""
     if len(words.start) == 0:
         return np.zeros(0, np.uint64)
-    length = words.end - words.start
+    out, first = np.empty(len(words.start), np.uint64), 0
+    while first < len(out):
+        last = max(first + 1, int(np.searchsorted(words.end, words.start[first] + _SLICE, "right")))
+        span = slice(int(words.start[first]), int(words.end[last - 1]))
+        out[first:last] = _keys(data[span], words.inside[span], (words.end - words.start)[first:last])
+        first = last
+    return out
+
+
+def _keys(data: np.ndarray, inside: np.ndarray, length: np.ndarray) -> np.ndarray:
     at = np.cumsum(length) - length  # start of each word among the word bytes
-    byte = data[words.inside].astype(np.uint64)
+    byte = data[inside].astype(np.uint64)
     byte += np.uint64(1)
     within = np.arange(len(byte), dtype=np.int64)
     within -= np.repeat(at, length)
@@ -83,6 +94,15 @@ def keys(data: np.ndarray, words: Words) -> np.ndarray:
     return mix64(np.add.reduceat(byte, at) + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def counted(mark: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many bytes of each row are marked."""
+    out = np.zeros(len(offsets) - 1, np.int64)
+    some = np.flatnonzero(np.diff(offsets))
+    if len(some):
+        out[some] = np.add.reduceat(mark, offsets[some], dtype=np.int64)
+    return out
+
+
 def row_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sum of ``values`` over each row's range, empty rows 0."""
     total = np.concatenate([np.zeros(1, values.dtype if values.dtype.kind == "f" else np.int64),

@@ -86,3 +86,54 @@ def test_keep_returns_the_rows_unchanged(docs):
     assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "1", "None"]
     assert sorted(map(str, out.collect())) == sorted(map(str, df.filter("length(text) > 9").collect()))
     assert Q.keep(docs([])).collect() == [] and Q.report(docs([])).collect() == []
+
+
+def test_each_limit_rejects_what_the_base_rules_pass(docs):
+    """A clean group: one odd document for each of the four ratios, clean ones stay."""
+    rng = np.random.default_rng(7)
+
+    def lines(n=12):
+        return [prose(rng)[:40] for _ in range(n)]
+
+    clean = [(i, "\n".join(lines()), "en", "a") for i in range(80)]
+    body = lines()
+    half = "\n".join(x for line in body for x in (line, "menu"))  # nearly half of the lines repeat, no passage does
+    parts = prose(rng).split()
+    passage = parts[:18]
+    repeats = " ".join(parts[18:60] + passage + parts[60:62] + passage)  # 45 % in repeated windows
+    odd = {"symbols_per_word": prose(rng, 1), "dup_line_share": half, "repeat_share": repeats,
+           "word_length": " ".join("x" * 14 for _ in range(1)) + " " + " ".join(w + "abcdefgh" + str(i) for i, w in enumerate(parts))}
+    rows = [*clean, *((100 + i, t, "en", "a") for i, t in enumerate(odd.values()))]
+    got = {r.doc_id: r for r in Q.report(docs(rows), min_group=20).collect()}
+    assert all(got[i].kept for i in range(80))
+    for i, metric in enumerate(odd):
+        assert not got[100 + i].base_failed and not got[100 + i].kept, metric
+    assert 100 * got[102].n_repeat_words > 40 * got[102].n_words and got[101].n_dup_lines == 11
+
+
+def test_limits_widen_with_the_group(docs):
+    """The same share of repeated lines is usual in one source and rejected in another."""
+    rng = np.random.default_rng(8)
+
+    def page(menus):
+        body = [prose(rng)[:40] for _ in range(10)]
+        return "\n".join(x for i, line in enumerate(body) for x in ([line, "menu"] if i < menus else [line]))
+
+    rows = [(i, page(0), "en", "clean") for i in range(60)] + [(100 + i, page(i % 9), "en", "lists") for i in range(60)]
+    rows += [(200, page(10), "en", "clean"), (201, page(10), "en", "lists")]
+    kept = {r.doc_id: r.kept for r in Q.report(docs(rows), min_group=20).collect()}
+    assert not kept[200] and kept[201] and all(kept[i] for i in range(60)) and all(kept[100 + i] for i in range(60))
+
+
+def test_a_very_long_text_takes_little_memory():
+    """Sliced hashing gives the keys of the whole, in a few bytes a byte of text."""
+    import tracemalloc
+    rng = np.random.default_rng(9)
+    text = " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(60_000)).encode() * 24  # 10 MB
+    column = pa.array([text], pa.binary())
+    tracemalloc.start()
+    got = Q.count_slice(column)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got["n_words"][0] == len(text.split()) and got["word_chars"][0] == len(text) - text.count(b" ")
+    assert peak < 30 * len(text)
