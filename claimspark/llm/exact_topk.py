@@ -23,6 +23,9 @@ candidate is every row whose id is not the query's.  Rows that repeat an id are
 candidates each; as a query the least of their vectors counts.  A null id is no
 query and no candidate.  With fewer candidates than k all are returned; an
 empty table gives an empty result.  Only the two named columns are read.
+Finite components of any size take part: scores that no machine number holds are
+added up from limbs, exactly; one outside a long counts as the end of its range
+there (components beyond 1e308 / scale count as that).
 """
 
 from __future__ import annotations
@@ -31,20 +34,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimspark.llm.common import batch_of, stored, workers_find_package
+from claimspark.llm.strassen_mining import LIMB, limbs
 
 LISTS = 4
 #: Queries and vectors that are multiplied at a time.
 _TILE = 2048
+_MOST = (1 << 63) - 1
 
 
 def integers(vectors: DataFrame, id_column: str, vector_column: str, scale: int) -> DataFrame:
-    """(id, v): the vectors that take part as arrays of floor(scale * x)."""
+    """(id, v): the vectors that take part as arrays of floor(scale * x), whole doubles."""
     x = F.col(f"`{vector_column}`").cast("array<double>")
-    whole = F.transform(x, lambda c: F.floor(c * scale))
+
+    def floored(c: Column) -> Column:
+        y = F.least(F.greatest(c * scale, F.lit(-1e308)), F.lit(1e308))
+        return F.when(F.abs(y) < float(1 << 53), F.floor(y).cast("double")).otherwise(y)  # larger doubles are whole
+
+    whole = F.transform(x, floored)
     fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
     return vectors.select(F.col(f"`{id_column}`").cast("bigint").alias("id"), whole.alias("v"), fine.alias("ok")).filter(
         "id IS NOT NULL AND ok").select("id", "v")
@@ -70,12 +80,15 @@ class _Lists:
         self.slices = [slice(a, b) for a, b in zip(edges, edges[1:]) if b > a] or [slice(0, 0)]
 
     def partial(self, vectors: np.ndarray) -> list[np.ndarray]:
-        return [self.queries[:, s] @ vectors[:, s].T for s in self.slices]
+        if self.queries.dtype != object:
+            return [self.queries[:, s] @ vectors[:, s].T for s in self.slices]
+        return [_wide(self.queries[:, s].astype(float), vectors[:, s].astype(float)) for s in self.slices]
 
     def best_totals(self, ids: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
         """(queries, <= k) totals among the k best of each list, the lowest number where none."""
         parts = self.partial(vectors)
-        total = sum(parts)
+        total = _long(sum(parts))
+        parts = [_long(p) for p in parts]  # which entries are resolved need not be exact
         n = len(ids)
         seen = np.zeros(total.shape, bool)
         for p in parts:
@@ -91,11 +104,12 @@ class _Lists:
             need = cutoff / len(parts)
         else:  # rounded up without negating the cutoff: the lowest number has no opposite
             need = cutoff // len(parts) + (cutoff % len(parts) > 0)
-        collected = np.zeros(parts[0].shape, bool)
+        # a score at the lower end of a long may be any sum below it
+        collected = np.repeat((cutoff <= -_MOST)[:, None], len(ids), axis=1)
         for p in parts:
-            collected |= p >= need[:, None]
+            collected |= (p >= need[:, None]).astype(bool)
         q, c = np.nonzero(collected)
-        score = sum(p[q, c] for p in parts)
+        score = _long(sum(p[q, c] for p in parts))
         keep = (score >= cutoff[q]) & (ids[c] != self.ids[q])
         q, c, score = q[keep], c[keep], score[keep]
         order = np.lexsort((ids[c], -score, q))
@@ -104,6 +118,25 @@ class _Lists:
         return q[rank < k], ids[c[rank < k]], score[rank < k]
 
 
+def _wide(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Inner products of whole doubles of any size, as Python's integers."""
+    total = np.zeros((len(queries), len(vectors)), object)
+    left, right = limbs(queries, 1), limbs(vectors, 1)
+    wide = 1 << (62 - 2 * LIMB)
+    for i, a in enumerate(left):
+        for j, b in enumerate(right):
+            for d in range(0, a.shape[1], wide):
+                total = total + ((a[:, d:d + wide] @ b[:, d:d + wide].T).astype(object) << (LIMB * (i + j)))
+    return total
+
+
+def _long(scores: np.ndarray) -> np.ndarray:
+    """Python's integers held within a long; other numbers as they are."""
+    if scores.dtype != object:
+        return scores
+    return np.minimum(np.maximum(scores, -_MOST), _MOST).astype(np.int64)
+
+
 def _low(dtype: np.dtype) -> float | int:
     """Below every total, for "none" and "no cutoff"."""
     return -np.inf if dtype.kind == "f" else np.iinfo(np.int64).min
@@ -131,9 +164,9 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_
     size = rows.agg(F.max(F.size("v")).alias("dims"),
                     F.max(F.array_max(F.transform("v", lambda c: F.abs(c)))).alias("most")).first()
     dims = size["dims"] or 0
-    bound = dims * int(size["most"] or 0) ** 2  # of any partial sum
-    dtype = np.float32 if bound < 1 << 24 else np.float64 if bound < 1 << 53 else np.int64
-    blocks = max(1, -(-asked.count() * max(dims, 1) * np.dtype(dtype).itemsize // block_bytes))
+    bound = dims * int(size["most"] or 0) ** 2  # of any sum
+    dtype = np.float32 if bound < 1 << 24 else np.float64 if bound < 1 << 53 else np.int64 if bound < 1 << 62 else object
+    blocks = max(1, -(-asked.count() * max(dims, 1) * (48 if dtype is object else np.dtype(dtype).itemsize) // block_bytes))
     asked = stored(asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")), "topk-queries")
     out = None
     for b in range(blocks):
@@ -169,7 +202,8 @@ def _block(rows: DataFrame, asked: DataFrame, k: int, dims: int, dtype: type) ->
     totals = rows.mapInArrow(gather, "q bigint, total bigint")
     ranked = totals.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("total"))))
     safe = ranked.filter(F.col("r") == k).select("q", "total").toArrow()  # one row a query of the block
-    cutoff = np.full(len(ids), _low(np.dtype(dtype)), dtype)
+    kind = np.dtype(np.int64 if dtype is object else dtype)  # of scores
+    cutoff = np.full(len(ids), _low(kind), kind)
     cutoff[safe.column("q").to_numpy()] = safe.column("total").to_numpy()
     cut = spark.sparkContext.broadcast(cutoff)
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])

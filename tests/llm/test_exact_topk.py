@@ -68,3 +68,17 @@ def test_few_large_vectors_are_all_returned(spark, parts):
     rows = random_rows(9, 8, 2) + [(20, [1e6] + [0.5] * 7), (40, [-1e6] * 8), (11, [1e6] * 8)]
     got = run(spark, rows, parts)
     assert len(got) == 3 * 11 and got == brute(rows)
+
+
+def test_components_of_any_size(spark):
+    """1e9 leaves 64 bits, 1e12 leaves them in every product, -1e30 has no long."""
+    rng = np.random.default_rng(4)
+    for sizes in ([1e9, -1e9], [1e12, -1e12, 1.0], [-1e30, 1e30, 1e3], [1e9, 1e-2]):
+        rows = [(int(i), [float(np.float32(x)) for x in rng.choice(sizes, 5) * rng.normal(size=5)]) for i in range(60)]
+        got = sorted(tuple(r) for r in K.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), k=5, every=20).collect())
+        whole = {i: [int(np.floor(x * 64)) for x in v] for i, v in rows}
+        want, most = [], (1 << 63) - 1
+        for q in range(0, 60, 20):
+            scored = sorted((-max(-most, min(most, sum(a * b for a, b in zip(whole[q], v)))), i) for i, v in whole.items() if i != q)
+            want += [(q, r, i, -s) for r, (s, i) in enumerate(scored[:5], 1)]
+        assert got == sorted(want)
