@@ -1,16 +1,18 @@
 """URL filters from rules and a path-template tree.
 
 A url's verdict is that of the longest rule that fits; where none fits, that
-of its template.  Templates form a tree per host: host, first, second, third
-path segment.  Variable segments become wildcards, first by form (digit runs
-to ``*``), then by count: under a node of more than ``max_children`` different
-children, those with less than ``min_share`` of its pages become ``*``.  First
-segments of a host whose pages have nearly the same second and third segments
-and the same labels as the host's largest branch are merged with it.  A node's
-purity is its labelled share of good pages, smoothed by its parent's purity
-(``strength`` pseudo pages; unlabelled pages weigh ``unlabelled`` at the prior);
-templates under ``threshold`` are blocked.  Labels are the pages that a rule
-decides, or a table (page_id, bad).
+of its template.  Templates form a tree per host: the path's first ``DEPTH`` - 1
+segments, then all that follows as one more, so the whole path counts.  Variable
+segments become wildcards, first by form (digit runs to ``*``), then by count:
+under a node of more than ``max_children`` different children, those with less than
+``min_share`` of its pages become ``*``.  Then, from the deepest level up, branches
+under one node that have nearly the same distribution of what lies below them
+and the same labels are merged: branches with the same largest part below are
+compared with the largest of them, the anchor.  A node's purity is its share of good
+pages among its labelled pages, smoothed by ``strength`` pseudo pages whose purity
+is a mixture of its parent's (weight ``inherit``) and of the prior; pages
+without a label weigh nothing.  Templates under ``threshold`` are blocked.  Labels
+are the pages that a rule decides, or a table (page_id, bad).
 
 Everything is DataFrame and SQL functions.  Scale: pages are reduced to counts
 per template by partial aggregation; all tree work is joins and aggregations
@@ -39,7 +41,12 @@ from claimspark.llm.common import stored
 
 BROADCAST_TEMPLATES = 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_RAW = ["host", "t1", "t2", "t3"]
+#: Levels of the tree under a host; the last holds the rest of the path.
+DEPTH = 5
+_LEVELS = range(1, DEPTH + 1)
+_RAW = ["host", *[f"t{i}" for i in _LEVELS]]
+_NODE = ["host", *[f"g{i}" for i in _LEVELS]]
+_SHOWN = 3  # segments that a template's name always has
 
 
 @dataclass(frozen=True)
@@ -59,7 +66,7 @@ class Tree:
     min_share: float = 0.05
     similar: float = 0.9
     strength: float = 10.0
-    unlabelled: float = 0.25
+    inherit: float = 0.4
     prior: float = 0.9
     threshold: float = 0.5
 
@@ -70,17 +77,17 @@ RULES = (Rule("block", "net"), Rule("allow", "example.net", "/en/"), Rule("block
 
 
 def parsed(pages: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(page_id, host, path, t1, t2, t3, rule, ruled)."""
+    """(page_id, host, path, t1 .. tDEPTH, rule, ruled)."""
     rest = F.when(F.instr("url", "://") > 0, F.expr("substring(url, instr(url, '://') + 3)")).otherwise("")
     rows = pages.select("page_id", F.coalesce(rest, F.lit("")).alias("rest"))
     rows = rows.select("page_id", F.translate(F.regexp_extract("rest", "^([^/?#]*)", 1), _UPPER, _LOWER).alias("host"),
                        F.regexp_extract("rest", "^[^/?#]*([^?#]*)", 1).alias("path"))
     parts = F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), lambda s: F.regexp_replace(s, "[0-9]+", "*"))
     rows = rows.withColumn("parts", parts)
-    third = F.when(F.size("parts") > 3, "**").otherwise(F.get("parts", F.lit(2)))
+    last = F.array_join(F.slice("parts", DEPTH, F.greatest(F.size("parts") - (DEPTH - 1), F.lit(0))), "/")
+    segments = [F.coalesce(F.get("parts", F.lit(i - 1)), F.lit("")) for i in _LEVELS[:-1]] + [last]
     rule, ruled = fitting(rules)
-    return rows.select("page_id", "host", "path", F.coalesce(F.get("parts", F.lit(0)), F.lit("")).alias("t1"),
-                       F.coalesce(F.get("parts", F.lit(1)), F.lit("")).alias("t2"), F.coalesce(third, F.lit("")).alias("t3"),
+    return rows.select("page_id", "host", "path", *[c.alias(f"t{i}") for i, c in zip(_LEVELS, segments)],
                        rule.alias("rule"), ruled.alias("ruled"))
 
 
@@ -95,7 +102,7 @@ def fitting(rules: tuple[Rule, ...]) -> tuple[Column, Column]:
 
 
 def shapes(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(host, t1, t2, t3, n, bad, good): pages and labelled pages per path shape."""
+    """(host, t1 .. tDEPTH, n, bad, good): pages and labelled pages per path shape."""
     if labels is None:
         bad, good = F.col("ruled") == "block", F.col("ruled") == "allow"
     else:
@@ -106,9 +113,9 @@ def shapes(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def generalised(table: DataFrame, tree: Tree) -> DataFrame:
-    """``table`` with g1, g2, g3: the segments after the wildcards by count."""
+    """``table`` with g1 .. gDEPTH: the segments after the wildcards by count."""
     above = ["host"]
-    for i in (1, 2, 3):
+    for i in _LEVELS:
         raw, new = f"t{i}", f"g{i}"
         children = table.groupBy(*above, raw).agg(F.sum("n").alias("own"))
         parents = children.groupBy(*above).agg(F.sum("own").alias("whole"), F.count("*").alias("width"))
@@ -121,44 +128,61 @@ def generalised(table: DataFrame, tree: Tree) -> DataFrame:
 
 
 def merged(table: DataFrame, tree: Tree) -> DataFrame:
-    """``table`` with ``branch``: g1, or the host's largest branch where it is similar."""
-    nodes = stored(table.groupBy("host", "g1", "g2", "g3").agg(*[F.sum(c).alias(c) for c in ("n", "bad", "good")]), "url-nodes")
-    branches = nodes.groupBy("host", "g1").agg(*[F.sum(c).alias(c) for c in ("n", "bad", "good")], F.count("*").alias("kinds"))
-    branches = stored(branches, "url-branches")
-    anchors = branches.groupBy("host").agg(F.max(F.struct("n", "g1", "bad", "good", "kinds")).alias("a"))
-    pair = branches.join(anchors, "host").filter(F.col("g1") != F.col("a.g1"))
-    shares = nodes.join(branches.select("host", "g1", F.col("n").alias("whole")), ["host", "g1"]).select(
-        "host", "g1", "g2", "g3", (F.col("n") / F.col("whole")).alias("share"))
-    first = shares.join(anchors.select("host", F.col("a.g1").alias("g1")), ["host", "g1"]).select(
-        "host", "g2", "g3", F.col("share").alias("anchor_share"))
-    overlap = shares.join(first, ["host", "g2", "g3"]).groupBy("host", "g1").agg(
+    """``table`` with the names of merged branches in g1 .. gDEPTH, deepest level first."""
+    for i in reversed(_LEVELS[:-1]):
+        table = _merged_level(table, i, tree)
+    return table
+
+
+def _merged_level(table: DataFrame, level: int, tree: Tree) -> DataFrame:
+    above, own = ["host", *[f"g{i}" for i in range(1, level)]], f"g{level}"
+    deeper = [f"g{i}" for i in _LEVELS if i > level]
+    sums = [F.sum(c).alias(c) for c in ("n", "bad", "good")]
+    nodes = stored(table.groupBy(*above, own, F.concat_ws("/", *deeper).alias("below")).agg(*sums), "url-nodes")
+    branches = nodes.groupBy(*above, own).agg(*sums, F.count("*").alias("kinds"), F.max(F.struct("n", "below"))["below"].alias("main"))
+    empty = "/" * (len(deeper) - 1)  # nothing lies below: no structure to compare
+    branches = stored(branches.filter(F.col("main") != empty), "url-branches")
+    anchors = branches.groupBy(*above, "main").agg(F.max(F.struct("n", own, "bad", "good", "kinds")).alias("a"))
+    pair = branches.join(anchors, [*above, "main"]).filter(F.col(own) != F.col(f"a.{own}"))
+    shares = nodes.join(branches.select(*above, own, "main", F.col("n").alias("whole")), [*above, own]).select(
+        *above, own, "main", "below", (F.col("n") / F.col("whole")).alias("share"))
+    first = shares.join(anchors.select(*above, "main", F.col(f"a.{own}").alias(own)), [*above, "main", own]).select(
+        *above, "main", "below", F.col("share").alias("anchor_share"))
+    overlap = shares.join(first, [*above, "main", "below"]).groupBy(*above, own).agg(
         F.sum(F.least("share", "anchor_share")).alias("overlap"))
     unsure = F.sqrt(F.col("a.kinds") / (4.0 * F.col("n")))  # what chance alone takes from the overlap
     rate = lambda c: F.least(F.col(c) / F.col("n"), F.col(f"a.{c}") / F.col("a.n"))
     rest = F.least((F.col("n") - F.col("bad") - F.col("good")) / F.col("n"),
                    (F.col("a.n") - F.col("a.bad") - F.col("a.good")) / F.col("a.n"))
     same = (F.col("overlap") + unsure + 1e-9 >= tree.similar) & (rate("bad") + rate("good") + rest + 1e-9 >= tree.similar)
-    alike = pair.join(overlap, ["host", "g1"]).filter(same).select("host", "g1", F.col("a.g1").alias("branch"))
-    return table.join(alike, ["host", "g1"], "left").withColumn("branch", F.coalesce("branch", "g1"))
+    alike = pair.join(overlap, [*above, own]).filter(same).select(*above, own, F.col(f"a.{own}").alias("branch"))
+    out = table.join(alike, [*above, own], "left").withColumn(own, F.coalesce("branch", own)).drop("branch")
+    return stored(out.select(*_RAW, *_NODE[1:], "n", "bad", "good"), f"url-merged{level}")
 
 
 def purities(table: DataFrame, tree: Tree) -> DataFrame:
     """``table`` with the smoothed ``purity`` of each row's template."""
-    levels = [["host"], ["host", "branch"], ["host", "branch", "g2", "g3"]]
+    sums = [F.sum(c).alias("s" + c) for c in ("bad", "good")]
 
     def smoothed(above: Column) -> Column:
-        rest = tree.unlabelled * (F.col("sn") - F.col("sbad") - F.col("sgood"))
-        return (F.col("sgood") + tree.prior * rest + tree.strength * above) / (F.col("sgood") + F.col("sbad") + rest + tree.strength)
+        base = (1 - tree.inherit) * tree.prior + tree.inherit * above
+        return (F.col("sgood") + tree.strength * base) / (F.col("sgood") + F.col("sbad") + tree.strength)
 
-    sums = [F.sum(c).alias("s" + c) for c in ("n", "bad", "good")]
     whole = table.agg(*sums).select(smoothed(F.lit(tree.prior)).alias("p")).first()["p"]  # one number
     up, known = F.lit(whole if whole is not None else tree.prior), None
-    for keys in levels:
+    for i in range(len(_NODE)):
+        keys = _NODE[:i + 1]
         own = table.groupBy(*keys).agg(*sums)
         if known is not None:
-            own, up = own.join(known, [k for k in keys if k in known.columns]), F.col("above")
+            own, up = own.join(known, keys[:-1]), F.col("above")
         known = own.select(*keys, smoothed(up).alias("above"))
-    return table.join(known, levels[-1]).withColumnRenamed("above", "purity")
+    return table.join(known, _NODE).withColumnRenamed("above", "purity")
+
+
+def template_name() -> Column:
+    """The segments, with slashes; empty ones beyond the third are left out."""
+    return F.concat(F.concat_ws("/", *_NODE[1:_SHOWN + 1]),
+                    *[F.when(F.col(g) != "", F.concat(F.lit("/"), F.col(g))).otherwise("") for g in _NODE[_SHOWN + 1:]])
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, labels: DataFrame | None = None,
@@ -167,7 +191,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, labels: DataFrame |
     rows = parsed(pages, rules)
     table = merged(generalised(stored(shapes(rows, labels), "url-shapes"), tree), tree)
     judged = stored(purities(table, tree).select(
-        *_RAW, F.concat_ws("/", "branch", "g2", "g3").alias("template"), "purity"), "url-templates")
+        *_RAW, template_name().alias("template"), "purity"), "url-templates")
     if judged.count() <= BROADCAST_TEMPLATES:
         judged = F.broadcast(judged)
     by_template = F.when(F.col("purity") < tree.threshold, "block").otherwise("allow")
@@ -184,7 +208,7 @@ def oracle(rules: tuple[Rule, ...] = RULES, tree: Tree = Tree()) -> str:
     ruled = "CASE " + " ".join(f"{f}'{r.verdict}'" for f, r in zip(fits, cases)) + " END"
     levels, above = [], "host"
     table = "shapes"
-    for i in (1, 2, 3):
+    for i in _LEVELS:
         levels.append(f"""
 c{i} AS (SELECT {above}, t{i}, sum(n) AS own FROM {table} GROUP BY ALL),
 l{i} AS (SELECT s.*, CASE WHEN p.width > {tree.max_children} AND c.own < {tree.min_share}::DOUBLE * p.whole AND s.t{i} <> ''
@@ -195,11 +219,42 @@ l{i} AS (SELECT s.*, CASE WHEN p.width > {tree.max_children} AND c.own < {tree.m
     t = tree
 
     def smooth(alias: str, up: str) -> str:
-        rest = f"{t.unlabelled}::DOUBLE * ({alias}.n - {alias}.bad - {alias}.good)"
-        return (f"({alias}.good + {t.prior}::DOUBLE * {rest} + {t.strength}::DOUBLE * {up}) / "
-                f"({alias}.good + {alias}.bad + {rest} + {t.strength}::DOUBLE)")
+        base = f"({(1 - t.inherit) * t.prior!r}::DOUBLE + {t.inherit}::DOUBLE * {up})"
+        return f"({alias}.good + {t.strength}::DOUBLE * {base}) / ({alias}.good + {alias}.bad + {t.strength}::DOUBLE)"
 
     total = "sum(n) AS n, sum(bad) AS bad, sum(good) AS good"
+    for i in reversed(_LEVELS[:-1]):
+        up, own = ", ".join(["host", *[f"g{j}" for j in range(1, i)]]), f"g{i}"
+        deeper = ", ".join(f"g{j}" for j in _LEVELS if j > i)
+        empty = "/" * (DEPTH - i - 1)
+        levels.append(f"""
+n{i} AS (SELECT {up}, {own}, concat_ws('/', {deeper}) AS below, {total} FROM {table} GROUP BY ALL),
+b{i} AS (SELECT {up}, {own}, {total}, count(*) AS kinds, max(row(n, below)) AS m FROM n{i} GROUP BY {up}, {own}),
+s{i} AS (SELECT * EXCLUDE (m), m[2] AS main FROM b{i} WHERE m[2] <> '{empty}'),
+a{i} AS (SELECT * FROM s{i} QUALIFY row_number() OVER (PARTITION BY {up}, main ORDER BY n DESC, {own} DESC) = 1),
+h{i} AS (SELECT n{i}.*, b.main, n{i}.n::DOUBLE / b.n AS share FROM n{i} JOIN s{i} b USING ({up}, {own})),
+f{i} AS (SELECT h{i}.* FROM h{i} JOIN a{i} USING ({up}, main, {own})),
+o{i} AS (SELECT {', '.join('x.' + k.strip() for k in up.split(','))}, x.{own}, sum(least(x.share, f.share)) AS overlap
+  FROM h{i} x JOIN f{i} f USING ({up}, main, below) GROUP BY ALL),
+k{i} AS (SELECT {', '.join('b.' + k.strip() for k in up.split(','))}, b.{own}, a.{own} AS branch
+  FROM s{i} b JOIN a{i} a USING ({up}, main) JOIN o{i} o ON {' AND '.join(f'o.{k.strip()} = b.{k.strip()}' for k in up.split(','))} AND o.{own} = b.{own}
+  WHERE a.{own} <> b.{own} AND o.overlap + sqrt(a.kinds / (4.0::DOUBLE * b.n)) + 1e-9 >= {t.similar}::DOUBLE
+    AND least(b.bad::DOUBLE / b.n, a.bad::DOUBLE / a.n) + least(b.good::DOUBLE / b.n, a.good::DOUBLE / a.n)
+      + least((b.n - b.bad - b.good)::DOUBLE / b.n, (a.n - a.bad - a.good)::DOUBLE / a.n) + 1e-9 >= {t.similar}::DOUBLE),
+m{i} AS (SELECT x.* EXCLUDE ({own}), coalesce(k.branch, x.{own}) AS {own} FROM {table} x LEFT JOIN k{i} k USING ({up}, {own}))""")
+        table = f"m{i}"
+    purity, above = [], "w"
+    for i in range(len(_NODE)):
+        keys = ", ".join(_NODE[:i + 1])
+        joined = "w" if i == 0 else f"p{i - 1}"
+        purity.append(f"p{i} AS (SELECT {', '.join('x.' + k for k in _NODE[:i + 1])}, {smooth('x', 'u.above')} AS above "
+                      f"FROM (SELECT {keys}, {total} FROM tree GROUP BY {keys}) x "
+                      + (f"CROSS JOIN {joined} u)" if i == 0 else f"JOIN {joined} u USING ({', '.join(_NODE[:i])}))"))
+    raw = ", ".join(_RAW)
+    name = "concat_ws('/', " + ", ".join(_NODE[1:_SHOWN + 1]) + ")" + "".join(
+        f" || CASE WHEN {g} <> '' THEN '/' || {g} ELSE '' END" for g in _NODE[_SHOWN + 1:])
+    segments = ", ".join([f"coalesce(parts[{i}], '') AS t{i}" for i in _LEVELS[:-1]]
+                         + [f"coalesce(array_to_string(parts[{DEPTH}:], '/'), '') AS t{DEPTH}"])
     return f"""
 WITH r AS (SELECT page_id, CASE WHEN position('://' IN coalesce(url, '')) > 0
     THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
@@ -207,32 +262,14 @@ u AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
 p AS (SELECT *, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''),
     lambda s: regexp_replace(s, '[0-9]+', '*', 'g')) AS parts FROM u),
-rows AS (SELECT page_id, host, path, coalesce(parts[1], '') AS t1, coalesce(parts[2], '') AS t2,
-    CASE WHEN len(parts) > 3 THEN '**' ELSE coalesce(parts[3], '') END AS t3, {rule} AS rule, {ruled} AS ruled FROM p),
-shapes AS (SELECT host, t1, t2, t3, count(*) AS n, count(*) FILTER (WHERE ruled = 'block') AS bad,
+rows AS (SELECT page_id, host, path, {segments}, {rule} AS rule, {ruled} AS ruled FROM p),
+shapes AS (SELECT {raw}, count(*) AS n, count(*) FILTER (WHERE ruled = 'block') AS bad,
     count(*) FILTER (WHERE ruled = 'allow') AS good FROM rows GROUP BY ALL),
 {','.join(levels)},
-nodes AS (SELECT host, g1, g2, g3, {total} FROM l3 GROUP BY ALL),
-branches AS (SELECT host, g1, {total}, count(*) AS kinds FROM nodes GROUP BY host, g1),
-anchors AS (SELECT * FROM branches QUALIFY row_number() OVER (PARTITION BY host ORDER BY n DESC, g1 DESC) = 1),
-shares AS (SELECT nodes.*, nodes.n::DOUBLE / b.n AS share FROM nodes JOIN branches b USING (host, g1)),
-overlap AS (SELECT s.host, s.g1, sum(least(s.share, f.share)) AS overlap FROM shares s
-  JOIN anchors a ON a.host = s.host JOIN shares f ON f.host = a.host AND f.g1 = a.g1 AND f.g2 = s.g2 AND f.g3 = s.g3
-  GROUP BY s.host, s.g1),
-alike AS (SELECT b.host, b.g1, a.g1 AS branch FROM branches b JOIN anchors a ON a.host = b.host AND a.g1 <> b.g1
-  JOIN overlap o ON o.host = b.host AND o.g1 = b.g1
-  WHERE o.overlap + sqrt(a.kinds / (4.0::DOUBLE * b.n)) + 1e-9 >= {t.similar}::DOUBLE
-    AND least(b.bad::DOUBLE / b.n, a.bad::DOUBLE / a.n) + least(b.good::DOUBLE / b.n, a.good::DOUBLE / a.n)
-      + least((b.n - b.bad - b.good)::DOUBLE / b.n, (a.n - a.bad - a.good)::DOUBLE / a.n) + 1e-9 >= {t.similar}::DOUBLE),
-tree AS (SELECT l3.*, coalesce(alike.branch, l3.g1) AS branch FROM l3 LEFT JOIN alike USING (host, g1)),
+tree AS (SELECT * FROM {table}),
 w AS (SELECT {smooth('x', f'{t.prior}::DOUBLE')} AS above FROM (SELECT {total} FROM tree) x),
-h AS (SELECT x.host, {smooth('x', 'w.above')} AS above FROM (SELECT host, {total} FROM tree GROUP BY host) x, w),
-b AS (SELECT x.host, x.branch, {smooth('x', 'h.above')} AS above
-  FROM (SELECT host, branch, {total} FROM tree GROUP BY host, branch) x JOIN h USING (host)),
-q AS (SELECT x.host, x.branch, x.g2, x.g3, {smooth('x', 'b.above')} AS purity
-  FROM (SELECT host, branch, g2, g3, {total} FROM tree GROUP BY host, branch, g2, g3) x JOIN b USING (host, branch)),
-judged AS (SELECT tree.host, t1, t2, t3, tree.branch || '/' || tree.g2 || '/' || tree.g3 AS template, purity
-  FROM tree JOIN q ON q.host = tree.host AND q.branch = tree.branch AND q.g2 = tree.g2 AND q.g3 = tree.g3)
+{', '.join(purity)},
+judged AS (SELECT {raw}, {name} AS template, above AS purity FROM tree JOIN p{len(_NODE) - 1} USING ({', '.join(_NODE)}))
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN purity < {t.threshold}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict,
   template, round(purity, 6) AS purity
-FROM rows LEFT JOIN judged USING (host, t1, t2, t3)"""
+FROM rows LEFT JOIN judged USING ({raw})"""

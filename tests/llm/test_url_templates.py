@@ -125,3 +125,49 @@ def test_matches_sql(spark, seed):
 def test_no_python_on_the_main_path(spark):
     plan = U.judge(pages(spark, ODD))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_the_whole_path_counts(spark):
+    df, marks = labelled(spark, [("http://a.io/a/b/spam/{i}/2", 200, 0, 0), ("http://a.io/a/b/news/{i}/2", 0, 200, 0),
+                                 ("http://a.io/a/b/c/d/e/f/bad/{i}", 60, 0, 0), ("http://a.io/a/b/c/d/e/f/fine/{i}", 0, 60, 0)])
+    got = verdicts(U.judge(df, (), marks))
+    assert got["a/b/spam/*/*"] == {"block"} and got["a/b/news/*/*"] == {"allow"}
+    assert got["a/b/c/d/e/f/bad/*"] == {"block"} and got["a/b/c/d/e/f/fine/*"] == {"allow"}
+
+
+def test_pages_without_labels_weigh_nothing(spark):
+    """However many there are of them, and if all pages are repeated."""
+    seen = set()
+    for none in (1, 21, 2000):
+        df, marks = labelled(spark, [("http://a.io/bad/{i}", 400, 0, 0), ("http://a.io/other/{i}", 0, 0, none)])
+        rows = U.judge(df, (), marks).select("template", "purity", "verdict").distinct().collect()
+        seen.add(tuple(sorted(map(tuple, rows))))
+    assert len(seen) == 1
+    groups = [("http://a.io/spam/{i}", 40, 0, 60), ("http://a.io/news/{i}.html", 0, 40, 60), ("http://a.io/q/x/{i}", 0, 0, 7)]
+    once = verdicts(U.judge(*_with_marks(spark, groups, 1)))
+    assert once == verdicts(U.judge(*_with_marks(spark, groups, 10))) == verdicts(U.judge(*_with_marks(spark, groups, 100)))
+
+
+def _with_marks(spark, groups, times):
+    df, marks = labelled(spark, [(p, times * b, times * g, times * n) for p, b, g, n in groups])
+    return df, (), marks
+
+
+def test_branches_alike_merge_at_every_level_beside_a_larger_unlike_one(spark):
+    word = "abcdefghijklmnopqrst"
+    urls = [f"http://a.io/static/{w}.css" for w in word for _ in range(30)]  # the largest branch
+    for lang, pages_ in (("en", 40), ("fr", 30), ("de", 25)):
+        urls += [f"http://a.io/{lang}/story/{i}" for i in range(pages_)] + [f"http://a.io/{lang}/tag/{i}" for i in range(pages_ // 2)]
+    for year, pages_ in (("old", 30), ("new", 20)):  # alike one level further down
+        urls += [f"http://b.io/x/{year}/post/{i}/view" for i in range(pages_)]
+    urls += [f"http://b.io/x/shop/{w}" for w in word for _ in range(4)]
+    got = {r.template for r in U.judge(pages(spark, urls), ()).collect()}
+    assert {t for t in got if "story" in t or "tag" in t} == {"en/story/*"}  # languages, and the two alike parts of each
+    assert {t for t in got if "post" in t} == {"x/old/post/*/view"}
+    assert any(t.startswith("static/") for t in got) and any(t.startswith("x/shop/") for t in got)
+
+
+def test_a_very_long_url(spark):
+    long = "http://a.io/" + "/".join(f"s{'x' * (i % 9)}" for i in range(20_000))
+    rows = U.judge(pages(spark, [long, long + "?q", "http://a.io/s"])).collect()
+    assert [r.verdict for r in rows] == ["allow"] * 3 and max(len(r.template) for r in rows) > 20_000
