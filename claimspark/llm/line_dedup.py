@@ -211,7 +211,8 @@ class LineIndex:
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """Take documents (column doc_id) out; unknown ids change nothing."""
         ids = doc_ids.select("doc_id").distinct()
-        touched = self.refs.join(ids, "doc_id", "left_semi").select("k1", "k2").distinct()
+        # stored, so that the joins with it can be split at a line of very many documents
+        touched = stored(self.refs.join(ids, "doc_id", "left_semi").select("k1", "k2").distinct(), "line-touched")
         refs = stored(self.refs.join(ids, "doc_id", "left_anti").select("k1", "k2", "doc_id"), "line-refs")
         again = _counted(refs.distinct().join(touched, ["k1", "k2"], "left_semi"))
         counts = stored(self.counts.join(touched, ["k1", "k2"], "left_anti").unionByName(again), "line-counts")

@@ -297,7 +297,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 4, max_bits: int = 4,
     tree = components(links(fps.select("fp"), max_bits, bucket_rows))
     rooted = fps.join(tree, fps["fp"] == tree["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    rooted = stored(rooted, "rooted-fingerprints")
+    # stored: as a table of its own it is one side of a join that can be split at a giant component
+    named = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "named-components")
     lookup = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
     return marked.join(lookup, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -97,3 +97,15 @@ def test_defined_cases(spark, docs):
     assert S.near_duplicates(docs([])).collect() == []
     kept = S.keep_one(docs([(1, "x y z w v"), (2, "x y z w v"), (None, "x y z w v"), (3, "q r s t u")])).collect()
     assert sorted(str(r.doc_id) for r in kept) == ["1", "3", "None"]
+
+
+def test_a_giant_component_is_split_in_the_last_join(spark, docs):
+    """With a low threshold adaptive execution splits the join that names the components."""
+    rows = [(i, f"one two three four five {i // 400}") for i in range(1200)] + [(5000 + i, f"text number {i} of its own kind") for i in range(50)]
+    df = S.near_duplicates(docs(rows), 4, 4)
+    got = {}
+    for r in df.collect():
+        got.setdefault(r.component_id, set()).add(r.doc_id)
+    assert len(got[0]) >= 400
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 0  # both sides of every remaining join are tables
