@@ -305,6 +305,11 @@ def open_investigations(spark, sf_dir):
     return inv.open_investigations(_t(spark, sf_dir)["claims"])
 
 
+def open_investigations_exact(spark, sf_dir):
+    """Investigations of exactly three quarters of the fraud claims."""
+    return inv.open_investigations(_t(spark, sf_dir)["claims"], exact=True)
+
+
 def dq_key_violations(spark, sf_dir):
     return ops.key_report(_t(spark, sf_dir), PRIMARY_KEYS)
 
@@ -696,6 +701,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "eval_roc": eval_roc,
     "eval_auc": eval_auc,
     "open_investigations": open_investigations,
+    "open_investigations_exact": open_investigations_exact,
     "dq_key_violations": dq_key_violations,
     "dq_key_violations_lineitem": dq_key_violations_lineitem,
     "dq_orphans": dq_orphans,

@@ -34,9 +34,10 @@ def hash_split(df: DataFrame, id_col: str, test_fraction: float = FV.TEST_FRACTI
 
 def exact_stratified_split(df: DataFrame, id_col: str, label: str,
                            test_fraction: float = FV.TEST_FRACTION, seed: int = FV.SPLIT_SEED,
-                           out: str = "is_test", buckets: int = 1 << 16) -> DataFrame:
+                           out: str = "is_test", buckets: int = 1 << 16, half_even: bool = False) -> DataFrame:
     """Exactly ``round(test_fraction * n_class)`` test rows per class (the
     class sizes of a stratified split), chosen by the smallest (hash, id).
+    A half is rounded up, or to the even number with ``half_even``.
 
     Only the k-th (hash, id) of each class is looked for: counts per (class,
     hash range) tell which of ``buckets`` hash ranges holds it, and just the
@@ -48,8 +49,9 @@ def exact_stratified_split(df: DataFrame, id_col: str, label: str,
     marked = (df.filter(F.col(label).isNotNull()).withColumn("_h", stable_unit_hash(id_col, seed))
               .withColumn("_hb", F.floor(F.col("_h") * F.lit(buckets) / F.lit(_HASH_SPACE))))
     counts = stored(marked.groupBy(label, "_hb").agg(F.count(F.lit(1)).alias("_n")), "hash-counts")
+    rounded = F.bround if half_even else F.round
     sizes = counts.groupBy(label).agg(
-        F.round(F.sum("_n") * F.lit(float(test_fraction))).cast("bigint").alias("_k"))
+        rounded(F.sum("_n") * F.lit(float(test_fraction))).cast("bigint").alias("_k"))
     upto = Window.partitionBy(label).orderBy("_hb").rowsBetween(Window.unboundedPreceding, -1)
     crossing = (counts.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
                 .join(sizes, label).filter((F.col("_before") < F.col("_k")) & (F.col("_before") + F.col("_n") >= F.col("_k")))
@@ -62,3 +64,10 @@ def exact_stratified_split(df: DataFrame, id_col: str, label: str,
     return (lookup_join(marked, cut, [label], "left")
             .withColumn(out, F.coalesce(here <= F.col("_cut"), F.lit(False)).cast("int"))
             .select(*df.columns, out))
+
+
+def exact_sample(df: DataFrame, id_col: str, fraction: float, seed: int = FV.SPLIT_SEED) -> DataFrame:
+    """Exactly ``fraction`` of the rows (a half goes to the even number, as in a pandas
+    sample): those whose id hashes lowest, found without sorting the rows."""
+    marked = exact_stratified_split(df.withColumn("_all", F.lit(1)), id_col, "_all", fraction, seed, out="_in", half_even=True)
+    return marked.filter(F.col("_in") == 1).select(*df.columns)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from claimspark import fixed_values as FV
 from claimspark.functions import round_double, stable_unit_hash, unit_interval
 from claimspark.operators.ranking import sequential_ids
-from claimspark.operators.sampling import hash_sample
+from claimspark.operators.sampling import exact_sample, hash_sample
 from claimspark.schemas import MONEY
 from claimspark.session import stored
 
@@ -27,8 +27,10 @@ def _pick(values: list[str], claim_id: str, seed: int):
 
 def open_investigations(claims: DataFrame, fraction: float = FV.INVESTIGATED_FRACTION,
                         seed: int = FV.SPLIT_SEED, low: float = FV.RECOVERY_LOW,
-                        high: float = FV.RECOVERY_HIGH, id_format: str = FV.INVESTIGATION_ID_FORMAT) -> DataFrame:
-    """Investigation rows for about ``fraction`` of the fraud claims.
+                        high: float = FV.RECOVERY_HIGH, id_format: str = FV.INVESTIGATION_ID_FORMAT,
+                        exact: bool = False) -> DataFrame:
+    """Investigation rows for about ``fraction`` of the fraud claims; ``exact``: for
+    exactly that share of them.
 
     ``investigation_id`` numbers the sampled claims 1, 2, ... in (hash, claim_id)
     order; ``fraud_type`` and ``status`` are drawn from the fixed lists;
@@ -36,7 +38,7 @@ def open_investigations(claims: DataFrame, fraction: float = FV.INVESTIGATED_FRA
     """
     fraud = claims.filter(F.col("is_fraud") == 1).select(
         "claim_id", "patient_id", "claim_amount", "claim_date")
-    picked = hash_sample(fraud, "claim_id", fraction, seed)
+    picked = (exact_sample if exact else hash_sample)(fraud, "claim_id", fraction, seed)
     h = stable_unit_hash("claim_id", seed)
     # The numbering samples its input for the bounds; the drawn claims are a
     # small share, so they are written once instead of scanning all twice.

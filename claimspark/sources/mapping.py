@@ -187,12 +187,14 @@ def load_tables(spark: SparkSession, sf_dir: str, materialize: bool = False) ->
         base = shared_dir(spark, "claims-tables")
         # Clustered by patient, the key of the pair and total queries, into enough
         # files for every core to get a split when the table is scanned (the
-        # shuffle-partition setting is sized to the data on a cluster).
+        # shuffle-partition setting is sized to the data on a cluster).  Ranges of
+        # (patient, claim) are of equal size even if one patient, or a missing one,
+        # holds most claims.
         files = max(2 * spark.sparkContext.defaultParallelism,
                     int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
         patients(spark, sf_dir).write.mode("overwrite").parquet(f"{base}/patients")
         providers(spark, sf_dir).write.mode("overwrite").parquet(f"{base}/providers")
-        (_claim_rows(spark, sf_dir).repartition(files, "patient_id")
+        (_claim_rows(spark, sf_dir).repartitionByRange(files, "patient_id", "claim_id")
          .write.mode("overwrite").parquet(f"{base}/claim_rows"))
         rows = spark.read.parquet(f"{base}/claim_rows")
         _PATHS[key] = f"{base}/claim_rows"

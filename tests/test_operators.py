@@ -277,3 +277,16 @@ def test_lookup_joins_give_the_same_rows(spark, monkeypatch, limit):
     for c in (0, 1):
         got = [r.n_rows for r in histogram(df, "x", 7, by="c").collect() if r.c == c]
         assert got == np.histogram([x for _, k, x in rows if k == c], bins=7)[0].tolist()
+
+
+@pytest.mark.parametrize("n,want", [(0, 0), (1, 1), (2, 2), (6, 4), (10, 8), (101, 76)])
+def test_exact_sample_has_the_size_of_a_pandas_sample(spark, n, want):
+    import pandas as pd
+
+    from claimspark.operators.sampling import exact_sample, hash_sample
+    df = spark.createDataFrame([(f"C{i}", i) for i in range(n)], "cid string, x int")
+    out = exact_sample(df, "cid", 0.75)
+    assert out.columns == ["cid", "x"] and out.count() == want == len(pd.DataFrame({"a": range(n)}).sample(frac=0.75))
+    if n == 101:  # the lowest hashes, as the inexact sample takes
+        few, many = ({r["cid"] for r in hash_sample(df, "cid", f).collect()} for f in (0.6, 0.9))
+        assert few <= {r["cid"] for r in out.collect()} <= many
