@@ -57,17 +57,27 @@ class Network:
         return [self.embed, self.filters, self.bias, self.out]
 
 
+def first_chunks(offsets: np.ndarray) -> np.ndarray:
+    """Number of each text's first chunk (length texts + 1)."""
+    size = np.diff(offsets)
+    return np.concatenate([[0], np.cumsum(np.maximum(1, -(-np.maximum(size - (WIDTH - STRIDE), 0) // _STEP)))])
+
+
+def chunk_block(data: np.ndarray, offsets: np.ndarray, first: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """(hi - lo, CHUNK) byte values of chunks lo .. hi, padded with PAD."""
+    number = np.arange(lo, hi)
+    text = np.searchsorted(first, number, side="right") - 1
+    within = (number - first[text])[:, None] * _STEP + np.arange(CHUNK)
+    inside = within < (offsets[text + 1] - offsets[text])[:, None]
+    out = np.full(within.shape, PAD, np.int16)
+    out[inside] = data[(within + offsets[text][:, None])[inside]]
+    return out
+
+
 def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(chunks, CHUNK) byte values padded with PAD, and each text's first chunk."""
-    size = np.diff(offsets)
-    count = np.maximum(1, -(-np.maximum(size - (WIDTH - STRIDE), 0) // _STEP))
-    first = np.concatenate([[0], np.cumsum(count)])
-    nth = np.arange(first[-1]) - np.repeat(first[:-1], count)
-    within = nth[:, None] * _STEP + np.arange(CHUNK)
-    inside = within < np.repeat(size, count)[:, None]
-    at = np.where(inside, within + np.repeat(offsets[:-1], count)[:, None], 0)
-    padded = np.append(data, np.uint8(0)).astype(np.int16)
-    return np.where(inside, padded[at], np.int16(PAD)), first
+    first = first_chunks(offsets)
+    return chunk_block(data, offsets, first, 0, int(first[-1])), first
 
 
 def _windows(net: Network, block: np.ndarray) -> np.ndarray:
@@ -92,46 +102,49 @@ def pooled(maxima: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def predict(net: Network, column: pa.Array, block: int = 512) -> np.ndarray:
-    """Probability of label 1 of each text."""
+    """Probability of label 1 of each text; memory is that of ``block`` chunks."""
     if not len(column):
         return np.zeros(0)
-    parts, first = chunks(*buffers(column))
-    maxima = np.concatenate([chunk_maxima(net, parts[i:i + block]) for i in range(0, len(parts), block)])
+    data, offsets = buffers(column)
+    first = first_chunks(offsets)
+    n = int(first[-1])
+    maxima = np.concatenate([chunk_maxima(net, chunk_block(data, offsets, first, i, min(n, i + block))) for i in range(0, n, block)])
     return 1 / (1 + np.exp(-(pooled(maxima, first) @ net.out).astype(np.float64)))
 
 
 # --- training -------------------------------------------------------------------------
 
-def _gradients(net: Network, parts: np.ndarray, first: np.ndarray, label: np.ndarray) -> list[np.ndarray]:
-    windows = _windows(net, parts)
-    flat = windows.reshape(-1, WIDTH * EMBED)
-    z = (flat @ net.filters).reshape(len(parts), WINDOWS, FILTERS) + net.bias
-    best = z.argmax(axis=1)
-    top = np.take_along_axis(z, best[:, None], axis=1)[:, 0]
-    maxima = np.maximum(top, 0)
+def _gradients(net: Network, parts: np.ndarray, first: np.ndarray, label: np.ndarray, block: int = 512) -> list[np.ndarray]:
+    """Mean gradients over the texts, ``block`` chunks at a time: the maxima of all
+    chunks first, then what each block adds."""
+    maxima = np.concatenate([chunk_maxima(net, parts[i:i + block]) for i in range(0, len(parts), block)])
     features = pooled(maxima, first)
     p = 1 / (1 + np.exp(-features @ net.out))
     err = ((p - label) / len(label)).astype(np.float32)
-    d_out = features.T @ err
     count = np.diff(first)
     text = np.repeat(np.arange(len(count)), count)
     is_max = maxima == features[text, :FILTERS]
     d_max = err[text, None] * (net.out[:FILTERS] * is_max + net.out[FILTERS:-1] / count[text, None])
-    d_max = np.where(top > 0, d_max, 0).astype(np.float32)
-    chosen = windows[np.arange(len(parts))[:, None], best]  # (chunks, FILTERS, WIDTH * EMBED)
-    d_filters = np.einsum("cf,cfw->wf", d_max, chosen)
-    d_window = (d_max[:, :, None] * net.filters.T[None]).reshape(-1, WIDTH, EMBED)
-    byte = parts[np.arange(len(parts))[:, None, None], best[:, :, None] * STRIDE + np.arange(WIDTH)].reshape(-1, WIDTH)
-    d_embed = np.zeros_like(net.embed)
-    np.add.at(d_embed, byte, d_window)
-    return [d_embed, d_filters, d_max.sum(axis=0), d_out]
+    d_max = np.where(maxima > 0, d_max, 0).astype(np.float32)
+    d_embed, d_filters = np.zeros_like(net.embed), np.zeros_like(net.filters)
+    for lo in range(0, len(parts), block):
+        part, d = parts[lo:lo + block], d_max[lo:lo + block]
+        windows = _windows(net, part)
+        z = (windows.reshape(-1, WIDTH * EMBED) @ net.filters).reshape(len(part), WINDOWS, FILTERS)
+        best = z.argmax(axis=1)
+        row = np.arange(len(part))
+        chosen = windows[row[:, None], best]  # (chunks, FILTERS, WIDTH * EMBED)
+        d_filters += np.einsum("cf,cfw->wf", d, chosen)
+        d_window = (d[:, :, None] * net.filters.T[None]).reshape(-1, WIDTH, EMBED)
+        byte = part[row[:, None, None], best[:, :, None] * STRIDE + np.arange(WIDTH)].reshape(-1, WIDTH)
+        np.add.at(d_embed, byte, d_window)
+    return [d_embed, d_filters, d_max.sum(axis=0), features.T @ err]
 
 
 def fit(texts: list[bytes], labels: np.ndarray, min_steps: int = 500, batch: int = 32, rate: float = 0.01,
-        seed: int = 11, chunks_a_text: int = 24) -> Network:
-    """Adam over shuffled batches, whole epochs of at least ``min_steps`` batches
-    in total; an epoch sees up to ``chunks_a_text`` random chunks of a very long
-    training text."""
+        seed: int = 11) -> Network:
+    """Adam over shuffled batches of whole texts, whole epochs of at least
+    ``min_steps`` batches in total."""
     epochs = -(-min_steps * batch // len(texts))
     net, rng = Network.fresh(seed), np.random.Generator(np.random.PCG64(seed + 1))
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in net.parts()]
@@ -141,11 +154,8 @@ def fit(texts: list[bytes], labels: np.ndarray, min_steps: int = 500, batch: int
         for i in range(0, len(order), batch):
             rows = order[i:i + batch]
             parts, first = chunks(*buffers(pa.array([texts[r] for r in rows], pa.binary())))
-            picked = [np.sort(rng.permutation(np.arange(a, b))[:chunks_a_text]) for a, b in zip(first, first[1:])]
-            first = np.concatenate([[0], np.cumsum([len(x) for x in picked])])
             step += 1
-            for part, grad, (m, v) in zip(net.parts(), _gradients(net, parts[np.concatenate(picked)], first,
-                                                                  labels[rows]), moments):
+            for part, grad, (m, v) in zip(net.parts(), _gradients(net, parts, first, labels[rows]), moments):
                 m += 0.1 * (grad - m)
                 v += 0.001 * (grad * grad - v)
                 part -= rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)

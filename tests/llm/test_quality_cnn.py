@@ -1,5 +1,7 @@
 """The network's gradients and coverage; held-out accuracy."""
 
+import math
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -60,6 +62,49 @@ def test_position_and_slicing_do_not_matter():
     assert np.allclose(whole, [C.predict(net, column([t]))[0] for t in texts], atol=1e-5)
 
 
+def naive_score(net, text):
+    """The network written out text by text: every window of the padded text."""
+    data = [*text]
+    best, sums, n_chunks, at = [0.0] * C.FILTERS, [0.0] * C.FILTERS, 0, 0
+    while at == 0 or at + (C.WIDTH - C.STRIDE) < len(data):
+        chunk = (data[at:at + C.CHUNK] + [C.PAD] * C.CHUNK)[:C.CHUNK]
+        tops = [0.0] * C.FILTERS
+        for i in range(0, C.CHUNK - C.WIDTH + 1, C.STRIDE):
+            x = np.concatenate([net.embed[b] for b in chunk[i:i + C.WIDTH]])
+            tops = np.maximum(tops, x @ net.filters + net.bias)
+        best, sums, n_chunks, at = np.maximum(best, tops), np.add(sums, tops), n_chunks + 1, at + C.CHUNK - (C.WIDTH - C.STRIDE)
+    return 1 / (1 + math.exp(-(best @ net.out[:C.FILTERS] + (sums / n_chunks) @ net.out[C.FILTERS:-1] + net.out[-1])))
+
+
+def test_scores_match_the_network_written_out():
+    rng = np.random.default_rng(6)
+    net = C.Network.fresh()
+    net.bias[:], net.out[:] = rng.normal(0, .2, C.FILTERS), rng.normal(0, .3, len(net.out))
+    texts = [bytes(rng.integers(0, 256, n, np.uint8)) for n in (0, 1, 9, 500, C.CHUNK, 1300, 2600)]
+    assert np.allclose(C.predict(net, column(texts)), [naive_score(net, t) for t in texts], atol=1e-5)
+
+
+def test_gradients_do_not_depend_on_the_block():
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(0, 256, n, np.uint8)) for n in (40, 9000, 2500, 20_000)]
+    parts, first = C.chunks(*buffers(column(texts)))
+    net = C.Network.fresh()
+    net.out[:] = rng.normal(0, .5, len(net.out))
+    label = np.array([1, 0, 1, 0], np.float32)
+    for a, b in zip(C._gradients(net, parts, first, label, 7), C._gradients(net, parts, first, label, 10_000)):
+        assert np.allclose(a, b, atol=1e-5)
+
+
+def test_a_long_text_is_scored_in_little_memory():
+    net = C.Network.fresh()
+    text = np.random.default_rng(2).integers(32, 127, 20_000_000, np.uint8).tobytes()
+    tracemalloc.start()
+    C.predict(net, column([text]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * len(text)
+
+
 def labelled(n=400, seed=0):
     rng = np.random.default_rng(seed)
     words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(200)]
