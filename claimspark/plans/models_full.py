@@ -21,7 +21,7 @@ from claimspark.operators import logistic, trees
 from claimspark.operators.moments import Moments, moments
 from claimspark.operators.sampling import hash_split
 from claimspark.plans.models import FEATURES, MODELS, compare, complete_rows, encode
-from claimspark.session import stored
+from claimspark.session import scratch, stored
 
 #: Rows of a task of the fits; small inputs then need few tasks a pass.
 TASK_ROWS = 100_000
@@ -69,13 +69,14 @@ class FullModels:
         concurrently so that one fills the gaps of the others."""
         if len(self.fitted) < len(MODELS):
             scaled = self.moments().apply(self.train)
-            binned, bins = self._binned()
-            fits = {"logistic": lambda: logistic.fit_logistic(scaled, self.features, max_steps=self.max_steps),
-                    "forest": lambda: trees.fit_forest(binned, bins, self.n_trees, self.forest_depth, seed=self.seed),
-                    "boosted": lambda: trees.fit_boosted(binned, bins, self.rounds, self.boosted_depth)}
-            with ThreadPoolExecutor(max_workers=len(fits)) as pool:
-                found = {m: pool.submit(f) for m, f in fits.items()}
-                self.fitted = {m: f.result() for m, f in found.items()}
+            with scratch(self.rows.sparkSession):  # the binned rows serve the fits alone
+                binned, bins = self._binned()
+                fits = {"logistic": lambda: logistic.fit_logistic(scaled, self.features, max_steps=self.max_steps),
+                        "forest": lambda: trees.fit_forest(binned, bins, self.n_trees, self.forest_depth, seed=self.seed),
+                        "boosted": lambda: trees.fit_boosted(binned, bins, self.rounds, self.boosted_depth)}
+                with ThreadPoolExecutor(max_workers=len(fits)) as pool:
+                    found = {m: pool.submit(f) for m, f in fits.items()}
+                    self.fitted = {m: f.result() for m, f in found.items()}
         return self
 
     def model(self, which: str):

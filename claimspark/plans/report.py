@@ -22,6 +22,7 @@ from claimspark.plans import one_scan, profiles, rules
 from claimspark.plans.features import claim_features, claim_flags
 from claimspark.plans.models_full import FullModels, model_rows
 from claimspark.schemas import FOREIGN_KEYS, PRIMARY_KEYS, TABLES
+from claimspark.session import scratch
 from claimspark.sources import readers, sinks
 
 TABLE_NAMES = ("patients", "providers", "claims", "investigations")
@@ -81,15 +82,17 @@ def result_tables(t: dict[str, DataFrame], with_models: bool = True,
 def run_report(spark: SparkSession, t: dict[str, DataFrame], output_dir: str,
                with_models: bool = True, **model_args) -> list[str]:
     """Write every result table under ``output_dir``: the two published extracts
-    as CSV with a header, everything else as Parquet.  Returns the names."""
+    as CSV with a header, everything else as Parquet.  Returns the names.  What was
+    stored on the way is deleted."""
     base = output_dir.rstrip("/")
-    tables = result_tables(t, with_models, **model_args)
-    for name, df in tables.items():
-        if name == "provider_risk":
-            sinks.write_provider_risk(df, f"{base}/{name}")
-        elif name == "claim_extract":
-            sinks.write_claims_analysis(df, f"{base}/{name}")
-        else:
-            sinks.write_table(df.select([F.col(f"`{c}`") for c in df.columns]),
-                              f"{base}/{name}", "parquet")
+    with scratch(spark):
+        tables = result_tables(t, with_models, **model_args)
+        for name, df in tables.items():
+            if name == "provider_risk":
+                sinks.write_provider_risk(df, f"{base}/{name}")
+            elif name == "claim_extract":
+                sinks.write_claims_analysis(df, f"{base}/{name}")
+            else:
+                sinks.write_table(df.select([F.col(f"`{c}`") for c in df.columns]),
+                                  f"{base}/{name}", "parquet")
     return list(tables)

@@ -97,10 +97,44 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: what reads
     it scans the table, and a lost executor recomputes nothing upstream."""
     path = shared_dir(df.sparkSession, name)
+    for open_scratch in _SCRATCH[-1:]:
+        open_scratch.paths.append(path)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_SCRATCH: list[scratch] = []
+
+
+class scratch:
+    """Deletes, on leaving, every table that ``stored`` wrote inside the block.
+
+    For jobs that end in a written result: what they stored on the way is then read
+    by nobody.  ``kept`` writes a table that outlives the block (its folder is
+    ``last``); an enclosing block owns it.  A block that fails deletes its tables, too.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.last = spark, [], None
+
+    def __enter__(self) -> scratch:
+        _SCRATCH.append(self)
+        return self
+
+    def kept(self, df: DataFrame, name: str) -> DataFrame:
+        path = self.last = shared_dir(self.spark, name)
+        place = _SCRATCH.index(self)
+        for outer in _SCRATCH[max(0, place - 1):place]:
+            outer.paths.append(path)
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __exit__(self, *_: object) -> None:
+        _SCRATCH.remove(self)
+        for path in self.paths:
+            delete_dir(self.spark, path)
+
+
 #: A lookup table of at most so many rows is broadcast, a longer one joined by a shuffle.
 BROADCAST_ROWS = 100_000
 

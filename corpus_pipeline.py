@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimspark.llm import line_dedup, packing, pfair_mixing, quality_rules, simhash_pigeonring
-from claimspark.llm.common import read, stored
+from claimspark.llm.common import read
+from claimspark.session import delete_dir, scratch, stored  # noqa: F401
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +61,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """All stages one after another.  What a stage stores on its way is deleted when
+    its result is written, and that when the next stage's is; the last stays."""
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark) as own:
+            docs = own.kept(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before:
+            delete_dir(spark, before)
+        before = own.last
     return docs

@@ -46,3 +46,29 @@ def test_written_tables_can_be_deleted(spark):
     assert not os.path.exists(folder)
     with pytest.raises(ValueError):
         delete_dir(spark, "/tmp")
+
+
+def _stored_folders(spark):
+    import glob
+    base = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    return set(glob.glob(f"{base}/claimspark/*"))
+
+
+def test_scratch_deletes_what_was_stored_inside(spark):
+    from claimspark.session import scratch, stored
+    before = _stored_folders(spark)
+    outside = stored(spark.range(3), "outside")
+    mine = _stored_folders(spark) - before
+    with scratch(spark) as outer:
+        stored(spark.range(5), "a")
+        with scratch(spark) as inner:
+            stored(spark.range(7), "b")
+            kept = inner.kept(spark.range(9), "c")
+        assert kept.count() == 9 and len(_stored_folders(spark) - before - mine) == 2  # a and c
+        last = outer.kept(kept, "d")
+    assert _stored_folders(spark) - before - mine == {outer.last.removeprefix("file:")}
+    assert last.count() == 9 and outside.count() == 3
+    with pytest.raises(ZeroDivisionError), scratch(spark):
+        stored(spark.range(5), "e")
+        raise ZeroDivisionError
+    assert len(_stored_folders(spark) - before - mine) == 1
