@@ -53,3 +53,32 @@ def test_empty_documents_pass_every_stage(spark, docs):
     for name, stage in P.STAGES:
         df = P.stored(stage(spark, df, ""), f"empty-{name}")
         assert df.count() == 0
+
+
+def test_defined_cases_through_every_stage(spark):
+    import random
+    rng = random.Random(3)
+
+    def prose(n):
+        return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(n))
+
+    copy, long = prose(120), prose(60_000)
+    rows = [(1, None), (2, ""), (3, "short"), (None, prose(90)), (None, prose(90)), (4, copy), (5, copy), (5, copy), (6, long),
+            (7, "\n".join([prose(30), prose(60)])), (-8, prose(70)), (9, prose(80) + "\n\n" + prose(40))]
+    names = ("doc_id bigint, text string, lang string, source string, n_chars bigint, root bigint, __llm_x int, fp string, "
+             "slot bigint, bucket int, k1 string")
+    df = spark.createDataFrame([(i, t, None if j % 3 else "en", None if j % 2 else "s", None, 7, 8, "f", 9, 1, "k")
+                                for j, (i, t) in enumerate(rows)], names).repartition(3)
+    columns, seen = df.columns, []
+    for name, stage in P.STAGES[:4]:
+        df = P.stored(stage(spark, df, ""), f"odd-{name}")
+        assert df.columns == columns, name
+        seen.append(sorted(((r.doc_id, r.text) for r in df.collect()), key=str))
+        assert all((r.root, r.fp, r.slot, r.k1) == (7, "f", 9, "k") for r in df.collect())
+    kept = [i for i, _ in seen[0]]
+    assert not {1, 2, 3} & set(kept) and kept.count(5) == 2 and kept.count(None) == 2 and 6 in kept
+    assert [i for i, _ in seen[1]].count(5) == 2 and dict(seen[1])[6] == long
+    assert {i for i, _ in seen[2]} == {None, 4, 6, 7, -8, 9} and len(seen[2]) == 7  # the copies of 4 go, rows without an id stay
+    assert seen[3] == seen[2]
+    pieces = P.STAGES[4][1](spark, df, "").collect()
+    assert sum(r.start == 0 for r in pieces) == 7 and sum(r.length for r in pieces if r.doc_id == 6) == next(r.doc_tokens for r in pieces if r.doc_id == 6)
