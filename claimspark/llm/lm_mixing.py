@@ -60,15 +60,13 @@ RATE = 0.3
 CHUNK_BYTES = 8 << 20
 _HELD_TOGETHER = 2_000_000
 MATCH_LOGIT = 2.0
-_PHI = np.uint64(0x9E3779B97F4A7C15)
 
 # What a class spells, (classes, BITS): the place of each decision in the class
-# tree, its bit, a random number of the place, the bit's sign.
+# tree, its bit, the bit's sign.
 _CLASS = np.arange(1 << BITS)[:, None]
 _LEVEL = np.arange(BITS)
 _NODE = (1 << _LEVEL) | (_CLASS >> (BITS - _LEVEL))
 _BIT = (_CLASS >> (BITS - 1 - _LEVEL)) & 1
-_SPREAD = (np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, 1 << BITS, np.uint64) * np.uint64(2))[_NODE]
 _SIGN = (2 * _BIT - 1).astype(np.float32)
 #: How many leading bits agree, by the exclusive or of two classes.
 _AGREE = np.array([BITS - int(x).bit_length() for x in range(1 << BITS)], np.int64)
@@ -125,15 +123,6 @@ def contexts(keys: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return one, textvec.combine(before, one)
 
 
-def slots(context: np.ndarray, classes: np.ndarray, bits: int) -> np.ndarray:
-    """(tokens, BITS): where each decision of the class is counted in this context."""
-    out = _SPREAD[classes]
-    out += context[:, None]
-    out *= _PHI
-    out >>= np.uint64(64 - bits)
-    return out.view(np.int64)
-
-
 def matches(classes: np.ndarray, two: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The class that followed the same two tokens before in the text, else -1."""
     n = np.diff(first)
@@ -394,31 +383,16 @@ def beside(chunks: DataFrame, seen: DataFrame, run: Callable[[pa.Table, Seen], I
 # --- mixing ---------------------------------------------------------------------------
 
 class Mixer:
-    """Scores texts; the weights of each text adapt block by block.
-
-    ``counters`` end with the class tree's counts; before them may stand a table of
-    2^bits hashed slots for one token of context and one for two, for texts that
-    are run without the log-odds ``after`` their contexts."""
-
-    def __init__(self, counters: np.ndarray, bits: int | None, weights: np.ndarray, leave_one_out: bool):
-        self.bits, self.weights, self.loo = bits, weights, leave_one_out
-        size = 1 << bits if bits is not None else 0
-        self.counters = counters if leave_one_out else None
-        self.logit = None if leave_one_out else np.log(counters[1] + 0.4) - np.log(counters[0] + 0.4)
-        tree = counters[:, 2 * size:][:, _NODE]
-        self.plain = (np.log(tree[1] + 0.4) - np.log(tree[0] + 0.4)).astype(np.float32)  # (classes, BITS)
-
-    def logits(self, at: np.ndarray, cls: np.ndarray) -> np.ndarray:
-        if self.logit is not None:
-            return self.logit[at]
-        # the counters include this very decision: take it out
-        bit = _BIT[cls]
-        one = self.counters[1][at] - bit
-        zero = self.counters[0][at] - (1 - bit)
-        return np.log((one + np.float32(0.4)) / (zero + np.float32(0.4)))
-
-    def run(self, cls: np.ndarray, one: np.ndarray, two: np.ndarray, match: np.ndarray,
-            first: np.ndarray, after: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Scores texts; the weights of each text adapt block by block.  ``tree`` are the
+    class tree's counts, the log-odds ``after`` the contexts are given with the texts."""
+
+    def __init__(self, tree: np.ndarray, weights: np.ndarray):
+        self.weights = weights
+        placed = tree[:, _NODE]
+        self.plain = (np.log(placed[1] + 0.4) - np.log(placed[0] + 0.4)).astype(np.float32)  # (classes, BITS)
+
+    def run(self, cls: np.ndarray, match: np.ndarray, first: np.ndarray,
+            after: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """log10 probability of each text's classes, and the final weights of each."""
         n = len(first) - 1
         score = np.zeros(n)
@@ -437,22 +411,15 @@ class Mixer:
                 cost = np.empty(len(t))
                 rows, marked = np.flatnonzero(~guessed), np.flatnonzero(guessed)
                 if len(rows):
-                    cost[rows] = self.unmatched(cls[t[rows]], self.inputs(t[rows], cls, one, two, after), text[rows], weights)
+                    cost[rows] = self.unmatched(cls[t[rows]], self.inputs(t[rows], cls, after), text[rows], weights)
                 if len(marked):
                     m = t[marked]
-                    cost[marked] = self.matched(cls[m], self.inputs(m, cls, one, two, after), match[m], text[marked], weights)
+                    cost[marked] = self.matched(cls[m], self.inputs(m, cls, after), match[m], text[marked], weights)
                 score[lo + live] += np.add.reduceat(cost, ends - here)
         return score / np.log(10), weights
 
-    def inputs(self, t: np.ndarray, cls: np.ndarray, one: np.ndarray, two: np.ndarray,
-               after: tuple[np.ndarray, np.ndarray] | None) -> list[np.ndarray]:
-        cls = cls[t]
-        if after is not None:
-            return [self.plain[cls], after[0][t], after[1][t]]
-        one, two, size = one[t], two[t], 1 << self.bits
-        after_two = slots(two, cls, self.bits)
-        after_two += size
-        return [self.plain[cls], self.logits(slots(one, cls, self.bits), cls), self.logits(after_two, cls)]
+    def inputs(self, t: np.ndarray, cls: np.ndarray, after: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+        return [self.plain[cls[t]], after[0][t], after[1][t]]
 
     def unmatched(self, cls, x, text, weights) -> np.ndarray:
         """Log probabilities of tokens without a match; adapts their gate's weights."""
@@ -519,14 +486,14 @@ def learned_weights(training: DataFrame, seen: DataFrame, classes: Classes, tree
 
     def learn(texts: pa.Table, known: Seen) -> Iterator[pa.RecordBatch]:
         if not task:
-            task.update(mixer=Mixer(tree, None, neutral(), leave_one_out=True), sum=0.0, tokens=0, size=0)
+            task.update(mixer=Mixer(tree, neutral()), sum=0.0, tokens=0, size=0)
         mixer, tokens, mean = task["mixer"], 0, task["mixer"].weights
         for batch in steps(texts.to_batches()):
             column = batch.column(batch.num_columns - 1)
             keys, first, cls, one, two, match = _prepared(column, classes)
             ours = np.ones(len(cls), bool)
             after = tuple(known.logits(c, cls, ours, True) for c in (one, two))
-            _, own = mixer.run(cls, one, two, match, first, after)
+            _, own = mixer.run(cls, match, first, after)
             n = np.diff(first)
             tokens += int(n.sum())
             task["sum"] += np.tensordot(n.astype(float), own, axes=1)
@@ -569,13 +536,13 @@ def score(docs: DataFrame, modulus: int = 5, remainder: int = 1, head_words: int
 
     def run(texts: pa.Table, known: Seen) -> Iterator[pa.RecordBatch]:
         vocab, weights = shared.value
-        mixer = Mixer(tree, None, weights, leave_one_out=False)
+        mixer = Mixer(tree, weights)
         for batch in steps(texts.select(["doc_id", "held_out", "uid", "text"]).to_batches()):
             column = batch.column(3)
             keys, first, cls, one, two, match = _prepared(column, vocab.classes)
             ours = np.repeat(~batch.column(1).to_numpy(zero_copy_only=False), np.diff(first))
             after = tuple(known.logits(c, cls, ours, False) for c in (one, two))
-            mixed, _ = mixer.run(cls, one, two, match, first, after)
+            mixed, _ = mixer.run(cls, match, first, after)
             logs, inside = vocab.lookup(keys)
             tail_first = np.concatenate([[0], np.cumsum(~inside)])[first]
             tail = pa.ListArray.from_arrays(pa.array(tail_first, pa.int32()), pa.array(keys[~inside].view(np.int64)))

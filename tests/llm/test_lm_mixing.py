@@ -68,38 +68,118 @@ def test_scores_do_not_depend_on_the_partitioning(docs):
     assert np.allclose([s for _, s in one], [s for _, s in many], rtol=.05)
 
 
+def seen_table(counts):
+    """What ``Seen`` reads, from {context: {class: times}}."""
+    return pa.table({"context": pa.array(list(counts), pa.int64()),
+                     "seen": pa.array([[256 * n + c for c, n in x.items()] for x in counts.values()], pa.list_(pa.int64()))})
+
+
 def test_bits_of_all_classes_sum_to_one():
     """Over every class that may come next the model's probabilities sum to 1."""
     rng = np.random.default_rng(1)
-    bits, size = 14, 1 << 14
-    counters = rng.integers(0, 50, (2, 2 * size + 256)).astype(np.float32)
-    mixer = M.Mixer(counters, bits, M.neutral() + rng.normal(0, .2, M.neutral().shape).astype(np.float32), False)
+    known = M.Seen(seen_table({5: {int(c): int(n) for c, n in zip(rng.permutation(256)[:40], rng.integers(1, 30, 40))}, 9: {200: 3, 17: 1}}))
+    mixer = M.Mixer(M.tree_counts(rng.integers(0, 500, 256).astype(float)),
+                    M.neutral() + rng.normal(0, .2, M.neutral().shape).astype(np.float32))
     for match in (-1, 200):
-        cls = np.arange(256, dtype=np.int32)
-        one, two = np.full(256, 12345, np.uint64), np.full(256, 999, np.uint64)
-        logs, _ = mixer.run(cls, one, two, np.full(256, match, np.int32), np.arange(257))
-        assert np.sum(10 ** logs) == pytest.approx(1, abs=1e-3)
+        for one, two in ((5, 9), (5, 77), (88, 77)):
+            cls = np.arange(256, dtype=np.int32)
+            after = tuple(known.logits(np.full(256, c, np.uint64), cls, np.zeros(256, bool), False) for c in (one, two))
+            logs, _ = mixer.run(cls, np.full(256, match, np.int32), np.arange(257), after)
+            assert np.sum(10 ** logs) == pytest.approx(1, abs=1e-3)
 
 
 def test_a_token_s_score_uses_only_what_came_before():
     rng = np.random.default_rng(2)
-    bits, size = 14, 1 << 14
-    counters = rng.integers(0, 9, (2, 2 * size + 256)).astype(np.float32)
     classes = M.Classes(np.zeros(0, np.uint64), np.zeros(0, np.int32))
     words = [b"w%d" % i for i in rng.integers(0, 60, 700)]
+    keys, _, cls, one, two, _ = M._prepared(pa.array([b" ".join(words)], pa.binary()), classes)
+    counts = {}
+    for context, c in zip([*one.tolist(), *two.tolist()], [*cls.tolist(), *cls.tolist()]):
+        counts.setdefault(int(np.uint64(context).view(np.int64)), Counter())[c] += int(rng.integers(1, 9))
+    known, tree = M.Seen(seen_table(counts)), M.tree_counts(np.bincount(cls, minlength=256).astype(float))
 
     def prefix(n, tail=()):
         column = pa.array([b" ".join([*words[:n], *tail])], pa.binary())
         keys, first, cls, one, two, match = M._prepared(column, classes)
         first = np.array([0, n])  # without the end token
-        mixer = M.Mixer(counters, bits, M.neutral(), False)
-        return mixer.run(cls[:n], one[:n], two[:n], match[:n], first)[0][0]
+        after = tuple(known.logits(c[:n], cls[:n], np.zeros(n, bool), False) for c in (one, two))
+        return M.Mixer(tree, M.neutral()).run(cls[:n], match[:n], first, after)[0][0]
 
     assert prefix(600) == prefix(600, [b"other", b"w1", b"w2"])
     steps = np.diff([prefix(n) for n in (500, 501, 502, 600)])
     assert (steps < 0).all()
 
 
+def written_out(rows, weights):
+    """The model token by token: {id: log10 probability of the text}."""
+    def key_of(token):
+        return int(M.token_keys(pa.array([(token or "").encode()], pa.binary()))[0][0]) if token is not None else int(M.END)
+
+    counts = Counter(t for i, x in rows if not out(i) for t in tokens(x))
+    keys = {t: key_of(t) for _, x in rows for t in tokens(x)}
+    ranked = sorted(counts, key=lambda t: (-counts[t], keys[t]))[:M.OWN]
+    cls = {t: ranked.index(t) if t in ranked else M.OWN + keys[t] % M.HASHED for t in keys}
+    in_class, kinds, context = Counter(), Counter(), {}
+    for t, n in counts.items():
+        in_class[cls[t]] += n
+        kinds[cls[t]] += 1
+    for i, x in rows:
+        if not out(i):
+            text = ["<", "<", *tokens(x)]
+            for j in range(2, len(text)):
+                for before in ((text[j - 1],), (text[j - 2], text[j - 1])):
+                    context.setdefault(before, Counter())[cls[text[j]]] += 1
+
+    def odds(seen, c, level):
+        """Log-odds of bit 1 after the leading bits of class c, from {class: times}."""
+        same = [(x, n) for x, n in seen.items() if x >> (8 - level) == c >> (8 - level)]
+        one, zero = (sum(n for x, n in same if x >> (7 - level) & 1 == bit) for bit in (1, 0))
+        return math.log(one + .4) - math.log(zero + .4)
+
+    scores = {}
+    for i, x in rows:
+        w, total, last = weights.astype(float).copy(), 0.0, {}
+        text = tokens(x)
+        for at in range(0, len(text), M.BLOCK_TOKENS):
+            change, times = np.zeros_like(w), np.zeros(w.shape[:2])
+            for j in range(at, min(at + M.BLOCK_TOKENS, len(text))):
+                t, c = text[j], cls[text[j]]
+                one = text[j - 1] if j else "<"
+                two = (text[j - 2] if j > 1 else "<", one)
+                match = last.get(two, -1)
+                last[two] = c
+                for level in range(8):
+                    bit = c >> (7 - level) & 1
+                    gate, guess = 0, 0.0
+                    if match >= 0:
+                        gate = 1 if match >> (8 - level) == c >> (8 - level) else 2
+                        guess = (1 if match >> (7 - level) & 1 else -1) * M.MATCH_LOGIT if gate == 1 else 0.0
+                    inputs = [odds(in_class, c, level), odds(context.get((one,), {}), c, level), odds(context.get(two, {}), c, level), guess]
+                    z = sum(a * b for a, b in zip(w[level, gate], inputs))
+                    p = 1 / (1 + math.exp(-max(-10, min(10, z))))
+                    total += math.log10(p if bit else 1 - p)
+                    times[level, gate] += 1
+                    for k in range(3 + (match >= 0)):
+                        change[level, gate, k] += (bit - p) * inputs[k]
+                own = c < M.OWN and t in ranked
+                total += math.log10(counts[t] + .5) - (math.log10(counts[t] + .5) if own else math.log10(in_class[c] + .5 * (kinds[c] + 1)))
+            w += M.RATE * change / (times[..., None] + 8)
+        scores[i] = total
+    return scores
+
+
+def test_scores_match_the_model_written_out(docs, monkeypatch):
+    """The whole query but the learning of the starting weights, which are given."""
+    rng = np.random.default_rng(4)
+    weights = M.neutral() + rng.normal(0, .1, M.neutral().shape).astype(np.float32)
+    monkeypatch.setattr(M, "learned_weights", lambda *_: weights)
+    rows = [(i, t) for i, t in corpus(30, seed=6)[:30]] + [(30, None), (31, ""), (32, "one two one two one two three"),
+                                                           (33, " ".join(f"w{i % 23}" for i in range(700)))]
+    got = {r.doc_id: r.score for r in M.score(docs(rows).repartition(3)).collect()}
+    for i, want in written_out(rows, weights).items():
+        assert got[i] == pytest.approx(want, rel=2e-4, abs=1e-3), i
+
+
 def test_matches_point_to_the_last_follower():
     cls = np.array([5, 6, 7, 5, 6, 9, 5, 6, 1], np.int32)
     keys = cls.astype(np.uint64) * np.uint64(77)
@@ -142,7 +222,7 @@ def test_context_counts_are_exact_and_grow_with_the_contexts(docs):
     got = {r.context % 2**64: {x & 255: x >> 8 for x in r.seen} for r in seen.collect()}
     assert got == want and len(got) > 10_000
 
-    chunks = M.chunked(df, 2000).localCheckpoint()
+    chunks = M.stored(M.chunked(df, 2000), "test-chunks")
     assert chunks.select("chunk").distinct().count() > 20
     rows = M.context_needs(chunks).join(seen, "context").filter("held_out OR total > 1").select("chunk", "context", "seen")
 
