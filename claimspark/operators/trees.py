@@ -176,15 +176,18 @@ class TreeModel:
 
 # --- growing a level -----------------------------------------------------------------------
 
-def _best(cells: DataFrame, gain: Callable[..., np.ndarray], valid: Callable[..., np.ndarray]) -> dict[int, tuple]:
+def _best(cells: DataFrame, gain: Callable[..., np.ndarray], valid: Callable[..., np.ndarray],
+          alone: bool = False) -> dict[int, tuple]:
     """{node: (totals, best split or None)} from (node, feature, bin, sums) of the
     tasks; a split is (gain, feature, bin, sums of the left side).
 
     One shuffle brings a node's cells together, already added up within the tasks;
-    Spark sums them and a pass over each partition runs along the bins."""
+    Spark sums them and a pass over each partition runs along the bins.  What a
+    single task has added up (``alone``) is together already."""
     sums = cells.columns[3:]
     k = len(sums)
-    whole = cells.repartition("node").groupBy("node", "feature", "bin").agg(*[F.sum(c).alias(c) for c in sums])
+    cells = cells.coalesce(1) if alone else cells.repartition("node")
+    whole = cells.groupBy("node", "feature", "bin").agg(*[F.sum(c).alias(c) for c in sums])
     names = ["node", "gain", "feature", "bin", *[f"{c}_left" for c in sums], *[f"{c}_all" for c in sums]]
     kinds = [pa.int64(), pa.float64(), *[pa.int64()] * (2 + 2 * k)]
 
@@ -250,6 +253,7 @@ def fit_boosted(rows: DataFrame, bins: Bins, rounds: int = 100, max_depth: int =
         return worth(g, h) + worth(g_all - g, h_all - h) - worth(g_all, h_all)
 
     kept = rows.withColumn("margin", F.lit(model.base))
+    alone = kept.rdd.getNumPartitions() == 1
     path = None
     since = 0  # trees that the kept margins do not hold yet
 
@@ -278,7 +282,7 @@ def fit_boosted(rows: DataFrame, bins: Bins, rounds: int = 100, max_depth: int =
             yield _cells_out("ghn", slots, np.tile(feature_of, reps), np.tile(bin_of, reps), total, total[2] > 0)
 
         cells = kept.mapInArrow(add, "node bigint, feature bigint, bin bigint, g bigint, h bigint, n bigint")
-        return _best(cells, gain, valid)
+        return _best(cells, gain, valid, alone)
 
     def leaf(g: float, h: float) -> float:
         return -step * g / (h + l2 * unit)
@@ -310,6 +314,7 @@ def fit_boosted(rows: DataFrame, bins: Bins, rounds: int = 100, max_depth: int =
             new = shared_dir(spark, "margins")
             _with_margins(kept_rows, recent, len(offset)).write.parquet(new)
             kept = spark.read.schema(kept_rows.schema).parquet(new)
+            alone = kept.rdd.getNumPartitions() == 1
             if path:
                 delete_dir(spark, path)
             path, since = new, 0
@@ -360,6 +365,7 @@ def fit_forest(rows: DataFrame, bins: Bins, trees: int = 100, max_depth: int = 3
     for t in model.trees:
         t.add(0.0, 0, 0)
     sizes = bins.sizes
+    alone = rows.rdd.getNumPartitions() == 1
 
     def valid(n, p, n_all, p_all):
         return (n > 0) & (n < n_all)
@@ -407,7 +413,7 @@ def fit_forest(rows: DataFrame, bins: Bins, trees: int = 100, max_depth: int = 3
             yield _cells_out("np", slot // picks.shape[1], picks.ravel()[slot], np.arange(total_cells) - start[:-1][slot],
                              [n_sum, p_sum], n_sum > 0)
 
-        return _best(rows.mapInArrow(add, "node bigint, feature bigint, bin bigint, n bigint, p bigint"), gain, valid)
+        return _best(rows.mapInArrow(add, "node bigint, feature bigint, bin bigint, n bigint, p bigint"), gain, valid, alone)
 
     open_nodes = [(t, 0) for t in range(trees)]
     for _ in range(max_depth):

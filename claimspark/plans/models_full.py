@@ -23,8 +23,8 @@ from claimspark.operators.sampling import hash_split
 from claimspark.plans.models import FEATURES, MODELS, compare, complete_rows, encode
 from claimspark.session import scratch, stored
 
-#: Rows of a task of the fits; small inputs then need few tasks a pass.
-TASK_ROWS = 100_000
+#: Rows of a task of a boosted tree's level (a little work) and of a forest's (a hundred trees').
+TASK_ROWS, FOREST_TASK_ROWS = 100_000, 10_000
 
 
 def model_rows(features: DataFrame, id_col: str = "claim_id", label: str = FV.LABEL,
@@ -58,11 +58,12 @@ class FullModels:
         """The test rows with every feature scaled by the training rows' moments."""
         return self.moments().apply(self.test)
 
-    def _binned(self) -> tuple[DataFrame, trees.Bins]:
-        bins = trees.fit_bins(self.train, self.features)
-        tasks = 1 + self.train.count() // TASK_ROWS
-        rows = bins.apply(self.train.withColumn("key", F.xxhash64(self.id_col)), ["key", "label"])
-        return stored(rows.repartition(tasks), "model-bins"), bins
+    def _binned(self) -> tuple[DataFrame, DataFrame, trees.Bins]:
+        """The binned training rows in as many tasks as each kind of tree has work for."""
+        bins, n = trees.fit_bins(self.train, self.features), self.train.count()
+        rows = stored(bins.apply(self.train.withColumn("key", F.xxhash64(self.id_col)), ["key", "label"]), "model-bins")
+        wide = max(1 + n // TASK_ROWS, min(2 * rows.sparkSession.sparkContext.defaultParallelism, 1 + n // FOREST_TASK_ROWS))
+        return (stored(rows.repartition(1 + n // TASK_ROWS), "boosted-rows"), stored(rows.repartition(wide), "forest-rows"), bins)
 
     def fit_all(self) -> FullModels:
         """Fit what is not fitted yet.  The fits are many short jobs, submitted
@@ -70,10 +71,10 @@ class FullModels:
         if len(self.fitted) < len(MODELS):
             scaled = self.moments().apply(self.train)
             with scratch(self.rows.sparkSession):  # the binned rows serve the fits alone
-                binned, bins = self._binned()
+                for_boosted, for_forest, bins = self._binned()
                 fits = {"logistic": lambda: logistic.fit_logistic(scaled, self.features, max_steps=self.max_steps),
-                        "forest": lambda: trees.fit_forest(binned, bins, self.n_trees, self.forest_depth, seed=self.seed),
-                        "boosted": lambda: trees.fit_boosted(binned, bins, self.rounds, self.boosted_depth)}
+                        "forest": lambda: trees.fit_forest(for_forest, bins, self.n_trees, self.forest_depth, seed=self.seed),
+                        "boosted": lambda: trees.fit_boosted(for_boosted, bins, self.rounds, self.boosted_depth)}
                 with ThreadPoolExecutor(max_workers=len(fits)) as pool:
                     found = {m: pool.submit(f) for m, f in fits.items()}
                     self.fitted = {m: f.result() for m, f in found.items()}

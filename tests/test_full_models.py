@@ -152,7 +152,8 @@ def test_every_boosted_split_is_the_best_by_sql(binned):
         margin += np.array(tree.value)[trees.leaf_of(tree.arrays(), x)]
         con.unregister("t")
     assert checked > 30
-    again = trees.fit_boosted(df.coalesce(1), bins, rounds=12, max_depth=3)
+    assert df.rdd.getNumPartitions() > 1
+    again = trees.fit_boosted(df.coalesce(1), bins, rounds=12, max_depth=3)  # one task: no shuffle
     assert again.splits() == model.splits()  # whole-number sums: the same trees on any partitioning
 
 
