@@ -210,3 +210,36 @@ def test_trees_of_one_class_and_of_no_rows(binned, rows):
     assert [len(t.feature) for t in pure.trees] == [1, 1]
     assert pure.score(rows, ["id"]).filter("probability <> 1").count() == 0
     assert trees.fit_forest(df.filter("label > 1"), bins, trees=2).score(rows, ["id"]).filter("probability <> 0").count() == 0
+
+
+def test_a_model_is_fitted_without_the_others(rows, monkeypatch):
+    from claimspark.plans.models_full import FullModels
+
+    def other(*_, **__):
+        raise AssertionError("a fit that nothing reads")
+
+    data = rows.withColumn("is_test", (F.col("id") % 5 == 0).cast("int"))
+    models = FullModels(data, "id", NAMES, n_trees=3, rounds=3, forest_depth=4)
+    with monkeypatch.context() as m:
+        m.setattr(trees, "fit_forest", other)
+        m.setattr(logistic, "fit_logistic", other)
+        boosted = {r.id: r.probability for r in models.scored("boosted").collect()}
+        assert len(boosted) == 300 and models.splits().count() > 3
+    both = {r.id: r for r in models.scores().collect()}
+    assert {i: r.probability_boosted for i, r in both.items()} == boosted
+    assert all(r.probability_forest is not None and r.probability_logistic is not None for r in both.values())
+
+
+def test_gradients_are_made_once_a_round(binned, tmp_path, monkeypatch):
+    """Not again for every level of the round's tree."""
+    bins, df = binned
+    calls, block = tmp_path / "calls", trees._block
+
+    def counted(*args):
+        with open(calls, "a") as f:
+            f.write("x")
+        return block(*args)
+
+    monkeypatch.setattr(trees, "_block", counted)
+    model = trees.fit_boosted(df.coalesce(1), bins, rounds=4, max_depth=4)
+    assert len(model.trees) == 4 and len(calls.read_text()) == 4
