@@ -38,13 +38,15 @@ def orphans(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str
 def orphan_count(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str) -> DataFrame:
     """One row ``n_orphans``: child rows whose non-null key has no parent.
 
-    Both sides are reduced to one row per key before the anti join (child keys
-    with their row counts, distinct parent keys), so even a key holding a third
-    of all rows is a single row in the join.
+    Child and parent keys meet in one grouped count: a key is a row of a map task
+    on either side, even if it holds a third of all rows, and nothing is sorted
+    or joined.
     """
-    per_key = (child.filter(F.col(child_key).isNotNull()).groupBy(child_key)
-               .agg(F.count(F.lit(1)).alias("_n")))
-    missing = orphans(per_key, child_key, parent, parent_key)
+    both = (child.select(F.col(child_key).alias("_k"), F.lit(1).cast("bigint").alias("_n"))
+            .unionAll(parent.select(F.col(parent_key).alias("_k"), F.lit(None).cast("bigint").alias("_n"))))
+    per_key = both.filter(F.col("_k").isNotNull()).groupBy("_k").agg(
+        F.count("_n").alias("_n"), F.count_if(F.col("_n").isNull()).alias("_parents"))
+    missing = per_key.filter("_parents = 0")
     return missing.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("n_orphans"))
 
 

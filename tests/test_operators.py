@@ -290,3 +290,11 @@ def test_exact_sample_has_the_size_of_a_pandas_sample(spark, n, want):
     if n == 101:  # the lowest hashes, as the inexact sample takes
         few, many = ({r["cid"] for r in hash_sample(df, "cid", f).collect()} for f in (0.6, 0.9))
         assert few <= {r["cid"] for r in out.collect()} <= many
+
+
+def test_orphans_are_counted_without_a_join(spark):
+    kids = spark.createDataFrame([("a",)] * 4 + [("b",), ("c",), ("c",), (None,)], "k string")
+    parents = spark.createDataFrame([("a",), ("a",), ("d",), (None,)], "p string")
+    out = orphan_report({"c": kids, "p": parents}, [("c", "k", "p", "p")])
+    assert out.first()["n_orphans"] == 3
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
