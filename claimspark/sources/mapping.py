@@ -108,8 +108,8 @@ def providers(spark: SparkSession, sf_dir: str) -> DataFrame:
             ))
 
 
-def _claim_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims plus the two order attributes the investigations need.  A line item
+def _line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with what the claims need of their orders and parts.  A line item
     without its order or part stays, so that ``dq_orphans`` can report it."""
     li = read_raw(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
@@ -117,6 +117,16 @@ def _claim_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read_raw(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
     p = read_raw(spark, sf_dir, "part").select("p_partkey", "p_type")
+    return (li.join(o, li.l_orderkey == o.o_orderkey, "left")
+            .join(p, li.l_partkey == p.p_partkey, "left").drop("o_orderkey", "p_partkey"))
+
+
+def _claim_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims plus the two order attributes the investigations need."""
+    return _claims_of(_line_items(spark, sf_dir))
+
+
+def _claims_of(items: DataFrame) -> DataFrame:
     fraud = (F.col("l_returnflag") == FRAUD_RETURN_FLAG) & (F.col("l_linenumber") <= FRAUD_MAX_LINENUMBER)
     qty = F.floor(F.col("l_quantity")).cast("bigint")
     w_o, w_l, w_p, w_s = ID_WIDTHS
@@ -125,8 +135,7 @@ def _claim_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pad("l_partkey", w_p), F.lit("-"), _pad("l_suppkey", w_s), F.lit("-"),
         F.date_format("l_shipdate", "yyyyMMdd"))
     dup = fraud & (qty % 3 > 0)
-    return (li.join(o, li.l_orderkey == o.o_orderkey, "left")
-            .join(p, li.l_partkey == p.p_partkey, "left")
+    return (items
             .select(
                 claim_id.alias("claim_id"),
                 F.col("o_custkey").alias("patient_id"),
@@ -188,13 +197,15 @@ def load_tables(spark: SparkSession, sf_dir: str, materialize: bool = False) ->
         # Clustered by patient, the key of the pair and total queries, into enough
         # files for every core to get a split when the table is scanned (the
         # shuffle-partition setting is sized to the data on a cluster).  Ranges of
-        # (patient, claim) are of equal size even if one patient, or a missing one,
-        # holds most claims.
+        # (patient, line item) are of equal size even if one patient, or a missing one,
+        # holds most claims.  Line items are dealt out, which are half as wide as
+        # the claims made of them.
         files = max(2 * spark.sparkContext.defaultParallelism,
                     int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
         patients(spark, sf_dir).write.mode("overwrite").parquet(f"{base}/patients")
         providers(spark, sf_dir).write.mode("overwrite").parquet(f"{base}/providers")
-        (_claim_rows(spark, sf_dir).repartitionByRange(files, "patient_id", "claim_id")
+        dealt = _line_items(spark, sf_dir).repartitionByRange(files, "o_custkey", "l_orderkey", "l_linenumber")
+        (_claims_of(dealt)
          .write.mode("overwrite").parquet(f"{base}/claim_rows"))
         rows = spark.read.parquet(f"{base}/claim_rows")
         _PATHS[key] = f"{base}/claim_rows"

@@ -12,12 +12,15 @@ from claimspark.schemas import CLAIMS_ANALYSIS_COLUMNS
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite",
-                partition_by: list[str] | None = None, single_file: bool = False) -> str:
-    """Write ``df`` to ``path`` (a folder); CSV gets a header and RFC-4180 quoting."""
+                partition_by: list[str] | None = None, single_file: bool = False, compression: str | None = None) -> str:
+    """Write ``df`` to ``path`` (a folder); CSV gets a header and RFC-4180 quoting.
+    ``compression`` (such as gzip) is that of Spark's writer; readers tell it by the file names."""
     out = df.coalesce(1) if single_file else df
     w = out.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
+    if compression:
+        w = w.option("compression", compression)
     if fmt == "csv":
         w.options(header="true", quote='"', escape='"').csv(path)
     else:

@@ -1,6 +1,8 @@
 import os
 import time
 
+from pyspark.sql import functions as F
+
 from claimspark.plans.features import claim_features, disease_means
 from claimspark.plans.investigations import open_investigations
 from claimspark.schemas import CLAIMS, PROVIDERS
@@ -137,3 +139,16 @@ def test_cli_runs_the_whole_analysis_from_csv(spark, tmp_dir):
                             "fraud_rate", "risk_tier"]
     extract = spark.read.option("header", True).csv(f"{tmp_dir}/out/claim_extract")
     assert len(extract.columns) == 11 and extract.count() == load_tables(spark, sf)["claims"].count()
+
+
+def test_a_csv_round_trip_is_compressed(spark, tmp_dir):
+    import glob
+
+    import __spark_entry__ as entry
+    found = entry.src_claims(spark, "/root/testdata/sf0.001")
+    assert all(f.endswith(".csv.gz") for f in found.inputFiles())
+    want = entry._t(spark, "/root/testdata/sf0.001")["claims"]
+    assert found.schema.names == want.columns and found.exceptAll(want.select([F.col(c).cast(found.schema[c].dataType) for c in want.columns])).count() == 0
+    assert found.count() == want.count()
+    path = sinks.write_table(want.limit(5), f"{tmp_dir}/plain", "csv")
+    assert glob.glob(f"{path}/*.csv")  # only where it is asked for
