@@ -48,7 +48,9 @@ def moments(df: DataFrame, columns: Sequence[str]) -> Moments:
     so give complete rows.  Columns hold at most ten digits before the point."""
     sums = [F.count(F.lit(1)).alias("n")]
     for i, c in enumerate(columns):
-        x = F.col(f"`{c}`").cast(f"decimal(16,{PLACES})")
+        value = F.col(f"`{c}`").cast("double")
+        whole = (value == F.floor(value)) & (F.abs(value) < 10 ** 9)  # needs no text on the way to a decimal
+        x = F.when(whole, value.cast("bigint").cast(f"decimal(16,{PLACES})")).otherwise(F.col(f"`{c}`").cast(f"decimal(16,{PLACES})"))
         sums += [F.sum(x).alias(f"s{i}"), F.sum((x * x).cast(f"decimal(32,{2 * PLACES})")).alias(f"q{i}")]
     row = df.agg(*sums).first()
     n, mean, deviation = row["n"], [], []

@@ -243,3 +243,13 @@ def test_gradients_are_made_once_a_round(binned, tmp_path, monkeypatch):
     monkeypatch.setattr(trees, "_block", counted)
     model = trees.fit_boosted(df.coalesce(1), bins, rounds=4, max_depth=4)
     assert len(model.trees) == 4 and len(calls.read_text()) == 4
+
+
+def test_moments_of_whole_and_broken_values_together(spark):
+    values = [3.0, -2.0, 0.25, 1e9 + 0.5, 2e9, -0.0, 1e-6, 0.0000005]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    exact = [round(v * 10 ** 6 + 1e-9) for v in values]
+    found = moments.moments(df, ["x"])
+    assert found.mean[0] == pytest.approx(sum(exact) / len(values) / 10 ** 6, rel=1e-15)
+    assert found.deviation[0] == pytest.approx(float(np.std(values)), rel=1e-12)
+    assert moments.moments(spark.createDataFrame([(None,), (2.0,)], "x double"), ["x"]).mean == [1.0]  # nulls count in n
