@@ -40,26 +40,24 @@ class KeyIndex:
     def add(self, batch: DataFrame) -> DataFrame:
         """Take a batch in.  Returns the keys of it that violate uniqueness now, with
         ``n_before`` rows in earlier batches and ``n_batch`` in this one."""
-        new = stored(batch.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("n_batch"))
-                     .withColumn("_k", F.xxhash64(*self.keys)), "key-batch")
+        new = stored(batch.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("n_batch")), "key-batch")
+        none = F.lit(0).cast("bigint")
+        met = new.select(*self.keys, none.alias("n_before"), "n_batch")
         if self.segments:
-            seen = reduce_by_keys(_union(self.segments), "_k", new)
-            seen = stored(seen.groupBy(*self.keys).agg(F.sum("n").alias("n_before")), "keys-seen")
-            same = reduce(lambda a, b: a & b, [F.col(f"new.{k}").eqNullSafe(F.col(f"seen.{k}")) for k in self.keys])
-            met = new.alias("new").join(seen.alias("seen"), same, "left").select(
-                *[F.col(f"new.{k}").alias(k) for k in self.keys], F.coalesce("n_before", F.lit(0)).alias("n_before"), "n_batch")
-        else:
-            met = new.select(*self.keys, F.lit(0).cast("bigint").alias("n_before"), "n_batch")
+            hashed = F.xxhash64(*self.keys)
+            seen = reduce_by_keys(_union(self.segments).withColumn("_k", hashed), "_k", new.withColumn("_k", hashed), "_k", True)
+            met = (met.unionByName(seen.select(*self.keys, F.col("n").alias("n_before"), none.alias("n_batch")))
+                   .groupBy(*self.keys).agg(F.sum("n_before").alias("n_before"), F.sum("n_batch").alias("n_batch"))
+                   .filter("n_batch > 0"))
         null, total = self._any_null(), F.col("n_before") + F.col("n_batch")
-        met = stored(met.withColumns({"was": (F.col("n_before") > 0) & ((F.col("n_before") > 1) | null),
-                                      "is": (total > 1) | null}), "keys-met")
+        met = met.withColumns({"was": (F.col("n_before") > 0) & ((F.col("n_before") > 1) | null), "is": (total > 1) | null})
         change = met.agg(F.sum(F.col("is").cast("int") - F.col("was").cast("int")).alias("keys"),
                          F.sum(F.when(F.col("is"), total).otherwise(0) - F.when(F.col("was"), F.col("n_before")).otherwise(0)).alias("rows")).first()
         self.violating_keys += change["keys"] or 0
         self.violating_rows += change["rows"] or 0
         self.segments.append(new.withColumnRenamed("n_batch", "n"))
         if len(self.segments) > MAX_SEGMENTS:
-            self.segments = [stored(_union(self.segments).groupBy(*self.keys, "_k").agg(F.sum("n").alias("n")), "key-segment")]
+            self.segments = [stored(_union(self.segments).groupBy(*self.keys).agg(F.sum("n").alias("n")), "key-segment")]
         return met.filter("is").select(*self.keys, "n_before", "n_batch")
 
     def report(self, like: DataFrame, name: str) -> DataFrame:
@@ -90,7 +88,7 @@ class ReferenceIndex:
         new = stored(batch.select(F.col(self.child_key).alias("key")).filter("key IS NOT NULL")
                      .groupBy("key").agg(F.count(F.lit(1)).alias("n")), "child-batch")
         if self.parents:
-            known = stored(reduce_by_keys(_union(self.parents), "key", new), "parents-met")
+            known = stored(reduce_by_keys(_union(self.parents), "key", new, "key", True), "parents-met")
             missing = stored(new.join(known, "key", "left_anti"), "children-missing")
         else:
             missing = new

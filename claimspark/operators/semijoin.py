@@ -42,7 +42,7 @@ def bloom_words(keys: DataFrame, key: str, words: int) -> DataFrame:
             .groupBy("_word").agg(F.bit_or("_bits").alias("_bits")))
 
 
-def reduce_by_keys(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str | None = None,
+def reduce_by_keys(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str | None = None, unique: bool = False,
                    max_words: int = MAX_WORDS, exact_up_to: int = BROADCAST_ROWS) -> DataFrame:
     """The rows of ``df`` whose ``key`` is among ``wanted``, and with many wanted
     keys a few others; rows with a null key go.
@@ -50,9 +50,11 @@ def reduce_by_keys(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str |
     The distinct wanted keys are written once and counted: up to ``exact_up_to``
     they are broadcast themselves; beyond that the Bloom filter of a power of two
     of words; where ``max_words`` leave too few bits a key, ``df`` is returned whole.
+    ``unique``: ``wanted`` is a stored table with a row a key and is read as it is.
     """
     wanted_key = wanted_key or key
-    keys = stored(wanted.select(F.col(f"`{wanted_key}`").alias("_wanted")).filter("_wanted IS NOT NULL").distinct(), "wanted-keys")
+    keys = wanted.select(F.col(f"`{wanted_key}`").alias("_wanted")).filter("_wanted IS NOT NULL")
+    keys = keys if unique else stored(keys.distinct(), "wanted-keys")
     n = keys.count()
     if n <= exact_up_to:
         return df.join(F.broadcast(keys), F.col(f"`{key}`") == F.col("_wanted"), "left_semi")

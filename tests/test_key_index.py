@@ -60,3 +60,16 @@ def test_orphans_in_any_order(spark, monkeypatch):
         want = ops.orphan_count(spark.createDataFrame([(v,) for v in children], "c string"), "c",
                                 spark.createDataFrame([(v,) for v in parents], "p string"), "p").first()[0]
         assert index.orphans() == want
+
+
+def test_a_batch_is_written_once(spark, monkeypatch):
+    """Neither the keys wanted of the segments nor those met are stored again."""
+    from claimspark.operators import semijoin
+    names = []
+    for module in (ki, semijoin):
+        monkeypatch.setattr(module, "stored", lambda df, name, own=module.stored: (names.append(name), own(df, name))[1])
+    index = ki.KeyIndex("k")
+    for part in ([(1,), (2,)], [(2,), (3,), (None,)], [(3,)]):
+        index.add(spark.createDataFrame(part, "k int"))
+    assert names == ["key-batch"] * 3
+    assert (index.violating_keys, index.violating_rows) == (3, 5)
