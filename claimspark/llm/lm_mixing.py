@@ -320,6 +320,120 @@ def context_needs(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk", "held_out", "text").mapInArrow(need, "chunk bigint, held_out boolean, context bigint")
 
 
+def _planes(*columns: np.ndarray) -> bytes:
+    """The columns byte by byte of their numbers: leading zeros lie together, for the shuffle's codec."""
+    return b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.itemsize).T).tobytes() for c in columns)
+
+
+def _from_planes(data: np.ndarray, *kinds: type) -> list[np.ndarray]:
+    n = len(data) // sum(np.dtype(k).itemsize for k in kinds)
+    out, at = [], 0
+    for kind in kinds:
+        size = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(data[at:at + n * size].reshape(size, n).T).view(kind).ravel())
+        at += n * size
+    return out
+
+
+def chunk_contexts(chunks: DataFrame, classes: Classes, bits: int) -> DataFrame:
+    """(part, chunk, held_out, cells): the contexts of each chunk, sorted and packed,
+    a part for each value of their first ``bits`` bits.  Those of training texts come with
+    the classes that followed, so they say at once what was seen and what is needed."""
+    schema = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("held_out", pa.bool_()), ("cells", pa.binary())])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # (context, class) of one place
+
+        def packed(place: int) -> pa.RecordBatch:
+            context, cls = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            order = np.lexsort((cls, context))
+            context, cls = context[order], cls[order]
+            edge = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (cls[1:] != cls[:-1])))
+            n = np.diff(np.append(edge, len(cls))).astype(np.uint32)
+            context, cls = context[edge], cls[edge].astype(np.uint8)
+            part = (context >> np.uint64(64 - bits)).astype(np.int32)
+            first = np.flatnonzero(np.diff(part, prepend=-1))
+            cells = []
+            for lo, hi in zip(first, np.append(first[1:], len(part))):
+                step = np.diff(context[lo:hi], prepend=np.uint64(0))
+                cells.append(_planes(step) if place & 1 else _planes(step, cls[lo:hi], n[lo:hi]))
+            return batch_of(schema, part[first], np.full(len(first), place >> 1), np.full(len(first), bool(place & 1)), pa.array(cells, pa.binary()))
+
+        waiting: dict[int, list] = {}  # training and held-out texts of the chunk at hand
+        chunk = None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            for place, pairs in waiting.items():
+                held.extend(pairs)
+                yield packed(place)
+            waiting.clear()
+
+        for batch in steps(batches):
+            keys, first = token_keys(batch.column(2))
+            out = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            token = np.repeat(2 * batch.column(0).to_numpy() + out, np.diff(first))
+            cls = np.where(token & 1, 0, classes.of(keys))
+            pairs = contexts(keys, first)
+            for place in np.unique(token).tolist():
+                if chunk != place >> 1 or sum(len(c) for x in waiting.values() for c, _ in x) > 2 * _HELD_TOGETHER:
+                    yield from done()
+                    chunk = place >> 1
+                own = token == place
+                waiting.setdefault(place, []).extend((context[own], cls[own]) for context in pairs)
+        yield from done()
+
+    return chunks.select("chunk", "held_out", "text").mapInArrow(pack, "part int, chunk bigint, held_out boolean, cells binary")
+
+
+def seen_by_chunk(chunks: DataFrame, classes: Classes) -> DataFrame:
+    """(chunk, context, seen): what ``context_needs`` finds in ``context_counts``, where it
+    is held out or seen more than once, by one shuffle of packed contexts."""
+    bits = max(1, int(2 * chunks.select("chunk").distinct().count()).bit_length())  # a part is less than half a chunk
+    schema = pa.schema([("chunk", pa.int64()), ("context", pa.int64()), ("seen", pa.list_(pa.int64()))])
+
+    def answer(rows: list[tuple[int, bool, pa.Buffer]]) -> Iterator[pa.RecordBatch]:
+        counted, needs = [], []
+        for chunk, out, cells in rows:
+            data = np.frombuffer(cells, np.uint8)
+            step, *rest = _from_planes(data, np.uint64) if out else _from_planes(data, np.uint64, np.uint8, np.uint32)
+            context = np.cumsum(step, dtype=np.uint64)
+            if not out:
+                counted.append((context, *rest))
+            needs.append((chunk, out, context[np.flatnonzero(np.append(True, context[1:] != context[:-1]))]))
+        if not counted:
+            return
+        context, cls, n = (np.concatenate(x) for x in zip(*counted))
+        order = np.lexsort((cls, context))
+        context, cls, n = context[order], cls[order].astype(np.int64), n[order].astype(np.int64)
+        edge = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (cls[1:] != cls[:-1])))
+        context, seen = context[edge], np.add.reduceat(n, edge)
+        packed = (seen << BITS) + cls[edge]
+        first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+        size, total = np.diff(np.append(first, len(context))), np.add.reduceat(seen, first)
+        context = context[first]
+        for chunk, out, need in needs:
+            at = np.minimum(np.searchsorted(context, need), len(context) - 1)
+            at = at[(context[at] == need) & (out | (total[at] > 1))]
+            for lo in range(0, len(at), 100_000):
+                own = at[lo:lo + 100_000]
+                start = np.concatenate([[0], np.cumsum(size[own])])
+                values = packed[np.repeat(first[own] - start[:-1], size[own]) + np.arange(start[-1])]
+                yield batch_of(schema, np.full(len(own), chunk), context[own].view(np.int64),
+                               pa.ListArray.from_arrays(pa.array(start, pa.int32()), pa.array(values)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list] = {}
+        for batch in batches:
+            for part, chunk, out, cells in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3)):
+                parts.setdefault(part, []).append((chunk, out, cells.as_buffer()))
+        for part in sorted(parts):
+            yield from answer(parts.pop(part))
+
+    return (chunk_contexts(chunks, classes, bits).repartition(1 << bits, "part")
+            .mapInArrow(run, "chunk bigint, context bigint, seen array<bigint>"))
+
+
 class Seen:
     """What followed the contexts of a chunk, from rows (chunk, context, seen)."""
 
@@ -526,8 +640,7 @@ def score(docs: DataFrame, modulus: int = 5, remainder: int = 1, head_words: int
     vocab = vocabulary(counts, head_words)
     tree = tree_counts(vocab.class_n)
     chunks = stored(chunked(rows), "lm-chunks")
-    seen = stored(context_needs(chunks).join(context_counts(training, vocab.classes), "context")
-                  .filter("held_out OR total > 1").select("chunk", "context", "seen"), "lm-contexts")
+    seen = stored(seen_by_chunk(chunks, vocab.classes), "lm-contexts")
     weights = learned_weights(chunks.filter("NOT held_out"), seen, vocab.classes, tree)
     shared = spark.sparkContext.broadcast((vocab, weights))
     id_type = docs.schema["doc_id"].dataType.simpleString()

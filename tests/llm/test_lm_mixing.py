@@ -241,3 +241,24 @@ def test_context_counts_are_exact_and_grow_with_the_contexts(docs):
         after = want.get(r.context % 2**64, {})
         for level, n in enumerate(r.n):
             assert n == sum(v for c, v in after.items() if c >> (8 - level) == r.cls >> (8 - level))
+
+
+def test_packed_contexts_give_what_the_join_gives_in_one_shuffle(docs, monkeypatch):
+    """One shuffle of packed contexts, not rows of every context to count and again to look up."""
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.4, 200) % 900)) for i in range(60)] + [(60, None), (61, "")]
+    df = docs(rows).repartition(3).select("doc_id", M.held_out("doc_id", 5).alias("held_out"), M.text_bytes().alias("text"))
+    classes = M.Classes(np.zeros(0, np.uint64), np.zeros(0, np.int32))
+    chunks = M.stored(M.chunked(df, 3000), "test-chunks")
+    counts = M.context_counts(df.filter("NOT held_out").select("text"), classes)
+    joined = M.context_needs(chunks).join(counts, "context").filter("held_out OR total > 1")
+    want = {(r.chunk, r.context): sorted(r.seen) for r in joined.collect()}
+    found = M.seen_by_chunk(chunks, classes).collect()
+    got = {(r.chunk, r.context): sorted(r.seen) for r in found}
+    assert got == want and len(want) > 3000
+    monkeypatch.setattr(M, "_HELD_TOGETHER", 500)  # a chunk in several pieces
+    again = {(r.chunk, r.context): sorted(r.seen) for r in M.seen_by_chunk(chunks, classes).collect()}
+    assert again == want
+    assert M.seen_by_chunk(chunks.filter("held_out"), classes).collect() == []
+    plan = M.seen_by_chunk(chunks, classes)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
