@@ -1,5 +1,7 @@
 """Moments, Newton steps and histogram trees against SQL and plain numpy."""
 
+import os
+
 import duckdb
 import numpy as np
 import pandas as pd
@@ -253,3 +255,49 @@ def test_moments_of_whole_and_broken_values_together(spark):
     assert found.mean[0] == pytest.approx(sum(exact) / len(values) / 10 ** 6, rel=1e-15)
     assert found.deviation[0] == pytest.approx(float(np.std(values)), rel=1e-12)
     assert moments.moments(spark.createDataFrame([(None,), (2.0,)], "x double"), ["x"]).mean == [1.0]  # nulls count in n
+
+
+def test_bins_come_from_sketches_of_the_tasks(rows, table, monkeypatch):
+    """No aggregate of all features ends in one task; ranks keep the accuracy, few values are exact."""
+    monkeypatch.delattr(F, "percentile_approx")
+    exact, rough = trees.fit_bins(rows, NAMES, max_bins=32), trees.fit_bins(rows, NAMES, max_bins=32, accuracy=40)
+    for i, name in enumerate(NAMES):
+        values = np.sort(table[name].to_numpy(float))
+        ranks = -(-np.arange(1, 32) * len(values) // 32)
+        assert exact.edges[i].tolist() == np.unique(values[ranks - 1]).tolist()
+        low, high = (np.searchsorted(values, rough.edges[i], side=side) for side in ("left", "right"))  # ranks of each edge
+        wide = len(values) / 40 + 1
+        assert all(np.any((low < r + wide) & (high >= r - wide)) for r in ranks)
+    values, n = trees._thinned(np.arange(1000.0), np.ones(1000, np.int64), 10)
+    assert values.tolist() == [99.0 + 100 * i for i in range(10)] and n.tolist() == [100] * 10
+
+
+def test_features_of_many_nodes_are_drawn_by_tasks(spark, tmp_path, monkeypatch):
+    calls, one = tmp_path / "calls", trees.chosen
+
+    def counted(*args):
+        with open(calls, "a") as f:
+            f.write(f"{os.getpid()}\n")
+        return one(*args)
+
+    monkeypatch.setattr(trees, "chosen", counted)
+    nodes = [(i % 7, 3 * i) for i in range(1500)]
+    picks = trees.chosen_all(spark, nodes, 20, 4, 42)
+    assert picks.tolist() == [one(t, node, 20, 4, 42).tolist() for t, node in nodes]
+    drawn_by = calls.read_text().split()
+    assert len(drawn_by) == 1500 and str(os.getpid()) not in drawn_by
+    assert trees.chosen_all(spark, nodes[:3], 20, 4, 42).tolist() == picks[:3].tolist()
+
+
+def test_small_levels_need_no_shuffle(binned, monkeypatch):
+    """The sums of a level with few cells take one stage; many cells are brought together by a shuffle, with the same trees."""
+    bins, df = binned
+    monkeypatch.setattr(trees, "GATHERED_CELLS", 0)
+    want = trees.fit_boosted(df, bins, rounds=3, max_depth=3).splits()
+    monkeypatch.undo()
+
+    def none(*_):
+        raise AssertionError("a shuffle")
+
+    monkeypatch.setattr(type(df), "repartition", none)
+    assert df.rdd.getNumPartitions() > 1 and trees.fit_boosted(df, bins, rounds=3, max_depth=3).splits() == want
