@@ -301,3 +301,16 @@ def test_small_levels_need_no_shuffle(binned, monkeypatch):
 
     monkeypatch.setattr(type(df), "repartition", none)
     assert df.rdd.getNumPartitions() > 1 and trees.fit_boosted(df, bins, rounds=3, max_depth=3).splits() == want
+
+
+def test_newton_steps_read_the_rows_once(rows, tmp_path):
+    calls = tmp_path / "calls"
+
+    def counted(batches):
+        with open(calls, "a") as f:
+            f.write("x")
+        yield from batches
+
+    data = rows.select("label", *NAMES).coalesce(1)
+    fit = logistic.fit_logistic(data.mapInArrow(counted, data.schema), NAMES)
+    assert fit.steps > 2 and len(calls.read_text()) == 1
