@@ -303,6 +303,46 @@ def test_small_levels_need_no_shuffle(binned, monkeypatch):
     assert df.rdd.getNumPartitions() > 1 and trees.fit_boosted(df, bins, rounds=3, max_depth=3).splits() == want
 
 
+def test_the_larger_child_is_a_difference(binned, monkeypatch):
+    """One node's sums are enough for a level with two nodes."""
+    bins, df = binned
+    want = trees.fit_boosted(df, bins, rounds=3, max_depth=2).splits()
+    assert {row[2] for row in want} == {0, 1}
+
+    def none(*_):
+        raise AssertionError("a shuffle")
+
+    monkeypatch.setattr(trees, "GATHERED_CELLS", df.rdd.getNumPartitions() * 3 * int(bins.sizes.sum()))
+    monkeypatch.setattr(type(df), "repartition", none)
+    monkeypatch.setattr(type(df.rdd), "reduceByKey", none)
+    assert trees.fit_boosted(df, bins, rounds=3, max_depth=2).splits() == want
+
+
+@pytest.mark.parametrize("sizes", [[256, 3, 1, 3, 8, 256, 16, 3, 64, 13], [1, 1], [2] * 20, [255, 2], [256, 1, 128, 2]])
+def test_bundles_hold_the_bins_of_their_features(sizes):
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.integers(0, n, 500) for n in sizes]).astype(np.uint8)
+    x[0], x[1] = np.array(sizes) - 1, 0
+    bundles = trees.Bundles(np.array(sizes))
+    assert sorted(f for own in bundles.members for f in own) == list(range(len(sizes))) and max(bundles.codes) <= 256
+    codes = bundles.pack(x)
+    for f in range(len(sizes)):
+        assert bundles.bins_of(codes, f).tolist() == x[:, f].tolist()
+    sums = bundles.sums_of([np.bincount(c, minlength=n)[None] for c, n in zip(codes, bundles.codes)])
+    assert sums[0].tolist() == [n for f, size in enumerate(sizes) for n in np.bincount(x[:, f], minlength=size)]
+    tree = trees.Tree()
+    tree.add(0.0, 500, 0)
+    for node in range(120):
+        f = node % len(sizes)
+        tree.split(node, f, sizes[f] // 3, 1.0, (0.0, 1), (0.0, 1))
+    for few in (True, False):
+        grown = tree.arrays()
+        assert (len(tree.feature) <= 256) == few
+        assert bundles.leaf_of(grown, codes).tolist() == trees.leaf_of(grown, x).tolist()
+        for node in range(120, 200) if few else ():
+            tree.split(node, node % len(sizes), 0, 1.0, (0.0, 1), (0.0, 1))
+
+
 def test_newton_steps_read_the_rows_once(rows, tmp_path):
     calls = tmp_path / "calls"
 
