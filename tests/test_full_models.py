@@ -343,6 +343,30 @@ def test_bundles_hold_the_bins_of_their_features(sizes):
             tree.split(node, node % len(sizes), 0, 1.0, (0.0, 1), (0.0, 1))
 
 
+def test_drawn_rows_lie_node_by_node(binned):
+    """As (block, row, weight, node): moved to the children of their nodes, finished ones left out."""
+    bins, df = binned
+    k, trees_n = len(NAMES), 4
+
+    def flat(blocks):
+        out = []
+        for label, x, row, weight, node, size in (trees._opened(b, k) for b in blocks):
+            assert size.sum() == len(row) == len(weight) and (size > 0).all() and (np.diff(node) > 0).all()
+            out += [(label[r], tuple(x[:, r]), w, at) for r, w, at in zip(row, weight, np.repeat(node, size).tolist())]
+        return sorted(out)
+
+    blocks = trees._drawn(df.coalesce(2), trees_n, k, 42).rdd.map(tuple).persist()
+    first = flat(blocks.collect())
+    drawn = [trees.bootstrap(np.array([r.key for r in df.collect()]), t, 42) for t in range(trees_n)]
+    assert sum(int(w) for *_, w, _ in first) == sum(int(w.sum()) for w in drawn)
+    feature, cut = np.array([0, 1, 2, 0]), np.array([3, 0, 1, 255])
+    child = np.array([[0, 1], [2, -1], [-1, -1], [3, 4]])
+    moved = [(y, x, w, child[at, int(x[feature[at]] > cut[at])]) for y, x, w, at in first]
+    assert flat(trees._moved(blocks, k, feature, cut, child).collect()) == sorted(m for m in moved if m[-1] >= 0)
+    assert trees._moved(blocks, k, feature, cut, np.full((4, 2), -1)).collect() == []
+    blocks.unpersist()
+
+
 def test_newton_steps_read_the_rows_once(rows, tmp_path):
     calls = tmp_path / "calls"
 
