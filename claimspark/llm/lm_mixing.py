@@ -39,13 +39,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from claimspark.llm import textvec
-from claimspark.llm.common import STEP_BYTES, batch_of, buffers, held_out, steps, stored, text_bytes, workers_find_package
+from claimspark.llm.common import STEP_BYTES, batch_of, buffers, drained, held_out, steps, stored, text_bytes, workers_find_package
 
 END = np.uint64(0x5851F42D4C957F2D)
 START = np.uint64(0x14057B7EF767814F)
@@ -59,6 +60,13 @@ RATE = 0.3
 #: Text of a chunk, which is scored beside the counts of its contexts.
 CHUNK_BYTES = 8 << 20
 _HELD_TOGETHER = 2_000_000
+#: Tokens of a part of the cells, bits that may number the parts.
+PART_TOKENS, MOST_PART_BITS = 1 << 21, 13
+#: Bits of a word's rank in a cell; the rank that stands for no word.
+RANK_BITS = 21
+NO_WORD = (1 << RANK_BITS) - 1
+#: A byte that says that the count is so large or larger.
+LARGE = 255
 MATCH_LOGIT = 2.0
 
 # What a class spells, (classes, BITS): the place of each decision in the class
@@ -137,6 +145,92 @@ def matches(classes: np.ndarray, two: np.ndarray, first: np.ndarray) -> np.ndarr
     return out
 
 
+# --- chunks of coded texts ------------------------------------------------------------
+
+def _planes(*columns: np.ndarray) -> bytes:
+    """The columns byte by byte of their numbers: leading zeros lie together, for a codec."""
+    return b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.itemsize).T).tobytes() for c in columns)
+
+
+def _from_planes(data: np.ndarray, *kinds: type) -> list[np.ndarray]:
+    n = len(data) // sum(np.dtype(k).itemsize for k in kinds)
+    out, at = [], 0
+    for kind in kinds:
+        size = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(data[at:at + n * size].reshape(size, n).T).view(kind).ravel())
+        at += n * size
+    return out
+
+
+def _shut(data: bytes) -> bytes:
+    return pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _opened(data: pa.Buffer, size: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, decompressed_size=size, codec="zstd"), np.uint8)
+
+
+def coded(rows: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """``rows`` (doc_id, held_out, text) as one row per chunk: its texts split once, each
+    token the place of its word in the chunk's dictionary, frequent words first.  ``uid``
+    numbers the first text, ``n`` counts each word in the training texts."""
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    ddl = (f"chunk bigint, uid bigint, doc_id array<{id_type}>, held_out array<boolean>, n_bytes array<bigint>, "
+           "n_tokens array<bigint>, tokens bigint, words bigint, word binary, n binary, token binary")
+    schema = to_arrow_schema(T.StructType.fromDDL(ddl))
+
+    def chunk_of(number: int, uid: int, batches: list[pa.RecordBatch], found: list) -> pa.RecordBatch:
+        keys = np.concatenate([k for k, _ in found])
+        n_tokens = np.concatenate([np.diff(f) for _, f in found])
+        out = np.concatenate([b.column(1).to_numpy(zero_copy_only=False) for b in batches])
+        word, at, times = np.unique(keys, return_inverse=True, return_counts=True)
+        order = np.argsort(-times, kind="stable")
+        place = np.empty(len(order), np.uint32)
+        place[order] = np.arange(len(order), dtype=np.uint32)
+        at, word = place[at], word[order]
+        n = np.bincount(at[np.repeat(~out, n_tokens)], minlength=len(word)).astype(np.uint32)
+        ids = pa.concat_arrays([b.column(0) for b in batches]).cast(schema.field("doc_id").type.value_type)
+        size = np.concatenate([np.diff(buffers(b.column(2))[1]) for b in batches])
+        whole = [pa.array([0, len(out)], pa.int32())]
+        columns = [number, uid, ids, pa.array(out), pa.array(size), pa.array(n_tokens.astype(np.int64)), len(keys), len(word),
+                   _shut(_planes(np.diff(word, prepend=np.uint64(0)))), _shut(_planes(n)), _shut(_planes(at))]
+        return pa.RecordBatch.from_arrays(
+            [pa.ListArray.from_arrays(*whole, c).cast(f.type) if isinstance(c, pa.Array) else pa.array([c], f.type)
+             for c, f in zip(columns, schema)], schema=schema)
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uid = number = TaskContext.get().partitionId() << 33
+        waiting, found, held = [], [], 0
+        for batch in steps(batches, limit=min(chunk_bytes, STEP_BYTES)):
+            size = int(buffers(batch.column(2))[1][-1])
+            if held and held + size > chunk_bytes:
+                yield chunk_of(number, uid, waiting, found)
+                number, uid = number + 1, uid + sum(b.num_rows for b in waiting)
+                waiting, found, held = [], [], 0
+            held += size
+            waiting.append(batch)
+            found.append(token_keys(batch.column(2)))
+        if waiting:
+            yield chunk_of(number, uid, waiting, found)
+
+    return rows.mapInArrow(code, T.StructType.fromDDL(ddl))
+
+
+def _dictionary(row: dict) -> np.ndarray:
+    step, = _from_planes(_opened(row["word"], 8 * row["words"]), np.uint64)
+    return np.cumsum(step, dtype=np.uint64)
+
+
+def _rows(batch: pa.RecordBatch | pa.Table) -> Iterator[dict]:
+    """The rows as dictionaries; binary values stay Arrow buffers, lists Arrow arrays."""
+    for i in range(batch.num_rows):
+        row = {}
+        for name, column in zip(batch.schema.names, batch.columns):
+            value = column[i]
+            row[name] = value.as_buffer() if pa.types.is_binary(value.type) else value.values if pa.types.is_list(value.type) else value.as_py()
+        yield row
+
+
 # --- word counts -------------------------------------------------------------------
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,25 +241,27 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, at = np.unique(np.concatenate(held_k), return_inverse=True)
         return keys, np.bincount(at, weights=np.concatenate(held_n), minlength=len(keys)).astype(np.int64)
 
-    for batch in steps(batches):
-        keys, n = np.unique(token_keys(batch.column(0))[0], return_counts=True)
-        held_k.append(keys)
-        held_n.append(n)
-        if sum(map(len, held_k)) > limit:
-            keys, n = merge()
-            if len(keys) > limit // 2:
-                yield batch_of(schema, keys.view(np.int64), n)
-                held_k, held_n = [], []
-            else:
-                held_k, held_n = [keys], [n]
+    for batch in batches:
+        for row in _rows(batch):
+            n, = _from_planes(_opened(row["n"], 4 * row["words"]), np.uint32)
+            held_k.append(_dictionary(row)[n > 0])
+            held_n.append(n[n > 0])
+            if sum(map(len, held_k)) > limit:
+                keys, n = merge()
+                if len(keys) > limit // 2:
+                    yield batch_of(schema, keys.view(np.int64), n)
+                    held_k, held_n = [], []
+                else:
+                    held_k, held_n = [keys], [n]
     if held_k:
         keys, n = merge()
         yield batch_of(schema, keys.view(np.int64), n)
 
 
-def word_counts(training: DataFrame) -> DataFrame:
-    """(key, n) over the training texts (column text, bytes)."""
-    return training.mapInArrow(_summed, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+def word_counts(chunks: DataFrame) -> DataFrame:
+    """(key, n) over the training texts of ``coded`` chunks."""
+    return (chunks.select("words", "word", "n").mapInArrow(_summed, "key bigint, n bigint")
+            .groupBy("key").agg(F.sum("n").alias("n")))
 
 
 @dataclass
@@ -174,29 +270,37 @@ class Vocabulary:
 
     tokens: int
     words: int
-    keys: np.ndarray
-    logs: np.ndarray  # log10(count + 0.5) of each key of the head
+    keys: np.ndarray  # of the head, ascending
+    n: np.ndarray
     classes: Classes
     class_log: np.ndarray  # log10 of each class's denominator
-    index: np.ndarray
     class_n: np.ndarray  # tokens of each class
 
-    def lookup(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log count of each key of the head, 0 for others; and which are in it."""
-        log, inside = np.zeros(len(keys)), np.zeros(len(keys), bool)
+    def __post_init__(self):
+        self.logs = np.log10(self.n + 0.5)
+        self.index = np.searchsorted(self.keys, np.arange(1 << 20, dtype=np.uint64) << np.uint64(44))
+        self.index = np.append(self.index, len(self.keys))
+        self.rank = np.empty(len(self.keys), np.int64)  # 0 for the most frequent
+        self.rank[np.lexsort((self.keys, -self.n))] = np.arange(len(self.keys))
+
+    def __reduce__(self):  # workers derive the rest themselves
+        return Vocabulary, (self.tokens, self.words, self.keys, self.n, self.classes, self.class_log, self.class_n)
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """Where each key is in the head, -1 for others."""
+        out = np.full(len(keys), -1)
         if not len(self.keys):
-            return log, inside
+            return out
         top = (keys >> np.uint64(64 - 20)).astype(np.int64)
         at, end = self.index[top], self.index[top + 1]
         todo = np.arange(len(keys))
         while len(todo):
             todo = todo[at[todo] < end[todo]]
             hit = self.keys[at[todo]] == keys[todo]
-            inside[todo[hit]] = True
-            log[todo[hit]] = self.logs[at[todo[hit]]]
+            out[todo[hit]] = at[todo[hit]]
             todo = todo[~hit]
             at[todo] += 1
-        return log, inside
+        return out
 
 
 def vocabulary(counts: DataFrame, head_words: int) -> Vocabulary:
@@ -227,8 +331,7 @@ def vocabulary(counts: DataFrame, head_words: int) -> Vocabulary:
     total[classes.number] = n[top]
     class_log = np.log10(total + 0.5 * (kinds + 1))
     class_log[classes.number] = np.log10(n[top] + 0.5)  # one token: certain
-    index = np.searchsorted(keys, np.arange(1 << 20, dtype=np.uint64) << np.uint64(44))
-    return Vocabulary(totals["n"] or 0, totals["v"], keys, np.log10(n + 0.5), classes, class_log, np.append(index, len(keys)), total)
+    return Vocabulary(totals["n"] or 0, totals["v"], keys, n, classes, class_log, total)
 
 
 # --- contexts ------------------------------------------------------------------------
@@ -320,21 +423,6 @@ def context_needs(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk", "held_out", "text").mapInArrow(need, "chunk bigint, held_out boolean, context bigint")
 
 
-def _planes(*columns: np.ndarray) -> bytes:
-    """The columns byte by byte of their numbers: leading zeros lie together, for the shuffle's codec."""
-    return b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.itemsize).T).tobytes() for c in columns)
-
-
-def _from_planes(data: np.ndarray, *kinds: type) -> list[np.ndarray]:
-    n = len(data) // sum(np.dtype(k).itemsize for k in kinds)
-    out, at = [], 0
-    for kind in kinds:
-        size = np.dtype(kind).itemsize
-        out.append(np.ascontiguousarray(data[at:at + n * size].reshape(size, n).T).view(kind).ravel())
-        at += n * size
-    return out
-
-
 def chunk_contexts(chunks: DataFrame, classes: Classes, bits: int) -> DataFrame:
     """(part, chunk, held_out, cells): the contexts of each chunk, sorted and packed,
     a part for each value of their first ``bits`` bits.  Those of training texts come with
@@ -481,21 +569,217 @@ class Seen:
 
 
 def beside(chunks: DataFrame, seen: DataFrame, run: Callable[[pa.Table, Seen], Iterator[pa.RecordBatch]],
-           schema: str) -> DataFrame:
+           schema: str, known: Callable[[pa.Table], object] = Seen) -> DataFrame:
     """``run`` of every chunk's texts and of what was seen after its contexts."""
 
     def both(texts: pa.Table, rows: pa.Table) -> pa.Table:
         if not len(texts):
             return empty
-        return pa.Table.from_batches(run(texts.sort_by("uid"), Seen(rows)))
+        return pa.Table.from_batches(run(texts.sort_by("uid"), known(rows)))
 
     names = T.StructType.fromDDL(schema)
     empty = pa.table({f.name: pa.array([], t) for f, t in zip(names, to_arrow_schema(names).types)})
     return chunks.groupBy("chunk").cogroup(seen.groupBy("chunk")).applyInArrow(both, schema)
 
 
+# --- cells: a context and the class that followed --------------------------------------
+
+def part_bits(tokens: int) -> int:
+    """Cells are dealt by their first bits to parts of about ``PART_TOKENS``."""
+    return min(MOST_PART_BITS, max(2, 1 + (tokens // PART_TOKENS).bit_length()))
+
+
+class Chunk:
+    """A row of ``coded`` with the cells of its tokens.
+
+    A cell is a 64-bit number: the part (its first bit: after two words), then the
+    context, then the class.  A context of words of the head is spelled by their ranks
+    (the part gives the last bits of the second), any other by a hash of 54 bits, part
+    included."""
+
+    def __init__(self, row: dict, vocab: Vocabulary, bits: int):
+        self.row, self.bits = row, bits
+        self.first = np.concatenate([[0], np.cumsum(row["n_tokens"].to_numpy())])
+        self.held_out = row["held_out"].to_numpy(zero_copy_only=False)
+        self.words = _dictionary(row)
+        self.at = _from_planes(_opened(row["token"], 4 * row["tokens"]), np.uint32)[0].astype(np.int64)
+        self.place = vocab.places(self.words)
+        self.cls = vocab.classes.of(self.words)[self.at]
+        word, start = np.append(self.words, START), len(self.words)
+        rank = np.append(np.where(self.place >= 0, vocab.rank[self.place] + 1 if len(vocab.keys) else 0, -1), 0)
+        rank[rank >= NO_WORD] = -1
+        one = np.empty_like(self.at)
+        one[1:] = self.at[:-1]
+        one[self.first[:-1]] = start
+        two = np.empty_like(one)
+        two[1:] = one[:-1]
+        two[self.first[:-1]] = start
+        spread = textvec.mix64(np.maximum(rank, 0).astype(np.uint64)).view(np.int64)
+        after_one = self.contexts(rank, spread, np.full(start + 1, NO_WORD), (word,))
+        self.after_two = self.contexts(rank.take(one), spread.take(one), rank.take(two), (word, two), (word, one))
+        found = [self._distinct(c | self.cls.astype(np.uint64)) for c in (after_one.take(one), self.after_two)]
+        self.cells = np.concatenate([cells for cells, _ in found])
+        self.cell = found[0][1], found[1][1] + np.int32(len(found[0][0]))  # of each token after one word, after two
+
+    def own(self) -> np.ndarray:
+        """How many training tokens have each cell."""
+        training = np.repeat(~self.held_out, np.diff(self.first))
+        n = sum(np.bincount(cell[training], minlength=len(self.cells)) for cell in self.cell)
+        return n.astype(np.uint32)
+
+    @staticmethod
+    def _distinct(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The different cells, and where each token's is."""
+        order = np.argsort(cells)
+        cells = cells.take(order)
+        new = np.append(True, cells[1:] != cells[:-1])
+        at = np.empty(len(cells), np.int32)
+        at[order] = np.cumsum(new, dtype=np.int32) - 1
+        return cells[new], at
+
+    def contexts(self, lead: np.ndarray, spread: np.ndarray, second: np.ndarray, *words: tuple) -> np.ndarray:
+        bits = self.bits - 1
+        out = ((spread + second) & ((1 << bits) - 1)) << (63 - bits)
+        out |= (lead << (RANK_BITS - bits + BITS)) | ((second >> bits) << BITS)
+        out = out.view(np.uint64)
+        rare = np.flatnonzero((lead < 0) | (second < 0))
+        hashed = textvec.combine(*(w[0][w[1][rare]] if len(w) > 1 else w[0][rare] for w in words))
+        part, rest = hashed >> np.uint64(64 - bits), (hashed >> np.uint64(10)) & np.uint64((1 << (54 - bits)) - 1)
+        out[rare] = (part << np.uint64(63 - bits)) | np.uint64(1 << (62 - bits)) | (rest << np.uint64(BITS))
+        return out | np.uint64(1 << 63) if len(words) > 1 else out
+
+    def logits(self, answers: list[dict], leave_one_out: bool) -> np.ndarray:
+        """(cells, BITS): the log-odds of bit 1 of each decision on the way to each cell's
+        class, from the answers of all parts."""
+        out = np.empty((len(self.cells), BITS), np.float32)
+        told, lo, hi = [], 0, 0
+        for a in sorted(answers, key=lambda a: a["part"]):
+            data, size = _opened(a["counts"], a["size"]), (BITS + 1) * a["cells"]
+            sides = data[:size].astype(np.float32)
+            sides[np.flatnonzero(data[:size] == LARGE)] = data[size:].view(np.uint64)
+            told.append(sides.reshape(BITS + 1, -1))
+            hi += a["cells"]
+            if hi - lo > 1 << 15 or hi == len(self.cells):
+                self._logits(self.cells[lo:hi], np.concatenate(told, axis=1), leave_one_out, out[lo:hi])
+                told, lo = [], hi
+        return out
+
+    @staticmethod
+    def _logits(cells: np.ndarray, sides: np.ndarray, leave_one_out: bool, out: np.ndarray) -> None:
+        agree = _agreeing(cells)
+        kin = np.flatnonzero((agree >= 0) | np.append(agree[1:] >= 0, False))  # of contexts with several cells
+        agree, number = agree[kin], np.arange(len(kin))
+        n = sides[BITS]
+        odds, cls = np.empty((BITS, len(n)), np.float32), (cells & np.uint64((1 << BITS) - 1)).astype(np.uint8)
+        for k in reversed(range(BITS)):
+            side, told = sides[k], np.flatnonzero(agree == k)
+            some = side[kin]
+            some[told] = n[kin[told] - 1]  # where the cell before went on
+            side[kin] = some[np.maximum.accumulate(np.where(agree > k, 0, number))]
+            # counts include this very token, which learning takes out
+            came = np.maximum(n - 1, 0) if leave_one_out else n
+            np.log(came + np.float32(0.4), out=odds[k])
+            odds[k] -= np.log(side + np.float32(0.4))
+            odds[k] *= np.ascontiguousarray(_SIGN[:, k]).take(cls)
+            n += side
+        out[:] = odds.T
+
+    def groups(self, texts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
+        """The marked texts in steps: their numbers, tokens, where each starts, matches, bytes."""
+        texts = np.flatnonzero(texts)
+        upto = np.concatenate([[0], np.cumsum(self.row["n_bytes"].to_numpy()[texts])])
+        lo = 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + STEP_BYTES, side="right")) - 1)
+            own = texts[lo:hi]
+            n = self.first[own + 1] - self.first[own]
+            first = np.concatenate([[0], np.cumsum(n)])
+            t = np.repeat(self.first[own] - first[:-1], n) + np.arange(first[-1])
+            yield own, t, first, matches(self.cls[t], self.after_two[t], first), int(upto[hi] - upto[lo])
+            lo = hi
+
+
+def _agreeing(cells: np.ndarray) -> np.ndarray:
+    """How many decisions each cell shares with the one before, -1 after another context."""
+    differ = np.append(np.uint64(1 << BITS), cells[1:] ^ cells[:-1])
+    return np.where(differ < 1 << BITS, _AGREE.take(np.minimum(differ, (1 << BITS) - 1).astype(np.int64)), -1)
+
+
+def cell_counts(chunks: DataFrame, vocab: Broadcast, bits: int) -> DataFrame:
+    """(chunk, part, cells, size, counts): what the training texts say of each chunk's cells,
+    in their order.  One shuffle of packed cells: they say at once what was seen and
+    what is asked.  ``counts`` are how often each cell's way was left at each decision, and
+    how often its class was seen: bytes, those of ``LARGE`` in full at the end.  What
+    a cell shares with the one before is told once."""
+    asked = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("cells", pa.int64()), ("cell", pa.binary())])
+    told = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("cells", pa.int64()), ("size", pa.int64()), ("counts", pa.binary())])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in drained(batches):
+            for row in _rows(batch):
+                chunk = Chunk(row, vocab.value, bits)
+                edge = np.searchsorted(chunk.cells, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+                edge = np.append(edge, len(chunk.cells))
+                parts = np.flatnonzero(np.diff(edge))
+                cells, own = chunk.cells & np.uint64((1 << (64 - bits)) - 1), chunk.own()
+                yield batch_of(asked, parts.astype(np.int32), np.full(len(parts), row["chunk"]), np.diff(edge)[parts], pa.array(
+                    [_shut(_planes(np.diff(cells[lo:hi], prepend=np.uint64(0)), own[lo:hi])) for lo, hi in zip(edge[parts], edge[parts + 1])], pa.binary()))
+
+    def tell(part: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        pairs = [_from_planes(_opened(r["cell"], 12 * r["cells"]), np.uint64, np.uint32) for r in rows]
+        asked_for = np.concatenate([np.cumsum(step, dtype=np.uint64) for step, _ in pairs])
+        order = np.argsort(asked_for)
+        cells = asked_for[order]
+        new = np.append(True, cells[1:] != cells[:-1])
+        row = np.empty(len(cells), np.int64)
+        row[order] = np.cumsum(new) - 1
+        edge = np.flatnonzero(new)
+        cells = cells[edge]
+        n = np.add.reduceat(np.concatenate([n for _, n in pairs])[order], edge, dtype=np.int64)
+        sides = np.empty((BITS + 1, len(n)), np.int64)
+        sides[BITS], below = n, n
+        for level in reversed(range(BITS)):  # all that goes on like this cell up to this decision
+            prefix = cells >> np.uint64(BITS - level)
+            edge = np.flatnonzero(np.append(True, prefix[1:] != prefix[:-1]))
+            here = np.repeat(np.add.reduceat(n, edge), np.diff(np.append(edge, len(n))))
+            sides[level], below = here - below, here
+        least = np.minimum(sides, LARGE).astype(np.uint8).take(row, axis=1)
+        starts = np.concatenate([[0], np.cumsum([len(own) for _, own in pairs])])
+        agree = _agreeing(asked_for)
+        agree[starts[:-1]] = -1
+        for level in range(BITS):
+            least[level][agree >= level] = 0
+        for r, lo, hi in zip(rows, starts, starts[1:]):
+            mine = least[:, lo:hi]
+            level, at = np.nonzero(mine == LARGE)
+            counts = mine.tobytes() + sides[level, row[lo + at]].astype(np.uint64).tobytes()
+            yield batch_of(told, [r["chunk"]], [part], [hi - lo], [len(counts)], pa.array([_shut(counts)], pa.binary()))
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list] = {}
+        for batch in drained(batches):
+            for row in _rows(batch):
+                parts.setdefault(row["part"], []).append(row)
+        for part in sorted(parts):
+            yield from tell(part, parts.pop(part))
+
+    return (chunks.mapInArrow(ask, "part int, chunk bigint, cells bigint, cell binary").repartition(1 << bits, "part")
+            .mapInArrow(answer, "chunk bigint, part int, cells bigint, size bigint, counts binary"))
+
+
 # --- mixing ---------------------------------------------------------------------------
 
+class After:
+    """Log-odds of tokens, kept by cell: rows are taken as a block asks for them."""
+
+    def __init__(self, odds: np.ndarray, cell: np.ndarray):
+        self.odds, self.cell = odds, cell
+
+    def __getitem__(self, t: np.ndarray) -> np.ndarray:
+        return self.odds.take(self.cell.take(t), axis=0)
+
+
+
 class Mixer:
     """Scores texts; the weights of each text adapt block by block.  ``tree`` are the
     class tree's counts, the log-odds ``after`` the contexts are given with the texts."""
@@ -533,7 +817,7 @@ class Mixer:
         return score / np.log(10), weights
 
     def inputs(self, t: np.ndarray, cls: np.ndarray, after: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
-        return [self.plain[cls[t]], after[0][t], after[1][t]]
+        return [self.plain.take(cls[t], axis=0), after[0][t], after[1][t]]
 
     def unmatched(self, cls, x, text, weights) -> np.ndarray:
         """Log probabilities of tokens without a match; adapts their gate's weights."""
@@ -590,85 +874,100 @@ def _prepared(column: pa.Array, classes: Classes):
     return keys, first, cls, one, two, matches(cls, two, first)
 
 
-def learned_weights(training: DataFrame, seen: DataFrame, classes: Classes, tree: np.ndarray) -> np.ndarray:
-    """Weights after an online pass of every task over its chunks of training
+def learned_weights(chunks: DataFrame, counts: DataFrame, vocab: Broadcast, bits: int, tree: np.ndarray) -> np.ndarray:
+    """Weights after an online pass of every task over its chunks' training
     texts, averaged by tokens.  A task's weights move once they have seen about a
     step of text, however it is dealt to chunks."""
     cells = BITS * GATES * PREDICTORS
     schema = pa.schema([("cell", pa.int64()), ("weight", pa.float64()), ("tokens", pa.int64())])
     task: dict = {}  # goes on from chunk to chunk
 
-    def learn(texts: pa.Table, known: Seen) -> Iterator[pa.RecordBatch]:
+    def learn(texts: pa.Table, answers: list[dict]) -> Iterator[pa.RecordBatch]:
         if not task:
             task.update(mixer=Mixer(tree, neutral()), sum=0.0, tokens=0, size=0)
         mixer, tokens, mean = task["mixer"], 0, task["mixer"].weights
-        for batch in steps(texts.to_batches()):
-            column = batch.column(batch.num_columns - 1)
-            keys, first, cls, one, two, match = _prepared(column, classes)
-            ours = np.ones(len(cls), bool)
-            after = tuple(known.logits(c, cls, ours, True) for c in (one, two))
-            _, own = mixer.run(cls, match, first, after)
-            n = np.diff(first)
-            tokens += int(n.sum())
-            task["sum"] += np.tensordot(n.astype(float), own, axes=1)
-            task["tokens"] += int(n.sum())
-            task["size"] += int(buffers(column)[1][-1])
-            mean = (task["sum"] / task["tokens"]).astype(np.float32)
-            if 2 * task["size"] >= STEP_BYTES:
-                mixer.weights = mean
-                task.update(sum=0.0, tokens=0, size=0)
+        for row in _rows(texts):
+            chunk = Chunk(row, vocab.value, bits)
+            odds = chunk.logits(answers, True)
+            one, two = chunk.cell
+            for _, t, first, match, size in chunk.groups(~chunk.held_out):
+                _, own = mixer.run(chunk.cls[t], match, first, (After(odds, one[t]), After(odds, two[t])))
+                n = np.diff(first)
+                tokens += int(n.sum())
+                task["sum"] += np.tensordot(n.astype(float), own, axes=1)
+                task["tokens"] += int(n.sum())
+                task["size"] += size
+                mean = (task["sum"] / task["tokens"]).astype(np.float32)
+                if 2 * task["size"] >= STEP_BYTES:
+                    mixer.weights = mean
+                    task.update(sum=0.0, tokens=0, size=0)
         yield batch_of(schema, np.arange(cells), mean.reshape(-1).astype(float), np.full(cells, tokens))
 
-    rows = (beside(training, seen, learn, "cell bigint, weight double, tokens bigint")
-            .groupBy("cell").agg((F.sum(F.col("weight") * F.col("tokens")) / F.sum("tokens")).alias("w"))).collect()
+    rows = stored(beside(chunks, counts, learn, "cell bigint, weight double, tokens bigint", lambda t: list(_rows(t)))
+                  .filter("tokens > 0").groupBy("cell").agg((F.sum(F.col("weight") * F.col("tokens")) / F.sum("tokens")).alias("w")), "lm-weights")
     out = neutral().reshape(-1)
-    for r in rows:
+    for r in rows.collect():  # a hundred rows
         out[r["cell"]] = r["w"]
     return out.reshape(BITS, GATES, PREDICTORS)
 
 
 # --- scoring ----------------------------------------------------------------------------
 
+def _shuffles_freed(table: DataFrame) -> None:
+    """Spark deletes shuffle files once the driver's garbage collector has found that
+    nothing reads them any more, which a driver with little to do may not see for the
+    whole job.  The scheduler holds on to the last job, so a look into ``table`` goes first."""
+    table.limit(1).count()
+    table.sparkSession.sparkContext._jvm.System.gc()
+
+
 def score(docs: DataFrame, modulus: int = 5, remainder: int = 1, head_words: int = 1 << 20) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
     score (log10 probabilities) and bits_per_byte of the model."""
     spark = docs.sparkSession
     workers_find_package(spark)
     rows = docs.select("doc_id", held_out("doc_id", modulus, remainder).alias("held_out"), text_bytes().alias("text"))
-    training = rows.filter("NOT held_out").select("text")
-    counts = stored(word_counts(training), "lm-words")
+    chunks = stored(coded(rows), "lm-chunks")
+    counts = stored(word_counts(chunks), "lm-words")
     vocab = vocabulary(counts, head_words)
     tree = tree_counts(vocab.class_n)
-    chunks = stored(chunked(rows), "lm-chunks")
-    seen = stored(seen_by_chunk(chunks, vocab.classes), "lm-contexts")
-    weights = learned_weights(chunks.filter("NOT held_out"), seen, vocab.classes, tree)
-    shared = spark.sparkContext.broadcast((vocab, weights))
+    bits = part_bits(chunks.agg(F.sum("tokens")).first()[0] or 0)
+    shared = spark.sparkContext.broadcast(vocab)
+    chunks = chunks.drop("n")
+    _shuffles_freed(counts)
+    cells = stored(cell_counts(chunks, shared, bits), "lm-cells")
+    _shuffles_freed(cells)
+    weights = learned_weights(chunks, cells, shared, bits, tree)
+    _shuffles_freed(cells)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     columns = (f"doc_id {id_type}, held_out boolean, uid bigint, n_bytes bigint, n_tokens bigint, n_head bigint, "
                "head_log double, class_log double, mixed_log double, tail array<bigint>")
 
-    def run(texts: pa.Table, known: Seen) -> Iterator[pa.RecordBatch]:
-        vocab, weights = shared.value
+    def run(texts: pa.Table, answers: list[dict]) -> Iterator[pa.RecordBatch]:
+        vocab = shared.value
         mixer = Mixer(tree, weights)
-        for batch in steps(texts.select(["doc_id", "held_out", "uid", "text"]).to_batches()):
-            column = batch.column(3)
-            keys, first, cls, one, two, match = _prepared(column, vocab.classes)
-            ours = np.repeat(~batch.column(1).to_numpy(zero_copy_only=False), np.diff(first))
-            after = tuple(known.logits(c, cls, ours, False) for c in (one, two))
-            mixed, _ = mixer.run(cls, match, first, after)
-            logs, inside = vocab.lookup(keys)
-            tail_first = np.concatenate([[0], np.cumsum(~inside)])[first]
-            tail = pa.ListArray.from_arrays(pa.array(tail_first, pa.int32()), pa.array(keys[~inside].view(np.int64)))
-            n = np.diff(first)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3],
-                 pa.array(np.diff(buffers(column)[1])), pa.array(n), pa.array(textvec.row_sums(inside.astype(np.int64), first)),
-                 pa.array(textvec.row_sums(logs, first)), pa.array(textvec.row_sums(vocab.class_log[cls], first)),
-                 pa.array(mixed), tail],
-                names=["doc_id", "held_out", "uid", "n_bytes", "n_tokens", "n_head", "head_log", "class_log",
-                       "mixed_log", "tail"])
-
-    scored = stored(beside(chunks, seen, run, columns), "lm-scored")
+        for row in _rows(texts):
+            chunk = Chunk(row, vocab, bits)
+            odds = chunk.logits(answers, False)
+            one, two = chunk.cell
+            known = chunk.place >= 0
+            logs = np.where(known, vocab.logs[chunk.place] if len(vocab.keys) else 0.0, 0.0)
+            for own, t, first, match, _ in chunk.groups(np.ones(len(chunk.held_out), bool)):
+                cls, at = chunk.cls[t], chunk.at[t]
+                mixed, _ = mixer.run(cls, match, first, (After(odds, one[t]), After(odds, two[t])))
+                inside = known[at]
+                tail_first = np.concatenate([[0], np.cumsum(~inside)])[first]
+                tail = pa.ListArray.from_arrays(pa.array(tail_first, pa.int32()), pa.array(chunk.words[at[~inside]].view(np.int64)))
+                yield pa.RecordBatch.from_arrays(
+                    [row["doc_id"].take(pa.array(own)), pa.array(chunk.held_out[own]), pa.array(row["uid"] + own),
+                     row["n_bytes"].take(pa.array(own)), pa.array(np.diff(first)),
+                     pa.array(textvec.row_sums(inside.astype(np.int64), first)), pa.array(textvec.row_sums(logs[at], first)),
+                     pa.array(textvec.row_sums(vocab.class_log[cls], first)), pa.array(mixed), tail],
+                    names=["doc_id", "held_out", "uid", "n_bytes", "n_tokens", "n_head", "head_log", "class_log",
+                           "mixed_log", "tail"])
+
+    scored = stored(beside(chunks, cells, run, columns, lambda t: list(_rows(t))), "lm-scored")
+    _shuffles_freed(scored)
     rare = (scored.select("uid", F.explode("tail").alias("key")).join(counts, "key", "left")
             .groupBy("uid").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("tail_log"), F.count("n").alias("n_tail")))
     base = float(np.log10(vocab.tokens + 0.5 * (vocab.words + 1)))

@@ -262,3 +262,61 @@ def test_packed_contexts_give_what_the_join_gives_in_one_shuffle(docs, monkeypat
     assert M.seen_by_chunk(chunks.filter("held_out"), classes).collect() == []
     plan = M.seen_by_chunk(chunks, classes)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange") == 1
+
+
+def test_what_the_scorer_stores_stays_small_beside_the_texts(docs, spark, monkeypatch):
+    """Texts, cells and answers are packed; no row for each context, and no shuffle is left from a step done before."""
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"{'word' * 3}{int(x)}" for x in rng.zipf(1.3, 3000) % 4000)) for i in range(250)]
+    df = M.stored(docs(rows).repartition(4), "test-texts")
+    tables = {}
+
+    def kept(table, name, put=M.stored):
+        tables[name] = put(table, name)
+        return tables[name]
+
+    monkeypatch.setattr(M, "stored", kept)
+    M.score(df).write.format("noop").mode("overwrite").save()
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def size(table):
+        paths = [fs.Path(f) for f in table.inputFiles()]
+        return sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
+
+    tokens = sum(len(t.split()) + 1 for _, t in rows)
+    assert sum(size(t) for t in tables.values()) < 9 * tokens
+    assert all(t.count() < tokens / 100 for name, t in tables.items() if name != "lm-words")
+
+
+def test_cells_tell_what_the_join_tells(docs, spark, monkeypatch):
+    """The log-odds from packed answers are those of the whole table of contexts, whatever
+    the parts, for words of the head and others and for counts above a byte."""
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.5, 400) % 900)) for i in range(80)] + [(80, None), (81, "")]
+    df = docs(rows).repartition(3).select("doc_id", M.held_out("doc_id", 5).alias("held_out"), M.text_bytes().alias("text"))
+    chunks = M.stored(M.coded(df, 4000), "test-chunks")
+    assert chunks.count() > 15
+    counts = M.word_counts(chunks)
+    for bits, head in ((2, 1 << 20), (6, 300)):
+        vocab = M.vocabulary(counts, head)
+        seen = M.context_counts(df.filter("NOT held_out").select("text"), vocab.classes).toArrow()
+        known = M.Seen(seen)
+        assert known.upto[-1] == 2 * vocab.tokens
+        answers = M.cell_counts(chunks, spark.sparkContext.broadcast(vocab), bits).toArrow()
+        texts = dict((i, t) for i, t in rows)
+        told, large = list(M._rows(answers)), 0
+        for row in M._rows(chunks.drop("n").toArrow()):
+            chunk = M.Chunk(row, vocab, bits)
+            mine = [a for a in told if a["chunk"] == row["chunk"]]
+            column = pa.array([(texts[i] or "").encode() for i in row["doc_id"].to_pylist()], pa.binary())
+            keys, first, cls, *after, _ = M._prepared(column, vocab.classes)
+            assert (cls == chunk.cls).all() and (first == chunk.first).all()
+            ours = np.repeat(~chunk.held_out, np.diff(first))
+            for leave_one_out, asked in ((False, ours | True), (True, ours)):
+                odds = chunk.logits(mine, leave_one_out)
+                for context, cell in zip(after, chunk.cell):
+                    want = known.logits(context[asked], cls[asked], np.zeros(asked.sum(), bool), leave_one_out)
+                    assert np.allclose(odds[cell[asked]], want, atol=1e-5)
+            large += sum(a["size"] > 9 * a["cells"] for a in mine)
+        assert large > 15
