@@ -35,6 +35,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -60,8 +61,10 @@ RATE = 0.3
 #: Text of a chunk, which is scored beside the counts of its contexts.
 CHUNK_BYTES = 8 << 20
 _HELD_TOGETHER = 2_000_000
+#: Shares of the chunks that are learned from, and scored, one after the other.
+ROUNDS = 2
 #: Tokens of a part of the cells, bits that may number the parts.
-PART_TOKENS, MOST_PART_BITS = 1 << 21, 13
+PART_TOKENS, MOST_PART_BITS = 1 << 20, 13
 #: Bits of a word's rank in a cell; the rank that stands for no word.
 RANK_BITS = 21
 NO_WORD = (1 << RANK_BITS) - 1
@@ -736,14 +739,21 @@ def cell_counts(chunks: DataFrame, vocab: Broadcast, bits: int) -> DataFrame:
         edge = np.flatnonzero(new)
         cells = cells[edge]
         n = np.add.reduceat(np.concatenate([n for _, n in pairs])[order], edge, dtype=np.int64)
-        sides = np.empty((BITS + 1, len(n)), np.int64)
-        sides[BITS], below = n, n
+        least, more = np.empty((BITS + 1, len(n)), np.uint8), {}
+
+        def keep(level: int, side: np.ndarray) -> None:
+            least[level] = np.minimum(side, LARGE)
+            more[level] = np.flatnonzero(side >= LARGE), side[side >= LARGE]
+
+        keep(BITS, n)
+        below = n
         for level in reversed(range(BITS)):  # all that goes on like this cell up to this decision
             prefix = cells >> np.uint64(BITS - level)
             edge = np.flatnonzero(np.append(True, prefix[1:] != prefix[:-1]))
             here = np.repeat(np.add.reduceat(n, edge), np.diff(np.append(edge, len(n))))
-            sides[level], below = here - below, here
-        least = np.minimum(sides, LARGE).astype(np.uint8).take(row, axis=1)
+            keep(level, here - below)
+            below = here
+        least = least.take(row, axis=1)
         starts = np.concatenate([[0], np.cumsum([len(own) for _, own in pairs])])
         agree = _agreeing(asked_for)
         agree[starts[:-1]] = -1
@@ -752,7 +762,8 @@ def cell_counts(chunks: DataFrame, vocab: Broadcast, bits: int) -> DataFrame:
         for r, lo, hi in zip(rows, starts, starts[1:]):
             mine = least[:, lo:hi]
             level, at = np.nonzero(mine == LARGE)
-            counts = mine.tobytes() + sides[level, row[lo + at]].astype(np.uint64).tobytes()
+            large = [more[k][1][np.searchsorted(more[k][0], row[lo + at[level == k]])] for k in np.unique(level).tolist()]
+            counts = mine.tobytes() + b"".join(x.astype(np.uint64).tobytes() for x in large)
             yield batch_of(told, [r["chunk"]], [part], [hi - lo], [len(counts)], pa.array([_shut(counts)], pa.binary()))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -903,12 +914,15 @@ def learned_weights(chunks: DataFrame, counts: DataFrame, vocab: Broadcast, bits
                     task.update(sum=0.0, tokens=0, size=0)
         yield batch_of(schema, np.arange(cells), mean.reshape(-1).astype(float), np.full(cells, tokens))
 
-    rows = stored(beside(chunks, counts, learn, "cell bigint, weight double, tokens bigint", lambda t: list(_rows(t)))
-                  .filter("tokens > 0").groupBy("cell").agg((F.sum(F.col("weight") * F.col("tokens")) / F.sum("tokens")).alias("w")), "lm-weights")
-    out = neutral().reshape(-1)
-    for r in rows.collect():  # a hundred rows
-        out[r["cell"]] = r["w"]
-    return out.reshape(BITS, GATES, PREDICTORS)
+    rounds = [stored(beside(*own, learn, "cell bigint, weight double, tokens bigint", lambda t: list(_rows(t))).groupBy("cell")
+                     .agg(F.sum(F.col("weight") * F.col("tokens")).alias("w"), F.sum("tokens").alias("tokens")), "lm-weights")
+              for own in in_rounds(chunks, counts)]
+    out, total = np.zeros(cells), np.zeros(cells)
+    for r in (r for table in rounds for r in table.collect()):  # a hundred rows each
+        out[r["cell"]] += r["w"]
+        total[r["cell"]] += r["tokens"]
+    out = np.where(total > 0, out / np.maximum(total, 1), neutral().reshape(-1))
+    return out.astype(np.float32).reshape(BITS, GATES, PREDICTORS)
 
 
 # --- scoring ----------------------------------------------------------------------------
@@ -921,6 +935,15 @@ def _shuffles_freed(table: DataFrame) -> None:
     table.sparkSession.sparkContext._jvm.System.gc()
 
 
+def in_rounds(chunks: DataFrame, counts: DataFrame) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """Both tables in ``ROUNDS`` shares of the chunks, one after the other: only one share's
+    shuffle files are on disk at a time."""
+    for i in range(ROUNDS):
+        own = F.pmod(F.xxhash64("chunk"), F.lit(ROUNDS)) == i
+        yield chunks.filter(own), counts.filter(own)
+        _shuffles_freed(counts)
+
+
 def score(docs: DataFrame, modulus: int = 5, remainder: int = 1, head_words: int = 1 << 20) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
     score (log10 probabilities) and bits_per_byte of the model."""
@@ -938,7 +961,6 @@ def score(docs: DataFrame, modulus: int = 5, remainder: int = 1, head_words: int
     cells = stored(cell_counts(chunks, shared, bits), "lm-cells")
     _shuffles_freed(cells)
     weights = learned_weights(chunks, cells, shared, bits, tree)
-    _shuffles_freed(cells)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     columns = (f"doc_id {id_type}, held_out boolean, uid bigint, n_bytes bigint, n_tokens bigint, n_head bigint, "
                "head_log double, class_log double, mixed_log double, tail array<bigint>")
@@ -966,8 +988,8 @@ def score(docs: DataFrame, modulus: int = 5, remainder: int = 1, head_words: int
                     names=["doc_id", "held_out", "uid", "n_bytes", "n_tokens", "n_head", "head_log", "class_log",
                            "mixed_log", "tail"])
 
-    scored = stored(beside(chunks, cells, run, columns, lambda t: list(_rows(t))), "lm-scored")
-    _shuffles_freed(scored)
+    scored = reduce(DataFrame.union, [stored(beside(*own, run, columns, lambda t: list(_rows(t))), "lm-scored")
+                                      for own in in_rounds(chunks, cells)])
     rare = (scored.select("uid", F.explode("tail").alias("key")).join(counts, "key", "left")
             .groupBy("uid").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("tail_log"), F.count("n").alias("n_tail")))
     base = float(np.log10(vocab.tokens + 0.5 * (vocab.words + 1)))
