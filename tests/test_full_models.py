@@ -1,5 +1,6 @@
 """Moments, Newton steps and histogram trees against SQL and plain numpy."""
 
+import inspect
 import os
 
 import duckdb
@@ -378,3 +379,29 @@ def test_newton_steps_read_the_rows_once(rows, tmp_path):
     data = rows.select("label", *NAMES).coalesce(1)
     fit = logistic.fit_logistic(data.mapInArrow(counted, data.schema), NAMES)
     assert fit.steps > 2 and len(calls.read_text()) == 1
+
+
+def _registered(spark, monkeypatch):
+    """The registered models' fits on a few rows, without fitting: their arguments."""
+    import __spark_entry__ as E
+
+    asked = {}
+    monkeypatch.setattr(E, "_MODELS", {})
+    monkeypatch.setattr(E, "_features", lambda *_: None)
+    data = spark.range(40).select("id", F.col("id").alias("claim_id"), (F.col("id") % 2).cast("double").alias("label"),
+                                  *[F.col("id").cast("double").alias(c) for c in E.models.FEATURES], (F.col("id") % 5 == 0).cast("int").alias("is_test"))
+    monkeypatch.setattr(E, "model_rows", lambda _: data)
+    for name in ("fit_forest", "fit_boosted"):
+        def fit(rows, bins, *args, kind=name, one=getattr(trees, name), **kw):
+            bound = inspect.signature(one).bind(rows, bins, *args, **kw)
+            bound.apply_defaults()
+            asked[kind] = bound.arguments
+            return trees.TreeModel(bins, [], kind == "fit_boosted")
+        monkeypatch.setattr(trees, name, fit)
+    return E, asked
+
+
+def test_the_registered_boosted_trees_take_every_round(spark, monkeypatch):
+    E, asked = _registered(spark, monkeypatch)
+    E.ml_boosted(spark, "some folder").count()
+    assert asked["fit_boosted"]["rounds"] == 100 and asked["fit_boosted"]["max_depth"] == 6
