@@ -405,3 +405,18 @@ def test_the_registered_boosted_trees_take_every_round(spark, monkeypatch):
     E, asked = _registered(spark, monkeypatch)
     E.ml_boosted(spark, "some folder").count()
     assert asked["fit_boosted"]["rounds"] == 100 and asked["fit_boosted"]["max_depth"] == 6
+
+
+def test_the_registered_forest_has_every_tree_and_no_depth_limit(spark, monkeypatch):
+    E, asked = _registered(spark, monkeypatch)
+    E.ml_forest(spark, "some folder").count()
+    assert asked["fit_forest"]["trees"] == 100 and asked["fit_forest"]["max_depth"] is None
+
+
+def test_a_forest_grows_until_its_nodes_are_pure(spark):
+    """Labels that change with every value need more than 30 levels."""
+    rows = spark.range(960).select("id", (F.floor(F.col("id") / 8) % 2).cast("double").alias("label"), F.floor(F.col("id") / 8).cast("double").alias("x")).coalesce(1)
+    bins = trees.fit_bins(rows, ["x"])
+    model = trees.fit_forest(bins.apply(rows.withColumn("key", F.xxhash64("id")), ["key", "label"]), bins, trees=2)
+    for tree in model.trees:
+        assert max(tree.depth) > 30 and all(v in (0, 1) for f, v in zip(tree.feature, tree.value) if f < 0)
