@@ -420,3 +420,12 @@ def test_a_forest_grows_until_its_nodes_are_pure(spark):
     model = trees.fit_forest(bins.apply(rows.withColumn("key", F.xxhash64("id")), ["key", "label"]), bins, trees=2)
     for tree in model.trees:
         assert max(tree.depth) > 30 and all(v in (0, 1) for f, v in zip(tree.feature, tree.value) if f < 0)
+
+
+def test_the_registered_scores_come_from_whole_models(spark, monkeypatch):
+    """All three models of one table of scores, each with the library's own defaults."""
+    E, asked = _registered(spark, monkeypatch)
+    models = E._models(spark, "some folder")
+    assert E.MODEL_ARGS == {} and models.max_steps == 500
+    assert {"probability_logistic", "probability_forest", "probability_boosted"} <= set(E.ml_score(spark, "some folder").columns)
+    assert (asked["fit_forest"]["trees"], asked["fit_boosted"]["rounds"]) == (100, 100)
