@@ -4,11 +4,12 @@ The self-join is an equi-join on the grouping keys plus a band condition on
 dates.  A plain sort-merge join compares every row of a key group with every
 other row, which is quadratic for a hot key (one patient holding a large share
 of all claims).  With ``bucketed=True`` (the default) each row also carries a
-date bucket of ``hi - lo + 1`` days: the left row keeps its own bucket and the
-right row is copied to every bucket its partner dates can fall in (two for a
-directional band, three for a symmetric one).  The join key then includes the
-bucket, so the work per key is bounded by the rows in neighbouring windows, and
-each qualifying pair meets in exactly one bucket, so no pair repeats.
+date bucket of ``hi - lo + 1`` days: a row is copied to its own bucket and to every
+bucket its partner dates can fall in (two in all for a directional band, three for
+a symmetric one), and both sides of the join read these copies from one shuffle.
+The join key then includes the bucket, so the work per key is bounded by the rows in
+neighbouring windows, and each qualifying pair counts in exactly one bucket, that of
+its first row, so no pair repeats.
 """
 
 from __future__ import annotations
@@ -37,27 +38,32 @@ def near_pairs(df: DataFrame, keys: Sequence[str], id_col: str, date_col: str,
         raise ValueError("hi must be >= lo")
     keys = list(keys)
     cols = keys + [id_col, date_col] + [c for c in carry if c not in keys]
-    base = df.select(*cols).withColumn("_day", F.datediff(F.col(date_col), F.lit("1970-01-01").cast("date")))
-    left = base
-    right = base
+    base = df.select(*cols)
+    a_date, b_date = F.col(f"a.{date_col}"), F.col(f"b.{date_col}")
     conds = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
     if bucketed:
         width = (hi - lo + 1) if not symmetric else max(hi, 1)
-        left = left.withColumn("_bucket", F.floor(F.col("_day") / F.lit(width)))
-        # Partner days of a right row: [day - hi, day - lo] (directional) or
-        # [day - hi, day + hi] (symmetric).  Copy the row to each bucket in range.
-        first = F.floor((F.col("_day") - F.lit(hi)) / F.lit(width))
-        last = F.floor((F.col("_day") - F.lit(lo)) / F.lit(width)) if not symmetric \
-            else F.floor((F.col("_day") + F.lit(hi)) / F.lit(width))
-        right = right.withColumn("_bucket", F.explode(F.sequence(first, last)))
-        conds.append(F.col("a._bucket") == F.col("b._bucket"))
-    gap = F.col("b._day") - F.col("a._day")
+
+        def bucket(day):
+            return F.floor(day / F.lit(width))
+
+        # Partner days of a row as the later one: [day - hi, day - lo] (directional) or
+        # [day - hi, day + hi] (symmetric).  Copy the row to its own bucket and to each in range.
+        day = F.datediff(F.col(date_col), F.lit("1970-01-01").cast("date"))
+        range_of = F.sequence(bucket(day - F.lit(hi)), bucket(day + F.lit(hi) if symmetric else day - F.lit(lo)))
+        base = base.withColumn("_bucket", F.explode(F.array_union(F.array(bucket(day)), range_of)))
+        # As expressions: from equal columns Spark would infer which copies are own ones and
+        # filter these below the shuffle, so the sides would no longer share it.
+        conds.append(-F.col("a._bucket") == -F.col("b._bucket"))
+        into = F.datediff(a_date, F.lit("1970-01-01").cast("date")) - F.col("b._bucket") * F.lit(width)
+        conds.append((into >= 0) & (into < width))  # a's own bucket
+    gap = F.datediff(b_date, a_date)
     band = F.abs(gap).between(lo, hi) if symmetric else gap.between(lo, hi)
     cond = conds[0]
     for c in conds[1:]:
         cond = cond & c
     cond = cond & (F.col(f"a.{id_col}") < F.col(f"b.{id_col}")) & band
-    joined = left.alias("a").join(right.alias("b"), cond, "inner")
+    joined = base.alias("a").join(base.alias("b"), cond, "inner")
     out = [F.col(f"a.{k}").alias(k) for k in keys]
     out += [F.col(f"a.{id_col}").alias(f"{id_col}_1"), F.col(f"b.{id_col}").alias(f"{id_col}_2")]
     for c in carry:

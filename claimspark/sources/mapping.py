@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimspark.schemas import MONEY
-from claimspark.session import delete_dir, shared_dir
+from claimspark.session import delete_dir, free_shuffles, shared_dir
 
 # FIXED VALUES — the mapping rules (shared with the SQL oracle)
 POLICY_START = "2020-01-01"
@@ -199,7 +199,7 @@ def load_tables(spark: SparkSession, sf_dir: str, materialize: bool = False) ->
         # shuffle-partition setting is sized to the data on a cluster).  Ranges of
         # (patient, line item) are of equal size even if one patient, or a missing one,
         # holds most claims.  Line items are dealt out, which are half as wide as
-        # the claims made of them.
+        # the claims made of them.  What the joins and the ranges shuffled goes at once.
         files = max(2 * spark.sparkContext.defaultParallelism,
                     int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
         patients(spark, sf_dir).write.mode("overwrite").parquet(f"{base}/patients")
@@ -207,6 +207,8 @@ def load_tables(spark: SparkSession, sf_dir: str, materialize: bool = False) ->
         dealt = _line_items(spark, sf_dir).repartitionByRange(files, "o_custkey", "l_orderkey", "l_linenumber")
         (_claims_of(dealt)
          .write.mode("overwrite").parquet(f"{base}/claim_rows"))
+        del dealt
+        free_shuffles(spark)
         rows = spark.read.parquet(f"{base}/claim_rows")
         _PATHS[key] = f"{base}/claim_rows"
         tables = {"patients": spark.read.parquet(f"{base}/patients"),

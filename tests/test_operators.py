@@ -1,3 +1,4 @@
+import datetime as dt
 import itertools
 import random
 import sys
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from claimspark.operators.evaluation import auc, classification_report, confusion_matrix, roc_points
 from claimspark.operators.histogram import histogram
+from claimspark.operators.pairs import near_pairs
 from claimspark.operators.quality import key_violations, orphan_report, orphans
 from claimspark.operators.ranking import (
     exclusive_prefix, global_rank, range_partitioned, sequential_ids, value_counts_ranked,
@@ -298,3 +300,22 @@ def test_orphans_are_counted_without_a_join(spark):
     out = orphan_report({"c": kids, "p": parents}, [("c", "k", "p", "p")])
     assert out.first()["n_orphans"] == 3
     assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_shuffle_the_copies_of_a_row_once(spark):
+    """Both sides of the join read the same shuffle: two copies of a row, not one and two."""
+    rows = [(i, i % 7, dt.date(2024, 1, 1) + dt.timedelta(days=(i * 13) % 200)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, k int, day date")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for symmetric, copies in ((False, 2), (True, 3)):
+            pairs = near_pairs(df, ["k"], "id", "day", 1, 30, symmetric=symmetric)
+            found = {(r["id_1"], r["id_2"]) for r in pairs.collect()}
+            gap = lambda a, b: abs((b - a).days) if symmetric else (b - a).days
+            want = {(a[0], b[0]) for a in rows for b in rows if a[1] == b[1] and a[0] < b[0] and 1 <= gap(a[2], b[2]) <= 30}
+            assert found == want and pairs.count() == len(want)
+            plan = pairs._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+            assert "ReusedExchange" in plan and plan.count("explode(") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

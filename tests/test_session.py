@@ -72,3 +72,14 @@ def test_scratch_deletes_what_was_stored_inside(spark):
         stored(spark.range(5), "e")
         raise ZeroDivisionError
     assert len(_stored_folders(spark) - before - mine) == 1
+
+
+def test_the_ingest_leaves_no_shuffle_files(spark, monkeypatch):
+    """They would take twice the room of the claims for as long as the session lasts."""
+    from claimspark.sources import mapping
+
+    freed = []
+    monkeypatch.setattr(mapping, "free_shuffles", lambda s: freed.append(s))
+    mapping.forget(spark, "/root/testdata/sf0.001")
+    mapping.load_tables(spark, "/root/testdata/sf0.001", materialize=True)
+    assert freed == [spark]
