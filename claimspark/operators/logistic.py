@@ -2,10 +2,11 @@
 
 Minimises sum log(1 + exp(-margin)) + l2 / 2 * |weights|^2 (the intercept is
 free).  A step needs the gradient and the weighted Gram matrix of the features:
-each task adds them up over its rows, packed in blocks once and kept by Spark
-for all steps, Spark sums the tasks' cells, and the driver solves one system of (features + 1) unknowns.  A step that would
-raise the loss is halved.  Second-order steps converge in about ten passes over
-the rows, whatever their number.
+each task adds them up over its rows, and the driver sums the tasks' cells and
+solves one system of (features + 1) unknowns.  A step that would raise the loss is
+halved.  Second-order steps converge in about ten passes over the rows, whatever their
+number.  For these Spark keeps the rows on the executors' disks in blocks in which a
+column of few different values takes a byte a row; a task holds one block at a time.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,44 +42,74 @@ class LogisticFit:
 
 
 BLOCK_ROWS = 1 << 13
+#: A column with up to so many different values in a block is kept as a byte a row.
+_CODES = 256
+
+
+def _packed(columns: Sequence[pa.Array]) -> bytes:
+    """A block of rows without loss: their number, that of each column's different values
+    (0: not coded), these values or the whole columns, then the codes."""
+    head, values, codes = [len(columns[0])], [], []
+    for column in columns:
+        coded = column.dictionary_encode()
+        few = len(coded.dictionary) <= _CODES
+        head.append(len(coded.dictionary) if few else 0)
+        values.append((coded.dictionary if few else column).to_numpy(zero_copy_only=False).tobytes())
+        if few:
+            codes.append(coded.indices.to_numpy(zero_copy_only=False).astype(np.uint8).tobytes())
+    return b"".join([np.array(head, np.int64).tobytes(), *values, *codes])
+
+
+def _unpacked(block: bytes, columns: int) -> np.ndarray:
+    """(columns + 1, rows): the columns and a 1."""
+    head = np.frombuffer(block, np.int64, columns + 1)
+    rows, kept = int(head[0]), np.where(head[1:] > 0, head[1:], head[0]).tolist()
+    out = np.empty((columns + 1, rows))
+    out[-1] = 1
+    at, codes_at = head.nbytes, head.nbytes + 8 * sum(kept)
+    for row, few, n in zip(out, head[1:].tolist(), kept):
+        values = np.frombuffer(block, np.float64, n, at)
+        at += values.nbytes
+        if few:
+            np.take(values, np.frombuffer(block, np.uint8, rows, codes_at), out=row)
+            codes_at += rows
+        else:
+            row[:] = values
+    return out
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    """``rows`` (label, features) in blocks: labels, and the features and a 1 row by row."""
+def _blocks(rows: DataFrame) -> RDD:
+    """``rows`` (label, features) in packed blocks."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK_ROWS):
-                part = batch.slice(at, BLOCK_ROWS)
-                x = np.column_stack([*(c.to_numpy(zero_copy_only=False) for c in part.columns[1:]), np.ones(part.num_rows)])
-                y = part.column(0).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array([y.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["y", "x"])
+                block = _packed(batch.slice(at, BLOCK_ROWS).columns)
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.binary())], names=["block"])
 
-    return rows.mapInArrow(pack, "y binary, x binary")
+    return rows.mapInArrow(pack, "block binary").rdd.map(lambda row: bytes(row[0]))
 
 
-def _sums(blocks: DataFrame, beta: np.ndarray) -> np.ndarray:
-    """Loss, gradient and upper Gram matrix at ``beta``, summed over all rows."""
+def _sums(blocks: RDD, beta: np.ndarray) -> np.ndarray:
+    """Rows, loss, gradient and Gram matrix at ``beta``, summed over all rows in the
+    order of the tasks."""
     k = len(beta)
-    cells = 1 + k + k * k
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells)
-        for batch in batches:
-            for labels, features in zip(*batch.columns):
-                y = np.frombuffer(labels.as_buffer())
-                x = np.frombuffer(features.as_buffer()).reshape(-1, k)
-                margin = x @ beta
-                p = 1 / (1 + np.exp(-np.clip(margin, -700, 700)))
-                total[0] += np.logaddexp(0, np.where(y > 0, -margin, margin)).sum()
-                total[1:1 + k] += x.T @ (p - y)
-                total[1 + k:] += (x.T @ (x * (p * (1 - p))[:, None])).ravel()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(cells)), pa.array(total)], names=["cell", "value"])
-
-    found = blocks.mapInArrow(add, "cell bigint, value double").groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
-    out = np.zeros(cells)  # (features + 2)^2 cells at most
-    out[found.column("cell").to_numpy()] = found.column("value").to_numpy()
-    return out
+    def add(found: Iterator[bytes]) -> list[np.ndarray]:
+        total = np.zeros(2 + k + k * k)
+        for block in found:
+            columns = _unpacked(block, k)
+            y, x = columns[0], columns[1:]
+            margin = beta @ x
+            small = np.exp(-np.abs(margin))
+            p = np.where(margin < 0, small, 1) / (1 + small)
+            total[0] += len(y)
+            total[1] += (np.log1p(small) + np.maximum(margin, 0) - np.where(y > 0, margin, 0)).sum()
+            total[2:2 + k] += x @ (p - y)
+            total[2 + k:] += ((x * (p * (1 - p))) @ x.T).ravel()
+        return [total]
+
+    return np.sum(blocks.mapPartitions(add).collect() or [np.zeros(2 + k + k * k)], axis=0)  # (features + 2)^2 cells a task
 
 
 def fit_logistic(df: DataFrame, features: Sequence[str], label: str = "label", l2: float = 1.0, max_steps: int = 100,
@@ -89,20 +121,20 @@ def fit_logistic(df: DataFrame, features: Sequence[str], label: str = "label", l
     k = len(features) + 1
     penalty = np.append(np.full(k - 1, l2), 0.0)
     beta, before, step, size, taken = np.zeros(k), np.inf, np.zeros(k), 1.0, 0
-    blocks = _blocks(rows).persist()
+    blocks = _blocks(rows).persist(StorageLevel.DISK_ONLY)  # read in order a few times: room in memory is for the tasks
     try:
-        n = max(1, (blocks.agg(F.sum(F.length("y"))).first()[0] or 0) // 8)
         for taken in range(1, max_steps + 1):
             found = _sums(blocks, beta)
-            loss = found[0] + 0.5 * (penalty * beta) @ beta
+            n = max(1, int(found[0]))
+            loss = found[1] + 0.5 * (penalty * beta) @ beta
             if loss > before * (1 + 1e-12) and size > 1e-6:  # too far: half the step
                 size /= 2
                 beta = beta - size * step
                 continue
-            gradient = found[1:1 + k] + penalty * beta
+            gradient = found[2:2 + k] + penalty * beta
             if np.abs(gradient).max() <= tolerance * n:
                 break
-            gram = found[1 + k:].reshape(k, k) + np.diag(penalty) + 1e-12 * n * np.eye(k)
+            gram = found[2 + k:].reshape(k, k) + np.diag(penalty) + 1e-12 * n * np.eye(k)
             step, size, before = -np.linalg.solve(gram, gradient), 1.0, loss
             beta = beta + step
     finally:

@@ -429,3 +429,18 @@ def test_the_registered_scores_come_from_whole_models(spark, monkeypatch):
     assert E.MODEL_ARGS == {} and models.max_steps == 500
     assert {"probability_logistic", "probability_forest", "probability_boosted"} <= set(E.ml_score(spark, "some folder").columns)
     assert (asked["fit_forest"]["trees"], asked["fit_boosted"]["rounds"]) == (100, 100)
+
+
+def test_blocks_of_the_regression_are_small_and_without_loss(spark):
+    """A byte a row for a column of few values, and one block at a time in a task."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    columns = [np.array([0.0, 1.0])[rng.integers(0, 2, 5000)], rng.normal(0, 1, 5000), rng.integers(0, 300, 5000) / 7, rng.integers(0, 256, 5000) / 7, np.full(5000, -2.5)]
+    block = logistic._packed([pa.array(c) for c in columns])
+    assert logistic._unpacked(block, 5).tolist() == [*(c.tolist() for c in columns), [1.0] * 5000]
+    assert len(block) < 5000 * (3 + 2 * 8) + 3000
+    df = spark.createDataFrame(pd.DataFrame(dict(zip("yabcd", columns)))).coalesce(1)
+    blocks = logistic._blocks(df).collect()
+    assert sum(np.frombuffer(b, np.int64, 1)[0] for b in blocks) == 5000 and max(map(len, blocks)) < 6 * 8 * logistic.BLOCK_ROWS
+    assert logistic.fit_logistic(df, list("abcd"), label="y").gradient < 1e-9
