@@ -444,3 +444,27 @@ def test_blocks_of_the_regression_are_small_and_without_loss(spark):
     blocks = logistic._blocks(df).collect()
     assert sum(np.frombuffer(b, np.int64, 1)[0] for b in blocks) == 5000 and max(map(len, blocks)) < 6 * 8 * logistic.BLOCK_ROWS
     assert logistic.fit_logistic(df, list("abcd"), label="y").gradient < 1e-9
+
+
+def test_models_leave_no_shuffle_files(rows, monkeypatch):
+    """What joins and the deal shuffled goes once it is written; only the forest's rows carry a key."""
+    from claimspark.plans import models_full
+
+    freed, seen = [], []
+    monkeypatch.setattr(models_full, "free_shuffles", lambda s: freed.append(s))
+    for name in ("fit_forest", "fit_boosted"):
+        monkeypatch.setattr(trees, name, lambda r, b, *_, kind=name, **__: (seen.append((kind, r.columns)), trees.TreeModel(b, [], True))[1])
+    data = rows.withColumn("is_test", (F.col("id") % 5 == 0).cast("int"))
+    models_full.FullModels(data, "id", NAMES).fit(["boosted"])
+    assert len(freed) == 2 and seen == [("fit_boosted", ["label", "bins"])]
+    models_full.FullModels(data, "id", NAMES).fit(["forest"])
+    assert len(freed) == 4 and seen[1:] == [("fit_forest", ["key", "label", "bins"])]
+
+
+def test_a_boosted_row_takes_a_byte_for_its_label(binned):
+    bins, df = binned
+    bundles = trees.Bundles(bins.sizes)
+    blocks = trees._blocks(df.select("label", "bins").coalesce(1), bundles, 0.0).collect()
+    n = sum(len(b["margin"]) // 8 for b in blocks)
+    assert n == df.count() == sum(len(b["label"]) for b in blocks)
+    assert sum(b["label"].count(1) for b in blocks) == df.filter("label = 1").count()
