@@ -468,3 +468,45 @@ def test_a_boosted_row_takes_a_byte_for_its_label(binned):
     n = sum(len(b["margin"]) // 8 for b in blocks)
     assert n == df.count() == sum(len(b["label"]) for b in blocks)
     assert sum(b["label"].count(1) for b in blocks) == df.filter("label = 1").count()
+
+
+def test_a_forest_takes_few_bytes_a_node_in_the_driver(binned, monkeypatch):
+    """Arrays, and trees that grow in groups with the same splits."""
+    bins, df = binned
+    model = trees.fit_forest(df, bins, trees=5, few=2)
+    nodes = sum(len(t.feature) for t in model.trees)
+    held = sum(x.nbytes for t in model.trees for x in vars(t).values())
+    assert nodes > 300 and held < 20 * nodes + 500 * len(model.trees)
+    for t in model.trees:  # as a tree of lists has them
+        inner = [i for i, f in enumerate(t.feature) if f >= 0]
+        assert [int(t.left[i]) for i in inner] == [1 + 2 * j for j in range(len(inner))] and len(t.feature) == 1 + 2 * len(inner)
+        assert all(t.depth[t.left[i]] == t.depth[i] + 1 and t.rows[i] == t.rows[t.left[i]] + t.rows[t.left[i] + 1] for i in inner)
+    groups = []
+    monkeypatch.setattr(trees, "_grown", lambda *a, one=trees._grown: (groups.append(a[3:5]), one(*a))[1])
+    monkeypatch.setattr(trees, "TASK_DRAWN", 2 * df.count() // df.rdd.getNumPartitions() + 1)
+    monkeypatch.setattr(trees, "HELD_BYTES", 1)  # a block at a time
+    assert trees.fit_forest(df, bins, trees=5, few=2).splits() == model.splits()
+    assert groups == [(0, 2), (2, 2), (4, 1)]
+
+
+def test_rows_of_finished_nodes_leave_their_block(binned):
+    bins, df = binned
+    k = len(NAMES)
+    block = tuple(trees._drawn(df.coalesce(1), 1, k, 42).collect()[0])
+    label, x, row, *_ = trees._opened(block, k)
+    few = int((x[0][row] <= 3).sum())
+    assert 0 < few < len(row) / 2
+    moved = trees._moved(df.sparkSession.sparkContext.parallelize([block], 1), k, np.array([0]), np.array([3]), np.array([[0, -1]])).collect()
+    left_label, left_x, left_row, *_ = trees._opened(moved[0], k)
+    assert left_x.shape[1] == len(left_label) == few == len(left_row) and (left_x[0] <= 3).all()
+
+
+def test_forest_scores_are_the_mean_of_its_leaves(binned, rows, monkeypatch):
+    bins, df = binned
+    monkeypatch.setattr(trees, "SCORED_ROWS", 100)
+    model = trees.fit_forest(df, bins, trees=4, few=2)
+    found = {r.id: r.probability for r in model.score(rows, ["id"]).collect()}
+    cut = bins.apply(rows, ["id"]).toPandas()
+    x = np.array([list(b) for b in cut["bins"]])
+    want = sum(t.value[trees.leaf_of(t.arrays(), x)] for t in model.trees) / 4
+    assert [found[i] for i in cut["id"]] == want.tolist()
